@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlpit.shipping import ship_package
+
 #: Words are maximal runs of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is heavy if it holds more than one in HEAVY_SHARE of all rows, so there are at most HEAVY_SHARE heavy keys.
@@ -15,6 +17,7 @@ HEAVY_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

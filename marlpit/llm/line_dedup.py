@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marlpit.llm.common import heavy_safe_join, materialize, scratch_path
 from marlpit.llm.cuckoo import CuckooFilter, CuckooFull, filter_of
@@ -150,7 +151,7 @@ def without_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", tex
     """docs, every column kept, plus _n_lines, _n_dropped and _kept_text: the text without the lines whose keys drops has for its id."""
     drops = drops.select(F.col("doc_id").alias("_doc"), F.col("keys").alias("_keys"))
     joined = docs.join(drops, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
-    schema = docs.drop("_keys").schema.add("_n_lines", "long").add("_n_dropped", "long").add("_kept_text", "string")
+    schema = StructType(list(docs.schema.fields)).add("_n_lines", "long").add("_n_dropped", "long").add("_kept_text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ GOLDEN = 0.6180339887498949
 #: Slots ranked together; bounds every window of the ranking.
 CHUNK = 1 << 16
 #: Documents expected in one bucket of a source's shuffled order.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 4_000
 #: Up to so many sources (one row each) are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
