@@ -3,8 +3,9 @@
 Seed: every window of ``length`` words has one anchor, the smallest hash (the last of equals) among its runs of
 ``anchor`` words. Equal windows have equal anchors, so a window can repeat only if its anchor does. Anchors are
 counted over all texts and those met twice are the seeds on which documents are joined. Extend: around each seed the
-match is extended both ways, to every window that has it as anchor, by 128-bit rolling hashes; windows met twice
-are exact repeats, and runs of them are the maximal repeats. A seed of c places costs c rows, never c * c pairs.
+match is extended both ways, to all the words that its windows cover. Places of a seed that agree in all of them repeat as a whole; where places
+differ the windows of each are compared, by the seed's and their own 64-bit hash. Runs of repeated windows are the maximal
+repeats. A seed of c places costs c rows, never c * c pairs.
 
 Defined results: null text has no words; repeated rows repeat each other; null ids are ids like any other; texts shorter
 than ``length`` words lose nothing; an empty table gives an empty result; other columns of the input are not read.
@@ -25,8 +26,8 @@ from marlpit.llm.common import heavy_safe_join, materialize
 
 LENGTH = 35
 ANCHOR = 16
-#: Size of the filter of seeds that goes to every task; it only spares work: what it lets through is verified exactly.
-SEED_FILTER_BYTES = 1 << 24
+#: Largest size of a filter of seeds, which goes to every task. It only spares work: what it lets through is verified exactly.
+MAX_FILTER_BYTES = 1 << 28
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -42,17 +43,25 @@ def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
+def running(h: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the words' hashes times powers of base, and the powers of its inverse: (sums[j] - sums[i]) * inverse[i] is the same for equal words i to j wherever they stand."""
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * powers(base, len(h))[:-1], out=sums[1:])
+    return sums, powers(pow(base, -1, 1 << 64), len(h))
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
     """Hash of every run of ``size`` words, from the words' hashes."""
     n = len(h) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    sums = np.zeros(len(h) + 1, dtype=np.uint64)
-    up, down = powers(base, len(h)), powers(pow(base, -1, 1 << 64), len(h))
-    np.cumsum(h * up[:-1], out=sums[1:])
-    x = (sums[size:] - sums[:-size]) * down[:n]
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    sums, down = running(h, base)
+    return scrambled((sums[size:] - sums[:-size]) * down[:n])
 
 
 def anchors(runs: np.ndarray, width: int) -> np.ndarray:
@@ -93,9 +102,15 @@ def seed_anchors(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "anchor long")
 
 
-def seed_filter(seeds: DataFrame, size: int) -> np.ndarray:
-    """A Bloom filter of the seeds in ``size`` bytes, whatever their number: the tasks' parts are or-ed together by Spark."""
-    bits = (size * 8).bit_length() - 1
+def passes(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in a filter."""
+    place = probe_places(h, (len(filled) * 64).bit_length() - 1).astype(np.int64)
+    return ((filled[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A Bloom filter of the seeds (anchor), of two bytes a seed but MAX_FILTER_BYTES at most, whatever their number; Spark ors its words together."""
+    bits = min(max(seeds.count() * 16, 1 << 20), MAX_FILTER_BYTES * 8).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,54 +127,84 @@ def seed_filter(seeds: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def seeded_windows(docs: DataFrame, seeds, length: int, anchor: int) -> DataFrame:
-    """doc_id, row (hash of the text), start, h1, h2: runs of consecutive windows whose anchors pass the filter of seeds."""
+def seeded_spans(docs: DataFrame, seeds, length: int, anchor: int) -> DataFrame:
+    """A row for each place of an anchor that passes the filter of seeds: doc_id, row, start (of its first window), anchor, off (of the anchor from start), span (hash of all
+    words that its windows cover), hashes (of its windows, one word apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = seeds.value
-        bits = (len(filled) * 64).bit_length() - 1
         for batch in batches:
-            ids, rows, starts, ones, twos = [], [], [], [], []
+            ids, rows, parts, sizes = [], [], [], [np.zeros(1, dtype=np.int32)]
+            hashes = [np.empty(0, dtype=np.int64)]
             for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = (text.as_py() or b"").split()
                 if len(words) < length:
                     continue
                 h1, h2 = word_hashes(words)
                 runs = rolling(h1, anchor, BASES[0])
-                at = anchors(runs, length - anchor + 1)
-                used = np.unique(at)
-                place = probe_places(runs[used], bits).astype(np.int64)
-                met = ((filled[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
+                used, first, n = np.unique(anchors(runs, length - anchor + 1), return_index=True, return_counts=True)
+                met = passes(filled, runs[used])
                 if not met.any():
                     continue
-                start = np.flatnonzero(met[np.searchsorted(used, at)])
-                first = np.flatnonzero(np.r_[True, np.diff(start) > 1])
-                one, two = rolling(h1, length, BASES[0])[start].view(np.int64), rolling(h2, length, BASES[1])[start].view(np.int64)
-                for a, b in zip(first, [*first[1:], len(start)], strict=True):
-                    ids.append(doc_id), rows.append(row), starts.append(start[a]), ones.append(one[a:b]), twos.append(two[a:b])
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, rows, starts, ones, twos), kinds, strict=True)], ["doc_id", "row", "start", "h1", "h2"])
+                sums, down = running(h2, BASES[1])
+                used, start, n_met = used[met], first[met], n[met]
+                span = scrambled((sums[start + n_met - 1 + length] - sums[start]) * down[start])
+                parts.append(np.stack([start, runs[used].view(np.int64), used - start, span.view(np.int64)]))
+                ids += [doc_id] * len(used)
+                rows += [row] * len(used)
+                sizes.append(n_met.astype(np.int32))
+                hashes.append(rolling(h2, length, BASES[1])[np.repeat(met, n)].view(np.int64))
+            cut = np.concatenate(parts, axis=1) if parts else np.empty((4, 0), dtype=np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(hashes)))
+            columns = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(cut[0].astype(np.int32)), pa.array(cut[1]), pa.array(cut[2].astype(np.int32)), pa.array(cut[3]), listed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "anchor", "off", "span", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id long, row long, start int, anchor long, off int, span long, hashes array<long>")
+
+
+def passing(spans: DataFrame, filled) -> DataFrame:
+    """The rows whose anchor passes a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor = batch.column(batch.schema.get_field_index("anchor")).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(passes(filled.value, anchor)))
+
+    return spans.mapInArrow(run, spans.schema)
 
-    return docs.mapInArrow(run, "doc_id long, row long, start int, h1 array<long>, h2 array<long>")
 
+def repeated_starts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """docs: doc_id, row, text (binary). doc_id, row, start, n, mask: bit k is set if the window of ``length`` words at start + k (k < n) starts anywhere else too.
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, filter_bytes: int = SEED_FILTER_BYTES) -> DataFrame:
-    """docs: doc_id, row, text (binary). doc_id, row, start of each window of ``length`` words that starts anywhere else too."""
+    Places whose whole span is equal are counted as one; only where a seed has several spans, as at the ends of a match, are their windows compared one by one,
+    those of equal spans once."""
     spark = docs.sparkSession
-    seeds = seed_anchors(docs, length, anchor).groupBy("anchor").count().filter("count > 1").select("anchor")
-    seeds = spark.sparkContext.broadcast(seed_filter(seeds, filter_bytes))
-    windows = materialize(seeded_windows(docs, seeds, length, anchor), "windows")
-    zipped = F.arrays_zip("h1", "h2")
-    keys = windows.select(F.explode(zipped).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
-    keys = materialize(keys, "repeats")
-    places = windows.select("doc_id", "row", "start", F.posexplode(zipped).alias("i", "w")).select("doc_id", "row", (F.col("start") + F.col("i")).alias("start"), "w")
-    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return heavy_safe_join(places, keys, "w", total, "n").drop("w")
-
-
-def covered(n_words: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each word whether a window covers it."""
+    seeds = materialize(seed_anchors(docs, length, anchor).groupBy("anchor").count().filter("count > 1").select("anchor"), "seeds")
+    met = spark.sparkContext.broadcast(seed_filter(seeds))
+    spans = materialize(seeded_spans(docs, met, length, anchor), "spans").withColumn("n", F.size("hashes"))
+    key = F.struct("anchor", "off", "n", "span")
+    counted = materialize(spans.groupBy("anchor", "off", "n", "span").agg(F.count("*").alias("times")), "counted")
+    contested = counted.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1").select("anchor")
+    unsure = spark.sparkContext.broadcast(seed_filter(materialize(contested, "contested")))
+    some = passing(spans.select("anchor", "off", "n", "span", "hashes"), unsure).groupBy("anchor", "off", "n", "span")
+    some = some.agg(F.first("hashes").alias("hashes"), F.least(F.count("*"), F.lit(2)).alias("times"))
+    some = materialize(some.select(key.alias("s"), "times", F.posexplode("hashes").alias("k", "h")).withColumn("w", F.struct("s.anchor", (F.col("s.off") - F.col("k")).alias("off"), "h")), "contested")
+    twice = some.groupBy("w").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).filter("times > 1").select("w", "rows")
+    twice = materialize(twice, "twice")
+    total = twice.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    masks = heavy_safe_join(some.select("s", "k", "w"), twice, "w", total, "rows").groupBy("s").agg(F.sum(F.expr("shiftleft(1L, k)")).alias("mask"))
+    known = counted.select(key.alias("s"), "times").join(masks, "s", "left")
+    known = known.withColumn("mask", F.when(F.col("times") > 1, F.expr("shiftleft(1L, s.n) - 1")).otherwise(F.col("mask"))).filter("mask <> 0")
+    known = materialize(known, "known")
+    total = known.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    places = spans.select("doc_id", "row", "start", "n", key.alias("s"))
+    return heavy_safe_join(places, known, "s", total, "times").select("doc_id", "row", "start", "n", "mask")
+
+
+def covered(n_words: int, runs: list[dict], length: int) -> np.ndarray:
+    """For each word whether a repeated window covers it. runs: start, n and mask of windows."""
     step = np.zeros(n_words + 1, dtype=np.int64)
+    starts = np.array([r["start"] + k for r in runs for k in range(r["n"]) if r["mask"] >> k & 1], dtype=np.int64)
     np.add.at(step, starts, 1)
     np.add.at(step, starts + length, -1)
     return np.cumsum(step[:-1]) > 0
@@ -168,7 +213,7 @@ def covered(n_words: int, starts: np.ndarray, length: int) -> np.ndarray:
 def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, repeats (first and past-the-last word of each maximal repeat) for each row."""
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
-    starts = repeated_starts(cut, length, anchor).groupBy("doc_id", "row").agg(F.collect_set("start").alias("starts"))
+    starts = repeated_starts(cut, length, anchor).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n", "mask")).alias("starts"))
     starts = starts.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "starts")
     joined = cut.join(starts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left").select("doc_id", "text", "starts")
 
@@ -177,7 +222,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             out = [[], [], [], []]
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or b"").split()
-                gone = covered(len(words), np.array(found.as_py() or [], dtype=np.int64), length)
+                gone = covered(len(words), found.as_py() or [], length)
                 edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).reshape(-1, 2)
                 kept = words if not len(edges) else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 for column, value in zip(out, (len(words), int(gone.sum()), b" ".join(kept).decode("utf-8", "replace"), edges.tolist()), strict=True):
