@@ -56,7 +56,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = quality.quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), drop=("text",))
     base = [F.col(f"_{c}").alias(c) for c in quality.FEATURES]
     return found.select("doc_id", *base, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_bits").alias("bits_per_word"))
 

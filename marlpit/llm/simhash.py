@@ -177,10 +177,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("a"), F.col("b").alias("component")).distinct()).withColumnRenamed("a", "node")
 
 
-def near_duplicate_groups(prints: DataFrame, links_of, min_docs: DataFrame | None = None) -> DataFrame:
-    """prints: doc_id, fp. links_of(distinct fp) gives links. Adds component_id: the smallest doc_id reachable by equal fingerprints and links."""
-    per = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("n")), "distinct")
-    parts = connected_components(links_of(per.select("fp")))
+def size_tiles(fps: DataFrame, radius: int, similarity: float) -> tuple[DataFrame, list[int]]:
+    """For fingerprints with n_shingles: fps with cell, by the logarithm of the size (two texts as similar as that are in the same or neighbouring cells) and by the population count;
+    and the steps between cells to compare."""
+    size = F.floor(F.log(F.greatest(F.col("n_shingles"), F.lit(1))) / F.log(F.lit(1 / similarity)))
+    ones = sum(F.bit_count(F.conv(F.substring(F.hex("fp"), 16 * i + 1, 16), 16, -10).cast("long")) for i in range(4))
+    band = F.floor(ones / (radius + 1))
+    cell = size * 64 + band
+    return fps.withColumn("cell", cell.cast("long")), [0, 1, 63, 64, 65]
+
+
+def near_duplicate_groups(prints: DataFrame, links_of) -> DataFrame:
+    """prints: doc_id, fp. links_of(distinct fp with the largest n_shingles, if prints has that) gives links. Adds component_id: the smallest doc_id reachable by equal fingerprints and links."""
+    more = [F.max(c).alias(c) for c in prints.columns if c == "n_shingles"]
+    per = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("n"), *more), "distinct")
+    parts = connected_components(links_of(per.drop("min_doc", "n")))
     joined = materialize(per.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "joined")
     ids = joined.groupBy("component").agg(F.min("min_doc").alias("component_id"))
     known = materialize(joined.join(ids, "component").select("fp", "component_id", "n"), "known")
@@ -192,3 +203,20 @@ def simhash_groups(docs: DataFrame, k: int = 3, radius: int = 2, parts: int = 4,
     """doc_id, fp, component_id: documents linked where 64-bit fingerprints over k-word shingles differ in radius or fewer bits."""
     prints = materialize(fingerprints(docs, k).select("doc_id", "fp"), "fingerprints")
     return near_duplicate_groups(prints, lambda fps: tiled_links(*popcount_tiles(fps, radius, parts), radius, tile))
+
+
+#: Fingerprint of the near-duplicate stage: four lanes are 256 bits. Of text pairs with a 5-word shingle similarity of 0.8 or
+#: more nine in ten differ in STAGE_RADIUS bits or fewer, of pairs under 0.6 none did; pairs between are near copies too.
+STAGE_SHINGLE, STAGE_LANES, STAGE_RADIUS, STAGE_SIMILARITY = 5, 4, 42, 0.8
+
+
+def near_duplicates(docs: DataFrame, radius: int = STAGE_RADIUS, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """doc_id, fp, n_shingles, component_id: documents linked where their 256-bit fingerprints over 5-word shingles are near, and their sizes allow the similarity."""
+    prints = materialize(fingerprints(docs, STAGE_SHINGLE, STAGE_LANES), "fingerprints")
+    return near_duplicate_groups(prints, lambda fps: tiled_links(*size_tiles(fps, radius, similarity), radius))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs but those whose id isn't its group's smallest. Rows with one id are one document; rows without an id stay."""
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
