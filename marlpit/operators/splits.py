@@ -19,7 +19,7 @@ def unit_hash(key: Column, seed: int) -> Column:
 
 
 def _role(score: Column, validation: float, test: float) -> Column:
-    return F.when(score < test, "test").when(score < test + validation, "validation").otherwise("training")
+    return F.when(score < test, "test").when(score < round(test + validation, 12), "validation").otherwise("training")
 
 
 def random_split(df: DataFrame, key: str, validation: float = 0.1, test: float = 0.2, seed: int = 42) -> DataFrame:

@@ -9,17 +9,15 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names of logical operators that no SELECT over its inputs holds.
-EFFECTS = ("Command", "InsertInto", "CreateTable", "DropTable", "CreateView", "SetCatalog", "CacheTable", "OverwriteByExpression", "AppendData")
+#: Kinds of plans that do something else than select.
+OTHER_PLANS = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
 
 
 def select_over(inputs: Mapping[str, DataFrame], text: str) -> DataFrame:
     """One SELECT (or WITH ... SELECT) whose tables are the inputs; anything that would change state is refused before it runs."""
     spark = next(iter(inputs.values())).sparkSession
     parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    shown = parsed.toString()
-    kind = parsed.getClass().getSimpleName()
-    if any(x in kind or f"'{x}" in shown for x in EFFECTS) or kind.startswith(("Create", "Drop", "Alter", "Set", "Insert", "Delete", "Update", "Merge", "Show", "Describe", "Use")):
+    if any(spark._jvm.java.lang.Class.forName(kind).isInstance(parsed) for kind in OTHER_PLANS):
         raise ValueError("only SELECT is allowed")
     suffix = uuid.uuid4().hex[:8]
     names = {name: f"{name}_{suffix}" for name in inputs}
@@ -52,6 +50,7 @@ def is_scalar(df: DataFrame, text: str) -> bool:
         plan = df.select(F.expr(text).alias("_x"))._jdf.queryExecution().analyzed()
     except (AnalysisException, ParseException):  # what Spark cannot read as an expression
         return False
-    own = plan.getClass().getSimpleName()
-    shown = plan.toString().split("\n", 1)[0].lower()
-    return own == "Project" and "subquery" not in shown and "exists" not in shown.split("(")[0]
+    # a scalar adds one projection to the plan of df; anything else adds more nodes
+    lines = [x for x in plan.toString().split("\n") if x.strip()]
+    own = [x for x in df._jdf.queryExecution().analyzed().toString().split("\n") if x.strip()]
+    return lines[0].startswith("Project") and len(lines) == len(own) + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("transforms", "sources", "quality", "charts", "series")
+FAMILIES = ("transforms", "sources", "quality", "charts", "series", "features", "learning", "monitoring")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
