@@ -148,7 +148,19 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def choose_landmarks(texts: list[Counter], labels: np.ndarray) -> list[str]:
+def disguised(words: Counter, insults: set[str], turn: int) -> Counter:
+    """The words of a text with a letter inserted in each insult."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        if w in insults:
+            at = 1 + (turn + len(w)) % (len(w) - 1)
+            w = (w[:at] + chr(97 + (7 * turn + at) % 26) + w[at:])[:MAX_LETTERS]
+        out[w] += n
+    return out
+
+
+def choose_landmarks(texts: list[Counter], labels: np.ndarray) -> tuple[list[str], list[str]]:
+    """(words that set toxic texts apart, common other words)."""
     toxic, other = Counter(), Counter()
     for words, label in zip(texts, labels, strict=True):
         (toxic if label else other).update(words.keys())
@@ -162,7 +174,7 @@ def choose_landmarks(texts: list[Counter], labels: np.ndarray) -> list[str]:
             ranked.append((-z, w))
     toxic_words = [w for _, w in sorted(ranked)[:TOXIC_LANDMARKS]]
     common = [w for w, _ in sorted(other.items(), key=lambda x: (-x[1], x[0])) if w not in toxic_words and len(w) > 3]
-    return toxic_words + common[:COMMON_LANDMARKS]
+    return toxic_words, common[:COMMON_LANDMARKS]
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, c: float = 1.0, turns: int = 600) -> np.ndarray:
@@ -181,16 +193,21 @@ def fit_svm(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, c: float =
 
 def fit(texts: list[Counter], labels: np.ndarray, share: float) -> ToxicityModel | None:
     """A model from texts (as word counts) and 0/1 labels; share: of label 1 among all labelled texts, to which the classes are weighted back."""
-    landmarks = choose_landmarks(texts, labels)
-    if not landmarks or len(set(labels.tolist())) < 2:
+    insults, common = choose_landmarks(texts, labels)
+    if not insults or len(set(labels.tolist())) < 2:
         return None
+    landmarks = insults + common
     table = landmark_table(landmarks)
-    x = Describer(table)(texts).astype(np.float64)
+    # toxic texts are shown once more with letters inserted in their insults, at half the weight
+    hidden = [disguised(t, set(insults), i) for i, t in enumerate(texts) if labels[i]]
+    x = Describer(table)(texts + hidden).astype(np.float64)
+    plain, labels = len(labels), np.r_[labels, np.ones(len(hidden), dtype=labels.dtype)]
     gram = np.concatenate([kernel([z], table) for z in landmarks]).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-3
     nystrom = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
-    weight = np.where(labels == 1, share / max(1, labels.sum()), (1 - share) / max(1, (1 - labels).sum()))
+    weight = np.where(labels == 1, share / max(1, labels[:plain].sum()), (1 - share) / max(1, (1 - labels).sum()))
+    weight[plain:] /= 2
     m = len(landmarks)
     w = fit_svm(np.c_[x[:, :m] @ nystrom, x[:, m:] @ nystrom], 2.0 * labels - 1, weight)
     folded = np.r_[nystrom @ w[:m], nystrom @ w[m:-1], w[-1]]
