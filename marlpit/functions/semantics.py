@@ -99,7 +99,3 @@ def strict_cast(column: Column, kind: str, source: DataType | None = None) -> Co
     if kind in INTEGER_TYPES and isinstance(source, FractionalType):
         column = F.round(column) if isinstance(source, DecimalType) else F.rint(column)
     return column.cast(CAST_TYPES[kind])
-
-
-def as_text(column: Column) -> Column:
-    return column.cast("string")

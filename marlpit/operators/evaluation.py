@@ -10,7 +10,7 @@ from functools import reduce
 from operator import and_
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.semantics import safe_div
@@ -179,7 +179,3 @@ def by_keys(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
         on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{n}_{k}")) for k in by])
         out = out.join(renamed, on, "left").drop(*[f"_k{n}_{k}" for k in by])
     return out
-
-
-def positive(column: str, value: str) -> Column:
-    return F.col(column).cast("string") == value

@@ -180,6 +180,14 @@ def e19_chi_square(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fe.chi2_scores(read(spark, d, "lineitem"), _NUMBERS, "l_returnflag"), 3)
 
 
+@register(None)
+def e18_select(spark: SparkSession, d: str) -> DataFrame:
+    """The two features that Spark ML's test ranks first."""
+    df = read(spark, d, "lineitem").withColumn("y", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    kept = fe.select_by_f(df, _NUMBERS, "y", 2)
+    return df.select(*kept)
+
+
 @register(None)
 def e20_mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return fe.mutual_information(read(spark, d, "lineitem"), _NUMBERS, "l_returnflag")

@@ -158,6 +158,17 @@ def m11_fold_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ev.fold_summary(scores, "accuracy", "evaluated"))
 
 
+_HIGH = f"WITH l AS (SELECT CAST({h('l_orderkey', 42)} % 4 AS INTEGER) AS f, l_returnflag AS feature, avg(l_quantity) AS q FROM lineitem GROUP BY ALL), c AS (SELECT f, max_by(feature, (round(q, 9), feature)) AS feature FROM l GROUP BY 1)"
+
+
+@register(f"{_HIGH} SELECT feature, CAST(count(*) AS BIGINT) AS folds, round(count(*) / 4, 6) AS share FROM c GROUP BY 1")
+def m11_selection_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """How often each is chosen over four folds (here: the flag with the largest mean quantity of the fold)."""
+    means = sp.folds(read(spark, d, "lineitem"), "l_orderkey", 4).groupBy(sp.FOLD, F.col("l_returnflag").alias("feature")).agg(F.avg("l_quantity").alias("q"))
+    chosen = means.groupBy(sp.FOLD).agg(F.max_by("feature", F.struct(F.round("q", 9), "feature")).alias("feature"))
+    return rounded(ev.selection_frequency(chosen))
+
+
 # --- models: no SQL form -----------------------------------------------------------------------------------------
 
 _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "age")

@@ -191,3 +191,9 @@ def d12_dataset_notes(spark: SparkSession, d: str) -> DataFrame:
 @register("""SELECT * FROM (VALUES ('l_quantity', 'continuous'), ('l_extendedprice', 'continuous'), ('l_returnflag', 'categorical'), ('l_linenumber', 'categorical'), ('l_discount', 'categorical')) v(column_name, target_type)""")
 def d13_target_type(spark: SparkSession, d: str) -> DataFrame:
     return profile.infer_target_type(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_returnflag", "l_linenumber", "l_discount"])
+
+
+@register("SELECT c_custkey, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0::DOUBLE AS balance_rank FROM customer")
+def w4_average_ranks(spark: SparkSession, d: str) -> DataFrame:
+    df = read(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return df.join(profile.average_ranks(df, "c_acctbal", "balance_rank"), "c_acctbal").select("c_custkey", F.col("balance_rank").cast("double").alias("balance_rank"))

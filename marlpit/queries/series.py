@@ -126,3 +126,12 @@ def t14_notes(spark: SparkSession, d: str) -> DataFrame:
 def t15_chart_series(spark: SparkSession, d: str) -> DataFrame:
     out = ts.bins(events(spark, d), "ts", "value", 200, 7)
     return rounded(out.select(F.lit("series").alias("chart"), F.col("bin").alias("x"), F.col("mean").alias("y"), F.col("rolling_mean").alias("overlay")), 5)
+
+
+@register(f"""WITH {_O} SELECT p AS position, lag(v, 3) OVER (ORDER BY p) AS lag_3, round(avg(v) OVER (ORDER BY p ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 5) AS rolling_mean, CAST((p - 1) % 24 AS INTEGER) AS phase FROM o""")
+def w2_w3_w8_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Lags, rolling means and phases of every row, numbered without sorting all rows in one task."""
+    w = ts.in_order()
+    rows = ts.ordered(ts.series(events(spark, d), "ts", "value"), 7)
+    rows = rows.withColumn("lag_3", F.lag("v", 3).over(w)).withColumn("rolling_mean", F.avg("v").over(w.rowsBetween(-6, 0))).filter("own")
+    return rows.select("position", "lag_3", F.round("rolling_mean", 5).alias("rolling_mean"), ((F.col("position") - 1) % 24).cast("int").alias("phase"))

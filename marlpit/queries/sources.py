@@ -51,6 +51,7 @@ def s4_read_parquet(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT 'embedding' AS column_name, CAST(count(*) AS BIGINT) AS rows FROM embeddings")
 def s5_flat_schema(spark: SparkSession, d: str) -> DataFrame:
     """Columns that keep a table from being flat."""
+    tables.flat_schema_check(read(spark, d, "documents"))
     df = read(spark, d, "embeddings")
     bad = spark.createDataFrame([(c,) for c, _ in tables.nested_columns(df)], "column_name string")
     return bad.crossJoin(F.broadcast(df.agg(F.count("*").alias("rows"))))  # one row
@@ -60,7 +61,7 @@ def s5_flat_schema(spark: SparkSession, d: str) -> DataFrame:
 def s6_read_typed_csv(spark: SparkSession, d: str) -> DataFrame:
     path = work_folder(spark)
     read(spark, d, "events").select("event_id", "ts", F.when(F.col("event_type") != "click", F.col("event_type")).alias("kind"), "value").write.options(header=True, nullValue="", timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
-    df = spark.read.schema("event_id long, ts timestamp, kind string, value double").options(header=True, nullValue="", mode="FAILFAST", timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    df = tables.read_typed_csv(spark, path, "event_id long, ts timestamp, kind string, value double", timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
     return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -45,9 +45,9 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, names: Sequenc
     return checked.drop(BAD_ROW)
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:
+def read_typed_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True, **options: str) -> DataFrame:
     """Strict types; an empty field is null."""
-    return spark.read.schema(schema).options(header=header, nullValue="", mode="FAILFAST").csv(path)
+    return spark.read.schema(schema).options(header=header, nullValue="", mode="FAILFAST", **options).csv(path)
 
 
 def inspect_csv(spark: SparkSession, path: str, header: bool | None = None, sep: str = ",") -> DataFrame:
