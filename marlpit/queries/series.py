@@ -68,10 +68,10 @@ def seasonal(spark: SparkSession, d: str) -> DataFrame:
     """Orders by day with a weekly wave, derived from the orders table."""
     daily = read(spark, d, "orders").groupBy(F.date_trunc("day", "o_orderdate").alias("ts")).agg(F.count("*").alias("n"))
     phase = F.pmod(F.datediff("ts", F.lit("1990-01-01")), F.lit(7))
-    return daily.withColumn("value", F.col("n") * 0.01 + F.when(phase == 0, 3.0).when(phase == 1, 2.0).otherwise(0.0))
+    return daily.withColumn("value", F.col("n") * 0.0137 + F.when(phase == 0, 3.0).when(phase == 1, 2.0).otherwise(0.0))
 
 
-_SEASON = "s AS (SELECT date_trunc('day', o_orderdate) AS ts, count(*) * 0.01 + CASE date_diff('day', DATE '1990-01-01', date_trunc('day', o_orderdate)::DATE) % 7 WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 0.0 END AS v FROM orders GROUP BY date_trunc('day', o_orderdate)), o AS (SELECT *, row_number() OVER (ORDER BY ts) AS p FROM s)"
+_SEASON = "s AS (SELECT date_trunc('day', o_orderdate) AS ts, count(*) * 0.0137::DOUBLE + CASE date_diff('day', DATE '1990-01-01', date_trunc('day', o_orderdate)::DATE) % 7 WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 0.0 END AS v FROM orders GROUP BY date_trunc('day', o_orderdate)), o AS (SELECT *, row_number() OVER (ORDER BY ts) AS p FROM s)"
 
 
 @register("WITH " + _SEASON + ", c AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, corr(v, m) AS r FROM (SELECT *, lag(v, {k}) OVER (ORDER BY p) AS m FROM o)" for k in range(1, 16)) + """),

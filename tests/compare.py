@@ -9,7 +9,7 @@ import pandas as pd
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return "null"
         if isinstance(x, bool | np.bool_):
             return str(bool(x))
