@@ -13,7 +13,6 @@ than ``length`` words lose nothing; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from marlpit.llm.common import heavy_safe_join, materialize
 LENGTH = 35
 ANCHOR = 16
 #: Largest size of a filter of seeds, which goes to every task. It only spares work: what it lets through is verified exactly.
-MAX_FILTER_BYTES = 1 << 28
+MAX_FILTER_BYTES = 1 << 26
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
