@@ -14,6 +14,8 @@ from marlpit.shipping import ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is heavy if it holds more than one in HEAVY_SHARE of all rows, so there are at most HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 1000
+#: Narrow rows in a file of a scratch table.
+ROWS_PER_FILE = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +38,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marlpit-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps don't recompute it and outlive lost executors."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: later steps don't recompute it and outlive lost executors.
+    rows, where the caller has an idea of their number, keeps a small table of narrow rows from becoming hundreds of tiny files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

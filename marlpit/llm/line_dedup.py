@@ -16,19 +16,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlpit.llm.common import heavy_safe_join, materialize, scratch_path
+from marlpit.llm.common import ROWS_PER_FILE, heavy_safe_join, materialize
 from marlpit.llm.cuckoo import CuckooFilter, CuckooFull, filter_of
 
 MIN_CHARS = 10
-#: Keys expected in a shard; a shard's keys meet in one task.
-SHARD_KEYS = 200_000
+#: Keys expected in a shard; a shard's keys meet in one row.
+SHARD_KEYS = 50_000
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -55,16 +54,24 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return cut.filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, key binary")
 
 
-def as_words(keys: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(keys), dtype="<u8").reshape(-1, 2)
+def as_words(keys: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(keys.to_pylist()), dtype="<u8").reshape(-1, 2)
+
+
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.StructArray | None, bytes | None]]:
+    """(shard, its rows, its filter) of rows (shard, rows: array of structs, cells), one shard at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].as_py()
 
 
 class LineIndex:
     """The state, as tables in the shared folder: holders (doc_id, key), refs (key, shard, n, min_doc), filters (shard, cells).
     Each change writes new tables beside the old ones and then takes them up, so a failed change leaves the index as it was."""
 
-    def __init__(self, spark: SparkSession, shards: int):
-        self.spark, self.shards = spark, shards
+    def __init__(self, spark: SparkSession, expected: int):
+        """expected: about how many (document, key) rows the index will hold."""
+        self.spark, self.rows, self.shards = spark, expected, max(1, expected // SHARD_KEYS)
         self.refs = spark.createDataFrame([], "key binary, shard int, n long, min_doc long")
         self.filters = spark.createDataFrame([], "shard int, cells binary")
         self.holders = spark.createDataFrame([], "doc_id long, key binary")
@@ -76,63 +83,67 @@ class LineIndex:
         """Add documents, given as (doc_id, key) rows; documents that the index holds already must be deleted first."""
         new = self._with_shard(holders.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("min_doc")))
 
-        def probe(batch: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-            batch = batch.assign(maybe=False)
-            if len(batch) and len(cells):
-                batch["maybe"] = CuckooFilter(table=cells["cells"].iloc[0]).contains(as_words(batch["key"]))
-            return batch[["key", "shard", "n", "min_doc", "maybe"]]
+        fields = F.struct("key", "n", "min_doc")
+        grouped = new.groupBy("shard").agg(F.collect_list(fields).alias("rows")).join(self.filters, "shard", "left").select("shard", "rows", "cells")
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard, rows, cells in shards_of(batches):
+                keys = rows.field("key")
+                maybe = CuckooFilter(table=cells).contains(as_words(keys)) if cells is not None else np.zeros(len(keys), dtype=bool)
+                columns = [keys, pa.array(np.full(len(keys), shard, dtype=np.int32)), rows.field("n"), rows.field("min_doc"), pa.array(maybe)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "shard", "n", "min_doc", "maybe"])
 
-        asked = new.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(probe, "key binary, shard int, n long, min_doc long, maybe boolean")
-        asked = materialize(asked, "asked")
+        asked = grouped.mapInArrow(probe, "key binary, shard int, n long, min_doc long, maybe boolean")
+        asked = materialize(asked, "asked", self.rows)
         known = asked.filter("maybe").select("key", F.col("n").alias("more"), F.col("min_doc").alias("other"))
         merged = self.refs.join(known, "key", "left").select("key", "shard", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.least("min_doc", "other").alias("min_doc"))
         falsely = asked.filter("maybe").join(self.refs.select("key"), "key", "left_anti")
-        fresh = materialize(asked.filter("NOT maybe").unionByName(falsely).drop("maybe"), "fresh")
-        refs = materialize(merged.unionByName(fresh), "refs")
+        fresh = materialize(asked.filter("NOT maybe").unionByName(falsely).drop("maybe"), "fresh", self.rows)
+        refs = materialize(merged.unionByName(fresh), "refs", self.rows)
         self.filters = self._updated(fresh, refs, lambda f, keys: f.insert(keys))
-        self.refs, self.holders = refs, materialize(self.holders.unionByName(holders.distinct()), "holders")
+        self.refs, self.holders = refs, materialize(self.holders.unionByName(holders.distinct()), "holders", self.rows)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take documents (doc_id) out again."""
         ids = doc_ids.select(F.col("doc_id").cast("long")).distinct()
         lost = self.holders.join(ids, "doc_id", "left_semi").groupBy("key").agg(F.count("*").alias("fewer"))
-        holders = materialize(self.holders.join(ids, "doc_id", "left_anti"), "holders")
+        holders = materialize(self.holders.join(ids, "doc_id", "left_anti"), "holders", self.rows)
         touched = holders.join(lost.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("lowest"))
         refs = self.refs.join(lost, "key", "left").join(touched, "key", "left")
-        refs = materialize(refs.select("key", "shard", (F.col("n") - F.coalesce("fewer", F.lit(0))).alias("n"), F.when(F.col("fewer").isNull(), F.col("min_doc")).otherwise(F.col("lowest")).alias("min_doc")), "refs")
+        refs = materialize(refs.select("key", "shard", (F.col("n") - F.coalesce("fewer", F.lit(0))).alias("n"), F.when(F.col("fewer").isNull(), F.col("min_doc")).otherwise(F.col("lowest")).alias("min_doc")), "refs", self.rows)
         self.filters = self._updated(refs.filter("n = 0"), refs.filter("n > 0"), lambda f, keys: f.delete(keys))
         self.refs, self.holders = refs.filter("n > 0"), holders
 
     def _updated(self, changed: DataFrame, refs: DataFrame, change) -> DataFrame:
         """The filters after change(filter, keys) in each shard with changed keys; a full one is rebuilt from refs, with room to double."""
 
-        def one(keys: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-            shard = int((keys if len(keys) else cells)["shard"].iloc[0])
-            words = as_words(keys["key"]) if len(keys) else np.empty((0, 2), dtype=np.uint64)
-            if not len(cells):
-                return pd.DataFrame({"shard": [shard], "cells": [filter_of(words, 2.0).to_bytes()]})
-            made = CuckooFilter(table=cells["cells"].iloc[0])
-            try:
-                change(made, words)
-            except CuckooFull:
-                return pd.DataFrame({"shard": [shard], "cells": [None]})
-            return pd.DataFrame({"shard": [shard], "cells": [made.to_bytes()]})
-
-        made = changed.select("shard", "key").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(one, "shard int, cells binary")
-        made = materialize(made, "filters")
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard, rows, cells in shards_of(batches):
+                words = as_words(rows.field("key")) if rows is not None else np.empty((0, 2), dtype=np.uint64)
+                if cells is None:
+                    made = filter_of(words, 2.0).to_bytes()
+                else:
+                    held = CuckooFilter(table=cells)
+                    try:
+                        change(held, words)
+                        made = held.to_bytes()
+                    except CuckooFull:
+                        made = None
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([made], pa.binary())], ["shard", "cells"])
+
+        def grouped(rows: DataFrame) -> DataFrame:
+            return rows.groupBy("shard").agg(F.collect_list(F.struct("key")).alias("rows"))
+
+        made = materialize(grouped(changed).join(self.filters, "shard", "full").select("shard", "rows", "cells").mapInArrow(one, "shard int, cells binary"), "filters", self.shards * (ROWS_PER_FILE // 8))
         full = made.filter("cells IS NULL").select("shard")
         if full.isEmpty():
             return made
-
-        def rebuilt(keys: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "cells": [filter_of(as_words(keys["key"]), 2.0).to_bytes()]})
-
-        again = refs.join(full, "shard", "left_semi").select("shard", "key").groupBy("shard").applyInPandas(rebuilt, "shard int, cells binary")
-        return materialize(made.filter("cells IS NOT NULL").unionByName(again), "filters")
+        again = grouped(refs.join(full, "shard", "left_semi")).withColumn("cells", F.lit(None).cast("binary")).mapInArrow(one, "shard int, cells binary")
+        return materialize(made.filter("cells IS NOT NULL").unionByName(again), "filters", self.shards * (ROWS_PER_FILE // 8))
 
     def drops(self) -> DataFrame:
         """doc_id, keys: the keys whose lines each document loses, as another document with a smaller id holds them too."""
-        repeated = materialize(self.refs.filter("n > 1").select("key", "min_doc", "n"), "repeated")
+        repeated = materialize(self.refs.filter("n > 1").select("key", "min_doc", "n"), "repeated", self.rows)
         lost = heavy_safe_join(self.holders, repeated, "key", self.holders.count(), "n").filter("doc_id <> min_doc")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
@@ -141,7 +152,7 @@ def index_lines(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_
     """An index of all rows, which arrive in ``batches`` commits (every row in one of them, by the hash of its id)."""
     spark = docs.sparkSession
     holders = materialize(line_keys(docs, id_col, text_col), "lines")
-    index = LineIndex(spark, max(1, holders.count() // SHARD_KEYS))
+    index = LineIndex(spark, holders.count())
     for b in range(batches):
         index.insert(holders.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     return index

@@ -76,7 +76,7 @@ def mixing_schedule(sources: DataFrame, block_words: int) -> DataFrame:
     chunks = chunks.select("chunk", "sidx", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("chunk", "sidx").orderBy("slot"))
     ranked = slots.join(chunks, ["chunk", "sidx"]).withColumn("block", F.col("before") + within - 1)
-    ranked = materialize(ranked.filter("block < quota").select("slot", "sidx", "block"), "slots")
+    ranked = materialize(ranked.filter("block < quota").select("slot", "sidx", "block"), "slots", total)
     got = ranked.groupBy("sidx").agg(F.count("*").alias("got"))
     late = q.join(got, "sidx", "left").select("sidx", "quota", F.coalesce("got", F.lit(0)).alias("got")).filter("got < quota")
     late = late.select("sidx", F.explode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("block"))
@@ -100,7 +100,7 @@ def mix_sources(
     cut = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = materialize(cut.withColumn("pos", shuffled_position(F.col("doc_id"), seed)), "sizes")
     n_docs = sizes.count()
-    sources = materialize(source_targets(sizes, weights, share, max_passes), "sources")
+    sources = materialize(source_targets(sizes, weights, share, max_passes), "sources", 1)
     n_sources = sources.count()
     hint = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda df: df
     buckets = max(1, n_docs // BUCKET_DOCS)

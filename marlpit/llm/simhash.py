@@ -131,9 +131,10 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[
 def tiled_links(fps: DataFrame, steps: list[int], radius: int, tile: int = TILE) -> DataFrame:
     """fps: distinct fp with its cell. Links (a, b) between fingerprints at radius or fewer differing bits in cells that one of steps apart, thinned in each
     pair of tiles to a forest of the same components. Tiles whose cells are further apart are never paired."""
-    counts = materialize(fps.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "cells")
+    n = fps.count()
+    counts = materialize(fps.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "cells", 1)  # as many rows as there are cells
     dealt = fps.join(counts, "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
-    tiles = materialize(dealt.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "tiles")
+    tiles = materialize(dealt.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "tiles", n)
     near = tiles.withColumn("step", F.explode(F.array(*[F.lit(s).cast("long") for s in steps]))).withColumn("other", F.col("cell") + F.col("step"))
     near = near.join(counts.select(F.col("cell").alias("other"), "tiles"), "other")
     near = near.withColumn("other_tile", F.explode(F.sequence(F.when(F.col("step") == 0, F.col("tile")).otherwise(F.lit(0)), F.col("tiles") - 1)))
@@ -159,17 +160,19 @@ def tiled_links(fps: DataFrame, steps: list[int], radius: int, tile: int = TILE)
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of all nodes in links (a, b), by alternating large-star and small-star steps; no group meets in one task but as a minimum."""
+def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, component (its smallest node) of all nodes in links (a, b), by alternating large-star and small-star steps; no group meets in one task but as a minimum.
+    rows: about how many links there are, if known."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = materialize(edges, "edges"), None
+    edges = materialize(edges, "edges", rows)
+    rows, before = edges.count(), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
+        edges = materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges", rows)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == before:
             break
@@ -189,12 +192,13 @@ def size_tiles(fps: DataFrame, radius: int, similarity: float) -> tuple[DataFram
 
 def near_duplicate_groups(prints: DataFrame, links_of) -> DataFrame:
     """prints: doc_id, fp. links_of(distinct fp with the largest n_shingles, if prints has that) gives links. Adds component_id: the smallest doc_id reachable by equal fingerprints and links."""
+    n = prints.count()
     more = [F.max(c).alias(c) for c in prints.columns if c == "n_shingles"]
-    per = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("n"), *more), "distinct")
-    parts = connected_components(links_of(per.drop("min_doc", "n")))
-    joined = materialize(per.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "joined")
+    per = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("n"), *more), "distinct", n)
+    parts = connected_components(links_of(per.drop("min_doc", "n")), n)
+    joined = materialize(per.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "joined", n)
     ids = joined.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    known = materialize(joined.join(ids, "component").select("fp", "component_id", "n"), "known")
+    known = materialize(joined.join(ids, "component").select("fp", "component_id", "n"), "known", n)
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return heavy_safe_join(prints, known, "fp", total, "n")
 
