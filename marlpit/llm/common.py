@@ -66,7 +66,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def heavy_safe_join(left: DataFrame, right: DataFrame, key: str, total: int, count_col: str) -> DataFrame:
+def heavy_safe_join(left: DataFrame, right: DataFrame, key: str | list[str], total: int, count_col: str) -> DataFrame:
     """Inner join of left with right, whose keys are unique and whose count_col says how many left rows hold each.
 
     Keys over total / HEAVY_SHARE rows are at most HEAVY_SHARE in number, so they are broadcast and their rows

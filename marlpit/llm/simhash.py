@@ -92,8 +92,18 @@ def popcount_tiles(fps: DataFrame, radius: int, parts: int = 4) -> tuple[DataFra
     return fps.withColumn("number", number).withColumn("cell", cell).drop("number"), steps
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
-    """Indexes (i, j) of links between rows of a and of b (lanes in columns), as many as keep connected what all links connect."""
+def may_be_similar(na: np.ndarray, nb: np.ndarray, far: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two unequal shingle sets of these sizes can be as similar as that, and their fingerprints differ in few enough bits for it."""
+    low, high = np.minimum(na, nb), np.maximum(na, nb)
+    most = np.where(low == high, (low - 1) / (low + 1), low / np.maximum(high, 1))
+    return (most >= similarity) & (far <= np.where(low < SMALL_SET, SMALL_RADIUS, STAGE_RADIUS))
+
+
+def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, similarity: float | None = None) -> list[tuple[int, int]]:
+    """Indexes (i, j) of links between rows of a and of b (lanes in columns), as many as keep connected what all links connect.
+    With a similarity the last column is the size of a shingle set, and links are those which may_be_similar lets through."""
+    if similarity is not None:
+        a, na, b, nb = a[:, :-1], a[:, -1].astype(np.int64), b[:, :-1], b[:, -1].astype(np.int64)
     parent = np.arange(len(a) + (0 if same else len(b)))
     shift, out = 0 if same else len(a), []
 
@@ -109,6 +119,9 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[
         for lane in range(a.shape[1]):
             far += np.bitwise_count(a[at : at + rows, None, lane] ^ b[None, :, lane])
         i, j = np.nonzero(far <= radius)
+        if similarity is not None:
+            some = may_be_similar(na[i + at], nb[j], far[i, j], similarity)
+            i, j = i[some], j[some]
         i = i + at
         if same:
             i, j = i[i < j], j[i < j]
@@ -128,9 +141,9 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[
     return out
 
 
-def tiled_links(fps: DataFrame, steps: list[int], radius: int, tile: int = TILE) -> DataFrame:
+def tiled_links(fps: DataFrame, steps: list[int], radius: int, tile: int = TILE, similarity: float | None = None) -> DataFrame:
     """fps: distinct fp with its cell. Links (a, b) between fingerprints at radius or fewer differing bits in cells that one of steps apart, thinned in each
-    pair of tiles to a forest of the same components. Tiles whose cells are further apart are never paired."""
+    pair of tiles to a forest of the same components. Tiles whose cells are further apart are never paired. similarity: see forest."""
     n = fps.count()
     counts = materialize(fps.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "cells", 1)  # as many rows as there are cells
     dealt = fps.join(counts, "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
@@ -151,7 +164,7 @@ def tiled_links(fps: DataFrame, steps: list[int], radius: int, tile: int = TILE)
             left, right = [], []
             for one, two, same in zip(*batch.columns, strict=True):
                 a, b = lanes(one), lanes(two)
-                for i, j in forest(a, b, radius, same.as_py()):
+                for i, j in forest(a, b, radius, same.as_py(), similarity):
                     left.append(a[i].astype(">u8").tobytes())
                     right.append(b[j].astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
@@ -180,20 +193,125 @@ def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame
     return edges.groupBy("a").agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("a"), F.col("b").alias("component")).distinct()).withColumnRenamed("a", "node")
 
 
-def size_tiles(fps: DataFrame, radius: int, similarity: float) -> tuple[DataFrame, list[int]]:
-    """For fingerprints with n_shingles: fps with cell, by the logarithm of the size (two texts as similar as that are in the same or neighbouring cells) and by the population count;
-    and the steps between cells to compare."""
-    size = F.floor(F.log(F.greatest(F.col("n_shingles"), F.lit(1))) / F.log(F.lit(1 / similarity)))
-    ones = sum(F.bit_count(F.conv(F.substring(F.hex("fp"), 16 * i + 1, 16), 16, -10).cast("long")) for i in range(4))
-    band = F.floor(ones / (radius + 1))
-    cell = size * 64 + band
-    return fps.withColumn("cell", cell.cast("long")), [0, 1, 63, 64, 65]
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the distinct shingles of an A-Z lower-cased text."""
+    parts = set(shingles(text.lower().split(), k))
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in parts]), dtype=">u8").astype(np.uint64))
+
+
+def set_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (four lanes over the distinct shingles and, as a fifth number, how many these are), n_shingles, text_hash for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes = [], []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py(), STAGE_SHINGLE)
+                with np.errstate(over="ignore"):
+                    fps.append(b"".join(majority(mixed(h, lane)).to_bytes(8, "big") for lane in range(STAGE_LANES)) + len(h).to_bytes(8, "big"))
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), batch.column(2)], ["doc_id", "fp", "n_shingles", "text_hash"])
+
+    return hashed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary, n_shingles long, text_hash long")
+
+
+def hashed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (binary, null as empty), text_hash."""
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    return cut.withColumn("text_hash", F.xxhash64("text"))
+
+
+def size_cell(n: str, similarity: float) -> F.Column:
+    """Of two sets as similar as that the cells are the same or neighbours."""
+    return F.floor(F.log(F.greatest(F.col(n), F.lit(1))) / F.log(F.lit(1 / similarity))).cast("long")
+
+
+def verified_forest(a: np.ndarray, b: np.ndarray, sets_a: list[np.ndarray], sets_b: list[np.ndarray], same: bool, similarity: float) -> list[tuple[int, int]]:
+    """Indexes (i, j) of pairs whose shingle sets have the similarity, as many as keep connected what all such pairs connect: a pair is passed over only
+    if pairs that were checked connect it already."""
+    shift, out = 0 if same else len(a), []
+    parent = np.arange(len(a) if same else len(a) + len(b))
+    na, nb = a[:, -1].astype(np.int64), b[:, -1].astype(np.int64)
+    for i in range(len(a)):
+        at = i + 1 if same else 0
+        far = np.bitwise_count(a[i, :-1] ^ b[at:, :-1]).sum(axis=1)
+        for j in (at + np.flatnonzero(may_be_similar(na[i], nb[at:], far, similarity))).tolist():
+            p, q = parent[i], parent[j + shift]
+            if p == q:
+                continue
+            common = len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
+            if common / (na[i] + nb[j] - common) >= similarity:
+                parent[parent == max(p, q)] = min(p, q)
+                out.append((i, j))
+    return out
+
+
+def verified_links(docs: DataFrame, fps: DataFrame, families: DataFrame, similarity: float, tile_shingles: int | None = None) -> DataFrame:
+    """Links (a, b) between fingerprints of one family (node, component) whose texts' distinct shingles have the similarity.
+    fps: distinct fp with n_shingles and first, a row (no_id, doc_id, text_hash) that has it.
+
+    The shingle sets of a family meet in one row. A family of more than tile_shingles is split by size and hash into tiles, and each two tiles that can
+    hold a link meet in a row. Links are thinned to a forest of each row only after the exact check."""
+    most = tile_shingles or TILE_SHINGLES
+    n = fps.count()
+    members = fps.join(families.select(F.col("node").alias("fp"), F.col("component").alias("family")), "fp")
+    members = materialize(members.withColumn("size", size_cell("n_shingles", similarity)), "members", n)
+    cells = materialize(members.groupBy("family", "size").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n")), "family-cells", n)
+    whole = cells.groupBy("family").agg((F.sum("weight") <= most).alias("whole"))
+    tiles = cells.select("family", "size", F.ceil(F.col("weight") / most).cast("int").alias("tiles"))
+    cells = cells.join(whole, "family").join(tiles, ["family", "size"])
+    for name, step in (("before", 1), ("after", -1)):
+        cells = cells.join(tiles.select("family", (F.col("size") + step).alias("size"), F.col("tiles").alias(name)), ["family", "size"], "left")
+    cells = materialize(cells.drop("weight"), "family-tiles", n)
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = heavy_safe_join(members, cells, ["family", "size"], total, "n").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+
+    def meeting(c1, t1, c2, t2, side):
+        return F.struct(F.concat_ws(" ", *[x.cast("string") for x in (c1, t1, c2, t2)]).alias("key"), side.cast("int").alias("side"))
+
+    size, tile = F.col("size"), F.col("tile")
+    own = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: meeting(size, F.least(tile, u), size, F.greatest(tile, u), tile > u))
+    after = F.when(F.col("after") > 0, F.transform(F.sequence(F.lit(0), F.col("after") - 1), lambda u: meeting(size, tile, size + 1, u, F.lit(0))))
+    before = F.when(F.col("before") > 0, F.transform(F.sequence(F.lit(0), F.col("before") - 1), lambda u: meeting(size - 1, u, size, tile, F.lit(1))))
+    none = F.array().cast("array<struct<key:string,side:int>>")
+    split = F.concat(own, F.coalesce(after, none), F.coalesce(before, none))
+    meets = F.when(F.col("whole"), F.array(F.struct(F.lit("").alias("key"), F.lit(0).alias("side")))).otherwise(split)
+    dealt = materialize(dealt.select("fp", "family", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_hash"), meets.alias("meets")), "dealt", n)
+    texts = hashed_texts(docs).join(dealt, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_hash"))).select("family", "meets", "fp", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingle_set(t.as_py(), STAGE_SHINGLE).tobytes() for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], ["family", "meets", "fp", "shingles"])
+
+    found = texts.mapInArrow(sets, "family binary, meets array<struct<key:string,side:int>>, fp binary, shingles binary")
+    rows = found.select("family", "fp", "shingles", F.explode("meets").alias("meet")).select("family", "meet.key", F.struct("meet.side", "fp", "shingles").alias("member"))
+    rows = rows.groupBy("family", "key").agg(F.collect_list("member").alias("members")).select("key", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for key, members in zip(*batch.columns, strict=True):
+                # rows that repeat an id and a text come more than once
+                sides: tuple[dict, dict] = ({}, {})
+                for m in members:
+                    sides[m["side"].as_py()][m["fp"].as_py()] = np.frombuffer(m["shingles"].as_py(), dtype=np.uint64)
+                c1, t1, c2, t2 = key.as_py().split(" ") if key.as_py() else "0000"
+                same = (c1, t1) == (c2, t2)
+                a, b = list(sides[0]), list(sides[0 if same else 1])
+                one, two = (np.frombuffer(b"".join(x), dtype=">u8").astype(np.uint64).reshape(len(x), -1) for x in (a, b))
+                for i, j in verified_forest(one, two, list(sides[0].values()), list(sides[0 if same else 1].values()), same, similarity):
+                    left.append(a[i])
+                    right.append(b[j])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicate_groups(prints: DataFrame, links_of) -> DataFrame:
-    """prints: doc_id, fp. links_of(distinct fp with the largest n_shingles, if prints has that) gives links. Adds component_id: the smallest doc_id reachable by equal fingerprints and links."""
+    """prints: doc_id, fp. links_of(distinct fp, with n_shingles and a first row if prints has n_shingles and text_hash) gives links. Adds component_id: the smallest doc_id reachable by equal fingerprints and links."""
     n = prints.count()
-    more = [F.max(c).alias(c) for c in prints.columns if c == "n_shingles"]
+    more = [F.max("n_shingles").alias("n_shingles"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")] if "text_hash" in prints.columns else []
     per = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("n"), *more), "distinct", n)
     parts = connected_components(links_of(per.drop("min_doc", "n")), n)
     joined = materialize(per.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "joined", n)
@@ -209,15 +327,24 @@ def simhash_groups(docs: DataFrame, k: int = 3, radius: int = 2, parts: int = 4,
     return near_duplicate_groups(prints, lambda fps: tiled_links(*popcount_tiles(fps, radius, parts), radius, tile))
 
 
-#: Fingerprint of the near-duplicate stage: four lanes are 256 bits. Of text pairs with a 5-word shingle similarity of 0.8 or
-#: more nine in ten differ in STAGE_RADIUS bits or fewer, of pairs under 0.6 none did; pairs between are near copies too.
-STAGE_SHINGLE, STAGE_LANES, STAGE_RADIUS, STAGE_SIMILARITY = 5, 4, 42, 0.8
+#: Fingerprint of the near-duplicate stage: four lanes are 256 bits over the distinct 5-word shingles. It only finds candidates. Two sets of similarity 0.8 differ in
+#: 39 bits on average; over STAGE_RADIUS bits differ for less than one pair in 10,000. Of sets of 4 and 5 shingles 48 bits differ on average, so pairs with a set under SMALL_SET have a radius of their own.
+STAGE_SHINGLE, STAGE_LANES, STAGE_RADIUS, STAGE_SIMILARITY = 5, 4, 64, 0.8
+SMALL_SET, SMALL_RADIUS = 5, 80
+#: Shingles of a family, or of a tile of a larger one, that meet in a row.
+TILE_SHINGLES = 1 << 18
+
+
+def near_duplicates(docs: DataFrame, similarity: float = STAGE_SIMILARITY, tile: int = TILE, tile_shingles: int | None = None) -> DataFrame:
+    """doc_id, fp, n_shingles, component_id: documents linked where the similarity of their sets of 5-word shingles (64-bit hashes) is at least that much."""
+    prints = materialize(set_fingerprints(docs), "fingerprints")
 
+    def links(fps: DataFrame) -> DataFrame:
+        cells = fps.select("fp", size_cell("n_shingles", similarity).alias("cell"))
+        families = connected_components(tiled_links(cells, [0, 1], SMALL_RADIUS, tile, similarity), fps.count())
+        return verified_links(docs, fps, families, similarity, tile_shingles)
 
-def near_duplicates(docs: DataFrame, radius: int = STAGE_RADIUS, similarity: float = STAGE_SIMILARITY) -> DataFrame:
-    """doc_id, fp, n_shingles, component_id: documents linked where their 256-bit fingerprints over 5-word shingles are near, and their sizes allow the similarity."""
-    prints = materialize(fingerprints(docs, STAGE_SHINGLE, STAGE_LANES), "fingerprints")
-    return near_duplicate_groups(prints, lambda fps: tiled_links(*size_tiles(fps, radius, similarity), radius))
+    return near_duplicate_groups(prints, links).drop("text_hash")
 
 
 def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:

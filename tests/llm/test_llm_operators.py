@@ -147,6 +147,68 @@ def test_near_duplicate_stage(spark):
     assert sorted(r.doc_id for r in simhash.first_of_groups(df, groups).collect()) == [3, 5, 7]
 
 
+def near_pairs():
+    """Texts in pairs whose similarity is planted around 0.8 in several sizes, a chain, short texts, repeated words, and repeated and null ids."""
+    rng, texts = np.random.default_rng(3), []
+    word = lambda: f"t{int(rng.integers(0, 10**9))}"
+    for size in (4, 5, 8, 9, 12, 45, 180, 720):
+        for similarity in (0.7, 0.75, 0.78, 0.79, 0.8, 0.81, 0.83, 0.85, 0.9):
+            for _ in range(3):
+                words = [word() for _ in range(size + 4)]
+                # after a change of the last m words size - m of size + m shingles are common
+                m = int(size * (1 - similarity) / (1 + similarity) + 1e-9)
+                texts += [" ".join(words), " ".join(words[: len(words) - m] + [word() for _ in range(m)]), " ".join([*words, *(word() for _ in range(round(size / similarity) - size))])]
+    words = [word() for _ in range(200)]
+    for step in range(6):
+        texts.append(" ".join([word() for _ in range(15 * step)] + words[15 * step :]))
+    texts += ["", None, "a", "a b", "a b c d e", "a b c d e f", "a b c d e " * 9, "a b c d e " * 30, "A B C D E f"]
+    rows = [*enumerate(texts)]
+    return [*rows, (0, texts[0]), (3, texts[-1]), (None, texts[5]), (None, texts[5])]
+
+
+def brute_near_groups(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").translate(LOWER).split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[root(i)] = min(d, low.get(root(i), d))
+    return sorted((str(d), low.get(root(i))) for i, (d, _) in enumerate(rows))
+
+
+def test_near_duplicates_are_brute_force(spark):
+    rows = near_pairs()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_near_groups(rows)
+    got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert got == expected
+
+
+def test_split_families_are_brute_force(spark):
+    rng, rows = np.random.default_rng(4), []
+    base = [f"b{i}" for i in range(60)]
+    for i in range(80):
+        words = [*base]
+        for at in rng.integers(0, 60, int(rng.integers(0, 4))):
+            words[at] = f"x{i}"
+        rows.append((i, " ".join(words[: int(rng.integers(30, 60))])))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=8, tile_shingles=300).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == brute_near_groups(rows)
+
+
 # --- 3 decontamination -------------------------------------------------------------------------------------------
 
 
