@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 DECAY, MAX_SPAN, MAX_LETTERS = 0.7, 6, 24
 #: Letters a to z are 1 to 26; other letters fall into five more classes.
 ALPHABET = 32
-#: Kernel values under this count as zero.
-FLOOR = 0.45
+#: Kernel values under this count as zero: an insult of five letters keeps 0.3 or more with two letters inserted, or glued into a token of MAX_LETTERS letters.
+FLOOR = 0.25
 TOXIC_LANDMARKS, COMMON_LANDMARKS = 96, 16
 MAX_TRAIN = 2500
 CACHE_WORDS = 150_000
@@ -39,17 +39,28 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 SINGLE = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or of a longer one overlapping pieces of MAX_LETTERS letters that cover it."""
+    if len(word) <= MAX_LETTERS:
+        return [word]
+    return [word[at : at + MAX_LETTERS] for at in (*range(0, len(word) - MAX_LETTERS, MAX_LETTERS // 2), len(word) - MAX_LETTERS)]
+
+
 def text_words(text: str) -> Counter:
-    """The words of a text, undone of what may hide them, and how often each occurs; three letters or more."""
+    """The words of a text, undone of what may hide them, and how often each occurs; three letters or more. What punctuation joins is read both whole and in its parts."""
     text = text.lower()
     found = Counter(text.split())
     found.update(re.sub(r"\s", "", m) for m in SINGLE.findall(text))
     out: Counter = Counter()
     for w, n in found.items():
+        parts = []
         if not w.isalpha():
-            w = NOT_LETTERS.sub("", w.strip(".,;:!?#*$%&|<>\"'()[]").translate(LOOKS))
-        if len(w) > 2:
-            out[w[:MAX_LETTERS]] += n
+            parts = NOT_LETTERS.split(w.strip(".,;:!?#*$%&|<>\"'()[]").translate(LOOKS))
+            w = "".join(parts)
+        for x in [w, *parts] if len(parts) > 1 else [w]:
+            if len(x) > 2:
+                for piece in pieces(x):
+                    out[piece] += n
     return out
 
 
@@ -148,14 +159,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def disguised(words: Counter, insults: set[str], turn: int) -> Counter:
-    """The words of a text with a letter inserted in each insult."""
+def disguised(words: Counter, insults: set[str], turn: int, way: int) -> Counter:
+    """The words of a text with way 0 or 1 one or two letters inserted in each insult, with way 2 each insult glued to another word of the text."""
+    others = sorted(w for w in words if w not in insults)
     out: Counter = Counter()
     for w, n in words.items():
-        if w in insults:
-            at = 1 + (turn + len(w)) % (len(w) - 1)
-            w = (w[:at] + chr(97 + (7 * turn + at) % 26) + w[at:])[:MAX_LETTERS]
-        out[w] += n
+        if w in insults and way == 2:
+            other = others[(7 * turn + len(w)) % len(others)] if others else "very"
+            w = other + w if turn % 2 else w + other
+        elif w in insults:
+            for more in range(way + 1):
+                at = 1 + (turn + len(w) + 2 * more) % (len(w) - 1)
+                w = w[:at] + chr(97 + (7 * turn + at) % 26) + w[at:]
+        for piece in pieces(w):
+            out[piece] += n
     return out
 
 
@@ -198,8 +215,8 @@ def fit(texts: list[Counter], labels: np.ndarray, share: float) -> ToxicityModel
         return None
     landmarks = insults + common
     table = landmark_table(landmarks)
-    # toxic texts are shown once more with letters inserted in their insults, at half the weight
-    hidden = [disguised(t, set(insults), i) for i, t in enumerate(texts) if labels[i]]
+    # toxic texts are shown three times more with letters inserted in their insults or the insults glued to other words, at half the weight in all
+    hidden = [disguised(t, set(insults), i, way) for way in range(3) for i, t in enumerate(texts) if labels[i]]
     x = Describer(table)(texts + hidden).astype(np.float64)
     plain, labels = len(labels), np.r_[labels, np.ones(len(hidden), dtype=labels.dtype)]
     gram = np.concatenate([kernel([z], table) for z in landmarks]).astype(np.float64)
@@ -207,7 +224,7 @@ def fit(texts: list[Counter], labels: np.ndarray, share: float) -> ToxicityModel
     keep = values > 1e-3
     nystrom = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
     weight = np.where(labels == 1, share / max(1, labels[:plain].sum()), (1 - share) / max(1, (1 - labels).sum()))
-    weight[plain:] /= 2
+    weight[plain:] /= 6
     m = len(landmarks)
     w = fit_svm(np.c_[x[:, :m] @ nystrom, x[:, m:] @ nystrom], 2.0 * labels - 1, weight)
     folded = np.r_[nystrom @ w[:m], nystrom @ w[m:-1], w[-1]]

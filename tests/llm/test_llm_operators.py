@@ -314,6 +314,21 @@ def test_gapped_insults():
         assert score(f"you are an {hidden} today") > 0.7, hidden
 
 
+def test_insults_with_more_inserted_or_glued():
+    texts, labels = toy_texts()
+    model = toxicity.fit([toxicity.text_words(t) for t in texts], labels, labels.mean())
+    describe = toxicity.Describer(model.table)
+    score = lambda t: float(model.scores(describe([toxicity.text_words(t)]))[0])
+    for hidden in ("completeidiot", "river-garden-window-summer-idiot", "a.b.c.river/forest/kitchen/moron"):
+        assert score(f"you are an {hidden} today") > 0.7, hidden
+    clean = max(score(f"you see {c} today") for c in ("river-garden-window-summer-letter", "summerkitchenmarketbridgeforestwindow", "the morning market and the yellow kitchen"))
+    assert clean < 0.1
+    # these count, and stand clear of every clean text, but need not reach the query's threshold by themselves
+    for hidden in ("idxixot", "ixdixot", "moxroxn", "vollidiotenhaufen"):
+        assert score(f"you are an {hidden} today") > clean + 0.2, hidden
+    assert sorted(toxicity.pieces("x" * 12 + "y" * 12 + "z" * 6)) == ["x" * 12 + "y" * 12, "x" * 6 + "y" * 12 + "z" * 6]
+
+
 def test_kernel_is_the_gap_weighted_subsequence_kernel():
     def phi(w):
         out = collections.Counter()
