@@ -3,7 +3,8 @@
 Detection finds e-mail addresses, IPv4 addresses, telephone numbers, account numbers, IBANs, secrets and personal names. A
 surrogate is derived from a keyed hash of the kind and the canonical form, so one entity has one surrogate in all documents (coreference). It keeps the
 format: digits stay digits and letters letters of the same case and script, a check digit stays right or wrong, a private address private, a
-given name keeps gender and script. Surrogates are checked over the whole corpus: two entities never share one and none equals an
+given name keeps gender and script. Where a format is too crowded for that (MAX_TURNS draws clash), private addresses move to 10.0.0.0/8 and e-mail addresses
+grow by letters. Surrogates are checked over the whole corpus: two entities never share one and none equals an
 entity that occurs; who loses such a clash derives another, until there is none (distinctness).
 
 Defined results: null texts stay null; texts without entities are unchanged; repeated rows change alike; null ids are ids like any other; an empty
@@ -51,7 +52,8 @@ ENTITY = re.compile(
 #: A text in which this finds nothing has no entity.
 MAYBE = rf"[0-9@]|\b(?:{_title})\.? |\b(?:{_given}) "
 KINDS = ("email", "secret", "iban", "ip", "account", "phone")
-MAX_TURNS = 30
+#: Draws within an entity's own format, and then within a wider one.
+MAX_TURNS, WIDE_TURNS = 30, 60
 
 
 def name_kind(word: str, gender: str) -> tuple[str, str]:
@@ -120,18 +122,18 @@ def redrawn(text: str, stream: Stream, keep: int = 0) -> str:
     return "".join(out)
 
 
-def surrogate(kind: str, form: str, turn: int, key: bytes) -> str:
-    """The turn'th candidate for an entity, in canonical form."""
-    stream = Stream(key, kind, form, str(turn))
+def surrogate(kind: str, form: str, turn: int, key: bytes, own: int = MAX_TURNS) -> str:
+    """The turn'th candidate for an entity, in canonical form; from turn own on in a wider format."""
+    stream, wide = Stream(key, kind, form, str(turn)), max(0, turn - own + 1)
     if kind == "email":
         local, _, domain = form.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{redrawn(local, stream)}@{redrawn(host, stream)}.{top}"
+        return f"{redrawn(local + 'x' * wide, stream)}@{redrawn(host, stream)}.{top}"
     if kind == "secret":
         return "".join("0123456789abcdef"[stream.below(16)] for _ in form)
     if kind == "ip":
         a, b, *_ = map(int, form.split("."))
-        if a == 10:
+        if a == 10 or (wide and ((a, b) == (192, 168) or (a == 172 and 16 <= b < 32))):
             head = [10, stream.below(256)]
         elif (a, b) == (192, 168):
             head = [192, 168]
@@ -187,20 +189,20 @@ def occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("_id", "_row", F.col(text_col)).mapInArrow(run, "_id string, _row long, kind string, form string").distinct()
 
 
-def surrogate_table(found: DataFrame, key: bytes) -> DataFrame:
+def surrogate_table(found: DataFrame, key: bytes, own: int = MAX_TURNS) -> DataFrame:
     """kind, form, new, n: the surrogate of each entity of found (kind, form), and in how many rows it occurs. Clashes are settled in turns; each turn looks at all entities."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, forms, turns = (c.to_pylist() for c in batch.columns[:3])
-            new = [surrogate(*x, key) for x in zip(kinds, forms, turns, strict=True)]
+            new = [surrogate(*x, key, own) for x in zip(kinds, forms, turns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*batch.schema.names, "new"])
 
     known = materialize(found.groupBy("kind", "form").agg(F.count("*").alias("n")), "entities")
     real = known.select(F.split("kind", ":")[0].alias("sort"), F.col("form").alias("new")).distinct()
     schema = "kind string, form string, turn int, n long, new string"
     todo, settled = known.select("kind", "form", F.lit(0).alias("turn"), "n"), None
-    for _ in range(MAX_TURNS):
+    for _ in range(own + WIDE_TURNS):
         offered = todo.mapInArrow(propose, schema).withColumn("sort", F.split("kind", ":")[0])
         # given names are exchanged one to one within a list, so they may equal another's
         taken = offered.join(real, ["sort", "new"], "left_semi").filter("sort <> 'given'").select("kind", "form").withColumn("clash", F.lit(True))

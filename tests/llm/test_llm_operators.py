@@ -420,6 +420,19 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.new for r in out if r.kind == "email"} & set(forms)
 
 
+def test_crowded_formats_are_settled(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [("email", f"{a}@{b}.org") for a in letters for b in letters][:600]  # of 676
+    private = [("ip", f"192.168.{i // 254}.{1 + i % 254}") for i in range(40_000)]  # of 65,024
+    found = spark.createDataFrame([*mails, *private, ("email", "_@-.org")], "kind string, form string")
+    out = pii.surrogate_table(found, b"k", own=2).collect()
+    assert len({(r.kind, r.form) for r in out}) == len(out) == 40_601
+    new = {(r.kind, r.new) for r in out}
+    assert len(new) == len(out) and not new & {(r.kind, r.form) for r in out}
+    for r in out:
+        assert r.new.startswith(("192.168.", "10.")) if r.kind == "ip" else r.new.endswith(".org")
+
+
 def test_no_personal_data_is_left(spark):
     before = [r.text for r in documents(spark).collect()]
     entities = {e[3] for t in before for e in pii.entities(t)}
