@@ -4,15 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context. Where neither is set, a temporary one on a single machine; on a cluster that is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlpit-"))
+    return context.getCheckpointDir().get().rstrip("/")
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder (spark.checkpoint.dir; one of our own only where none is set)."""
+    """df, computed once and kept in the shared folder."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlpit-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

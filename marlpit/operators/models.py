@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -31,6 +32,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlpit.functions.lineage import shared_folder
 from marlpit.functions.semantics import portable_hash
 from marlpit.operators.transforms import assert_unique_key, hash_sample
 
@@ -85,10 +87,20 @@ class Fitted:
     classes: tuple[str, ...] = ()
 
 
+def without_summary(model: PipelineModel, df: DataFrame) -> PipelineModel:
+    """The model as it comes back from a saved file: without the summary of its training, which holds the session and the training rows and would go to every task that scores."""
+    learner = model.stages[-1]
+    if not getattr(learner, "hasSummary", False):
+        return model
+    path = f"{shared_folder(df.sparkSession)}/model-{uuid.uuid4().hex[:12]}"
+    learner.save(path)
+    return PipelineModel([*model.stages[:-1], type(learner).load(path)])
+
+
 def fit(df: DataFrame, spec: Spec) -> Fitted:
     rows = labelled(df, spec).select(*spec.features, "_target" if spec.task == "classification" else LABEL).persist()  # read once for each iteration
     try:
-        model = pipeline(spec).fit(rows)
+        model = without_summary(pipeline(spec).fit(rows), rows)
     finally:
         rows.unpersist()
     return Fitted(spec, model, tuple(model.stages[1].labels) if spec.task == "classification" else ())
@@ -164,12 +176,15 @@ def search(df: DataFrame, spec: Spec, space: Mapping[str, Sequence[Any]], folds:
         tuner = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=judge, numFolds=k, foldCol=folds, parallelism=2)
     else:
         tuner = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, seed=seed, parallelism=2)
-    found = tuner.fit(rows)
-    rows.unpersist()
+    try:
+        found = tuner.fit(rows)
+        best = without_summary(found.bestModel, rows)
+    finally:
+        rows.unpersist()
     scores = found.validationMetrics if folds is None else found.avgMetrics
     shown = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(s)) for m, s in zip(maps, scores, strict=True)]
-    classes_of = tuple(found.bestModel.stages[1].labels) if spec.task == "classification" else ()
-    return Fitted(spec, found.bestModel, classes_of), df.sparkSession.createDataFrame(shown, "params string, score double")
+    classes_of = tuple(best.stages[1].labels) if spec.task == "classification" else ()
+    return Fitted(spec, best, classes_of), df.sparkSession.createDataFrame(shown, "params string, score double")
 
 
 def compare(train: DataFrame, holdout: DataFrame, specs: Sequence[Spec]) -> tuple[Fitted, DataFrame]:

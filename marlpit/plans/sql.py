@@ -40,7 +40,6 @@ def query(df: DataFrame, text: str, limit: int = 1000) -> tuple[DataFrame, int]:
     names = [c.lower() for c in out.columns]
     if len(set(names)) < len(names):
         raise ValueError("repeated column names in the result")
-    out = out.persist()
     return out.limit(limit), out.count()
 
 

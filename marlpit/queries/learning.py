@@ -7,6 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlpit.functions.lineage import pinned
 from marlpit.functions.semantics import portable_hash
 from marlpit.operators import evaluation as ev
 from marlpit.operators import models as mo
@@ -187,7 +188,7 @@ def learnable(spark: SparkSession, d: str) -> DataFrame:
 
 def _trained(spark: SparkSession, d: str, task: str, algorithm: str, params: dict | None = None) -> DataFrame:
     spec = mo.Spec(task, "label" if task == "classification" else "l_extendedprice", _NUMERIC if task == "classification" else _BIG, algorithm, params or {})
-    df = sp.random_split(learnable(spark, d), "row_id").persist()
+    df = pinned(sp.random_split(learnable(spark, d), "row_id"))
     fitted = mo.fit(df.filter("split_role = 'training'"), spec)
     scored = mo.score(df.filter("split_role = 'test'"), fitted, "row_id", [spec.target])
     return ev.classification_summary(scored, "label", "prediction") if task == "classification" else ev.regression_summary(scored, "l_extendedprice", "prediction")
@@ -250,29 +251,29 @@ def m8_mlp(spark: SparkSession, d: str) -> DataFrame:
 
 @register(None)
 def m9_search(spark: SparkSession, d: str) -> DataFrame:
-    df = sp.folds(learnable(spark, d), "row_id", 3)
+    df = pinned(sp.folds(learnable(spark, d), "row_id", 3))
     spec = mo.Spec("classification", "label", _NUMERIC, "logistic", {"maxIter": 10})
     return mo.search(df, spec, {"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 1.0]}, folds=sp.FOLD, n=3)[1]
 
 
 @register(None)
 def m10_compare(spark: SparkSession, d: str) -> DataFrame:
-    df = sp.random_split(learnable(spark, d), "row_id").persist()
+    df = pinned(sp.random_split(learnable(spark, d), "row_id"))
     specs = [mo.Spec("classification", "label", _NUMERIC, a, p) for a, p in (("logistic", {"maxIter": 10}), ("decision_tree", {"maxDepth": 4}))]
     return mo.compare(df.filter("split_role = 'training'"), df.filter("split_role = 'validation'"), specs)[1]
 
 
 @register(None)
 def m13_batch_scoring(spark: SparkSession, d: str) -> DataFrame:
-    df = learnable(spark, d)
+    df = pinned(learnable(spark, d))
     return mo.score(df, mo.fit(df, mo.Spec("classification", "label", _NUMERIC, "logistic", {"maxIter": 10})), "row_id", ["label"])
 
 
 @register(None)
 def m15_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    df = learnable(spark, d).persist()
+    df = pinned(learnable(spark, d))
     fitted = mo.fit(df, mo.Spec("classification", "label", ("l_quantity", "age", "l_tax"), "decision_tree", {"maxDepth": 4}))
-    return mo.permutation_importance(df, fitted, "row_id", repeats=1)
+    return mo.permutation_importance(df, fitted, "row_id", sample=None, repeats=3)
 
 
 @register(None)

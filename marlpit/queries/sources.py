@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlpit.functions.lineage import shared_folder
 from marlpit.operators import contracts
 from marlpit.queries.registry import collector, read
 from marlpit.sources import tables
@@ -16,9 +16,8 @@ QUERIES, ORACLE_SQL, register = collector()
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the one that executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlpit-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
+    """A new folder under the one that executors share."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex[:12]}"
 
 
 @register("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")

@@ -7,7 +7,7 @@ import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
@@ -95,21 +95,22 @@ def flat_schema_check(df: DataFrame) -> None:
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> tuple[int, StructType]:
-    """(rows, schema) of what was written. The rows are counted while they are written; a failed write leaves the old files, as the new ones are put in place by a rename."""
+    """(rows, schema) of what was written. The rows are those that the new files' footers name; a failed write leaves the old files, as the new ones are put in place by a rename."""
     spark = df.sparkSession
-    seen = Observation(f"written-{uuid.uuid4().hex[:8]}")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     staged, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
     of = spark._jvm.org.apache.hadoop.fs.Path
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", compression).parquet(staged)
+    # no observe() here: once a session has observed, models that keep a training summary can't be sent to tasks any more
+    df.write.option("compression", compression).parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged).count()
     there = fs.exists(where)
     if there:
         fs.rename(where, of(old))
     fs.rename(of(staged), where)
     if there:
         fs.delete(of(old), True)
-    return seen.get["n"], df.schema
+    return rows, df.schema
 
 
 def materialize_view(spark: SparkSession, root: str, definition: Mapping, build: Callable[[], DataFrame], newer_than: int = 0) -> DataFrame:
