@@ -10,20 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.llm import decontam, line_dedup, mixing, quality, simhash
-from marlpit.llm.common import materialize, table
-from marlpit.shipping import ship_package
+from marlpit.llm.common import free_prefix, materialize, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    ship_package(spark)
-    return quality.quality_verdicts(docs).filter("_kept").select(*docs.columns)
+    prefix = free_prefix(docs)
+    return quality.quality_verdicts(docs, prefix=prefix).filter(f"{prefix}kept").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that a document with a smaller id has; n_chars, where there is one, follows."""
-    ship_package(spark)
-    out = line_dedup.line_dedup(docs).withColumn("text", F.col("_kept_text"))
+    prefix = free_prefix(docs)
+    out = line_dedup.line_dedup(docs, prefix=prefix).withColumn("text", F.col(f"{prefix}kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -31,7 +30,6 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    ship_package(spark)
     return simhash.first_of_groups(docs, simhash.near_duplicates(docs))
 
 
@@ -41,12 +39,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with size, source_size, target and taken: how many words of each document the mix takes, passes counted; 0 leaves it out of the mix."""
-    ship_package(spark)
-    _, pieces = mixing.mix_sources(docs)
-    taken = mixing.mixed_documents(pieces).groupBy(F.col("doc_id").alias("_doc"))
-    taken = taken.agg(F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    """docs with size, source_size, target and taken: how many words of each row the mix takes, passes counted; 0 leaves it out of the mix. Rows that share an id, or have none,
+    each get their own. Where docs has a column of such a name, the new one has an underscore in front."""
+    return mixing.with_mix(docs)
 
 
 STAGES = [

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlpit.llm.common import map_arrow
+
 ROLES = ("system", "user", "assistant")
 #: Words that mark a speaker, fixed values by role.
 SPEAKERS = {
@@ -101,7 +103,7 @@ def fit_hmm(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rows = [(*k, n) for k, n in counts.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["kind", "a", "b", "n"])
 
-    found = chunked(lines).select("lines").mapInArrow(run, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+    found = map_arrow(chunked(lines).select("lines"), run, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
     start, move, show = np.full(STATES, 0.1), np.full((STATES, STATES), 0.1), np.full((STATES, SYMBOLS), 0.05)
     for kind, a, b, n in found:
         if kind == 1:
@@ -179,9 +181,9 @@ def parse_transcripts(lines: DataFrame, model: tuple[np.ndarray, np.ndarray, np.
                 first.append(score.tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(best, pa.list_(pa.float64())), pa.array(first, pa.list_(pa.float64()))], ["conv_id", "chunk", "best", "begun"])
 
-    steps = groups.mapInArrow(begun, "conv_id long, chunk long, best array<double>, begun array<double>")
+    steps = map_arrow(groups, begun, "conv_id long, chunk long, best array<double>, begun array<double>")
     walked = steps.groupBy("conv_id").agg(F.collect_list(F.struct("chunk", "best", "begun")).alias("chunks"))
-    bounds = walked.mapInArrow(ends, "conv_id long, chunk long, entry long, exit long")
+    bounds = map_arrow(walked, ends, "conv_id long, chunk long, entry long, exit long")
     bounds = bounds.select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"), "entry", "exit")
     joined = groups.join(bounds, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk"))).select("conv_id", "chunk", "lines", "entry", "exit")
     schema = joined.select("conv_id", "chunk", "lines", F.array(F.lit(0)).alias("states")).schema
@@ -195,7 +197,7 @@ def parse_transcripts(lines: DataFrame, model: tuple[np.ndarray, np.ndarray, np.
                 out.append(viterbi(symbols, start if entry < 0 else move[entry], move, show, last))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int32()))], ["conv_id", "chunk", "lines", "states"])
 
-    return joined.mapInArrow(decode, schema)
+    return map_arrow(joined, decode, schema)
 
 
 def canonical_turns(parsed: DataFrame) -> DataFrame:
@@ -214,4 +216,4 @@ def canonical_turns(parsed: DataFrame) -> DataFrame:
                 n_turns.append(len(own)), roles.append(own), rendered.append("\n".join(out) + "\n<|end|>")
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n_turns, pa.int64()), pa.array(roles, pa.list_(pa.string())), pa.array(rendered, pa.string())], ["conv_id", "chunk", "n_turns", "roles", "rendered"])
 
-    return parsed.mapInArrow(run, "conv_id long, chunk long, n_turns long, roles array<string>, rendered string")
+    return map_arrow(parsed, run, "conv_id long, chunk long, n_turns long, roles array<string>, rendered string")

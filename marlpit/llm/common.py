@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlpit.functions.lineage import shared_folder
 from marlpit.shipping import ship_package
 
 #: Words are maximal runs of anything but space and U+0009..U+000D.
@@ -23,19 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    scala = spark.sparkContext._jsc.sc()
-    if scala.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlpit-"))
-    return scala.getCheckpointDir().get().rstrip("/")
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with a function of this package, which the executors get first."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marlpit-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/marlpit-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -49,6 +44,25 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores in front as it takes to differ from every column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def free_prefix(df: DataFrame) -> str:
+    """As many underscores as no column of df begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of Hadoop, which also reaches stores that only Spark can open."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,7 +71,7 @@ def hadoop_path(spark: SparkSession, path: str):
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this application; call when its results have been read."""
-    fs, where = hadoop_path(spark, f"{shared_dir(spark)}/marlpit-{spark.sparkContext.applicationId}")
+    fs, where = hadoop_path(spark, f"{shared_folder(spark)}/marlpit-{spark.sparkContext.applicationId}")
     fs.delete(where, True)
 
 

@@ -6,9 +6,10 @@ items' fingerprints by eight blocks: items within ``radius`` differ by radius //
 is missed. What is found within the radius is verified by the exact similarity of shingles weighted by how often they occur: the sum of the smaller
 counts over the sum of the larger.
 
-Words are lower-cased runs without blanks and punctuation. Defined results: items of fewer words than a shingle match
-nothing; a document shorter than an item is compared as a whole; null and empty texts match nothing; null ids are ids
-like any other; repeated rows each match; empty tables give empty results; other columns are kept or not read.
+Words are lower-cased runs without blanks and punctuation. Defined results: an item of fewer words than a shingle has one
+shingle, its whole word sequence, and matches where that occurs; a document shorter than an item is compared as a whole; null
+and empty texts and items match nothing; null ids are ids like any other; repeated rows each match; empty tables give empty
+results; other columns are kept or not read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marlpit.llm.common import free_names, map_arrow
 from marlpit.llm.simhash import BITS, majority
 from marlpit.llm.substring import BASES, rolling
 
@@ -43,9 +45,9 @@ def normal_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(MARKS).split()
 
 
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype="<u8")
-    return rolling(h, SHINGLE, BASES[0])
+    return rolling(h, size, BASES[0])
 
 
 def window_prints(h: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
@@ -71,6 +73,7 @@ class ItemIndex:
     holders: np.ndarray
     prints: np.ndarray
     blocks: np.ndarray  # [block, byte]: packed flags of the items within radius // BLOCKS bits
+    short: dict[int, dict[int, list[int | None]]]  # of fewer words than a shingle: number of words -> hash of the word sequence -> ids
 
     def near(self, print_: np.uint64, radius: int) -> np.ndarray:
         """Numbers of the items within radius bits."""
@@ -81,17 +84,23 @@ class ItemIndex:
 
 
 def build_index(items: list[tuple[int | None, str | None]], radius: int = RADIUS) -> ItemIndex | None:
-    hashed = [(i, shingle_hashes(normal_words(t or ""))) for i, t in items]
-    hashed = [(i, h) for i, h in hashed if len(h)]
-    if not hashed:
+    hashed: list[tuple[int | None, np.ndarray]] = []
+    short: dict[int, dict[int, list[int | None]]] = {}
+    for i, t in items:
+        words = normal_words(t or "")
+        if len(words) >= SHINGLE:
+            hashed.append((i, shingle_hashes(words)))
+        elif words:
+            short.setdefault(len(words), {}).setdefault(int(shingle_hashes(words, len(words))[0]), []).append(i)
+    if not hashed and not short:
         return None
-    pairs = np.unique(np.concatenate([np.stack([h, np.full(len(h), n, dtype=np.uint64)], axis=1) for n, (_, h) in enumerate(hashed)]), axis=0)
+    pairs = np.unique(np.concatenate([np.empty((0, 2), dtype=np.uint64), *(np.stack([h, np.full(len(h), n, dtype=np.uint64)], axis=1) for n, (_, h) in enumerate(hashed))]), axis=0)
     shingles, first = np.unique(pairs[:, 0], return_index=True)
     prints = np.array([majority(h) for _, h in hashed], dtype=np.uint64)
     own = prints.astype(">u8").view(np.uint8).reshape(-1, BLOCKS)
     flips = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
     blocks = np.stack([np.packbits(flips[:, own[:, b]] <= radius // BLOCKS, axis=1) for b in range(BLOCKS)])
-    return ItemIndex([i for i, _ in hashed], [Counter(h.tolist()) for _, h in hashed], np.array([len(h) for _, h in hashed]), shingles, np.r_[first, len(pairs)], pairs[:, 1].astype(np.int64), prints, blocks)
+    return ItemIndex([i for i, _ in hashed], [Counter(h.tolist()) for _, h in hashed], np.array([len(h) for _, h in hashed]), shingles, np.r_[first, len(pairs)], pairs[:, 1].astype(np.int64), prints, blocks, short)
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -99,16 +108,28 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
+def short_matches(words: list[bytes], index: ItemIndex) -> list[dict]:
+    """The first place of each item of fewer words than a shingle whose word sequence occurs."""
+    out = []
+    for size, items in sorted(index.short.items()):
+        h = shingle_hashes(words, size)
+        found, first = np.unique(h, return_index=True)
+        for x, start in zip(found.tolist(), first.tolist(), strict=True):
+            out += [{"item_id": i, "start": start, "n_words": size, "similarity": 1.0} for i in items.get(x, ())]
+    return out
+
+
 def matches(text: str, index: ItemIndex, radius: int, similarity: float) -> list[dict]:
     """For each item found in the text its best window."""
     words = normal_words(text)
-    if len(words) < SHINGLE:
-        return []
+    out = short_matches(words, index)
+    if len(words) < SHINGLE or not len(index.shingles):
+        return out
     h = shingle_hashes(words)
     at = np.minimum(np.searchsorted(index.shingles, h), len(index.shingles) - 1)
     met = np.flatnonzero(index.shingles[at] == h)
     if not len(met):
-        return []
+        return out
     starts: dict[int, set[int]] = {}
     for p in met.tolist():
         for item in index.holders[index.first[at[p]] : index.first[at[p] + 1]].tolist():
@@ -128,34 +149,35 @@ def matches(text: str, index: ItemIndex, radius: int, similarity: float) -> list
                     s = weighted_similarity(window, index.counts[item])
                     if s >= similarity and (item not in best or s > best[item]["similarity"]):
                         best[item] = {"item_id": index.ids[item], "start": start, "n_words": size + SHINGLE - 1, "similarity": s}
-    return [best[k] for k in sorted(best)]
+    return out + [best[k] for k in sorted(best)]
 
 
 HITS = "array<struct<item_id: bigint, start: int, n_words: int, similarity: double>>"
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
-    """docs, every column kept, plus _hits: the benchmark items (item_id, text) that each text holds."""
+def with_hits(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, per_pass: int = ITEMS_PER_PASS, name: str = "_hits"
+) -> DataFrame:
+    """docs, every column kept, plus the benchmark items (item_id, text) that each text holds, in a column of that name (which docs must not have)."""
     spark = docs.sparkSession
     n_items = benchmark.count()
     passes = max(1, -(-n_items // per_pass))
     keyed = benchmark.select(F.col("item_id").cast("long"), "text")
-    out = docs.withColumn("_hits", F.array().cast(HITS))
+    out = docs.withColumn(name, F.array().cast(HITS))
+    schema = StructType([*docs.schema.fields, out.schema[name]])
     for turn in range(passes):
         # a stated query set in blocks: together the passes hold every item
         items = keyed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn) if passes > 1 else keyed
         shared = spark.sparkContext.broadcast(build_index([tuple(r) for r in items.collect()], radius))
-        schema = StructType([*docs.schema.fields, out.schema["_hits"]])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                old, where = batch.column(batch.schema.get_field_index("_hits")), batch.schema.get_field_index(text_col)
+                old, where = batch.columns[-1], batch.schema.get_field_index(text_col)
                 found = [before + (matches(t.as_py(), index, radius, similarity) if index and t.is_valid else []) for before, t in zip(old.to_pylist(), batch.column(where), strict=True)]
-                columns = [c if n != "_hits" else pa.array(found, old.type) for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, old.type)], batch.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = map_arrow(out, run, schema)
     return out
 
 
@@ -167,4 +189,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no item."""
-    return with_hits(docs, benchmark, **options).filter(F.size("_hits") == 0).drop("_hits")
+    (name,) = free_names(docs, "_hits")
+    return with_hits(docs, benchmark, name=name, **options).filter(F.size(name) == 0).drop(name)

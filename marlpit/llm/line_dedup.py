@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlpit.llm.common import ROWS_PER_FILE, heavy_safe_join, materialize
+from marlpit.llm.common import ROWS_PER_FILE, free_names, heavy_safe_join, map_arrow, materialize
 from marlpit.llm.cuckoo import CuckooFilter, CuckooFull, filter_of
 
 MIN_CHARS = 10
@@ -51,7 +51,7 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return cut.filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, key binary")
+    return map_arrow(cut.filter("doc_id IS NOT NULL"), run, "doc_id long, key binary")
 
 
 def as_words(keys: pa.Array) -> np.ndarray:
@@ -93,7 +93,7 @@ class LineIndex:
                 columns = [keys, pa.array(np.full(len(keys), shard, dtype=np.int32)), rows.field("n"), rows.field("min_doc"), pa.array(maybe)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "shard", "n", "min_doc", "maybe"])
 
-        asked = grouped.mapInArrow(probe, "key binary, shard int, n long, min_doc long, maybe boolean")
+        asked = map_arrow(grouped, probe, "key binary, shard int, n long, min_doc long, maybe boolean")
         asked = materialize(asked, "asked", self.rows)
         known = asked.filter("maybe").select("key", F.col("n").alias("more"), F.col("min_doc").alias("other"))
         merged = self.refs.join(known, "key", "left").select("key", "shard", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.least("min_doc", "other").alias("min_doc"))
@@ -134,11 +134,11 @@ class LineIndex:
         def grouped(rows: DataFrame) -> DataFrame:
             return rows.groupBy("shard").agg(F.collect_list(F.struct("key")).alias("rows"))
 
-        made = materialize(grouped(changed).join(self.filters, "shard", "full").select("shard", "rows", "cells").mapInArrow(one, "shard int, cells binary"), "filters", self.shards * (ROWS_PER_FILE // 8))
+        made = materialize(map_arrow(grouped(changed).join(self.filters, "shard", "full").select("shard", "rows", "cells"), one, "shard int, cells binary"), "filters", self.shards * (ROWS_PER_FILE // 8))
         full = made.filter("cells IS NULL").select("shard")
         if full.isEmpty():
             return made
-        again = grouped(refs.join(full, "shard", "left_semi")).withColumn("cells", F.lit(None).cast("binary")).mapInArrow(one, "shard int, cells binary")
+        again = map_arrow(grouped(refs.join(full, "shard", "left_semi")).withColumn("cells", F.lit(None).cast("binary")), one, "shard int, cells binary")
         return materialize(made.filter("cells IS NOT NULL").unionByName(again), "filters", self.shards * (ROWS_PER_FILE // 8))
 
     def drops(self) -> DataFrame:
@@ -158,31 +158,32 @@ def index_lines(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_
     return index
 
 
-def without_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, every column kept, plus _n_lines, _n_dropped and _kept_text: the text without the lines whose keys drops has for its id."""
-    drops = drops.select(F.col("doc_id").alias("_doc"), F.col("keys").alias("_keys"))
-    joined = docs.join(drops, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
-    schema = StructType(list(docs.schema.fields)).add("_n_lines", "long").add("_n_dropped", "long").add("_kept_text", "string")
+def without_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "_") -> DataFrame:
+    """docs, every column kept, plus n_lines, n_dropped and kept_text (the text without the lines whose keys drops has for its id), their names after the prefix; columns of docs with such a name are replaced."""
+    added = [f"{prefix}{c}" for c in ("n_lines", "n_dropped", "kept_text")]
+    docs = docs.drop(*added)
+    doc, keys = free_names(docs, "_doc", "_keys")
+    drops = drops.select(F.col("doc_id").alias(doc), F.col("keys").alias(keys))
+    joined = docs.join(drops, F.col(id_col).cast("long") == F.col(doc), "left").drop(doc)
+    schema = StructType(list(docs.schema.fields)).add(added[0], "long").add(added[1], "long").add(added[2], "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, dropped = batch.column(batch.schema.get_field_index(text_col)), batch.column(batch.schema.get_field_index("_keys"))
             n_lines, n_dropped, kept = [], [], []
-            for text, keys in zip(texts, dropped, strict=True):
-                lines, gone = (text.as_py() or "").split("\n"), set(keys.as_py() or ())
+            for text, gone in zip(batch.column(batch.schema.get_field_index(text_col)), batch.columns[-1], strict=True):
+                lines, gone = (text.as_py() or "").split("\n"), set(gone.as_py() or ())
                 stay = [x for x in lines if line_key(x.encode()) not in gone] if gone else lines
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
                 kept.append("\n".join(stay))
-            out = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_keys"]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], [x for x in batch.schema.names if x != "_keys"] + ["_n_lines", "_n_dropped", "_kept_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], [*batch.schema.names[:-1], *added])
 
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
 
 
-def line_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """docs, every column kept, plus _n_lines, _n_dropped, _kept_text."""
-    return without_lines(docs, index_lines(docs, batches).drops())
+def line_dedup(docs: DataFrame, batches: int = 2, prefix: str = "_") -> DataFrame:
+    """docs, every column kept, plus n_lines, n_dropped and kept_text, their names after the prefix."""
+    return without_lines(docs, index_lines(docs, batches).drops(), prefix=prefix)
 
 
 def digest(text: str) -> str:

@@ -6,7 +6,8 @@ cumulative source weights that holds it names the slot's source, and the slot's
 Everything is DataFrame operations.
 
 Defined results: null text has size 0; null sources form one source, last in order; repeated rows are rows of their
-own; an empty table gives an empty mix; columns of the input beside id, text and source are not read.
+own, and so are rows that share an id or have none; an empty table gives an empty mix; columns of the input beside id, text and
+source are not read by ``mix_sources`` and are kept by ``with_mix``.
 """
 
 from __future__ import annotations
@@ -16,20 +17,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import materialize, word_count
+from marlpit.llm.common import free_names, materialize, word_count
 
 GOLDEN = 0.6180339887498949
 #: Slots ranked together; bounds every window of the ranking.
 CHUNK = 1 << 16
 #: Documents expected in one bucket of a source's shuffled order.
-BUCKET_DOCS = 4_000
+BUCKET_DOCS = 1_000
 #: Up to so many sources (one row each) are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
 
-def shuffled_position(doc_id: Column, seed: int) -> Column:
-    """A keyed 60-bit place, the same in any engine that has md5."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def shuffled_position(doc_id: Column, text: Column, seed: int) -> Column:
+    """A keyed 60-bit place of an id and its text (many rows may share an id, or have none), the same in any engine that has md5."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
@@ -94,11 +95,14 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(schedule, pieces). pieces: for each document (sidx, bucket, nth identify its row) and each slot that takes a part of it:
-    id, source, size, source_size, target, slot, block, start and words within the document; a document that no slot takes has one row of 0 words."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sizes = materialize(cut.withColumn("pos", shuffled_position(F.col("doc_id"), seed)), "sizes")
+    """(schedule, pieces). pieces: for each document (sidx, bucket, nth identify its row; row_col, a unique number of docs' rows, is carried along as ``row`` if it is named)
+    and each slot that takes a part of it: id, source, size, source_size, target, slot, block, start and words within the document; a document that no slot takes has one row of 0 words."""
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    place = shuffled_position(F.col(id_col), F.col(text_col), seed)
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), place.alias("pos"), row.alias("row"))
+    sizes = materialize(cut, "sizes")
     n_docs = sizes.count()
     sources = materialize(source_targets(sizes, weights, share, max_passes), "sources", 1)
     n_sources = sources.count()
@@ -110,7 +114,7 @@ def mix_sources(
     sums = here.groupBy("sidx", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sidx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sidx", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("sidx", "bucket").orderBy("pos", "doc_id", "size")
+    inside = Window.partitionBy("sidx", "bucket").orderBy("pos", "doc_id", "size", "row")
     laid = here.withColumn("nth", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.join(sums, ["sidx", "bucket"]).withColumn("at", F.col("before") + F.col("upto") - F.col("size"))
     words = F.round("target").cast("long")
@@ -122,24 +126,33 @@ def mix_sources(
     begin = F.greatest("from", F.col("block") * block_words)
     end = F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block_words, words)
     pieces = joined.select(
-        "sidx", "bucket", "nth", "doc_id", "source", "size", "source_size", "target", "slot", "block", (begin - F.col("from")).alias("start"),
+        "sidx", "bucket", "nth", "row", "doc_id", "source", "size", "source_size", "target", "slot", "block", (begin - F.col("from")).alias("start"),
         F.when(F.col("slot").isNotNull(), end - begin).otherwise(F.lit(0)).cast("long").alias("words"),
     )
     return schedule, pieces
 
 
 def mixed_documents(pieces: DataFrame) -> DataFrame:
-    """What the mix takes of each document: doc_id, source, size, source_size, target, taken."""
+    """What the mix takes of each document: row, doc_id, source, size, source_size, target, taken."""
     rows = pieces.groupBy("sidx", "bucket", "nth").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")], F.sum("words").alias("taken")
+        *[F.first(c).alias(c) for c in ("row", "doc_id", "source", "size", "source_size", "target")], F.sum("words").alias("taken")
     )
     return rows.drop("sidx", "bucket", "nth")
 
 
+def with_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs, every row and column kept, plus size, source_size, target and taken of the row itself (with underscores in front where docs has such a name). options: of mix_sources."""
+    row, *names = free_names(docs, "row", "size", "source_size", "target", "taken")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    taken = mixed_documents(mix_sources(keyed, row_col=row, **options)[1])
+    taken = taken.select(F.col("row").alias(row), *[F.col(c).alias(n) for c, n in zip(("size", "source_size", "target", "taken"), names, strict=True)])
+    return keyed.join(taken, row).drop(row)
+
+
 MIX_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('17:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS pos
+         CAST('0x' || substr(md5('17:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || md5(COALESCE(text, ''))), 1, 15) AS BIGINT) AS pos
   FROM documents),
 s0 AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS sidx FROM s0),

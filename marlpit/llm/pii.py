@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlpit.llm.common import heavy_safe_join, materialize
+from marlpit.llm.common import heavy_safe_join, map_arrow, materialize
 
 #: Given names by script and gender, fixed values.
 GIVEN = {
@@ -186,7 +186,7 @@ def occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
             rows = [(i, r, *e) for i, r, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in {x[2:] for x in entities(t)}]
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["_id", "_row", "kind", "form"])
 
-    return docs.select("_id", "_row", F.col(text_col)).mapInArrow(run, "_id string, _row long, kind string, form string").distinct()
+    return map_arrow(docs.select("_id", "_row", F.col(text_col)), run, "_id string, _row long, kind string, form string").distinct()
 
 
 def surrogate_table(found: DataFrame, key: bytes, own: int = MAX_TURNS) -> DataFrame:
@@ -203,7 +203,7 @@ def surrogate_table(found: DataFrame, key: bytes, own: int = MAX_TURNS) -> DataF
     schema = "kind string, form string, turn int, n long, new string"
     todo, settled = known.select("kind", "form", F.lit(0).alias("turn"), "n"), None
     for _ in range(own + WIDE_TURNS):
-        offered = todo.mapInArrow(propose, schema).withColumn("sort", F.split("kind", ":")[0])
+        offered = map_arrow(todo, propose, schema).withColumn("sort", F.split("kind", ":")[0])
         # given names are exchanged one to one within a list, so they may equal another's
         taken = offered.join(real, ["sort", "new"], "left_semi").filter("sort <> 'given'").select("kind", "form").withColumn("clash", F.lit(True))
         if settled is not None:
@@ -247,5 +247,5 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
             columns = [pa.array(texts, batch.schema.types[where]) if i == where else c for i, c in enumerate(batch.columns) if i != last]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [n for n in batch.schema.names if n != "_new"] + ["_n_replaced"])
 
-    changed = joined.mapInArrow(run, schema)
+    changed = map_arrow(joined, run, schema)
     return changed.unionByName(docs.filter(~maybe).withColumn("_n_replaced", F.lit(0).cast("long")))

@@ -16,7 +16,7 @@ TOKENIZERS: dict[str, str | None] = {"byte_bpe_50k": "/opt/tokenizers/byte_bpe_5
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, pieces = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mixing.mixed_documents(pieces)
+    return mixing.mixed_documents(pieces).drop("row")
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: dict[str, str | None] = TOKENIZERS) -> DataFrame:
-    """Totals after three batches: all documents go in, the first batch is replayed (and changes nothing), later copies of a text are taken out."""
+    """Totals after four batches: all documents go in, the first batch is replayed (and changes nothing), texts with numbers are revised, later copies of a text are taken out."""
     docs = table(spark, sf_dir, "documents")
     ledger = token_counts.new_ledger(spark)
     for _ in range(2):
         ledger.commit("load", upserts=token_counts.token_rows(docs, tokenizers))
+    ledger.commit("masked", upserts=token_counts.token_rows(token_counts.masked(docs), tokenizers))
     ledger.commit("copies", deletes=token_counts.later_copies(docs))
     return ledger.totals()
 

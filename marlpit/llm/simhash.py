@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import heavy_safe_join, materialize
+from marlpit.llm.common import heavy_safe_join, map_arrow, materialize
 
 #: Fingerprints in a tile, on average.
 TILE = 4096
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "fp", "n_shingles"])
 
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return cut.mapInArrow(run, "doc_id long, fp binary, n_shingles long")
+    return map_arrow(cut, run, "doc_id long, fp binary, n_shingles long")
 
 
 def popcount_cells(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -170,7 +170,7 @@ def tiled_links(fps: DataFrame, steps: list[int], radius: int, tile: int = TILE,
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     # a few pairs of full tiles hold some hundred kB each; batches stay small because rows are dealt evenly
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs, run, "a binary, b binary")
 
 
 def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame:
@@ -212,7 +212,7 @@ def set_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 sizes.append(len(h))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), batch.column(2)], ["doc_id", "fp", "n_shingles", "text_hash"])
 
-    return hashed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary, n_shingles long, text_hash long")
+    return map_arrow(hashed_texts(docs, id_col, text_col), run, "doc_id long, fp binary, n_shingles long, text_hash long")
 
 
 def hashed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,7 +284,7 @@ def verified_links(docs: DataFrame, fps: DataFrame, families: DataFrame, similar
             found = pa.array([shingle_set(t.as_py(), STAGE_SHINGLE).tobytes() for t in batch.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], ["family", "meets", "fp", "shingles"])
 
-    found = texts.mapInArrow(sets, "family binary, meets array<struct<key:string,side:int>>, fp binary, shingles binary")
+    found = map_arrow(texts, sets, "family binary, meets array<struct<key:string,side:int>>, fp binary, shingles binary")
     rows = found.select("family", "fp", "shingles", F.explode("meets").alias("meet")).select("family", "meet.key", F.struct("meet.side", "fp", "shingles").alias("member"))
     rows = rows.groupBy("family", "key").agg(F.collect_list("member").alias("members")).select("key", "members")
 
@@ -305,7 +305,7 @@ def verified_links(docs: DataFrame, fps: DataFrame, families: DataFrame, similar
                     right.append(b[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return map_arrow(rows, run, "a binary, b binary")
 
 
 def near_duplicate_groups(prints: DataFrame, links_of) -> DataFrame:

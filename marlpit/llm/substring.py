@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import heavy_safe_join, materialize
+from marlpit.llm.common import heavy_safe_join, map_arrow, materialize
 
 LENGTH = 35
 ANCHOR = 16
@@ -98,7 +98,7 @@ def seed_anchors(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                     found.append(runs[np.unique(anchors(runs, length - anchor + 1))])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["anchor"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "anchor long")
+    return map_arrow(docs.select(F.col("text").cast("binary").alias("text")), run, "anchor long")
 
 
 def passes(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
             ored = np.bitwise_or.reduceat(bit, start) if len(start) else np.empty(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word[start]), pa.array(ored.view(np.int64))], ["word", "bits"])
 
-    words = seeds.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits"))
+    words = map_arrow(seeds, run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits"))
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     for batch in words.toArrow().to_batches():
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
@@ -158,7 +158,7 @@ def seeded_spans(docs: DataFrame, seeds, length: int, anchor: int) -> DataFrame:
             columns = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(cut[0].astype(np.int32)), pa.array(cut[1]), pa.array(cut[2].astype(np.int32)), pa.array(cut[3]), listed]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "anchor", "off", "span", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, start int, anchor long, off int, span long, hashes array<long>")
+    return map_arrow(docs, run, "doc_id long, row long, start int, anchor long, off int, span long, hashes array<long>")
 
 
 def passing(spans: DataFrame, filled) -> DataFrame:
@@ -169,7 +169,7 @@ def passing(spans: DataFrame, filled) -> DataFrame:
             anchor = batch.column(batch.schema.get_field_index("anchor")).to_numpy(zero_copy_only=False).view(np.uint64)
             yield batch.filter(pa.array(passes(filled.value, anchor)))
 
-    return spans.mapInArrow(run, spans.schema)
+    return map_arrow(spans, run, spans.schema)
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -229,4 +229,4 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_text", "repeats"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, repeats array<array<int>>")
+    return map_arrow(joined, run, "doc_id long, n_words long, n_removed long, kept_text string, repeats array<array<int>>")

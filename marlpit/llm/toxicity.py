@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlpit.llm.common import map_arrow
+
 DECAY, MAX_SPAN, MAX_LETTERS = 0.7, 6, 24
 #: Letters a to z are 1 to 26; other letters fall into five more classes.
 ALPHABET = 32
@@ -252,20 +254,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
             words, times = [[w for w, _ in f] for f in found], [[n for _, n in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], ["label", "words", "times"])
 
-    return texts.select("label", "text").mapInArrow(run, "label int, words array<string>, times array<int>")
+    return map_arrow(texts.select("label", "text"), run, "label int, words array<string>, times array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> ToxicityModel | None:
-    """docs: doc_id, text; labels: doc_id, toxic. Learns from rows that aren't held out."""
+    """docs: doc_id, text; labels: doc_id, toxic. Learns from rows that aren't held out. An id with both labels counts as toxic; of rows that share an id the one with the smallest text is
+    taken, so that what reaches the driver is the words of max_train texts of each class at most."""
     usable = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    usable = usable.dropDuplicates(["doc_id"])
+    usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
     share = usable.agg(F.avg("label")).first()[0]
     if share is None:
         return None
     by_hash = usable.withColumn("h", F.xxhash64("doc_id"))
     chosen = [by_hash.filter(F.col("label") == v).orderBy("h", "doc_id").limit(max_train) for v in (0, 1)]
     some = chosen[0].unionByName(chosen[1]).drop("h")
-    rows = word_counts(docs.select("doc_id", "text").join(some, "doc_id")).collect()
+    texts = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    rows = word_counts(texts).collect()
     rows.sort(key=lambda r: (r.label, r.words, r.times))
     return fit([Counter(dict(zip(r.words, r.times, strict=True))) for r in rows], np.array([r.label for r in rows]), share)
 
@@ -284,4 +288,4 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel | None, id_col: str =
                 scores.append(m.scores(describe(part)) if m else np.zeros(len(part)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores or [np.empty(0)]), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")

@@ -73,6 +73,20 @@ def test_schedule_is_low_discrepancy(spark):
         assert all(abs(part[s] - cut * w) < 6 for s, w in ((0, 0.7), (1, 0.2), (2, 0.1)))
 
 
+def test_mix_keeps_rows_apart(spark):
+    """Rows that share an id, rows without one, and columns named like the results."""
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e f g", "s"), (None, "x y", None), (None, "z", None), (None, None, None), (3, "p q r s t", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit(-1)).withColumn("row", F.lit("r"))
+    out = mixing.with_mix(docs, block_words=2)
+    assert out.columns == [*docs.columns, "_size", "source_size", "target", "taken"]
+    got = out.collect()
+    assert sorted(str((r.doc_id, r.text, r.source)) for r in got if r["size"] == -1) == sorted(map(str, rows))
+    for r in got:
+        assert r["_size"] == len((r.text or "").split()) and 0 <= r.taken <= 2 * r["_size"]
+        same = [x for x in got if x.source == r.source]
+        assert r.source_size == sum(x["_size"] for x in same) and abs(sum(x.taken for x in same) - r.target) <= 1
+
+
 # --- 2 SimHash ---------------------------------------------------------------------------------------------------
 
 
@@ -221,14 +235,33 @@ def test_contamination(spark):
     docs = [(1, f"some text before {item.upper()} and after"), (2, "clean words of no interest " * 30), (3, " ".join(words)), (4, "pre " + " ".join(changed) + " post"), (5, " ".join(words[:10]) + " but then it goes on differently for long"), (6, None), (7, "short one"), (None, item), (9, LONG + " " + item + " " + LONG)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = decontam.contamination(df, bench).collect()
-    assert sorted((str(r.doc_id), r.item_id) for r in found) == [("1", 1), ("3", 1), ("4", 1), ("9", 1), ("None", 1)]
+    assert sorted((str(r.doc_id), r.item_id) for r in found) == [("1", 1), ("3", 1), ("4", 1), ("7", 2), ("9", 1), ("None", 1)]
     assert {r.doc_id: r.start for r in found}[1] == 3
     blocks = decontam.contamination(df, bench, per_pass=1).collect()
     assert sorted(map(str, blocks)) == sorted(map(str, found))
-    assert sorted(str(r.doc_id) for r in decontam.decontaminated(df, bench).collect()) == ["2", "5", "6", "7"]
+    assert sorted(str(r.doc_id) for r in decontam.decontaminated(df, bench).collect()) == ["2", "5", "6"]
+    clashing = df.withColumn("_hits", F.lit(1)).withColumn("item_id", F.lit(2))
+    kept = decontam.decontaminated(clashing, bench)
+    assert kept.columns == clashing.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "6"]
     assert decontam.contamination(df, bench.limit(0)).count() == 0 and decontam.contamination(df.limit(0), bench).count() == 0
 
 
+def test_short_items_are_whole_sequences(spark):
+    bench = spark.createDataFrame([(1, "Yes, sir!"), (2, "a b c d"), (3, "..."), (None, "yes sir"), (5, "one two three four five")], "item_id long, text string")
+    docs = [(1, "oh YES sir"), (2, "yes my sir a b c"), (3, "a, b, c; d a b c d"), (4, "four"), (5, "zero one two three four five six")]
+    found = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, str(r.item_id), r.start, r.n_words) for r in found) == [(1, "1", 1, 2), (1, "None", 1, 2), (3, "2", 0, 4), (5, "5", 1, 5)]
+
+
+def test_very_long_text_with_a_common_shingle(spark):
+    """A shingle of many items that occurs all along a long text."""
+    common = "this one phrase is everywhere"
+    bench = spark.createDataFrame([(i, f"{common} item {i} has more of its own words w{i}a w{i}b w{i}c") for i in range(40)], "item_id long, text string")
+    text = " ".join(f"{common} filler{i}" for i in range(4000)) + f" {common} item 7 has more of its own words w7a w7b w7c"
+    found = decontam.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).collect()
+    assert [r.item_id for r in found] == [7]
+
+
 def test_contamination_is_brute_force(spark):
     """Every window of an item's size, compared exactly, against the operator on the given tables."""
     docs, bench = documents(spark).select("doc_id", "text").collect(), table(spark, SMALL, "benchmark").collect()
@@ -270,6 +303,39 @@ def test_token_ledger(spark):
     assert token_counts.new_ledger(spark).totals().count() == 0
 
 
+def test_a_batch_deletes_before_it_inserts(spark):
+    schema = "doc_id long, source string, lang string, text string"
+    one = lambda text, doc=1: token_counts.token_rows(spark.createDataFrame([(doc, "a", "en", text)], schema), {"words_1": None})
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    ledger = token_counts.TokenLedger(spark, token_counts.new_ledger(spark).path, buckets=3, compact_after=2)
+    totals = lambda: [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()]
+    ledger.commit("b1", upserts=one("w " * 10))
+    ledger.commit("b2", upserts=one("w " * 12), deletes=ids(1))
+    assert totals() == [(1, 12)]
+    ledger.commit("b3", upserts=one("w w", None).unionByName(one("w w", 5)).unionByName(one("w w", 5)), deletes=ids(None, 1, 77))
+    assert totals() == [(3, 6)] and len(ledger._names("commits")) == 0 and ledger.batches() == ["b1", "b2", "b3"]
+    assert not ledger.commit("b2", upserts=one("again")) and totals() == [(3, 6)]
+    ledger.commit("b4", deletes=ids(5))
+    assert totals() == [(1, 2)]
+
+
+def test_ledger_is_brute_force(spark):
+    """Random batches of revisions, insertions and deletions, with compaction, against a dictionary."""
+    rng = np.random.default_rng(8)
+    ledger, expected = token_counts.TokenLedger(spark, token_counts.new_ledger(spark).path, buckets=4, compact_after=3), {}
+    for b in range(7):
+        gone = {int(x) for x in rng.integers(0, 12, 3)}
+        new = {int(d): (f"s{rng.integers(0, 2)}", int(rng.integers(0, 9))) for d in rng.integers(0, 12, 5)}
+        rows = spark.createDataFrame([(d, src, "en", "w " * n) for d, (src, n) in new.items()], "doc_id long, source string, lang string, text string")
+        ledger.commit(f"b{b}", upserts=token_counts.token_rows(rows, {"words_1": None}), deletes=spark.createDataFrame([(d,) for d in gone], "doc_id long"))
+        expected = {d: x for d, x in expected.items() if d not in gone} | new
+        sums = collections.defaultdict(lambda: [0, 0])
+        for src, n in expected.values():
+            sums[src][0] += 1
+            sums[src][1] += n
+        assert {r.source: [r.n_docs, r.n_tokens] for r in ledger.totals().collect()} == dict(sums)
+
+
 def test_tokens_are_those_of_the_whole_text():
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     text = LONG * 10 + "\n\n  tabs\tand   runs of   blanks " * 50
@@ -278,14 +344,17 @@ def test_tokens_are_those_of_the_whole_text():
 
 
 def test_token_query_is_brute_force(spark, duck):
-    path, seen, expected = "/opt/tokenizers/byte_bpe_50k.tiktoken", set(), collections.Counter()
+    path, seen, tokens, docs = "/opt/tokenizers/byte_bpe_50k.tiktoken", set(), collections.Counter(), collections.Counter()
     for _, text, source, lang in duck.sql("SELECT doc_id, text, source, lang FROM documents ORDER BY doc_id").fetchall():
         if text not in seen:
             seen.add(text)
-            expected[source, lang, "byte_bpe_50k"] += token_counts.n_tokens(text, path)
-            expected[source, lang, "words_1"] += len(WORD.findall(text))
-    got = {(r.source, r.lang, r.tokenizer): r.n_tokens for r in QUERIES["op4_token_counts"](spark, SMALL).collect()}
-    assert got == dict(expected)
+            text = re.sub("[0-9]+", "0", text)
+            for name, n in (("byte_bpe_50k", token_counts.n_tokens(text, path)), ("words_1", len(WORD.findall(text)))):
+                tokens[source, lang, name] += n
+                docs[source, lang, name] += 1
+    got = QUERIES["op4_token_counts"](spark, SMALL).collect()
+    assert {(r.source, r.lang, r.tokenizer): r.n_tokens for r in got} == dict(tokens)
+    assert {(r.source, r.lang, r.tokenizer): r.n_docs for r in got} == dict(docs)
 
 
 # --- 5 toxicity --------------------------------------------------------------------------------------------------
@@ -515,14 +584,80 @@ def test_text_statistics(make, spark):
     assert quality.text_statistics("a b c d e a b c d e | # x\nl\nl\n\n") == brute_statistics("a b c d e a b c d e | # x\nl\nl\n\n")
 
 
-def test_model_sums_to_one():
-    rng = np.random.default_rng(3)
-    text = "".join(rng.choice(list("abcde .,1"), 4000, p=[0.3, 0.2, 0.1, 0.1, 0.05, 0.15, 0.05, 0.03, 0.02]))
-    codes, counts = np.unique(np.concatenate(list(quality.grams(text))), return_counts=True)
-    model = quality.kneser_ney(codes, counts)
-    for context in (codes // quality.CLASSES)[[0, 50, 200]].tolist() + [quality.CLASSES**3 - 1]:
-        all_next = context * quality.CLASSES + np.arange(quality.CLASSES)
-        assert (2.0 ** quality.log_probabilities(model, all_next)).sum() == pytest.approx(1.0, abs=1e-6)
+def brute_bits(rows):
+    """Bits a word of each (lang, text), by dictionaries of strings: modified Kneser-Ney of order 4, all counts kept."""
+    fold = lambda t: re.sub("[0-9]", "0", re.sub("[\\t-\\r]", " ", (t or "").lower()))
+    models = {}
+    for lang in {x for x, _ in rows}:
+        counts = collections.Counter(("   " + fold(t))[i : i + 4] for x, t in rows if x == lang for i in range(len(fold(t))))
+        orders = [counts]
+        for _ in range(3):
+            orders.append(collections.Counter(g[1:] for g in orders[-1]))
+        model = []
+        for level in reversed(orders):
+            n = [max(1, sum(c == i for c in level.values())) for i in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [0, min(max(1 - 2 * y * n[1] / n[0], 0.05), 0.95), min(max(2 - 3 * y * n[2] / n[1], 0.05), 1.9), min(max(3 - 4 * y * n[3] / n[2], 0.05), 2.9)]
+            total, taken = collections.Counter(), collections.Counter()
+            for g, c in level.items():
+                total[g[:-1]] += c
+                taken[g[:-1]] += d[min(c, 3)]
+            model.append((level, d, total, taken))
+        models[lang] = model
+
+    def p(model, g):
+        if not model:
+            return 2.0**-16
+        level, d, total, taken = model[-1]
+        if not total[g[:-1]]:
+            return p(model[:-1], g[1:])
+        return (max(0, level[g] - d[min(level[g], 3)]) + taken[g[:-1]] * p(model[:-1], g[1:])) / total[g[:-1]]
+
+    out = []
+    for lang, t in rows:
+        t = fold(t)
+        out.append(-sum(math.log2(p(models[lang], ("   " + t)[i : i + 4])) for i in range(len(t))) / max(1, len(WORD.findall(t))))
+    return out
+
+
+QUALITY_TEXTS = [("en", f"the quick brown fox {i} jumps over the lazy dog and runs {w} home again") for i, w in enumerate(("far", "near", "all the way", "never", "swiftly", "soon", "then", "at last"))] + [
+    ("ru", "\u0431\u044b\u0441\u0442\u0440\u0430\u044f \u043b\u0438\u0441\u0430 \u0431\u0435\u0436\u0438\u0442 \u0434\u043e\u043c\u043e\u0439 1 2 3 4 5 6"), ("ru", "\u043b\u0438\u0441\u0430 \u0441\u043f\u0438\u0442 \u0434\u043e\u043c\u0430 \u0438 \u043d\u0435 \u0431\u0435\u0436\u0438\u0442 \u043d\u0438\u043a\u0443\u0434\u0430 7 8 9 10"),
+    (None, "x"), (None, None), ("en", ""), ("en", "zq%% xv** jk## qqz&& vvx%% wq** zz## kx&& qj%% xx**"), ("zh", "\u4f60\u597d \u4e16\u754c \U0001f642 " * 3), ("en", "the the the the the the the the the the the the"),
+]
+
+
+def test_bits_and_verdicts_are_brute_force(spark):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(QUALITY_TEXTS)], "doc_id long, lang string, text string").withColumn("_model", F.lit(1)).withColumn("low", F.lit(1))
+    got = {r.doc_id: r for r in quality.quality_verdicts(df).collect()}
+    bits = brute_bits(QUALITY_TEXTS)
+    stats = [brute_statistics(t) for _, t in QUALITY_TEXTS]
+    failed = [n < 10 or 100 * rep > 20 * n for n, _, _, _, rep in stats]
+    for lang in {x for x, _ in QUALITY_TEXTS}:
+        some = sorted(math.floor(b * quality.BINS) for (x, _), b, f in zip(QUALITY_TEXTS, bits, failed, strict=True) if x == lang and not f)
+        if some:
+            q1, mid, q3 = ((some[math.ceil(q * len(some)) - 1] + 0.5) / quality.BINS for q in (0.25, 0.5, 0.75))
+            reach = max(mid - q1, q3 - mid, 1 / quality.BINS) / 0.6745 * quality.BAND
+        for i, (x, _) in enumerate(QUALITY_TEXTS):
+            if x == lang:
+                assert got[i]._bits == pytest.approx(bits[i], abs=1e-6) and got[i]._base_failed == failed[i]
+                slack = quality.SHORT / math.sqrt(max(1, stats[i][0]))
+                assert got[i]._kept == (not failed[i] and mid - reach - slack <= bits[i] <= mid + reach + slack)
+    assert not got[13]._kept and sum(r._kept for r in got.values()) >= 8
+
+
+def test_pruned_models_sum_to_one(spark):
+    df = spark.createDataFrame([(x, t) for x, t in QUALITY_TEXTS], "lang string, text string")
+    for most, languages in ((1 << 20, 32), (60, 32), (60, 1)):
+        found = quality.train(df, most, languages)
+        assert len(found.numbers) == min(languages, 4) and found.number("unheard of") == len(found.numbers)
+        assert all(sum(len(m[o].codes) for m in found.models) <= most for o in range(4))
+        model = found.models[0]
+        for context in ("the", "qui", " zz"):
+            at = np.uint64(0)
+            for c in context:
+                at = (at << np.uint64(16)) | np.uint64(ord(c))
+            everything = (at << np.uint64(16)) | np.arange(1 << 16, dtype=np.uint64)
+            assert (2.0 ** quality.log_probabilities(model, everything)).sum() == pytest.approx(1.0, abs=1e-6)
 
 
 def test_quality_verdicts(spark):
