@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.llm import chat, decontam, line_dedup, mixing, pii, quality, simhash, substring, token_counts, toxicity
-from marlpit.llm.common import table
+from marlpit.llm.common import materialize, table
 
 #: Tokenizer versions that are counted, with their files; None counts words.
 TOKENIZERS: dict[str, str | None] = {"byte_bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "words_1": None}
@@ -63,8 +63,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written out as raw transcripts, of which a fifth of the turns has no marker; roles recovered and rendered."""
-    lines = chat.raw_lines(chat.turn_rows(table(spark, sf_dir, "conversations")))
+    """Conversations written out as raw transcripts, of which a fifth of the turns has no marker; roles recovered and rendered, in parts of CHUNK_LINES lines."""
+    lines = materialize(chat.numbered_lines(chat.raw_turns(chat.turn_rows(table(spark, sf_dir, "conversations")))), "transcript")
     return chat.canonical_turns(chat.parse_transcripts(lines, chat.fit_hmm(lines)))
 
 

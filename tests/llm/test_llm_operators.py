@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 
@@ -682,38 +683,107 @@ def test_slices_are_seamless(monkeypatch):
 # --- 9 chat ------------------------------------------------------------------------------------------------------
 
 
-def test_roles_are_recovered(spark):
+def transcript(spark, data, chunk_lines=chat.CHUNK_LINES):
+    turns = chat.turn_rows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    return chat.numbered_lines(chat.raw_turns(turns), chunk_lines)
+
+
+def test_roles_are_recovered_on_held_out_conversations(spark):
     turns = chat.turn_rows(table(spark, "/root/testdata/sf0.01", "conversations"))
-    lines = chat.raw_lines(turns)
-    parsed = chat.parse_transcripts(lines, chat.fit_hmm(lines)).collect()
+    fitted = chat.fit_hmm(chat.numbered_lines(chat.raw_turns(turns.filter("conv_id % 2 = 0"))))
+    lines = chat.numbered_lines(chat.raw_turns(turns.filter("conv_id % 2 = 1")))
     right = total = 0
-    for r in parsed:
+    for r in chat.parse_transcripts(lines, fitted).collect():
         for x, s in zip(r.lines, r.states, strict=True):
             total += 1
             right += chat.ROLES[s // 2] == x.role
-    assert total == lines.count() and right / total > 0.85
+    assert total == lines.filter("NOT lead").count() and right / total > 0.85
 
 
-def test_chunks_give_the_whole_path(spark, monkeypatch):
+def long_talk():
     rng = np.random.default_rng(4)
-    data = [(1, int(i), ("user", "assistant")[i % 2], "\n".join(["word " * int(rng.integers(1, 40)) for _ in range(int(rng.integers(1, 4)))])) for i in range(60)]
-    turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
-    lines = chat.raw_lines(turns)
-    model = chat.fit_hmm(lines)
-    whole = chat.parse_transcripts(lines, model).collect()
-    assert len(whole) == 1
-    cut = chat.parse_transcripts(lines.withColumn("chunk", F.floor(F.col("turn") / 7)), model).orderBy("chunk").collect()
-    assert len(cut) == 9 and [s for r in cut for s in r.states] == list(whole[0].states)
+    word = lambda: "word " * int(rng.integers(1, 40))
+    talk = [(1, int(i), ("user", "assistant")[i % 2], "\n".join([word() for _ in range(int(rng.integers(1, 4)))])) for i in range(60)]
+    one_turn = [(2, 0, "user", "\n".join(word() for _ in range(90)))]
+    same_turn = [(None, None, "user", f"line {i}\nmore") for i in range(40)]
+    return talk + one_turn + same_turn
+
+
+def test_chunks_give_the_whole_path(spark, monkeypatch):
+    whole_lines = transcript(spark, long_talk())
+    model = chat.fit_hmm(whole_lines)
+    whole = {r.conv_id: r for r in chat.parse_transcripts(whole_lines, model).collect()}
+    assert set(whole) == {1, 2, None} and all(r.last for r in whole.values())
+    monkeypatch.setattr(chat, "FAN", 3)
+    cut_lines = transcript(spark, long_talk(), 7)
+    for a, b in zip(model, chat.fit_hmm(cut_lines), strict=True):
+        assert np.allclose(a, b)  # no start is counted and no step is missed at the edges of chunks
+    parts = {}
+    for r in sorted(chat.parse_transcripts(cut_lines, model).collect(), key=lambda r: r.chunk):
+        assert len(r.lines) <= 7
+        parts.setdefault(r.conv_id, []).append(r)
+    for conv, rows in parts.items():
+        assert [x.line for r in rows for x in r.lines] == [x.line for x in whole[conv].lines]
+        assert [s for r in rows for s in r.states] == list(whole[conv].states)
+        assert [r.last for r in rows] == [False] * (len(rows) - 1) + [True]
+    rendered = {}
+    for r in sorted(chat.canonical_turns(chat.parse_transcripts(cut_lines, model)).collect(), key=lambda r: r.chunk):
+        rendered.setdefault(r.conv_id, []).append(r.rendered)
+    for r in chat.canonical_turns(chat.parse_transcripts(whole_lines, model)).collect():
+        assert "\n".join(rendered[r.conv_id]) == r.rendered and r.rendered.count("<|end|>") == 1
+
+
+def test_lines_are_numbered_over_partitions(spark):
+    got = {}
+    for r in transcript(spark, long_talk(), 7).filter("NOT lead").collect():
+        got.setdefault(r.conv_id, []).append(r.n)
+    assert {c: sorted(n) for c, n in got.items()} == {c: list(range(len(n))) for c, n in got.items()}
+    assert len(got[None]) == 80 and len(got[2]) == 90
+
+
+def test_the_path_is_the_best_of_all(spark):
+    """Every path of short conversations is tried."""
+    rng = np.random.default_rng(2)
+    rows = ["User: hello there", "fine, thanks?", "Assistant: well", "Speaker 2: " + "long " * 30, "", "a> yes", "### Human: no?"]
+    data = [(c, i, "user", rows[int(rng.integers(0, len(rows)))]) for c in range(12) for i in range(5)]
+    turns = chat.turn_rows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    start, move, show = model = chat.fit_hmm(transcript(spark, long_talk()))
+    for chunk_lines in (256, 2):
+        found = {}
+        for r in sorted(chat.parse_transcripts(chat.numbered_lines(turns, chunk_lines), model).collect(), key=lambda r: r.chunk):
+            found.setdefault(r.conv_id, ([], []))[0].extend(x.line for x in r.lines)
+            found[r.conv_id][1].extend(r.states)
+        assert len(found) == 12
+        for lines, states in found.values():
+            symbols = [chat.line_symbol(x) for x in lines]
+            score = lambda path: start[path[0]] + sum(move[a, b] for a, b in itertools.pairwise(path)) + sum(show[p, x] for p, x in zip(path, symbols, strict=True))  # noqa: B023, E731
+            best = max(score(p) for p in itertools.product(range(chat.STATES), repeat=5))
+            assert score(states) == pytest.approx(best)
+
+
+def test_query_renders_every_line_once(spark):
+    turns = chat.turn_rows(table(spark, SMALL, "conversations")).collect()
+    parts = {}
+    for r in sorted(QUERIES["op9_chat"](spark, SMALL).collect(), key=lambda r: r.chunk):
+        parts.setdefault(r.conv_id, []).append(r)
+        assert r.n_turns == len(r.roles) and (r.rendered.endswith("<|end|>") == r.last)
+    n_lines = collections.Counter()
+    for t in turns:
+        n_lines[t.conv_id] += t.text.count("\n") + 1
+    assert set(parts) == set(n_lines)
+    for conv, rows in parts.items():
+        assert sum(r.rendered.count("\n") + 1 for r in rows) == n_lines[conv] + sum(r.n_turns for r in rows) + 1
 
 
 def test_markers_and_rendering(spark):
     assert chat.split_marker("### Human: hi") == (3, "hi") and chat.split_marker("[agent] ok then") == (4, "ok then") and chat.split_marker("plain words") == (0, "plain words")
-    data = [(1, 0, "system", "Be kind."), (1, 1, "user", "What is it?\nTell me"), (1, 2, "assistant", "A thing."), (None, 0, None, None), (2, 0, "user", ""), (2, 0, "user", "")]
-    lines = chat.raw_lines(chat.turn_rows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")))
+    data = [(1, 0, "system", "Be kind. "), (1, 1, "user", "What is it?\nTell me  "), (1, 2, "assistant", "A thing."), (None, 0, None, None), (2, 0, "user", ""), (2, 0, "user", "")]
+    lines = transcript(spark, data)
     out = chat.canonical_turns(chat.parse_transcripts(lines, chat.fit_hmm(lines))).collect()
     assert {r.conv_id for r in out} == {1, 2, None}
     assert all(r.rendered.startswith("<|") and r.rendered.endswith("<|end|>") for r in out)
-    none = chat.raw_lines(chat.turn_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))
+    assert "Tell me  \n" in next(r.rendered for r in out if r.conv_id == 1)
+    none = transcript(spark, [])
     assert chat.canonical_turns(chat.parse_transcripts(none, chat.fit_hmm(none))).count() == 0
 
 
