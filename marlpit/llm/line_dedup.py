@@ -1,9 +1,10 @@
 """Incremental line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
 The index keeps, for every line key (ASCII-trimmed, A-Z lower-cased, 10 code points or more), how many documents hold it
-and which ids do, in an exact table cut into shards by key, and for each shard a cuckoo filter of its keys. A new batch
-asks the filters first: keys they don't hold are new and need no look at the exact table; the others are joined with it.
-Deleting a document lowers the counts and takes keys without holders out of the filters, so line dedup is reversible.
+and which ids do, in exact tables cut into shards by key, and for each shard a cuckoo filter of its keys. The tables are only
+added to: a batch writes its own signed counts and holders, and counts are summed when they are read. A new batch asks the filters
+first: keys they don't hold are new and need no look at the exact counts; only the others are looked up.
+Deleting a document adds negative counts and takes keys without holders out of the filters, so line dedup is reversible.
 
 Defined results: null text is one empty line; short keys are never dropped; a key repeated within the smallest document
 that holds it stays there; rows with one doc_id are one document; rows with a null doc_id keep all their lines and aren't
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,25 +68,47 @@ def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Struc
 
 
 class LineIndex:
-    """The state, as tables in the shared folder: holders (doc_id, key), refs (key, shard, n, min_doc), filters (shard, cells).
-    Each change writes new tables beside the old ones and then takes them up, so a failed change leaves the index as it was."""
+    """The state, as tables in the shared folder that are never rewritten, but for the shards of filters whose keys changed: counts (key, shard, n, min_doc) and holders (doc_id, key, since),
+    one of each for a batch; gone (doc_id, until) for deletions; filters (shard, cells). Summed counts are what counts: n documents hold a key, min_doc is the smallest of them that was inserted.
+    A change takes up its tables when all are written, so a failed one leaves the index as it was."""
 
     def __init__(self, spark: SparkSession, expected: int):
         """expected: about how many (document, key) rows the index will hold."""
-        self.spark, self.rows, self.shards = spark, expected, max(1, expected // SHARD_KEYS)
-        self.refs = spark.createDataFrame([], "key binary, shard int, n long, min_doc long")
+        self.spark, self.rows, self.shards, self.batch = spark, expected, max(1, expected // SHARD_KEYS), 0
+        self.counts: list[DataFrame] = []
+        self.held: list[DataFrame] = []
+        self.gone: list[DataFrame] = []
         self.filters = spark.createDataFrame([], "shard int, cells binary")
-        self.holders = spark.createDataFrame([], "doc_id long, key binary")
 
     def _with_shard(self, df: DataFrame) -> DataFrame:
         return df.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int"))
 
+    def holders(self) -> DataFrame:
+        """doc_id, key of all documents that are in the index."""
+        if not self.held:
+            return self.spark.createDataFrame([], "doc_id long, key binary")
+        every = reduce(DataFrame.unionByName, self.held)
+        if self.gone:
+            last = reduce(DataFrame.unionByName, self.gone).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("until").alias("until"))
+            every = every.join(last, (F.col("doc_id") == F.col("_gone")) & (F.col("since") < F.col("until")), "left_anti")
+        return every.select("doc_id", "key")
+
+    def refs(self) -> DataFrame:
+        """key, shard, n, min_doc of all keys that documents hold."""
+        if not self.counts:
+            return self.spark.createDataFrame([], "key binary, shard int, n long, min_doc long")
+        sums = reduce(DataFrame.unionByName, self.counts).groupBy("key").agg(F.first("shard").alias("shard"), F.sum("n").alias("n"), F.min("min_doc").alias("min_doc"), F.count_if(F.col("n") < 0).alias("taken"))
+        sums = sums.filter("n > 0")
+        if self.gone:  # where documents were taken out the smallest may be another
+            found = self.holders().join(sums.filter("taken > 0").select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("lowest"))
+            sums = sums.join(found, "key", "left").withColumn("min_doc", F.coalesce("lowest", "min_doc"))
+        return sums.select("key", "shard", "n", "min_doc")
+
     def insert(self, holders: DataFrame) -> None:
         """Add documents, given as (doc_id, key) rows; documents that the index holds already must be deleted first."""
+        batch = self.batch + 1
         new = self._with_shard(holders.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("min_doc")))
-
-        fields = F.struct("key", "n", "min_doc")
-        grouped = new.groupBy("shard").agg(F.collect_list(fields).alias("rows")).join(self.filters, "shard", "left").select("shard", "rows", "cells")
+        grouped = new.groupBy("shard").agg(F.collect_list(F.struct("key", "n", "min_doc")).alias("rows")).join(self.filters, "shard", "left").select("shard", "rows", "cells")
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard, rows, cells in shards_of(batches):
@@ -93,33 +117,31 @@ class LineIndex:
                 columns = [keys, pa.array(np.full(len(keys), shard, dtype=np.int32)), rows.field("n"), rows.field("min_doc"), pa.array(maybe)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "shard", "n", "min_doc", "maybe"])
 
-        asked = map_arrow(grouped, probe, "key binary, shard int, n long, min_doc long, maybe boolean")
-        asked = materialize(asked, "asked", self.rows)
-        known = asked.filter("maybe").select("key", F.col("n").alias("more"), F.col("min_doc").alias("other"))
-        merged = self.refs.join(known, "key", "left").select("key", "shard", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.least("min_doc", "other").alias("min_doc"))
-        falsely = asked.filter("maybe").join(self.refs.select("key"), "key", "left_anti")
-        fresh = materialize(asked.filter("NOT maybe").unionByName(falsely).drop("maybe"), "fresh", self.rows)
-        refs = materialize(merged.unionByName(fresh), "refs", self.rows)
-        self.filters = self._updated(fresh, refs, lambda f, keys: f.insert(keys))
-        self.refs, self.holders = refs, materialize(self.holders.unionByName(holders.distinct()), "holders", self.rows)
+        asked = materialize(map_arrow(grouped, probe, "key binary, shard int, n long, min_doc long, maybe boolean"), "asked", self.rows)
+        fresh = asked.filter("NOT maybe").select("key", "shard")
+        if self.counts:  # false positives of the filters are new keys too
+            fresh = fresh.unionByName(asked.filter("maybe").select("key", "shard").join(self.refs().select("key"), "key", "left_anti"))
+        counts, held = asked.drop("maybe"), materialize(holders.distinct().withColumn("since", F.lit(batch)), "holders", self.rows)
+        self._changed(fresh, [*self.counts, counts], lambda f, keys: f.insert(keys))
+        self.held, self.batch = [*self.held, held], batch
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take documents (doc_id) out again."""
-        ids = doc_ids.select(F.col("doc_id").cast("long")).distinct()
-        lost = self.holders.join(ids, "doc_id", "left_semi").groupBy("key").agg(F.count("*").alias("fewer"))
-        holders = materialize(self.holders.join(ids, "doc_id", "left_anti"), "holders", self.rows)
-        touched = holders.join(lost.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("lowest"))
-        refs = self.refs.join(lost, "key", "left").join(touched, "key", "left")
-        refs = materialize(refs.select("key", "shard", (F.col("n") - F.coalesce("fewer", F.lit(0))).alias("n"), F.when(F.col("fewer").isNull(), F.col("min_doc")).otherwise(F.col("lowest")).alias("min_doc")), "refs", self.rows)
-        self.filters = self._updated(refs.filter("n = 0"), refs.filter("n > 0"), lambda f, keys: f.delete(keys))
-        self.refs, self.holders = refs.filter("n > 0"), holders
-
-    def _updated(self, changed: DataFrame, refs: DataFrame, change) -> DataFrame:
-        """The filters after change(filter, keys) in each shard with changed keys; a full one is rebuilt from refs, with room to double."""
+        batch = self.batch + 1
+        ids = materialize(doc_ids.select(F.col("doc_id").cast("long")).distinct().withColumn("until", F.lit(batch)), "gone")
+        lost = self.holders().join(ids, "doc_id", "left_semi").groupBy("key").agg(F.count("*").alias("fewer"))
+        lost = materialize(self._with_shard(lost.select("key", (-F.col("fewer")).alias("n"), F.lit(None).cast("long").alias("min_doc"))).select("key", "shard", "n", "min_doc"), "lost")
+        emptied = lost.select("key", "shard", "n").unionByName(reduce(DataFrame.unionByName, self.counts).select("key", "shard", "n").join(lost.select("key"), "key", "left_semi")) if self.counts else lost
+        emptied = emptied.groupBy("key", "shard").agg(F.sum("n").alias("left")).filter("left = 0").select("key", "shard")
+        self.gone, self.batch = [*self.gone, ids], batch
+        self._changed(emptied, [*self.counts, lost], lambda f, keys: f.delete(keys))
+
+    def _changed(self, keys: DataFrame, counts: list[DataFrame], change) -> None:
+        """Take up counts and the filters after change(filter, keys) in each shard with changed keys; a full one is rebuilt from the counts, with room to double."""
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard, rows, cells in shards_of(batches):
-                words = as_words(rows.field("key")) if rows is not None else np.empty((0, 2), dtype=np.uint64)
+                words = as_words(rows.field("key"))
                 if cells is None:
                     made = filter_of(words, 2.0).to_bytes()
                 else:
@@ -134,17 +156,21 @@ class LineIndex:
         def grouped(rows: DataFrame) -> DataFrame:
             return rows.groupBy("shard").agg(F.collect_list(F.struct("key")).alias("rows"))
 
-        made = materialize(map_arrow(grouped(changed).join(self.filters, "shard", "full").select("shard", "rows", "cells"), one, "shard int, cells binary"), "filters", self.shards * (ROWS_PER_FILE // 8))
+        few = self.shards * (ROWS_PER_FILE // 8)
+        made = materialize(map_arrow(grouped(keys).join(self.filters, "shard", "left").select("shard", "rows", "cells"), one, "shard int, cells binary"), "filters", few)
         full = made.filter("cells IS NULL").select("shard")
-        if full.isEmpty():
-            return made
-        again = map_arrow(grouped(refs.join(full, "shard", "left_semi")).withColumn("cells", F.lit(None).cast("binary")), one, "shard int, cells binary")
-        return materialize(made.filter("cells IS NOT NULL").unionByName(again), "filters", self.shards * (ROWS_PER_FILE // 8))
+        before, self.counts = self.counts, counts
+        if not full.isEmpty():
+            again = grouped(self.refs().join(full, "shard", "left_semi")).withColumn("cells", F.lit(None).cast("binary"))
+            made = materialize(made.filter("cells IS NOT NULL").unionByName(map_arrow(again, one, "shard int, cells binary")), "filters", few)
+        same = self.filters.join(made.select("shard"), "shard", "left_anti")
+        self.filters = materialize(made.unionByName(same), "filters", few) if before else made
 
     def drops(self) -> DataFrame:
         """doc_id, keys: the keys whose lines each document loses, as another document with a smaller id holds them too."""
-        repeated = materialize(self.refs.filter("n > 1").select("key", "min_doc", "n"), "repeated", self.rows)
-        lost = heavy_safe_join(self.holders, repeated, "key", self.holders.count(), "n").filter("doc_id <> min_doc")
+        holders = self.holders()
+        repeated = materialize(self.refs().filter("n > 1").select("key", "min_doc", "n"), "repeated", self.rows)
+        lost = heavy_safe_join(holders, repeated, "key", holders.count(), "n").filter("doc_id <> min_doc")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 

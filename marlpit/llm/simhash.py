@@ -174,16 +174,17 @@ def tiled_links(fps: DataFrame, steps: list[int], radius: int, tile: int = TILE,
 
 
 def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame:
-    """node, component (its smallest node) of all nodes in links (a, b), by alternating large-star and small-star steps; no group meets in one task but as a minimum.
-    rows: about how many links there are, if known."""
+    """node, component (its smallest node) of all nodes in links (a, b), by alternating large-star and small-star steps; no group meets in one task but as a minimum,
+    and the edges of a node with very many stay where they are. rows: about how many links there are, if known."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges", rows)
     rows, before = edges.count(), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("a", "low"))
+        large = heavy_safe_join(both, low, "a", 2 * rows, "n").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
+        # a node has as many edges here as it has smaller neighbours left after a large-star step
         small = large.join(low, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges", rows)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()

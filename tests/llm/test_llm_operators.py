@@ -553,6 +553,39 @@ def test_lines_can_be_taken_back(spark):
     assert sorted((str(r.doc_id), r._n_lines, r._n_dropped, r._kept_text) for r in kept.collect()) == brute_lines(rows)
 
 
+def test_changes_of_the_index_are_brute_force(spark):
+    """Batches in and out, ids coming back with other lines, against the definition; filters hold every key and no table is rewritten."""
+    rng = np.random.default_rng(9)
+    pool = [f"line number {i} of the pool" for i in range(25)]
+    text = lambda: "\n".join(pool[int(x)] for x in rng.integers(0, 25, 4))
+    index, now = line_dedup.LineIndex(spark, 10), {}
+    for step in range(4):
+        new = {int(d): text() for d in rng.integers(0, 12, 5)}
+        gone = {d for d in now if d in new or rng.random() < 0.3}
+        if gone:
+            index.delete(spark.createDataFrame([(d,) for d in gone], "doc_id long"))
+        kept_tables = list(index.counts)
+        index.insert(line_dedup.line_keys(spark.createDataFrame(list(new.items()), "doc_id long, text string")))
+        assert index.counts[: len(kept_tables)] == kept_tables
+        now = {d: t for d, t in now.items() if d not in gone} | new
+        df = spark.createDataFrame(list(now.items()), "doc_id long, text string")
+        kept = line_dedup.without_lines(df, index.drops())
+        assert sorted((str(r.doc_id), r._n_lines, r._n_dropped, r._kept_text) for r in kept.collect()) == brute_lines(list(now.items()))
+        keys = {bytes(r.key) for r in line_dedup.line_keys(df).collect()}
+        assert {bytes(r.key): r.n for r in index.refs().collect()} == {k: sum(k in {line_dedup.line_key(x.encode()) for x in t.split("\n")} for t in now.values()) for k in keys}
+        filters = [CuckooFilter(table=bytes(r.cells)) for r in index.filters.collect()]
+        assert len(filters) == 1 and filters[0].contains(np.frombuffer(b"".join(sorted(keys)), dtype="<u8").reshape(-1, 2)).all() and len(filters[0]) == len(keys)
+
+
+def test_clashing_names_of_lines(spark):
+    df = spark.createDataFrame(LINES, "doc_id long, text string").withColumn("_keys", F.lit(1)).withColumn("_doc", F.lit(2)).withColumn("_n_lines", F.lit(3))
+    got = line_dedup.line_dedup(df)
+    assert got.columns == ["doc_id", "text", "_keys", "_doc", "_n_lines", "_n_dropped", "_kept_text"] and {r._keys for r in got.collect()} == {1}
+    assert sorted((str(r.doc_id), r._n_lines, r._n_dropped, r._kept_text) for r in got.collect()) == brute_lines(LINES)
+    apart = line_dedup.line_dedup(df, prefix="__")
+    assert set(apart.columns) == {*df.columns, "__n_lines", "__n_dropped", "__kept_text"} and {r._n_lines for r in apart.collect()} == {3}
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 2**63, (20_000, 2), dtype=np.uint64)
