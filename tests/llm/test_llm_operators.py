@@ -453,7 +453,7 @@ def test_surrogates(spark):
         (2, "john.smith@corp.example.org again; Mr Kowalski; Г-жа Анна Петрова; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" 8.8.4.4"),
         (3, None), (4, ""), (5, "nothing to see here, chapter 12, 3.5 kg"), (None, "call +1 (743) 555-3824"), (1, "second row of the same id 8.8.4.4"), (7, LONG + " 8.8.4.4 " + LONG),
     ]
-    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("new", F.lit(1)).withColumn("kind", F.lit("x"))
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("new", F.lit(1)).withColumn("kind", F.lit("x")).withColumn("_row", F.lit(2)).withColumn("_id", F.lit(3)).withColumn("_new", F.lit(4))
     out = pii.with_surrogates(df, key)
     assert out.columns == [*df.columns, "_n_replaced"]
     rows = out.collect()
@@ -481,13 +481,38 @@ def test_surrogates(spark):
     assert pii.with_surrogates(df.limit(0), key).count() == 0
 
 
+def test_names_keep_gender_form_and_coreference(spark):
+    texts = [
+        (1, "Г-жа Анна Иванова вошла. Иванов ждал; Анна молчала. Г-жа Коваленко ушла."), (2, "Mr Xandro Petrov met Mrs Olga Petrova. Later Xandro said that Petrova knew Petrov."),
+        (3, "Hello, my name is Brunhilde Sanders and Brunhilde likes Sanders. Sandersville is a town."), (4, "Иванова и Анна"), (5, "Dr Smith. SMITH. Smithson."),
+    ]
+    out = {r.doc_id: r.text for r in pii.with_surrogates(spark.createDataFrame(texts, "doc_id long, text string"), b"k").collect()}
+    a = re.fullmatch(r"Г-жа (\w+) (\w+) вошла\. (\w+) ждал; (\w+) молчала\. Г-жа (\w+) ушла\.", out[1])
+    assert a[1] == a[4] != "Анна" and a[2].endswith(("ова", "ева", "ина", "ына", "ская")) and pii.feminine_form(a[3].lower()) == a[2].lower() and a[2] != "Иванова"
+    assert a[5] != "Коваленко" and a[5].endswith(("енко", "ук", "ко"))
+    b = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) (\w+)\. Later (\w+) said that (\w+) knew (\w+)\.", out[2])
+    assert b[1] == b[5] != "Xandro" and b[2] == b[7] and b[4] == b[6] and pii.feminine_form(b[2].lower()) == b[4].lower() and b[1].lower().endswith(("an", "us", "ert")) or b[1].lower() in pii.GIVEN["latin", "m"]
+    c = re.fullmatch(r"Hello, my name is (\w+) (\w+) and (\w+) likes (\w+)\. Sandersville is a town\.", out[3])
+    assert c[1] == c[3] != "Brunhilde" and c[2] == c[4] != "Sanders"
+    assert out[4] == texts[3][1]  # nothing there says that these are names
+    assert re.fullmatch(r"Dr (\w+)\. SMITH\. Smithson\.", out[5])[1] != "Smith"
+
+
 def test_surrogates_stay_distinct(spark):
-    """Formats that leave few surrogates: all entities of them still get different ones."""
-    forms = [f"{c}@{d}.de" for c in "abcdefgh" for d in "uvwxyz"]
-    found = spark.createDataFrame([("email", f) for f in forms] + [("given:latin:f", n) for n in pii.GIVEN["latin", "f"]], "kind string, form string")
-    out = pii.surrogate_table(found, b"key").collect()
-    assert len(out) == len({(r.kind, r.new) for r in out}) == len(forms) + len(pii.GIVEN["latin", "f"])
-    assert not {r.new for r in out if r.kind == "email"} & set(forms)
+    """Formats that leave few surrogates, and given names of which every one of the list occurs: all entities still get different ones, none of which occurs."""
+    forms = [("email", f"{c}@{d}.de") for c in "abcdefgh" for d in "uvwxyz"] + [("given:latin:f", n) for n in pii.GIVEN["latin", "f"]] + [("given:latin:m", f"name{i}") for i in range(60)]
+    out = pii.surrogate_table(spark.createDataFrame(forms, "kind string, form string"), b"key").collect()
+    assert len(out) == len({(r.kind.split(":")[0], r.new) for r in out}) == len(forms)
+    assert not {(r.kind.split(":")[0], r.new) for r in out} & {(k.split(":")[0], f) for k, f in forms}
+
+
+def test_full_formats_grow(spark, monkeypatch):
+    """All values of a format occur: what is left over leaves the format and no entity goes without."""
+    monkeypatch.setattr(pii, "WIDE_TURNS", 2)
+    forms = [("phone", f"{i:02d}") for i in range(100)] + [("ip", f"10.{i}.0.1") for i in range(3)]
+    out = pii.surrogate_table(spark.createDataFrame(forms, "kind string, form string"), b"key", own=1).collect()
+    assert len({(r.kind, r.new) for r in out}) == 103 and not {(r.kind, r.new) for r in out} & set(forms)
+    assert pii.rendered("phone", "(0) 1", "234") == "(2) 34"
 
 
 def test_crowded_formats_are_settled(spark):
@@ -510,6 +535,27 @@ def test_no_personal_data_is_left(spark):
     assert len(after) == len(before) and entities and not entities & {e[3] for t in after for e in pii.entities(t)}
 
 
+def test_surrogates_can_be_turned_back(spark):
+    """The query against the definition: text between entities is untouched, each entity has one surrogate everywhere and no two share one, so the inverse gives every text back."""
+    before = {r.doc_id: r.text for r in documents(spark).collect()}
+    new_of = {}
+    for r in QUERIES["op6_pii_surrogates"](spark, SMALL).collect():
+        text, spans = before[r.doc_id], pii.entities(before[r.doc_id])
+        assert r.n_replaced == len(spans)
+        cuts = [0, *(x for a, b, *_ in spans for x in (a, b)), len(text)]
+        parts = [text[a:b] for a, b in itertools.pairwise(cuts)]
+        m = re.fullmatch("".join(re.escape(x) if i % 2 == 0 else "(.+?)" for i, x in enumerate(parts)), r.text, re.DOTALL)
+        assert m
+        for (a, b, kind, form), new in zip(spans, m.groups(), strict=True):
+            assert new != text[a:b]
+            if kind in ("account", "phone", "iban"):
+                assert re.sub(r"\w", "0", new) == re.sub(r"\w", "0", text[a:b])
+            new_of.setdefault((kind, form), set()).add(pii.family_kind(new)[1] if kind.startswith("family") else pii.canonical(kind, new))
+    assert new_of and all(len(x) == 1 for x in new_of.values())
+    sorts = [(kind.split(":")[0], *x) for (kind, _), x in new_of.items()]
+    assert len(set(sorts)) == len(sorts) and not set(sorts) & {(k.split(":")[0], f) for k, f in new_of}
+
+
 # --- 7 line dedup ------------------------------------------------------------------------------------------------
 
 
