@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlpit.functions.ranks import quantiles, with_quantiles
 from marlpit.functions.semantics import is_finite, order, safe_div
 from marlpit.operators.profile import density
 from marlpit.operators.transforms import fair_top, group_count_guard
 
+#: The median is found by places, not by an aggregate.
 METRICS = {
     "average": F.avg,
-    "median": lambda c: F.percentile(c, 0.5),
+    "median": None,
     "std": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)),
     "sum": F.sum,
     "count": F.count,
@@ -31,12 +33,19 @@ def epsilon_centre(x: Column, epsilon: float) -> Column:
     return F.round((F.floor(x / width + 1e-12) + 0.5) * width, 12)
 
 
+def measured(rows: DataFrame, keys: Sequence[str], y: str, named: dict[str, str]) -> DataFrame:
+    """keys, a column for each named metric of y, valid."""
+    out = rows.groupBy(*keys).agg(*[METRICS[m](y).alias(n) for n, m in named.items() if METRICS[m]], F.count(y).alias("valid"))
+    middles = {n: 0.5 for n, m in named.items() if not METRICS[m]}
+    return with_quantiles(out, rows, keys, y, middles) if middles else out
+
+
 def chart_aggregate(df: DataFrame, x: str, y: str, metrics: Sequence[str], group: str | None = None, epsilon: float | None = None, max_points: int = 1000) -> DataFrame:
     """x, grp, metrics and valid (rows with a finite y), in order of x; truncated says whether more were cut off."""
     key = epsilon_centre(F.col(x).cast("double"), epsilon) if epsilon else F.col(x)
     value = F.when(is_finite(F.col(y)), F.col(y).cast("double"))
     cut = df.select(key.alias("x"), (F.col(group).cast("string") if group else F.lit("all")).alias("grp"), value.alias("y")).filter("x IS NOT NULL")
-    grouped = cut.groupBy("x", "grp").agg(*[METRICS[m]("y").alias(m) for m in metrics], F.count("y").alias("valid"))
+    grouped = measured(cut, ["x", "grp"], "y", {m: m for m in metrics})
     keep = max(1, max_points // len(metrics))
     rows = grouped.orderBy("x", "grp").limit(keep)
     return rows.crossJoin(F.broadcast(grouped.agg((F.count("*") > keep).alias("truncated"))))  # one row
@@ -45,7 +54,7 @@ def chart_aggregate(df: DataFrame, x: str, y: str, metrics: Sequence[str], group
 def kpi(df: DataFrame, metric: str, y: str, groups: Sequence[str] = (), condition: str | None = None, threshold: float | None = None) -> DataFrame:
     """One metric and its valid rows; met says whether the value is eq, lt, lte, gt or gte the threshold."""
     value = F.when(is_finite(F.col(y)), F.col(y).cast("double"))
-    out = df.select(*groups, value.alias("_y")).groupBy(*groups).agg(METRICS[metric]("_y").alias("value"), F.count("_y").alias("valid"))
+    out = measured(df.select(*groups, value.alias("_y")), list(groups), "_y", {"value": metric})
     if condition:
         v, t = F.col("value"), F.lit(threshold)
         out = out.withColumn("met", {"eq": v == t, "lt": v < t, "lte": v <= t, "gt": v > t, "gte": v >= t}[condition])
@@ -57,7 +66,7 @@ def boxplot(df: DataFrame, x: str, group: str | None = None) -> DataFrame:
     if group:
         group_count_guard(df.filter(is_finite(F.col(x))), group, MAX_BOX_GROUPS)
     cut = df.filter(is_finite(F.col(x))).select((F.col(group).cast("string") if group else F.lit("all")).alias("grp"), F.col(x).cast("double").alias("v"))
-    stats = cut.groupBy("grp").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    stats = quantiles(cut, ["grp"], "v", [0.25, 0.5, 0.75])
     stats = stats.select("grp", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     v, reach = F.col("v"), 1.5 * (F.col("q3") - F.col("q1"))
     inside = v.between(F.col("q1") - reach, F.col("q3") + reach)

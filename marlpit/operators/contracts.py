@@ -16,6 +16,10 @@ from marlpit.functions.semantics import contract_family, is_finite
 ROW_NUMBER, REASON = "_quality_source_row_number", "_quality_rejection_reason"
 
 
+#: Frequent values that are broadcast, so that their rows stay where they are.
+HOT_VALUES = 1000
+
+
 @dataclass(frozen=True)
 class Expectation:
     """check: nullable, unique, minimum, maximum or allowed_values; policy: fail, warn or reject."""
@@ -31,11 +35,17 @@ class Expectation:
 
 
 def _mark_repeated(df: DataFrame, expectations: Sequence[Expectation]) -> DataFrame:
-    """df with a flag for each unique check: whether the value occurs more than once. Values are counted first, so a frequent one isn't gathered."""
+    """df with a flag for each unique check: whether the value occurs more than once. Values are counted; rows of the HOT_VALUES most frequent ones get the flag where they are,
+    so a frequent value isn't gathered, and neither are nulls."""
     for e in expectations:
         if e.check == "unique":
-            many = df.filter(F.col(e.column).isNotNull()).groupBy(F.col(e.column).alias("_v")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_v", F.lit(True).alias(f"_rep_{e.column}"))
-            df = df.join(many, F.col(e.column) == F.col("_v"), "left").drop("_v")
+            flag, value = f"_rep_{e.column}", F.col(e.column)
+            many = df.filter(value.isNotNull()).groupBy(value.alias("_v")).agg(F.count("*").alias("_n")).filter("_n > 1")
+            hot = F.broadcast(many.orderBy(F.desc("_n"), "_v").limit(HOT_VALUES).select("_v"))
+            given = df.filter(value.isNotNull())
+            frequent = given.join(hot, value == F.col("_v"), "left_semi").withColumn(flag, F.lit(True))
+            rest = given.join(hot, value == F.col("_v"), "left_anti").join(many.select("_v", F.lit(True).alias(flag)), value == F.col("_v"), "left").drop("_v")
+            df = frequent.unionByName(rest).unionByName(df.filter(value.isNull()).withColumn(flag, F.lit(None).cast("boolean")))
     return df
 
 

@@ -1,6 +1,6 @@
 """Evaluation of predictions. Every function takes keys (``by``): with none it evaluates the whole, with some each group, in the same aggregates.
 
-Scores meet as counts of equal scores, so ties count as they should and no window runs over rows.
+Scores meet as counts of equal scores, so ties count as they should; these are placed in range partitions, so no window runs over all rows or all distinct scores.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlpit.functions.ranks import placed, quantiles, with_quantiles
 from marlpit.functions.semantics import safe_div
 
 MAX_CLASSES, CURVE_BINS, CALIBRATION_BINS, HISTOGRAM_BINS, QQ_POINTS = 30, 100, 10, 20, 99
@@ -68,9 +69,8 @@ def score_groups(df: DataFrame, actual: str, score: str, positive: str, by: Sequ
 def ranking(df: DataFrame, actual: str, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
     """roc_auc (ties count half) and average_precision."""
     g = score_groups(df, actual, score, positive, by)
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))  # distinct scores
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w)).withColumn("tp0", F.coalesce(F.sum("pos").over(before), F.lit(0)))
+    g = placed(g, by, [F.desc("score")], ["pos", "neg"])
+    g = g.withColumn("tp", F.col("pos_before") + F.col("pos")).withColumn("fp", F.col("neg_before") + F.col("neg")).withColumn("tp0", F.col("pos_before"))
     return g.groupBy(*by).agg(
         safe_div(F.sum(F.col("neg") * (F.col("tp0") + F.col("pos") / 2)), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"),
         safe_div(F.sum(F.col("pos") * safe_div(F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("pos")).alias("average_precision"),
@@ -80,11 +80,10 @@ def ranking(df: DataFrame, actual: str, score: str, positive: str, by: Sequence[
 def curves(df: DataFrame, actual: str, score: str, positive: str) -> DataFrame:
     """Up to CURVE_BINS points of the ROC and precision-recall curves: bin, threshold, tpr, fpr, precision."""
     g = score_groups(df, actual, score, positive)
-    whole, w = Window.partitionBy(), Window.orderBy(F.desc("score"))  # distinct scores
-    n = F.col("pos") + F.col("neg")
-    g = g.withColumn("bin", F.ceil(F.sum(n).over(w) * CURVE_BINS / F.sum(n).over(whole)).cast("int"))
+    g = placed(g.withColumn("n", F.col("pos") + F.col("neg")), [], [F.desc("score")], ["n"])
+    g = g.withColumn("bin", F.ceil((F.col("n_before") + F.col("n")) * CURVE_BINS / F.col("n_all")).cast("int"))
     b = g.groupBy("bin").agg(F.min("score").alias("threshold"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    w = Window.orderBy("bin")  # CURVE_BINS rows
+    whole, w = Window.partitionBy(), Window.orderBy("bin")  # CURVE_BINS rows
     tp, fp = F.sum("pos").over(w), F.sum("neg").over(w)
     return b.select("bin", "threshold", safe_div(tp, F.sum("pos").over(whole)).alias("tpr"), safe_div(fp, F.sum("neg").over(whole)).alias("fpr"), safe_div(tp, tp + fp).alias("precision"))
 
@@ -111,17 +110,14 @@ def score_histogram(df: DataFrame, actual: str, score: str) -> DataFrame:
 
 
 def regression_summary(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """evaluated, mae, rmse, r2, mean_residual, mape (rows with actual 0 left out), residual_sd, p05, p50, p95. Deviations are taken from the mean, in a second pass."""
+    """evaluated, mae, rmse, r2, mean_residual, mape (rows with actual 0 left out), residual_sd, p05, p50, p95. One aggregate, and exact quantiles by range partitions."""
     rows = df.select(*by, F.col(actual).cast("double").alias("a"), F.col(predicted).cast("double").alias("p")).filter("a IS NOT NULL AND p IS NOT NULL")
-    means = rows.groupBy(*by).agg(F.avg("a").alias("m"))
-    rows = _join(rows, means, by)
     r = F.col("a") - F.col("p")
-    q = F.percentile(r, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     out = rows.groupBy(*by).agg(
-        F.count("*").alias("evaluated"), F.avg(F.abs(r)).alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"), (1 - safe_div(F.sum(r * r), F.sum((F.col("a") - F.col("m")) ** 2))).alias("r2"), F.avg(r).alias("mean_residual"),
-        F.avg(F.when(F.col("a") != 0, F.abs(r / F.nullif("a", F.lit(0.0))))).alias("mape"), F.stddev_samp(r).alias("residual_sd"), q.alias("q"),
+        F.count("*").alias("evaluated"), F.avg(F.abs(r)).alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"), (1 - safe_div(F.sum(r * r), F.var_pop("a") * F.count("a"))).alias("r2"), F.avg(r).alias("mean_residual"),
+        F.avg(F.when(F.col("a") != 0, F.abs(r / F.nullif("a", F.lit(0.0))))).alias("mape"), F.stddev_samp(r).alias("residual_sd"),
     )
-    return out.withColumns({n: F.get("q", F.lit(i)) for i, n in enumerate(("p05", "p50", "p95"))}).drop("q")
+    return with_quantiles(out, rows.select(*by, r.alias("r")), by, "r", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
 def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -137,7 +133,7 @@ def residual_histogram(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def qq_points(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """p (1 to 99 hundredths), residual (its exact quantile), normal (of the standard normal)."""
     probs = [i / (QQ_POINTS + 1) for i in range(1, QQ_POINTS + 1)]
-    q = residuals(df, actual, predicted).agg(F.percentile("residual", F.array(*[F.lit(p) for p in probs])).alias("q"))
+    q = quantiles(residuals(df, actual, predicted), [], "residual", probs)
     normal = F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in probs])
     return q.filter("q IS NOT NULL").select(F.posexplode(F.arrays_zip(F.col("q").alias("residual"), normal.alias("normal"))).alias("i", "z")).select((F.col("i") + 1).alias("p"), F.col("z.residual"), F.col("z.normal"))
 

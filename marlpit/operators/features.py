@@ -12,6 +12,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlpit.functions.ranks import column_quantiles, placed
 from marlpit.functions.semantics import portable_hash, safe_corr, safe_div
 from marlpit.operators.charts import principal_axes, projected
 from marlpit.operators.transforms import check_scalar, impute_missing, most_frequent
@@ -52,14 +53,13 @@ def apply_impute(df: DataFrame, state: State) -> DataFrame:
 
 def fit_scale(train: DataFrame, columns: Sequence[str], method: str = "standard") -> State:
     """Centre and scale of each column: standard (mean, population deviation), minmax or robust (median, quartile distance)."""
+    if method == "robust":
+        quartiles = {c: q or (0.0, 0.0, 1.0) for c, q in column_quantiles(train, columns, (0.25, 0.5, 0.75)).items()}
+        return {c: [q[1] or 0.0, q[2] - q[0] or 1.0] for c, q in quartiles.items()}
     named: dict[str, Column] = {}
     for c in columns:
         x = F.col(c).cast("double")
-        quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        named |= {
-            "standard": {f"{c}|a": F.avg(x), f"{c}|b": F.stddev_pop(x)}, "minmax": {f"{c}|a": F.min(x), f"{c}|b": F.max(x) - F.min(x)},
-            "robust": {f"{c}|a": F.get(quartiles, F.lit(1)), f"{c}|b": F.get(quartiles, F.lit(2)) - F.get(quartiles, F.lit(0))},
-        }[method]
+        named |= {"standard": {f"{c}|a": F.avg(x), f"{c}|b": F.stddev_pop(x)}, "minmax": {f"{c}|a": F.min(x), f"{c}|b": F.max(x) - F.min(x)}}[method]
     found = _one_row(train, named)
     return {c: [found[f"{c}|a"] or 0.0, found[f"{c}|b"] or 1.0] for c in columns}
 
@@ -69,7 +69,7 @@ def apply_scale(df: DataFrame, state: State) -> DataFrame:
 
 
 def fit_winsorize(train: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> State:
-    return _one_row(train, {c: F.percentile(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high))) for c in columns})
+    return column_quantiles(train, columns, (low, high))
 
 
 def apply_winsorize(df: DataFrame, state: State) -> DataFrame:
@@ -189,9 +189,10 @@ def encode_ordered_target(train: DataFrame, column: str, target: str, key: str,
     """column__ordered: the smoothed mean over the rows of the same value that come before in a hashed order of key."""
     prior = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
     h = portable_hash(F.col(key), F.lit(seed))
-    w = Window.partitionBy(F.coalesce(F.col(column).cast("string"), F.lit("__null__"))).orderBy(h, F.col(key)).rowsBetween(Window.unboundedPreceding, -1)
     y = F.col(target).cast("double")
-    return train.withColumn(f"{column}__ordered", (F.coalesce(F.sum(y).over(w), F.lit(0.0)) + smoothing * prior) / (F.coalesce(F.count(y).over(w), F.lit(0)) + smoothing))
+    rows = train.withColumns({"_v": F.coalesce(F.col(column).cast("string"), F.lit("__null__")), "_y": F.coalesce(y, F.lit(0.0)), "_k": y.isNotNull().cast("int")})
+    rows = placed(rows, ["_v"], [h, F.col(key)], ["_y", "_k"])
+    return rows.withColumn(f"{column}__ordered", (F.col("_y_before") + smoothing * prior) / (F.col("_k_before") + smoothing)).drop("_v", "_y", "_k", "_y_before", "_k_before", "_y_all", "_k_all")
 
 
 # --- selection ---------------------------------------------------------------------------------------------------

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.functions.lineage import shared_folder
+from marlpit.functions.ranks import with_quantiles
 from marlpit.functions.semantics import portable_hash
 from marlpit.operators.transforms import assert_unique_key, hash_sample
 
@@ -126,7 +127,7 @@ def score(df: DataFrame, fitted: Fitted, row_id: str, keep: Sequence[str] = ())
 def baseline(df: DataFrame, target: str, task: str) -> DataFrame:
     """One row: the constant that a model must beat. prediction and share of the most frequent class, or mean and median."""
     if task == "regression":
-        return df.agg(F.avg(target).alias("mean"), F.percentile(F.col(target).cast("double"), 0.5).alias("median"))
+        return with_quantiles(df.agg(F.avg(target).alias("mean")), df, [], target, {"median": 0.5})
     n = df.filter(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("prediction")).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("t"))
     return n.orderBy(F.desc("n"), "prediction").limit(1).crossJoin(F.broadcast(total)).select("prediction", (F.col("n") / F.col("t")).alias("share"))  # one row

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlpit.functions.ranks import with_quantiles
 from marlpit.functions.semantics import safe_div
 from marlpit.operators import evaluation as ev
 from marlpit.operators.transforms import assert_unique_key, key_check
@@ -90,7 +91,8 @@ def prediction_numbers(df: DataFrame, prediction: str, bins: int = 20) -> tuple[
 
     x = F.col(prediction).try_cast("double")
     rows = df.select(x.alias("x")).filter("x IS NOT NULL")
-    return rows.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("minimum"), F.percentile("x", 0.5).alias("median"), F.max("x").alias("maximum")), histogram(rows, "x", bins)
+    summary = rows.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("minimum"), F.max("x").alias("maximum"))
+    return with_quantiles(summary, rows, [], "x", {"median": 0.5}), histogram(rows, "x", bins)
 
 
 def calendar(spark, since: str, until: str, grain: str) -> DataFrame:
@@ -107,8 +109,9 @@ def request_health(log: DataFrame, since: str, until: str, grain: str = "hour")
     ok = F.col("request_status") == "succeeded"
     per = requests.groupBy("bucket").agg(
         F.count("*").alias("requests"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.count_if("fallback_used").alias("fallbacks"),
-        F.avg("request_latency_ms").alias("mean_latency"), F.percentile("request_latency_ms", 0.95).alias("p95_latency"), F.max("request_latency_ms").alias("max_latency"),
+        F.avg("request_latency_ms").alias("mean_latency"), F.max("request_latency_ms").alias("max_latency"),
     )
+    per = with_quantiles(per, requests, ["bucket"], "request_latency_ms", {"p95_latency": 0.95})
     runs = window.groupBy("bucket").agg(F.count("*").alias("executions"), F.count_if("served").alias("served"))
     out = calendar(log.sparkSession, since, until, grain).join(per, "bucket", "left").join(runs, "bucket", "left")
     return out.fillna(0, ["requests", "succeeded", "failed", "fallbacks", "executions", "served"])
@@ -117,9 +120,8 @@ def request_health(log: DataFrame, since: str, until: str, grain: str = "hour")
 def service_health(requests: DataFrame) -> DataFrame:
     """One row: total, succeeded, failed, fallbacks, mean, max, p50, p95, p99 of the latency."""
     ok = F.col("request_status") == "succeeded"
-    q = F.percentile("request_latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    totals = requests.agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.count_if("fallback_used").alias("fallbacks"), F.avg("request_latency_ms").alias("mean_latency"), F.max("request_latency_ms").alias("max_latency"), q.alias("q"))
-    return totals.withColumns({n: F.get("q", F.lit(i)) for i, n in enumerate(("p50", "p95", "p99"))}).drop("q")
+    totals = requests.agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.count_if("fallback_used").alias("fallbacks"), F.avg("request_latency_ms").alias("mean_latency"), F.max("request_latency_ms").alias("max_latency"))
+    return with_quantiles(totals, requests, [], "request_latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def error_codes(requests: DataFrame, top: int = 20) -> DataFrame:

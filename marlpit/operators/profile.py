@@ -8,11 +8,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.functions.lineage import range_parts
+from marlpit.functions.ranks import picked, placed, with_quantiles
 from marlpit.functions.semantics import family, safe_corr, safe_div
 
 
-
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column_name, distinct_values: one pass over (column, value) pairs, each counted once."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns]))
@@ -22,34 +21,53 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool = True) -> DataFrame:
     """A row per column: count, missing, missing_rate, distinct_values, distinct_rate; of numbers minimum, maximum, mean, median and standard_deviation.
-    One aggregate over one scan for all but the distinct values, which take a second."""
+    One aggregate over one scan for all but the distinct values and medians, which come from one table of counted values of all columns."""
     columns = list(columns or df.columns)
     parts = []
     for c in columns:
         number = family(df.schema[c].dataType) == "number"
         x = F.col(c).cast("double")
         nothing = F.lit(None).cast("double")
-        stats = [F.min(x), F.max(x), F.avg(x), F.percentile(x, 0.5), F.stddev_samp(x)] if number else [nothing] * 5
-        names = ("minimum", "maximum", "mean", "median", "standard_deviation")
+        stats = [F.min(x), F.max(x), F.avg(x), F.stddev_samp(x)] if number else [nothing] * 4
+        names = ("minimum", "maximum", "mean", "standard_deviation")
         approx = F.approx_count_distinct(c) if not exact_distinct else F.lit(None).cast("bigint")
         parts.append(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("missing"), approx.alias("approx"), *[s.alias(n) for s, n in zip(stats, names, strict=True)]))
     out = df.agg(F.array(*parts).alias("c")).select(F.explode("c").alias("c")).select("c.*")
-    if exact_distinct:
-        out = out.join(distinct_counts(df, columns), "column_name", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    return with_shares(with_values(out, df, columns, exact_distinct))
+
+
+def value_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name, value (as text), number (of numeric columns), n: every distinct value of every column with its count, nulls left out."""
+    number = lambda c: F.col(c).cast("double") if family(df.schema[c].dataType) == "number" else F.lit(None).cast("double")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), number(c).alias("number")) for c in columns]))
+    return df.select(cells.alias("p")).select("p.*").filter("value IS NOT NULL").groupBy("column_name", "value", "number").agg(F.count("*").alias("n"))
+
+
+def with_values(out: DataFrame, df: DataFrame, columns: Sequence[str], exact_distinct: bool) -> DataFrame:
+    """Statistics of columns with their median and distinct_values."""
+    some = columns if exact_distinct else [c for c in columns if family(df.schema[c].dataType) == "number"]
+    if some:
+        cells = placed(value_cells(df, some), ["column_name"], [F.col("number"), F.col("value")], ["n"])
+        found = picked(cells, ["column_name"], "number", "n", [0.5], "q", F.count("*").alias("values"))
+        out = out.join(found, "column_name", "left").withColumn("median", F.get("q", F.lit(0))).withColumn("distinct_values", F.coalesce("values", F.lit(0))).drop("q", "values")
     else:
-        out = out.withColumn("distinct_values", F.col("approx"))
+        out = out.withColumn("median", F.lit(None).cast("double"))
+    return out if exact_distinct else out.withColumn("distinct_values", F.col("approx"))
+
+
+def with_shares(out: DataFrame) -> DataFrame:
+    """Statistics of columns with missing_rate and distinct_rate."""
     out = out.withColumn("missing_rate", safe_div(F.col("missing"), F.col("count") + F.col("missing")))
     return out.withColumn("distinct_rate", safe_div(F.col("distinct_values"), F.col("count"))).drop("approx")
 
 
 def top_values(df: DataFrame, columns: Sequence[str], n: int = 10) -> DataFrame:
-    """The n most frequent values of each column (ties by text) with their share of all rows: one pass over (column, value) pairs."""
+    """The n most frequent values of each column (ties by text) with their share of all rows: one pass over (column, value) pairs. Tasks keep n values of a column each before these meet."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
     counted = df.select(cells.alias("p")).select("p.*").groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    rows = Window.partitionBy("column_name")
-    ranked = counted.withColumn("share", F.col("n") / F.sum("n").over(rows)).filter("value IS NOT NULL")
-    ranked = ranked.withColumn("place", F.row_number().over(rows.orderBy(F.desc("n"), "value")))
-    return ranked.filter(F.col("place") <= n)
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))
+    ranked = counted.filter("value IS NOT NULL").withColumn("place", place).filter(F.col("place") <= n)
+    return ranked.crossJoin(F.broadcast(df.agg(F.count("*").alias("rows")))).withColumn("share", F.col("n") / F.col("rows")).drop("rows")  # one row
 
 
 def column_notes(profile: DataFrame, ignored: Sequence[str] = (), text_columns: Sequence[str] = ()) -> DataFrame:
@@ -86,20 +104,15 @@ def histogram(df: DataFrame, column: str, bins: int = 12, groups: Sequence[str]
     grid = bounds.withColumn("bin", F.explode(F.when(F.col("hi") > F.col("lo"), F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))))
     edge = lambda k: F.col("lo") + width * k
     if groups:
-        grid = grid.crossJoin(F.broadcast(counted.select(*groups).distinct()))  # bins x groups of the chart
+        grid = grid.crossJoin(counted.select(*groups).distinct())  # bins x groups of the chart
     out = grid.join(counted, ["bin", *groups], "left")
     return out.select("bin", *groups, edge(F.col("bin")).alias("lower"), F.when(F.col("bin") == bins - 1, F.col("hi")).otherwise(edge(F.col("bin") + 1)).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """column value, rank (ties share their mean rank): ranks of distinct values from running counts, so rows aren't sorted in one task."""
-    counted = df.groupBy(column).agg(F.count("*").alias("_n"))
-    ranged = range_parts(counted, [F.col(column)], "_p")
-    sums = ranged.groupBy("_p").agg(F.sum("_n").alias("_s"))
-    shift = sums.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ranged.withColumn("_u", upto).join(F.broadcast(shift), F.col("_p") == F.col("_q"))  # one row for each partition
-    return ranked.select(F.col(column), (F.col("_b") + F.col("_u") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
+    ranked = placed(df.groupBy(column).agg(F.count("*").alias("_n")), [], [F.col(column)], ["_n"])
+    return ranked.select(F.col(column), (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def numeric_relation(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -107,8 +120,12 @@ def numeric_relation(df: DataFrame, x: str, y: str) -> DataFrame:
     pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
     cx, cy = F.col("x"), F.col("y")
     main = pairs.agg(F.count("*").alias("n"), safe_corr(cx, cy).alias("pearson"), F.covar_samp("x", "y").alias("covariance"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
-    # ranks are joined to counts of distinct pairs, not to rows
-    cells = pairs.groupBy("x", "y").agg(F.count("*").alias("w")).join(average_ranks(pairs, "x", "rx"), "x").join(average_ranks(pairs, "y", "ry"), "y")
+    # ranks of both are found together, and joined to counts of distinct pairs, not to rows
+    both = F.explode(F.array(F.struct(F.lit("x").alias("side"), cx.alias("v")), F.struct(F.lit("y").alias("side"), cy.alias("v"))))
+    ranks = placed(pairs.select(both.alias("b")).select("b.*").groupBy("side", "v").agg(F.count("*").alias("k")), ["side"], [F.col("v")], ["k"])
+    ranks = ranks.select("side", "v", (F.col("k_before") + (F.col("k") + 1) / 2).alias("r"))
+    rx, ry = (ranks.filter(F.col("side") == s).select(F.col("v").alias(s), F.col("r").alias(f"r{s}")) for s in "xy")
+    cells = pairs.groupBy("x", "y").agg(F.count("*").alias("w")).join(rx, "x").join(ry, "y")
     n, mx, my = F.sum("w"), F.sum(F.col("w") * F.col("rx")), F.sum(F.col("w") * F.col("ry"))
     sxy, sxx, syy = F.sum(F.col("w") * F.col("rx") * F.col("ry")), F.sum(F.col("w") * F.col("rx") ** 2), F.sum(F.col("w") * F.col("ry") ** 2)
     rank = cells.agg(safe_div(sxy - mx * my / n, F.sqrt(sxx - mx * mx / n) * F.sqrt(syy - my * my / n)).alias("spearman"))
@@ -120,7 +137,8 @@ def grouped_relation(df: DataFrame, group: str, number: str) -> DataFrame:
     """Groups with max(3, 3 %) rows or more: n, minimum, maximum, median, mean, sd, and the score of the relation, |range of means| / (4 sd). Nothing unless there are 2 to 50 groups."""
     given = df.select(F.col(group).cast("string").alias("grp"), F.col(number).cast("double").alias("v")).filter("grp IS NOT NULL AND v IS NOT NULL")
     total = given.agg(F.count("*").alias("rows"), F.stddev_samp("v").alias("sd_all"))
-    per = given.groupBy("grp").agg(F.count("*").alias("n"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.percentile("v", 0.5).alias("median"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    per = given.groupBy("grp").agg(F.count("*").alias("n"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    per = with_quantiles(per, given, ["grp"], "v", {"median": 0.5})
     kept = per.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(3.0), 0.03 * F.col("rows")))  # one row
     whole = Window.partitionBy()
     kept = kept.withColumn("score", safe_div(F.max("mean").over(whole) - F.min("mean").over(whole), 4 * F.col("sd_all"))).withColumn("groups", F.count("*").over(whole))
@@ -153,7 +171,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     given = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     cells = given.groupBy("a", "b").agg(F.count("*").alias("n"))
     rows, cols = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
-    grid = rows.crossJoin(F.broadcast(cols)).join(cells, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))  # the table that is shown
+    grid = rows.crossJoin(cols).join(cells, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))  # the table that is shown
     whole = Window.partitionBy()
     total = F.sum("n").over(whole)
     grid = grid.withColumn("expected", F.col("na") * F.col("nb") / total).withColumn("total", total)
@@ -167,7 +185,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 def ordinal_trend(df: DataFrame, column: str, focus: Column) -> DataFrame:
     """One row: correlation of the values' rank with the focus flag, weighted by rows, from one count per value."""
     per = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("w"), F.count_if(focus).alias("k"))
-    ranked = per.withColumn("r", F.dense_rank().over(Window.orderBy(column)).cast("double"))  # over distinct values
+    ranked = placed(per.withColumn("one", F.lit(1)), [], [F.col(column)], ["one"]).withColumn("r", (F.col("one_before") + 1).cast("double"))
     w, r, k = F.col("w"), F.col("r"), F.col("k")
     n, sr, sk, srr, srk = F.sum(w), F.sum(w * r), F.sum(k), F.sum(w * r * r), F.sum(k * r)
     cov, vr, vk = srk / n - sr / n * sk / n, srr / n - (sr / n) ** 2, sk / n - (sk / n) ** 2

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.lineage import range_parts
+from marlpit.functions.ranks import quantiles, with_quantiles
 from marlpit.functions.semantics import epoch_seconds, is_finite, safe_corr, safe_div
 
 #: Lags taken in one pass.
@@ -51,8 +52,12 @@ def in_order() -> Window:
 
 def with_lags(rows: DataFrame, column: str, lags: Sequence[int]) -> DataFrame:
     """rows (in order) with column lag_k for each k."""
+    return lagged(ordered(rows, max(lags, default=0)), column, lags)
+
+
+def lagged(both: DataFrame, column: str, lags: Sequence[int]) -> DataFrame:
+    """Ordered rows, with what is carried, with lag_k for each k; then without what is carried."""
     w = in_order()
-    both = ordered(rows, max(lags, default=0))
     return both.withColumns({f"lag_{k}": F.lag(column, k).over(w) for k in lags}).filter("own").drop("own")
 
 
@@ -76,13 +81,14 @@ def deltas(rows: DataFrame) -> DataFrame:
 def cadence(df: DataFrame, ts: str, value: str) -> DataFrame:
     """One row: intervals, median, mean, sd, minimum, maximum of the seconds between neighbours."""
     d = deltas(series(df, ts, value))
-    return d.agg(F.count("*").alias("intervals"), F.percentile("delta", 0.5).alias("median"), F.avg("delta").alias("mean"), F.stddev_pop("delta").alias("sd"), F.min("delta").alias("minimum"), F.max("delta").alias("maximum"))
+    out = d.agg(F.count("*").alias("intervals"), F.avg("delta").alias("mean"), F.stddev_pop("delta").alias("sd"), F.min("delta").alias("minimum"), F.max("delta").alias("maximum"))
+    return with_quantiles(out, d, [], "delta", {"median": 0.5})
 
 
 def gaps(df: DataFrame, ts: str, value: str) -> DataFrame:
     """One row: gaps (intervals over 1.5 medians), regular_share (intervals within 5 % of the median)."""
     d = deltas(series(df, ts, value))
-    middle = d.agg(F.percentile("delta", 0.5).alias("m"))
+    middle = quantiles(d, [], "delta", [0.5]).select(F.get("q", F.lit(0)).alias("m"))
     x, m = F.col("delta"), F.col("m")
     return d.crossJoin(F.broadcast(middle)).agg(F.count_if(x > 1.5 * m).alias("gaps"), F.avg(F.when(F.abs(x - m) <= 0.05 * m, 1.0).otherwise(0.0)).alias("regular_share"))  # one row
 
@@ -100,11 +106,11 @@ def level(df: DataFrame, ts: str, value: str) -> DataFrame:
 
 
 def lag_correlations(rows: DataFrame, moved: str, fixed: str, lags: Sequence[int]) -> DataFrame:
-    """lag, correlation of fixed with moved so many rows before, pairs. One sort for each LAGS_AT_ONCE lags."""
-    parts = []
+    """lag, correlation of fixed with moved so many rows before, pairs. The series is put in order once; LAGS_AT_ONCE lags are taken in one pass over it."""
+    both, parts = ordered(rows, max(lags, default=0)), []
     for at in range(0, len(lags), LAGS_AT_ONCE):
         some = lags[at : at + LAGS_AT_ONCE]
-        shifted = with_lags(rows, moved, some)
+        shifted = lagged(both, moved, some)
         cells = [F.struct(F.lit(k).alias("lag"), safe_corr(F.col(fixed), F.col(f"lag_{k}")).alias("correlation"), F.count_if(F.col(f"lag_{k}").isNotNull() & F.col(fixed).isNotNull()).alias("pairs")) for k in some]
         parts.append(shifted.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*"))
     return reduce(DataFrame.unionByName, parts)

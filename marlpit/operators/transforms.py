@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.lineage import range_parts
+from marlpit.functions.ranks import column_quantiles, placed
 from marlpit.functions.semantics import INTEGER_TYPES, order, orders, strict_cast
 
 #: Mappings with more keys are joined rather than written out as cases.
@@ -105,8 +106,10 @@ def impute_missing(df: DataFrame, rules: Sequence[Mapping[str, Any]]) -> DataFra
     for r in rules:
         if r["method"] == "drop_rows":
             kept = kept.filter(F.col(r["column"]).isNotNull())
-    means = {r["column"]: F.avg(r["column"]) for r in rules if r["method"] == "mean"} | {r["column"]: F.median(r["column"]) for r in rules if r["method"] == "median"}
+    means = {r["column"]: F.avg(r["column"]) for r in rules if r["method"] == "mean"}
     found = kept.agg(*[e.alias(c) for c, e in means.items()]).first().asDict() if means else {}
+    middles = [r["column"] for r in rules if r["method"] == "median"]
+    found |= {c: q and q[0] for c, q in column_quantiles(kept, middles, [0.5]).items()} if middles else {}
     out = kept
     for r in rules:
         c, method = r["column"], r["method"]
@@ -399,12 +402,14 @@ def distinct_union(frames: Sequence[DataFrame]) -> DataFrame:
 
 def fair_top(df: DataFrame, group: str, by: Sequence[Column], limit: int) -> DataFrame:
     """limit rows in which groups take turns: first the best of each, then the second of each ..."""
-    ranked = df.withColumn("group_rank", F.row_number().over(Window.partitionBy(group).orderBy(*by)))
+    ranked = df.withColumn("group_rank", F.row_number().over(Window.partitionBy(group).orderBy(*by))).filter(F.col("group_rank") <= limit)  # tasks keep no more of a group either
     return ranked.orderBy("group_rank", order(group)).limit(limit)
 
 
 def version_numbers(df: DataFrame, family: str, created: str, key: str) -> DataFrame:
-    return df.withColumn("version", F.row_number().over(Window.partitionBy(family).orderBy(created, key)))
+    """df with version: the place of a row in its family, from 1, in order of created and key."""
+    rows = placed(df.withColumn("_one", F.lit(1)), [family], [F.col(created), F.col(key)], ["_one"])
+    return rows.withColumn("version", (F.col("_one_before") + 1).cast("int")).drop("_one", "_one_before", "_one_all")
 
 
 def group_count_guard(df: DataFrame, group: str, limit: int) -> int:
