@@ -20,7 +20,11 @@ def placed(rows: DataFrame, keys: Sequence[str], by: Sequence[Column], sums: Seq
     """rows with, for each column of sums, <column>_before (its sum over the rows of the same keys that stand before in the order of ``by``) and <column>_all (over all of them).
 
     Each range partition is summed up by itself and shifted by the sums of those before it."""
-    ranged = range_parts(rows, [*map(F.col, keys), *by], "_part")
+    return shifted(range_parts(rows, [*map(F.col, keys), *by], "_part"), keys, by, sums).drop("_part")
+
+
+def shifted(ranged: DataFrame, keys: Sequence[str], by: Sequence[Column], sums: Sequence[str], few_keys: bool = False) -> DataFrame:
+    """placed, for rows that are in range partitions (_part) of keys and by already. few_keys: keys are names of columns or the like, so the shifts (a row for each key and partition that it reaches) are broadcast."""
     per = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
     mine = Window.partitionBy(*keys)  # a row for each range partition that a key reaches into
     earlier = mine.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -29,26 +33,29 @@ def placed(rows: DataFrame, keys: Sequence[str], by: Sequence[Column], sums: Seq
     own = Window.partitionBy(*keys, "_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in sums})
     on = same_keys([*map(F.col, keys), F.col("_part")], [*[F.col(f"_k_{k}") for k in keys], F.col("_p")])
-    joined = inside.join(side if keys else F.broadcast(side), on)  # without keys one row for each partition
+    joined = inside.join(side if keys and not few_keys else F.broadcast(side), on)  # without keys one row for each partition
     joined = joined.withColumns({f"{c}_before": F.col(f"_b_{c}") + F.col(f"_i_{c}") for c in sums})
-    return joined.drop("_part", "_p", *[f"_k_{k}" for k in keys], *[f"{x}{c}" for x in ("_b_", "_i_") for c in sums])
+    return joined.drop("_p", *[f"_k_{k}" for k in keys], *[f"{x}{c}" for x in ("_b_", "_i_") for c in sums])
+
+
+def around(value: str, n: str, p: float, name: str) -> list[Column]:
+    """Aggregates over placed distinct values with their counts: the two values that the p quantile lies between, and their number."""
+    start, total = F.col(f"{n}_before"), F.col(f"{n}_all")
+    ends = (("lo", F.floor(F.lit(p) * (total - 1))), ("hi", F.ceil(F.lit(p) * (total - 1))))
+    return [F.max(F.when((start <= at) & (at < start + F.col(n)), F.col(value))).alias(f"{name}_{end}") for end, at in ends]
+
+
+def between(lo: Column, hi: Column, total: Column, p: float) -> Column:
+    """The interpolated p quantile of so many values."""
+    place = F.lit(p) * (total - 1)
+    return F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
 
 
 def picked(cells: DataFrame, keys: Sequence[str], value: str, n: str, probs: Sequence[float], name: str, *more: Column) -> DataFrame:
     """keys, an array with the interpolated quantiles, and more aggregates, of placed distinct values with their counts."""
-    start, total = F.col(f"{n}_before"), F.col(f"{n}_all")
-    found = []
-    for i, p in enumerate(probs):
-        for end, at in (("lo", F.floor(F.lit(p) * (total - 1))), ("hi", F.ceil(F.lit(p) * (total - 1)))):
-            found.append(F.max(F.when((start <= at) & (at < start + F.col(n)), F.col(value))).alias(f"_{end}{i}"))
-    out = cells.groupBy(*keys).agg(*found, F.max(total).alias("_total"), *more)
-
-    def between(i: int, p: float) -> Column:
-        lo, hi, place = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.lit(p) * (F.col("_total") - 1)
-        return F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
-
-    quantile = F.when(F.col("_total") > 0, F.array(*[between(i, p) for i, p in enumerate(probs)])).alias(name)
-    return out.select(*keys, quantile, *[c for c in out.columns if c not in keys and not c.startswith("_")])
+    out = cells.groupBy(*keys).agg(*[c for i, p in enumerate(probs) for c in around(value, n, p, f"_{i}")], F.max(f"{n}_all").alias("_total"), *more)
+    each = [between(F.col(f"_{i}_lo"), F.col(f"_{i}_hi"), F.col("_total"), p) for i, p in enumerate(probs)]
+    return out.select(*keys, F.when(F.col("_total") > 0, F.array(*each)).alias(name), *[c for c in out.columns if c not in keys and not c.startswith("_")])
 
 
 def quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q") -> DataFrame:

@@ -250,15 +250,3 @@ def infer_target_type(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     numbers = [c for c in columns if family(df.schema[c].dataType) == "number"]
     few = F.coalesce("distinct_values", F.lit(0)) <= F.greatest(F.lit(2), F.least(F.lit(20.0), F.greatest(F.lit(5.0), 0.05 * F.col("present"))))
     return out.select("column_name", F.when(F.col("column_name").isin(numbers) & ~few, "continuous").otherwise("categorical").alias("target_type"))
-
-
-def full_profile(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], target: str, focus: str) -> dict[str, DataFrame]:
-    """Every part of the profile of a table: its columns, top values, histograms, relations and segments."""
-    out = {"columns": profile_columns(df), "top_values": top_values(df, categories)}
-    out["segments"] = segment_scan_categorical(df, [c for c in categories if c != target], target, focus)
-    out |= {f"histogram_{c}": histogram(df, c) for c in numbers}
-    out |= {f"relation_{a}_{b}": numeric_relation(df, a, b) for a, b in combinations(numbers, 2)}
-    out |= {f"groups_{c}": grouped_relation(df, target, c) for c in numbers}
-    return out
-
-

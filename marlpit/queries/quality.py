@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlpit.operators import contracts, profile
 from marlpit.operators.contracts import Expectation
+from marlpit.operators.full_profile import full_profile
 from marlpit.queries.registry import collector, read, rounded
 
 QUERIES, ORACLE_SQL, register = collector()
@@ -82,6 +83,14 @@ def d1_profile_columns(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns(rates | {c: F.round(c, 4) for c in ("minimum", "maximum", "mean", "median", "standard_deviation")})
 
 
+@register(" UNION ALL ".join(_NUM.format(c=c, x=x, s=_STATS.format(x=x) if n else _NONE) for c, x, n in _PROFILED))
+def full_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the full profile, which takes all statistics of values from one table."""
+    out = full_profile(profiled(spark, d), "l_returnflag", "categorical", "R")["columns"]
+    rates = {c: F.round(c, 6) for c in ("missing_rate", "distinct_rate")}
+    return out.withColumns(rates | {c: F.round(c, 4) for c in ("minimum", "maximum", "mean", "median", "standard_deviation")})
+
+
 @register("""WITH c AS (SELECT 'l_returnflag' AS column_name, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_shipday', CAST(CAST(l_shipdate AS DATE) AS VARCHAR), count(*) FROM lineitem GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY column_name) AS t, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS place FROM c)
 SELECT column_name, value, CAST(n AS BIGINT) AS n, round(n / t, 6) AS share, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10""")
@@ -126,6 +135,16 @@ def d6_grouped_relation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(profile.grouped_relation(read(spark, d, "customer"), "c_mktsegment", "c_acctbal"), 4)
 
 
+@register("""WITH g AS (SELECT c_mktsegment AS grp, count(*) AS n, min(c_acctbal) AS minimum, max(c_acctbal) AS maximum, median(c_acctbal) AS median, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY 1),
+k AS (SELECT * FROM g WHERE n >= greatest(3, 0.03 * (SELECT count(*) FROM customer)))
+SELECT 'c_acctbal' AS column_name, grp, CAST(n AS BIGINT) AS n, minimum, maximum, round(median, 4) AS median, round(mean, 4) AS mean, round(sd, 4) AS sd,
+round(((SELECT max(mean) - min(mean) FROM k) / (4 * (SELECT stddev_samp(c_acctbal) FROM customer))), 4) AS score FROM k""")
+def full_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of the full profile."""
+    df = read(spark, d, "customer").select("c_acctbal", "c_mktsegment")
+    return rounded(full_profile(df, "c_mktsegment")["groups"], 4)
+
+
 @register("""WITH b AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer),
 c AS (SELECT c_mktsegment AS grp, CAST(least(79, floor((c_acctbal - lo) / ((hi - lo) / 80))) AS INTEGER) AS bin, count(*) AS c FROM customer, b GROUP BY ALL),
 s AS (SELECT c_mktsegment AS grp, count(*) AS n, greatest(1.06 * stddev_samp(c_acctbal) * count(*) ** -0.2, (SELECT (hi - lo) / 18 FROM b)) AS h FROM customer GROUP BY 1),
@@ -147,6 +166,17 @@ def d8_contingency(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, k) for c, k in (("row_share", 6), ("expected", 4), ("lift", 6), ("residual", 4), ("chi2", 4), ("cramers_v", 6), ("sparse_share", 6))})
 
 
+@register("""WITH v AS (SELECT l_returnflag AS a, l_linestatus AS b FROM lineitem), ra AS (SELECT a, count(*) AS na FROM v GROUP BY 1), rb AS (SELECT b, count(*) AS nb FROM v GROUP BY 1), c AS (SELECT a, b, count(*) AS n FROM v GROUP BY ALL),
+g AS (SELECT ra.a, rb.b, coalesce(n, 0) AS n, na, na * nb / (SELECT count(*) FROM v) AS e FROM ra CROSS JOIN rb LEFT JOIN c ON c.a = ra.a AND c.b = rb.b), x AS (SELECT sum((n - e) ** 2 / e) AS chi2 FROM g)
+SELECT 'l_returnflag' AS column_name, a, b, CAST(n AS BIGINT) AS n, round(n / na, 6) AS row_share, round(e, 4) AS expected, round(n / e, 6) AS lift, round((n - e) / sqrt(e), 4) AS residual, round(chi2, 4) AS chi2,
+CAST(((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM rb) - 1) AS INTEGER) AS dof, round(sqrt(chi2 / ((SELECT count(*) FROM v) * (least((SELECT count(*) FROM ra), (SELECT count(*) FROM rb)) - 1))), 6) AS cramers_v,
+round((SELECT avg(CASE WHEN e < 5 THEN 1 ELSE 0 END) FROM g), 6) AS sparse_share FROM g, x""")
+def full_contingency(spark: SparkSession, d: str) -> DataFrame:
+    """The contingencies of the full profile."""
+    out = full_profile(read(spark, d, "lineitem").select("l_returnflag", "l_linestatus"), "l_linestatus", "categorical")["contingencies"]
+    return out.withColumns({c: F.round(c, k) for c, k in (("row_share", 6), ("expected", 4), ("lift", 6), ("residual", 4), ("chi2", 4), ("cramers_v", 6), ("sparse_share", 6))})
+
+
 @register("""WITH v AS (SELECT dense_rank() OVER (ORDER BY l_quantity) AS r, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS k FROM lineitem)
 SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT r) AS BIGINT) AS levels, round(corr(r, k), 6) AS trend FROM v""")
 def d9_ordinal_trend(spark: SparkSession, d: str) -> DataFrame:
