@@ -8,6 +8,7 @@ each get a row; an empty table gives an empty result; other columns of the input
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -18,15 +19,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.common import heavy_safe_join, map_arrow, materialize
+from marlpit.llm.substring import passes, seed_filter
 
-#: Fingerprints in a tile, on average.
-TILE = 4096
+#: Fingerprints in a tile, on average, and rows of a tile with which all of another are compared first.
+TILE, PIVOTS = 4096, 4
 #: For each byte value its eight bits, most significant first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Odd multipliers that turn one 64-bit hash into further lanes.
 LANE_MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
+#: Fingerprint of the near-duplicate stage: four lanes are 256 bits over the distinct 5-word shingles. It only finds candidates. Two sets of similarity 0.8 differ in
+#: 39 bits on average; over STAGE_RADIUS bits differ for less than one pair in 10,000. Of sets of 4 and 5 shingles 48 bits differ on average, so pairs with a set under SMALL_SET have a radius of their own.
+STAGE_SHINGLE, STAGE_LANES, STAGE_RADIUS, STAGE_SIMILARITY = 5, 4, 64, 0.8
+SMALL_SET, SMALL_RADIUS = 5, 80
+#: Shingles of a family, or of a tile of a larger one, that meet in a row.
+TILE_SHINGLES = 1 << 18
+#: Sets of a block that meet in a row; one text in SAMPLED tells which shingles are frequent, if FREQUENT or more of these texts hold them.
+LARGE_BLOCK, SAMPLED, FREQUENT, MOST_FREQUENT = 2048, 64, 8, 1 << 16
+
+
 def shingles(words: list[bytes], k: int) -> list[bytes]:
     """All k-word shingles, repeats included; of fewer words the whole sequence; of none nothing."""
     if not words:
@@ -100,10 +112,10 @@ def may_be_similar(na: np.ndarray, nb: np.ndarray, far: np.ndarray, similarity:
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, similarity: float | None = None) -> list[tuple[int, int]]:
-    """Indexes (i, j) of links between rows of a and of b (lanes in columns), as many as keep connected what all links connect.
-    With a similarity the last column is the size of a shingle set, and links are those which may_be_similar lets through."""
+    """Indexes (i, j) of links between rows of a and of b (lanes in columns), as many as keep connected what all links connect; rows that are connected already are not compared again.
+    With a similarity the columns are those of set_fingerprints, and links are those which may_be_similar lets through."""
     if similarity is not None:
-        a, na, b, nb = a[:, :-1], a[:, -1].astype(np.int64), b[:, :-1], b[:, -1].astype(np.int64)
+        a, na, b, nb = a[:, :STAGE_LANES], a[:, STAGE_LANES].astype(np.int64), b[:, :STAGE_LANES], b[:, STAGE_LANES].astype(np.int64)
     parent = np.arange(len(a) + (0 if same else len(b)))
     shift, out = 0 if same else len(a), []
 
@@ -113,18 +125,19 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, similarity: fl
             x = parent[x]
         return x
 
-    rows = max(1, (1 << 17) // max(1, len(b)))
-    for at in range(0, len(a), rows):
-        far = np.zeros((min(rows, len(a) - at), len(b)), dtype=np.uint16)
+    def compare(rows: np.ndarray, columns: np.ndarray) -> None:
+        """Link what is near among these rows of a and rows of b."""
+        nonlocal parent
+        if not len(rows) or not len(columns):
+            return
+        far = np.zeros((len(rows), len(columns)), dtype=np.uint16)
         for lane in range(a.shape[1]):
-            far += np.bitwise_count(a[at : at + rows, None, lane] ^ b[None, :, lane])
+            far += np.bitwise_count(a[rows, None, lane] ^ b[None, columns, lane])
         i, j = np.nonzero(far <= radius)
         if similarity is not None:
-            some = may_be_similar(na[i + at], nb[j], far[i, j], similarity)
+            some = may_be_similar(na[rows[i]], nb[columns[j]], far[i, j], similarity)
             i, j = i[some], j[some]
-        i = i + at
-        if same:
-            i, j = i[i < j], j[i < j]
+        i, j = rows[i], columns[j]
         while len(i):
             new = parent[i] != parent[j + shift]
             i, j = i[new], j[new]
@@ -138,6 +151,20 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, similarity: fl
                     out.append((x, y))
             while (parent != (up := parent[parent])).any():
                 parent = up
+
+    every = np.arange(len(b))
+    if not same:  # a few columns tell most rows of a large group that they are in it
+        for at in range(0, len(a), 1 << 15):
+            compare(np.arange(at, min(at + (1 << 15), len(a))), every[:PIVOTS])
+    chunk = max(1, (1 << 17) // max(1, len(b)))
+    for at in range(0, len(a), chunk):
+        rows = np.arange(at, min(at + chunk, len(a)))
+        columns = every[at:] if same else every
+        labels, n = np.unique(parent[columns + shift], return_counts=True)
+        largest = labels[n.argmax()]
+        inside = parent[rows] == largest
+        compare(rows[inside], columns[parent[columns + shift] != largest])
+        compare(rows[~inside], columns)
     return out
 
 
@@ -200,25 +227,52 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in parts]), dtype=">u8").astype(np.uint64))
 
 
-def set_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (four lanes over the distinct shingles and, as a fifth number, how many these are), n_shingles, text_hash for each row."""
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets of that similarity both have one of the first so many of their members in any fixed order, n being the size of the one at hand."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def frequent_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of shingles that many documents hold, MOST_FREQUENT at most, guessed from a sample of the texts. They stand last in the order of shingles; every order finds
+    the same links, this one finds them in fewer and smaller blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.empty(0, dtype=np.uint64), *(shingle_set(t.as_py(), STAGE_SHINGLE) for t in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
+
+    some = hashed_texts(docs, docs.columns[0], text_col, None).filter(F.pmod("text_hash", F.lit(SAMPLED)) == 0).dropDuplicates(["text_hash"])
+    counted = map_arrow(some, run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT)
+    return np.sort(np.array([r.shingle for r in counted.collect()], dtype=np.int64).view(np.uint64))
+
+
+def set_fingerprints(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (numbers of 8 bytes: four lanes over the distinct shingles, how many these are, and a hash of their set), n_shingles, text_hash, prefix (hashes of the first shingles, of
+    which any two similar sets share one) for each row."""
+    last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = last.value
         for batch in batches:
-            fps, sizes = [], []
+            fps, sizes, prefixes = [], [], []
             for text in batch.column(1):
                 h = shingle_set(text.as_py(), STAGE_SHINGLE)
                 with np.errstate(over="ignore"):
-                    fps.append(b"".join(majority(mixed(h, lane)).to_bytes(8, "big") for lane in range(STAGE_LANES)) + len(h).to_bytes(8, "big"))
+                    lanes = b"".join(majority(mixed(h, lane)).to_bytes(8, "big") for lane in range(STAGE_LANES))
+                fps.append(lanes + len(h).to_bytes(8, "big") + xxhash.xxh3_64_digest(h.tobytes()))
                 sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), batch.column(2)], ["doc_id", "fp", "n_shingles", "text_hash"])
+                if len(frequent):
+                    late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+                    h = np.concatenate([h[~late], h[late]])
+                prefixes.append(h[: prefix_length(len(h), similarity)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), batch.column(2), pa.array(prefixes, pa.binary())], ["doc_id", "fp", "n_shingles", "text_hash", "prefix"])
 
-    return map_arrow(hashed_texts(docs, id_col, text_col), run, "doc_id long, fp binary, n_shingles long, text_hash long")
+    return map_arrow(hashed_texts(docs, id_col, text_col), run, "doc_id long, fp binary, n_shingles long, text_hash long, prefix binary")
 
 
-def hashed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hashed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str | None = "long") -> DataFrame:
     """doc_id, text (binary, null as empty), text_hash."""
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    cut = docs.select((F.col(id_col).cast(kind) if kind else F.lit(None).cast("long")).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     return cut.withColumn("text_hash", F.xxhash64("text"))
 
 
@@ -232,10 +286,10 @@ def verified_forest(a: np.ndarray, b: np.ndarray, sets_a: list[np.ndarray], sets
     if pairs that were checked connect it already."""
     shift, out = 0 if same else len(a), []
     parent = np.arange(len(a) if same else len(a) + len(b))
-    na, nb = a[:, -1].astype(np.int64), b[:, -1].astype(np.int64)
+    na, nb = a[:, STAGE_LANES].astype(np.int64), b[:, STAGE_LANES].astype(np.int64)
     for i in range(len(a)):
         at = i + 1 if same else 0
-        far = np.bitwise_count(a[i, :-1] ^ b[at:, :-1]).sum(axis=1)
+        far = np.bitwise_count(a[i, :STAGE_LANES] ^ b[at:, :STAGE_LANES]).sum(axis=1)
         for j in (at + np.flatnonzero(may_be_similar(na[i], nb[at:], far, similarity))).tolist():
             p, q = parent[i], parent[j + shift]
             if p == q:
@@ -328,24 +382,60 @@ def simhash_groups(docs: DataFrame, k: int = 3, radius: int = 2, parts: int = 4,
     return near_duplicate_groups(prints, lambda fps: tiled_links(*popcount_tiles(fps, radius, parts), radius, tile))
 
 
-#: Fingerprint of the near-duplicate stage: four lanes are 256 bits over the distinct 5-word shingles. It only finds candidates. Two sets of similarity 0.8 differ in
-#: 39 bits on average; over STAGE_RADIUS bits differ for less than one pair in 10,000. Of sets of 4 and 5 shingles 48 bits differ on average, so pairs with a set under SMALL_SET have a radius of their own.
-STAGE_SHINGLE, STAGE_LANES, STAGE_RADIUS, STAGE_SIMILARITY = 5, 4, 64, 0.8
-SMALL_SET, SMALL_RADIUS = 5, 80
-#: Shingles of a family, or of a tile of a larger one, that meet in a row.
-TILE_SHINGLES = 1 << 18
+def blocked_links(per: DataFrame, similarity: float, tile: int, large: int) -> DataFrame:
+    """Candidate links (a, b) between sets (fp, n_shingles, prefix): what may_be_similar lets through of sets that share a shingle of their prefixes.
+
+    Shingles that two sets or more have in their prefixes are blocks, and the sets of a block are compared with each other. Sets in a block of over ``large`` are compared once for all such
+    blocks, in tiles by size. Documents without a near copy share no such shingle and meet nobody."""
+
+    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int64))], ["anchor"])
+
+    counted = map_arrow(per.select("prefix"), shingles_of, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = materialize(counted, "repeated")
+    met = per.sparkSession.sparkContext.broadcast(seed_filter(repeated.select("anchor")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, found = [], [np.empty(0, dtype=np.uint64)]
+            for fp, prefix in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                h = np.frombuffer(prefix, dtype=np.uint64)
+                found.append(h[passes(met.value, h)])
+                fps += [fp] * len(found[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(fps, pa.binary())], ["anchor", "fp"])
+
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = heavy_safe_join(map_arrow(per.select("fp", "prefix"), rows, "anchor long, fp binary"), repeated.withColumn("size", F.col("n")), "anchor", total, "n")
+    members = materialize(members, "blocks", total)
+    blocks = members.filter(F.col("size") <= large).groupBy("anchor").agg(F.collect_list("fp").alias("fps")).select("fps")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for fps in batch.column(0).to_pylist():
+                numbers = np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(len(fps), -1)
+                for i, j in forest(numbers, numbers, SMALL_RADIUS, True, similarity):
+                    left.append(fps[i])
+                    right.append(fps[j])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    crowded = members.filter(F.col("size") > large).select("fp").distinct().join(per.select("fp", "n_shingles"), "fp")
+    crowded = materialize(crowded.select("fp", size_cell("n_shingles", similarity).alias("cell")), "crowded")
+    return map_arrow(blocks, links, "a binary, b binary").unionByName(tiled_links(crowded, [0, 1], SMALL_RADIUS, tile, similarity))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = STAGE_SIMILARITY, tile: int = TILE, tile_shingles: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = STAGE_SIMILARITY, tile: int = TILE, tile_shingles: int | None = None, large: int = LARGE_BLOCK) -> DataFrame:
     """doc_id, fp, n_shingles, component_id: documents linked where the similarity of their sets of 5-word shingles (64-bit hashes) is at least that much."""
-    prints = materialize(set_fingerprints(docs), "fingerprints")
+    prints = materialize(set_fingerprints(docs, similarity), "fingerprints")
+    prefixes = prints.select("fp", "n_shingles", "prefix")
 
     def links(fps: DataFrame) -> DataFrame:
-        cells = fps.select("fp", size_cell("n_shingles", similarity).alias("cell"))
-        families = connected_components(tiled_links(cells, [0, 1], SMALL_RADIUS, tile, similarity), fps.count())
+        per = materialize(prefixes.groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")), "prefixes", fps.count())
+        families = connected_components(blocked_links(per, similarity, tile, large), fps.count())
         return verified_links(docs, fps, families, similarity, tile_shingles)
 
-    return near_duplicate_groups(prints, links).drop("text_hash")
+    return near_duplicate_groups(prints.drop("prefix"), links).drop("text_hash")
 
 
 def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -208,8 +208,47 @@ def test_near_duplicates_are_brute_force(spark):
     rows = near_pairs()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute_near_groups(rows)
+    for large in (2048, 1):  # with 1 every set that shares a shingle goes through the tiles by size
+        got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(df, large=large).collect())
+        assert got == expected
+
+
+def test_frequent_shingles_come_last(spark, monkeypatch):
+    """Texts around a common passage: it fills no block of all of them, and no link is lost."""
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    rng = np.random.default_rng(12)
+    passage = [f"common{i}" for i in range(30)]
+    rows = [(i, " ".join([f"w{rng.integers(0, 10**9)}" for _ in range(40)] + passage)) for i in range(60)]
+    rows += [(100 + i, t.replace("common29", "x")) for i, t in rows[:5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(simhash.frequent_shingles(df)) == 26
+    sizes = simhash.set_fingerprints(df, 0.8).collect()
+    frequent = set(simhash.frequent_shingles(df).tolist())
+    assert not frequent & {x for r in sizes for x in np.frombuffer(bytes(r.prefix), dtype=np.uint64).tolist()}
     got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(df).collect())
-    assert got == expected
+    assert got == brute_near_groups(rows) and ("100", 0) in got
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    rows = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(10)])[:, None]
+    cut = rng.permutation(len(rows))
+    for a, b, same in ((rows, rows, True), (rows[cut[:150]], rows[cut[150:]], False)):
+        every = a if same else np.concatenate([a, b])
+        shift = 0 if same else len(a)
+
+        def labels(pairs, n=len(every)):
+            label = list(range(n))
+            for i, j in pairs:
+                x, y = label[i], label[j]
+                label = [min(x, y) if z in (x, y) else z for z in label]
+            return label
+
+        near = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= 4
+        links = simhash.forest(a, b, 4, same)
+        assert all(near[i, j] for i, j in links)
+        assert labels([(i, j + shift) for i, j in links]) == labels([(int(i), int(j) + shift) for i, j in zip(*np.nonzero(near), strict=True)])
 
 
 def test_split_families_are_brute_force(spark):
