@@ -80,13 +80,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def heavy_bound(total: int) -> int:
+    """Rows of a key that is not heavy, of so many rows."""
+    return max(total // HEAVY_SHARE, HEAVY_SHARE)
+
+
 def heavy_safe_join(left: DataFrame, right: DataFrame, key: str | list[str], total: int, count_col: str) -> DataFrame:
     """Inner join of left with right, whose keys are unique and whose count_col says how many left rows hold each.
 
     Keys over total / HEAVY_SHARE rows are at most HEAVY_SHARE in number, so they are broadcast and their rows
     stay where they are; all others meet in an ordinary join in which no key is large.
     """
-    bound = max(total // HEAVY_SHARE, HEAVY_SHARE)
+    bound = heavy_bound(total)
     heavy = F.broadcast(right.filter(F.col(count_col) > bound).drop(count_col))
     light = right.filter(F.col(count_col) <= bound).drop(count_col)
     hot = left.join(heavy, key)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import heavy_safe_join, map_arrow, materialize
+from marlpit.llm.common import heavy_bound, heavy_safe_join, map_arrow, materialize
 from marlpit.llm.substring import passes, seed_filter
 
 #: Fingerprints in a tile, on average, and rows of a tile with which all of another are compared first.
@@ -204,20 +204,21 @@ def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame
     """node, component (its smallest node) of all nodes in links (a, b), by alternating large-star and small-star steps; no group meets in one task but as a minimum,
     and the edges of a node with very many stay where they are. rows: about how many links there are, if known."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "edges", rows)
-    rows, before = edges.count(), None
+    edges, before = materialize(edges, "edges", rows), None
     while True:
+        per = edges.groupBy("b").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"))
+        now = rows, most, _ = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.expr("bit_xor(x)")).first()
+        if now == before:
+            break
+        before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("a", "low"))
-        large = heavy_safe_join(both, low, "a", 2 * rows, "n").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = heavy_safe_join(both, low, "a", 2 * rows, "n") if most > heavy_bound(2 * rows) else both.join(low, "a")
+        large = large.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         # a node has as many edges here as it has smaller neighbours left after a large-star step
         small = large.join(low, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges", rows)
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if now == before:
-            break
-        before = now
     return edges.groupBy("a").agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("a"), F.col("b").alias("component")).distinct()).withColumnRenamed("a", "node")
 
 
