@@ -1,4 +1,5 @@
 """Evaluation of predictions. Every function takes keys (``by``): with none it evaluates the whole, with some each group, in the same aggregates.
+Where a positive class matters and none is given, it is the last in order of the classes that occur.
 
 Scores meet as counts of equal scores, so ties count as they should; these are placed in range partitions, so no window runs over all rows or all distinct scores.
 """
@@ -59,14 +60,19 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return grid.join(rows, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def score_groups(df: DataFrame, actual: str, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
+def positive_class(df: DataFrame, actual: str, positive: str | None = None) -> str | None:
+    """The positive class: the one that is given, or else the last in order of the classes that occur."""
+    return positive if positive is not None else df.agg(F.max(actual).cast("string")).first()[0]
+
+
+def score_groups(df: DataFrame, actual: str, score: str, positive: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """score, pos, neg: rows of each class with that score."""
-    hit = F.col(actual).cast("string") == positive
+    hit = F.col(actual).cast("string") == F.lit(positive_class(df, actual, positive))
     rows = df.filter(F.col(actual).isNotNull() & F.col(score).isNotNull())
     return rows.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.count_if(hit).cast("bigint").alias("pos"), F.count_if(~hit).cast("bigint").alias("neg"))
 
 
-def ranking(df: DataFrame, actual: str, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
+def ranking(df: DataFrame, actual: str, score: str, positive: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """roc_auc (ties count half) and average_precision."""
     g = score_groups(df, actual, score, positive, by)
     g = placed(g, by, [F.desc("score")], ["pos", "neg"])
@@ -77,7 +83,7 @@ def ranking(df: DataFrame, actual: str, score: str, positive: str, by: Sequence[
     )
 
 
-def curves(df: DataFrame, actual: str, score: str, positive: str) -> DataFrame:
+def curves(df: DataFrame, actual: str, score: str, positive: str | None = None) -> DataFrame:
     """Up to CURVE_BINS points of the ROC and precision-recall curves: bin, threshold, tpr, fpr, precision."""
     g = score_groups(df, actual, score, positive)
     g = placed(g.withColumn("n", F.col("pos") + F.col("neg")), [], [F.desc("score")], ["n"])
@@ -88,19 +94,19 @@ def curves(df: DataFrame, actual: str, score: str, positive: str) -> DataFrame:
     return b.select("bin", "threshold", safe_div(tp, F.sum("pos").over(whole)).alias("tpr"), safe_div(fp, F.sum("neg").over(whole)).alias("fpr"), safe_div(tp, tp + fp).alias("precision"))
 
 
-def probability_losses(df: DataFrame, actual: str, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
+def probability_losses(df: DataFrame, actual: str, score: str, positive: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """brier, log_loss (probabilities kept 1e-15 from the ends)."""
     rows = df.filter(F.col(actual).isNotNull() & F.col(score).isNotNull())
-    y, p = F.when(F.col(actual).cast("string") == positive, 1.0).otherwise(0.0), F.col(score).cast("double")
+    y, p = F.when(F.col(actual).cast("string") == F.lit(positive_class(df, actual, positive)), 1.0).otherwise(0.0), F.col(score).cast("double")
     q = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
     return rows.groupBy(*by).agg(F.avg((p - y) ** 2).alias("brier"), F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"))
 
 
-def calibration(df: DataFrame, actual: str, score: str, positive: str) -> DataFrame:
+def calibration(df: DataFrame, actual: str, score: str, positive: str | None = None) -> DataFrame:
     """bin of ten, n, mean_score, rate."""
     rows = df.filter(F.col(actual).isNotNull() & F.col(score).isNotNull())
     at = F.least(F.lit(CALIBRATION_BINS - 1), F.floor(F.col(score) * CALIBRATION_BINS)).cast("int")
-    return rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.when(F.col(actual).cast("string") == positive, 1.0).otherwise(0.0)).alias("rate"))
+    return rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.when(F.col(actual).cast("string") == F.lit(positive_class(df, actual, positive)), 1.0).otherwise(0.0)).alias("rate"))
 
 
 def score_histogram(df: DataFrame, actual: str, score: str) -> DataFrame:

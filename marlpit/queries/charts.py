@@ -91,6 +91,24 @@ def v10_polynomial_moments(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.withColumns({f"t{k}": F.col(f"t{k}") / 1e6 for k in range(3)}), 3)
 
 
+_MOMENTS = ", ".join(f"sum(z ** {k}) AS s{k}" for k in range(5)) + ", " + ", ".join(f"sum(y * z ** {k}) AS t{k}" for k in range(3))
+
+
+def _det(a: str, b: str, c: str, d: str, e: str, f: str, g: str, h: str, i: str) -> str:
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+@register(f"""WITH b AS (SELECT (min(l_quantity) + max(l_quantity)) / 2 AS c, (max(l_quantity) - min(l_quantity)) / 2 AS h FROM lineitem), z AS (SELECT l_returnflag AS grp, (l_quantity - c) / h AS z, l_extendedprice AS y FROM lineitem, b), m AS (SELECT grp, count(*) AS n, {_MOMENTS} FROM z GROUP BY 1),
+d AS (SELECT *, {_det("s0", "s1", "s2", "s1", "s2", "s3", "s2", "s3", "s4")} AS d FROM m),
+k AS (SELECT grp, n, {_det("t0", "s1", "s2", "t1", "s2", "s3", "t2", "s3", "s4")} / d AS b0, {_det("s0", "t0", "s2", "s1", "t1", "s3", "s2", "t2", "s4")} / d AS b1, {_det("s0", "s1", "t0", "s1", "s2", "t1", "s2", "s3", "t2")} / d AS b2 FROM d)
+SELECT grp, CAST(n AS BIGINT) AS n, CAST(x AS DOUBLE) AS x, round(b0 + b1 * (x - c) / h + b2 * ((x - c) / h) ** 2, 2) AS y FROM k, b, (SELECT unnest([5, 20, 45]) AS x)""")
+def v10_quadratic_points(spark: SparkSession, d: str) -> DataFrame:
+    """Three points of each group's parabola."""
+    out = charts.trend_polynomial(lineitem(spark, d), "l_quantity", "l_extendedprice", 2, "l_returnflag").withColumn("x", F.explode(F.array(F.lit(5.0), F.lit(20.0), F.lit(45.0))))
+    y = F.col("coefficients")[0] + F.col("coefficients")[1] * F.col("x") + F.col("coefficients")[2] * F.col("x") * F.col("x")
+    return out.select("grp", "n", "x", F.round(y, 2).alias("y"))
+
+
 @register(None)
 def v10_trend_polynomial(spark: SparkSession, d: str) -> DataFrame:
     return charts.trend_polynomial(lineitem(spark, d), "l_quantity", "l_extendedprice", 3, "l_returnflag")

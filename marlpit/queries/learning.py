@@ -170,6 +170,92 @@ def m11_selection_frequency(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ev.selection_frequency(chosen))
 
 
+@register(f"WITH {_G} SELECT round(sum(neg * (tp - pos + pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision FROM w".replace("actual = 'F'", "actual = 'P'").replace("actual <> 'F'", "actual <> 'P'"))
+def r4_inferred_positive(spark: SparkSession, d: str) -> DataFrame:
+    """No positive class is given: it is the last of F, O and P."""
+    return rounded(ev.ranking(predictions(spark, d), "actual", "score"))
+
+
+# --- models whose solution has a closed form ----------------------------------------------------------------------
+
+_SPLIT = f"s AS (SELECT *, {h('o_orderkey', 42)} % 1000000 / 1000000.0 AS u FROM o)"
+_FLAGS = f"""o AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'other' END AS label, CAST(o_totalprice > 150000 AS DOUBLE) AS dear, CAST(o_orderdate < TIMESTAMP '1995-06-01' AS DOUBLE) AS old,
+CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS DOUBLE) AS urgent, CASE WHEN (o_orderdate < TIMESTAMP '1995-06-01') = ({h('o_orderkey', 9)} % 10 < 8) THEN 'yes' ELSE 'no' END AS noisy, o_totalprice / 1000 AS price, CAST(datediff('day', o_orderdate, TIMESTAMP '1999-01-01') AS DOUBLE) AS age FROM orders), {_SPLIT},
+tr AS (SELECT * FROM s WHERE u >= 0.3), te AS (SELECT * FROM s WHERE u < 0.2)"""
+
+
+def flags(spark: SparkSession, d: str) -> DataFrame:
+    """orders with a class, three flags and two numbers, split by a hash."""
+    df = read(spark, d, "orders")
+    is_true = {"dear": F.col("o_totalprice") > 150000, "old": F.col("o_orderdate") < "1995-06-01", "urgent": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")}
+    df = df.withColumns({c: x.cast("double") for c, x in is_true.items()} | {"price": F.col("o_totalprice") / 1000, "age": F.datediff(F.lit("1999-01-01"), "o_orderdate").cast("double")})
+    df = df.withColumn("label", F.when(F.col("o_orderstatus") == "F", "F").otherwise("other"))
+    mostly = F.pmod(portable_hash(F.col("o_orderkey"), F.lit(9)), F.lit(10)) < 8
+    df = df.withColumn("noisy", F.when((F.col("old") == 1) == mostly, "yes").otherwise("no"))
+    return pinned(sp.random_split(df.select("o_orderkey", "o_totalprice", "label", "noisy", "dear", "old", "urgent", "price", "age"), "o_orderkey"))
+
+
+def scored(spark: SparkSession, d: str, spec: mo.Spec) -> DataFrame:
+    """Test rows scored by a model of the training rows."""
+    df = flags(spark, d)
+    return mo.score(df.filter("split_role = 'test'"), mo.fit(df.filter("split_role = 'training'"), spec), "o_orderkey", ["dear"])
+
+
+@register(f"WITH {_FLAGS}, r AS (SELECT old, avg((label = 'other')::INT) AS p FROM tr GROUP BY 1) SELECT o_orderkey, CASE WHEN p > 0.5 THEN 'other' ELSE 'F' END AS prediction, round(p, 3) AS prediction_score FROM te JOIN r ON r.old = te.old")
+def m3_logistic_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Of one flag an unpenalised logistic model learns the two rates. Every test row is scored (M13)."""
+    out = scored(spark, d, mo.Spec("classification", "label", ("old",), "logistic", {"tol": 1e-9}))
+    return out.select("o_orderkey", "prediction", F.round("prediction_score", 3).alias("prediction_score"))
+
+
+@register(f"""WITH {_FLAGS}, m AS (SELECT covar_pop(age, age) AS saa, covar_pop(urgent, urgent) AS suu, covar_pop(age, urgent) AS sau, covar_pop(age, price) AS say, covar_pop(urgent, price) AS suy, avg(age) AS ma, avg(urgent) AS mu, avg(price) AS my FROM tr),
+b AS (SELECT (say * suu - suy * sau) / (saa * suu - sau * sau) AS ba, (suy * saa - say * sau) / (saa * suu - sau * sau) AS bu, ma, mu, my FROM m)
+SELECT o_orderkey, round(my + ba * (age - ma) + bu * (urgent - mu), 3) AS prediction FROM te, b""")
+def m4_least_squares(spark: SparkSession, d: str) -> DataFrame:
+    out = scored(spark, d, mo.Spec("regression", "price", ("age", "urgent"), "linear"))
+    return out.select("o_orderkey", F.round("prediction", 3).alias("prediction"))
+
+
+def _rates(family: str) -> str:
+    return f"WITH {_FLAGS}, r AS (SELECT old, avg(price) AS p FROM tr GROUP BY 1) SELECT o_orderkey, round(p, 2) AS prediction FROM te JOIN r ON r.old = te.old"
+
+
+@register(_rates("poisson"))
+def m5_poisson_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Of one flag the model learns the two means, whatever its family."""
+    out = scored(spark, d, mo.Spec("regression", "price", ("old",), "glm", {"family": "poisson", "link": "log", "tol": 1e-9}))
+    return out.select("o_orderkey", F.round("prediction", 2).alias("prediction"))
+
+
+@register(_rates("tweedie"))
+def m5_tweedie_rates(spark: SparkSession, d: str) -> DataFrame:
+    out = scored(spark, d, mo.Spec("regression", "price", ("old",), "glm", {"family": "tweedie", "variancePower": 1.5, "linkPower": 0.0, "tol": 1e-9}))
+    return out.select("o_orderkey", F.round("prediction", 2).alias("prediction"))
+
+
+@register(f"WITH {_FLAGS}, r AS (SELECT old, avg((noisy = 'yes')::INT) AS p FROM tr GROUP BY 1) SELECT o_orderkey, CASE WHEN p > 0.5 THEN 'yes' ELSE 'no' END AS prediction, round(p, 6) AS prediction_score FROM te JOIN r ON r.old = te.old")
+def m6_tree_rates(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of one flag that tells the classes apart has a leaf for each of its values (leaves with one prediction would be merged)."""
+    out = scored(spark, d, mo.Spec("classification", "noisy", ("old",), "decision_tree", {"maxDepth": 2}))
+    return out.select("o_orderkey", "prediction", F.round("prediction_score", 6).alias("prediction_score"))
+
+
+@register(f"""WITH {_FLAGS}, e AS (SELECT 1e-9 * greatest(var_pop(price), var_pop(age)) AS e FROM tr), c AS (SELECT label, ln(count(*) / (SELECT count(*) FROM tr)) AS prior, avg(price) AS mp, var_pop(price) + any_value(e) AS vp, avg(age) AS ma, var_pop(age) + any_value(e) AS va FROM tr, e GROUP BY 1),
+l AS (SELECT o_orderkey, label, prior - 0.5 * (ln(vp) + (price - mp) ** 2 / vp + ln(va) + (age - ma) ** 2 / va) AS l FROM (SELECT o_orderkey, price, age FROM te), c)
+SELECT o_orderkey, max_by(label, l) AS prediction FROM l GROUP BY 1""")
+def m7_gaussian_rows(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d, mo.Spec("classification", "label", ("price", "age"), "naive_bayes", {"modelType": "gaussian"})).select("o_orderkey", "prediction")
+
+
+@register(f"""WITH {_FLAGS}, k AS (SELECT label, count(*) AS n, sum(dear) AS dear, sum(old) AS old, sum(urgent) AS urgent FROM tr GROUP BY 1),
+c AS (SELECT label, ln(n + 1) - ln(sum(n) OVER () + 2) AS prior, (dear + 1) / (n + 2) AS pd, (old + 1) / (n + 2) AS po, (urgent + 1) / (n + 2) AS pu FROM k),
+l AS (SELECT o_orderkey, c.label, prior + ln(CASE WHEN dear = 1 THEN pd ELSE 1 - pd END) + ln(CASE WHEN old = 1 THEN po ELSE 1 - po END) + ln(CASE WHEN urgent = 1 THEN pu ELSE 1 - pu END) AS l FROM te, c)
+SELECT o_orderkey, max_by(label, l) AS prediction, round(1 / (1 + exp(max(l) FILTER (WHERE label = 'F') - max(l) FILTER (WHERE label = 'other'))), 6) AS prediction_score FROM l GROUP BY 1""")
+def m7_bernoulli_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = scored(spark, d, mo.Spec("classification", "label", ("dear", "old", "urgent"), "naive_bayes", {"modelType": "bernoulli"}))
+    return out.select("o_orderkey", "prediction", F.round("prediction_score", 6).alias("prediction_score"))
+
+
 # --- models: no SQL form -----------------------------------------------------------------------------------------
 
 _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "age")
@@ -244,6 +330,12 @@ def m7_naive_bayes(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, d, "classification", "naive_bayes", {"modelType": "gaussian"})
 
 
+@register(None)
+def m7_complement(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of test rows by complement naive Bayes on counts."""
+    return scored(spark, d, mo.Spec("classification", "label", ("dear", "old", "urgent", "age"), "naive_bayes", {"modelType": "complement"}))
+
+
 @register(None)
 def m8_mlp(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, d, "classification", "mlp", {"layers": [5, 4, 2], "maxIter": 15})

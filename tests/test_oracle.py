@@ -6,16 +6,13 @@ from conftest import SMALL
 from compare import assert_same
 from marlpit.queries import ORACLE_SQL, QUERIES
 
-#: Model fits take long; one of each kind is enough here, all run in the driver's check.
-SLOW = {n for n in QUERIES if n not in ORACLE_SQL and n.startswith("m")} - {"m3_logistic", "m4_linear", "m16_replay"}
-
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_duckdb(name, spark, duck):
     assert_same(QUERIES[name](spark, SMALL).toPandas(), duck.sql(ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(name, spark):
     assert QUERIES[name](spark, SMALL).count() > 0
 
