@@ -48,7 +48,7 @@ def around(value: str, n: str, p: float, name: str) -> list[Column]:
 def between(lo: Column, hi: Column, total: Column, p: float) -> Column:
     """The interpolated p quantile of so many values."""
     place = F.lit(p) * (total - 1)
-    return F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
+    return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place)))
 
 
 def picked(cells: DataFrame, keys: Sequence[str], value: str, n: str, probs: Sequence[float], name: str, *more: Column) -> DataFrame:

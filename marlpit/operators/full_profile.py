@@ -88,7 +88,7 @@ def middle(row: Mapping, name: str, total: float | None) -> float | None:
     if lo is None or lo == hi or not total:
         return lo
     place = 0.5 * (total - 1)
-    return (math.ceil(place) - place) * lo + (place - math.floor(place)) * hi
+    return lo + (hi - lo) * (place - math.floor(place))
 
 
 def chosen(df: DataFrame, columns: Mapping[str, dict], roles: Mapping[str, str], target: str | None, classes: list[str], max_features: int, max_segment_features: int) -> Plan:

@@ -214,7 +214,7 @@ def e23_prune_redundant(spark: SparkSession, d: str) -> DataFrame:
 
 @register("""WITH m AS (SELECT avg(l_quantity) AS mq, avg(l_tax) AS mt, var_pop(l_quantity) AS a, var_pop(l_tax) AS c, covar_pop(l_quantity, l_tax) AS b FROM lineitem),
 e AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2 FROM m), v AS (SELECT *, (l1 - c) / sqrt((l1 - c) ** 2 + b * b) AS vx, b / sqrt((l1 - c) ** 2 + b * b) AS vy FROM e)
-SELECT l_orderkey, l_linenumber, l_partkey, round(((l_quantity - mq) * vx + (l_tax - mt) * vy) / sqrt(l1), 4) AS pc_1, round(((l_tax - mt) * vx - (l_quantity - mq) * vy) / sqrt(l2), 4) AS pc_2 FROM lineitem, v""")
+SELECT l_orderkey, l_linenumber, l_partkey, round(((l_quantity - mq) * vx + (l_tax - mt) * vy) / sqrt(l1), 4) + 0.0 AS pc_1, round(((l_tax - mt) * vx - (l_quantity - mq) * vy) / sqrt(l2), 4) + 0.0 AS pc_2 FROM lineitem, v""")
 def e24_pca_plane(spark: SparkSession, d: str) -> DataFrame:
     """Both whitened components of two features, whose axes have a closed form."""
     df = read(spark, d, "lineitem")
