@@ -468,6 +468,51 @@ def test_toxicity_query(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
 
 
+def brute_kernel(a, b):
+    """The gap-weighted kernel of two words, by dictionaries; zero under the floor."""
+
+    def phi(w):
+        out = collections.Counter()
+        c = toxicity.letters([w])[0].tolist()
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i < toxicity.MAX_SPAN:
+                out[c[i], c[j], c[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = phi(a), phi(b)
+    value = sum(x[u] * y[u] for u in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return value if value >= toxicity.FLOOR else 0.0
+
+
+def test_toxicity_query_is_brute_force(spark):
+    """Scores of the query against kernel values by dictionaries, for every word of every text (those that share the most with landmarks among them), and the held-out rule."""
+    import functools
+    import zlib
+
+    docs, labels = documents(spark), table(spark, SMALL, "labels")
+    model = toxicity.train(docs, labels)
+    kernel, m = functools.cache(brute_kernel), len(model.landmarks)
+    got = {r.doc_id: r for r in QUERIES["op5_toxicity"](spark, SMALL).collect()}
+    texts = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: len(x[1] or ""))[:60]
+    for doc_id, text in texts:
+        words, features = toxicity.text_words(text or ""), np.zeros(2 * m)
+        for i, z in enumerate(model.landmarks):
+            values = [(kernel(w, z), n) for w, n in words.items()]
+            features[i] = max((v for v, _ in values), default=0)
+            features[m + i] = math.log1p(sum(n * v * v for v, n in values))
+        score = 1 / (1 + math.exp(-(model.slope * (features @ model.weights[:-1] + model.weights[-1]) + model.offset)))
+        assert got[doc_id].score == pytest.approx(score, abs=2e-3)
+    assert len(got) == docs.count()
+    for d, r in got.items():
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7)
+
+
+def test_labels_that_disagree_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, "plain words of a quiet morning") for i in range(40)] + [(0, "zz first"), (0, "aa second")], "doc_id long, text string").withColumn("label", F.lit(5))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, max_train=3) is None  # all count as toxic, so there is one class only
+
+
 def test_toxicity_edges(spark):
     docs = edges(spark)
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
