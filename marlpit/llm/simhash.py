@@ -37,6 +37,8 @@ SMALL_SET, SMALL_RADIUS = 5, 80
 TILE_SHINGLES = 1 << 18
 #: Sets of a block that meet in a row; one text in SAMPLED tells which shingles are frequent, if FREQUENT or more of these texts hold them.
 LARGE_BLOCK, SAMPLED, FREQUENT, MOST_FREQUENT = 2048, 64, 8, 1 << 16
+#: Shingles of prefixes that are counted together in a row.
+SHARD_SHINGLES = 1 << 18
 
 
 def shingles(words: list[bytes], k: int) -> list[bytes]:
@@ -383,45 +385,79 @@ def simhash_groups(docs: DataFrame, k: int = 3, radius: int = 2, parts: int = 4,
     return near_duplicate_groups(prints, lambda fps: tiled_links(*popcount_tiles(fps, radius, parts), radius, tile))
 
 
-def blocked_links(per: DataFrame, similarity: float, tile: int, large: int) -> DataFrame:
-    """Candidate links (a, b) between sets (fp, n_shingles, prefix): what may_be_similar lets through of sets that share a shingle of their prefixes.
+def distinct_prefixes(batch: pa.RecordBatch) -> dict[bytes, bytes]:
+    """fp -> prefix of the rows of a batch (fp, prefix): copies within a batch count once."""
+    return dict(zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True))
 
-    Shingles that two sets or more have in their prefixes are blocks, and the sets of a block are compared with each other. Sets in a block of over ``large`` are compared once for all such
-    blocks, in tiles by size. Documents without a near copy share no such shingle and meet nobody."""
 
-    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated_shingles(prints: DataFrame, total: int) -> DataFrame:
+    """anchor, n: the shingles that stand in more than one prefix of prints (fp, prefix), and in how many. They travel packed, as a few arrays for each batch of documents and shard of
+    shingles, each shingle of a batch once with its count; ``total`` is about how many shingles all prefixes have."""
+    shards = max(1, total // SHARD_SHINGLES)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int64))], ["anchor"])
+            h, n = np.unique(np.frombuffer(b"".join(distinct_prefixes(batch).values()), dtype=np.uint64), return_counts=True)
+            shard = (h % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            found, first = np.unique(shard[order], return_index=True)
+            ends = np.r_[first[1:], len(order)]
+            cut = [order[x:y] for x, y in zip(first.tolist(), ends.tolist(), strict=True)]
+            columns = [pa.array(found, pa.int64()), pa.array([h[x].tobytes() for x in cut], pa.binary()), pa.array([n[x].tobytes() for x in cut], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "hashes", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parts in batch.column(0).to_pylist():
+                h = np.frombuffer(b"".join(x["hashes"] for x in parts), dtype=np.int64)
+                n = np.frombuffer(b"".join(x["counts"] for x in parts), dtype=np.int64)
+                order = np.argsort(h)
+                starts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+                sums = np.add.reduceat(n[order], starts)
+                some = sums > 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[order][starts][some]), pa.array(sums[some])], ["anchor", "n"])
+
+    packed = map_arrow(prints.select("fp", "prefix"), pack, "shard long, hashes binary, counts binary")
+    return map_arrow(packed.groupBy("shard").agg(F.collect_list(F.struct("hashes", "counts")).alias("parts")).select("parts"), add, "anchor long, n long")
 
-    counted = map_arrow(per.select("prefix"), shingles_of, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = materialize(counted, "repeated")
-    met = per.sparkSession.sparkContext.broadcast(seed_filter(repeated.select("anchor")))
+
+def blocked_links(prints: DataFrame, similarity: float, tile: int, large: int) -> DataFrame:
+    """Candidate links (a, b) between sets of prints (fp, n_shingles, prefix): what may_be_similar lets through of sets that share a shingle of their prefixes.
+
+    Shingles that two prefixes or more have are blocks, and the sets of a block are compared with each other. Sets in a block of over ``large`` are compared once for all such
+    blocks, in tiles by size. Documents without a near copy share no such shingle and meet nobody."""
+    total = prints.agg(F.coalesce(F.sum(F.ceil(F.col("n_shingles") * (1 - similarity)) + 1), F.lit(0))).first()[0]
+    repeated = materialize(repeated_shingles(prints, total), "repeated")
+    met = prints.sparkSession.sparkContext.broadcast(seed_filter(repeated.select("anchor")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, found = [], [np.empty(0, dtype=np.uint64)]
-            for fp, prefix in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            for fp, prefix in distinct_prefixes(batch).items():
                 h = np.frombuffer(prefix, dtype=np.uint64)
                 found.append(h[passes(met.value, h)])
                 fps += [fp] * len(found[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(fps, pa.binary())], ["anchor", "fp"])
 
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = heavy_safe_join(map_arrow(per.select("fp", "prefix"), rows, "anchor long, fp binary"), repeated.withColumn("size", F.col("n")), "anchor", total, "n")
+    members = heavy_safe_join(map_arrow(prints.select("fp", "prefix"), rows, "anchor long, fp binary"), repeated.withColumn("size", F.col("n")), "anchor", total, "n")
     members = materialize(members, "blocks", total)
-    blocks = members.filter(F.col("size") <= large).groupBy("anchor").agg(F.collect_list("fp").alias("fps")).select("fps")
+    blocks = members.filter(F.col("size") <= large).groupBy("anchor").agg(F.collect_set("fp").alias("fps")).select("fps").filter(F.size("fps") > 1)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for fps in batch.column(0).to_pylist():
+            for fps in batch.column(0):
+                fps = fps.as_py()
                 numbers = np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(len(fps), -1)
                 for i, j in forest(numbers, numbers, SMALL_RADIUS, True, similarity):
                     left.append(fps[i])
                     right.append(fps[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    crowded = members.filter(F.col("size") > large).select("fp").distinct().join(per.select("fp", "n_shingles"), "fp")
+    # the fifth number of a fingerprint is the size of its set
+    own_size = F.conv(F.hex(F.substring("fp", 8 * STAGE_LANES + 1, 8)), 16, 10).cast("long")
+    crowded = members.filter(F.col("size") > large).select("fp").distinct().withColumn("n_shingles", own_size)
     crowded = materialize(crowded.select("fp", size_cell("n_shingles", similarity).alias("cell")), "crowded")
     return map_arrow(blocks, links, "a binary, b binary").unionByName(tiled_links(crowded, [0, 1], SMALL_RADIUS, tile, similarity))
 
@@ -429,11 +465,9 @@ def blocked_links(per: DataFrame, similarity: float, tile: int, large: int) -> D
 def near_duplicates(docs: DataFrame, similarity: float = STAGE_SIMILARITY, tile: int = TILE, tile_shingles: int | None = None, large: int = LARGE_BLOCK) -> DataFrame:
     """doc_id, fp, n_shingles, component_id: documents linked where the similarity of their sets of 5-word shingles (64-bit hashes) is at least that much."""
     prints = materialize(set_fingerprints(docs, similarity), "fingerprints")
-    prefixes = prints.select("fp", "n_shingles", "prefix")
 
     def links(fps: DataFrame) -> DataFrame:
-        per = materialize(prefixes.groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")), "prefixes", fps.count())
-        families = connected_components(blocked_links(per, similarity, tile, large), fps.count())
+        families = connected_components(blocked_links(prints, similarity, tile, large), fps.count())
         return verified_links(docs, fps, families, similarity, tile_shingles)
 
     return near_duplicate_groups(prints.drop("prefix"), links).drop("text_hash")
