@@ -333,7 +333,7 @@ def m7_naive_bayes(spark: SparkSession, d: str) -> DataFrame:
 @register(None)
 def m7_complement(spark: SparkSession, d: str) -> DataFrame:
     """Scores of test rows by complement naive Bayes on counts."""
-    return scored(spark, d, mo.Spec("classification", "label", ("dear", "old", "urgent", "age"), "naive_bayes", {"modelType": "complement"}))
+    return scored(spark, d, mo.Spec("classification", "label", ("dear", "old", "urgent", "price"), "naive_bayes", {"modelType": "complement"}))
 
 
 @register(None)
