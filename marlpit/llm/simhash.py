@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,10 @@ STAGE_SHINGLE, STAGE_LANES, STAGE_RADIUS, STAGE_SIMILARITY = 5, 4, 64, 0.8
 SMALL_SET, SMALL_RADIUS = 5, 80
 #: Shingles of a family, or of a tile of a larger one, that meet in a row.
 TILE_SHINGLES = 1 << 18
-#: Sets of a block that meet in a row; one text in SAMPLED tells which shingles are frequent, if FREQUENT or more of these texts hold them.
-LARGE_BLOCK, SAMPLED, FREQUENT, MOST_FREQUENT = 2048, 64, 8, 1 << 16
+#: Sets of a block that are compared for its sake; one text in SAMPLED tells which shingles are frequent, if FREQUENT or more of these texts hold them.
+LARGE_BLOCK, SAMPLED, FREQUENT, MOST_FREQUENT = 1024, 64, 8, 1 << 16
+#: Blocks of so many sets at most are compared many at a time.
+SMALL_BLOCK = 12
 #: Shingles of prefixes that are counted together in a row.
 SHARD_SHINGLES = 1 << 18
 
@@ -421,6 +423,35 @@ def repeated_shingles(prints: DataFrame, total: int) -> DataFrame:
     return map_arrow(packed.groupBy("shard").agg(F.collect_list(F.struct("hashes", "counts")).alias("parts")).select("parts"), add, "anchor long, n long")
 
 
+def small_block_links(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Rows (i, j) of numbers that may be similar, of blocks of SMALL_BLOCK rows or fewer, each of so many rows from its start on; blocks of one size are compared together."""
+    out: list[tuple[int, int]] = []
+    for m in range(2, SMALL_BLOCK + 1):
+        first = starts[sizes == m]
+        if len(first):
+            p, q = np.triu_indices(m, 1)
+            i, j = (first[:, None] + p).ravel(), (first[:, None] + q).ravel()
+            far = np.bitwise_count(numbers[i, :STAGE_LANES] ^ numbers[j, :STAGE_LANES]).sum(axis=1)
+            near = may_be_similar(numbers[i, STAGE_LANES].astype(np.int64), numbers[j, STAGE_LANES].astype(np.int64), far, similarity)
+            out += zip(i[near].tolist(), j[near].tolist(), strict=True)
+    return out
+
+
+def block_links(anchors: np.ndarray, fps: list[bytes], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Candidate links within blocks, which are runs of equal anchors; fps in order within each, copies next to each other."""
+    if not len(anchors):
+        return []
+    numbers = np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(len(fps), -1)
+    new = np.r_[True, (np.diff(anchors) != 0) | (numbers[1:] != numbers[:-1]).any(axis=1)]
+    anchors, numbers, fps = anchors[new], numbers[new], [fp for fp, x in zip(fps, new.tolist(), strict=True) if x]
+    starts = np.flatnonzero(np.r_[True, np.diff(anchors) != 0])
+    sizes = np.diff(np.r_[starts, len(anchors)])
+    found = [(fps[i], fps[j]) for i, j in small_block_links(numbers, starts, sizes, similarity)]
+    for at, n in zip(starts[sizes > SMALL_BLOCK].tolist(), sizes[sizes > SMALL_BLOCK].tolist(), strict=True):
+        found += [(fps[at + i], fps[at + j]) for i, j in forest(numbers[at : at + n], numbers[at : at + n], SMALL_RADIUS, True, similarity)]
+    return list(dict.fromkeys(found))
+
+
 def blocked_links(prints: DataFrame, similarity: float, tile: int, large: int) -> DataFrame:
     """Candidate links (a, b) between sets of prints (fp, n_shingles, prefix): what may_be_similar lets through of sets that share a shingle of their prefixes.
 
@@ -442,18 +473,17 @@ def blocked_links(prints: DataFrame, similarity: float, tile: int, large: int) -
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     members = heavy_safe_join(map_arrow(prints.select("fp", "prefix"), rows, "anchor long, fp binary"), repeated.withColumn("size", F.col("n")), "anchor", total, "n")
     members = materialize(members, "blocks", total)
-    blocks = members.filter(F.col("size") <= large).groupBy("anchor").agg(F.collect_set("fp").alias("fps")).select("fps").filter(F.size("fps") > 1)
+    blocks = members.filter(F.col("size") <= large).select("anchor", "fp").repartition("anchor").sortWithinPartitions("anchor", "fp")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for fps in batch.column(0):
-                fps = fps.as_py()
-                numbers = np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(len(fps), -1)
-                for i, j in forest(numbers, numbers, SMALL_RADIUS, True, similarity):
-                    left.append(fps[i])
-                    right.append(fps[j])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+        anchors, fps = np.empty(0, dtype=np.int64), []
+        for batch in chain(batches, [None]):  # rows come in order, and a block may go on in the next batch
+            if batch is not None:
+                anchors, fps = np.concatenate([anchors, batch.column(0).to_numpy()]), fps + batch.column(1).to_pylist()
+            whole = int(np.searchsorted(anchors, anchors[-1])) if batch is not None and len(anchors) else len(anchors)
+            found = block_links(anchors[:whole], fps[:whole], similarity)
+            anchors, fps = anchors[whole:], fps[whole:]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     # the fifth number of a fingerprint is the size of its set
     own_size = F.conv(F.hex(F.substring("fp", 8 * STAGE_LANES + 1, 8)), 16, 10).cast("long")
