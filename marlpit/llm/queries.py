@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import chat, decontam, line_dedup, mixing, pii, prefix_trie, quality, simhash, substring, token_counts, toxicity, whitening
+from marlpit.llm import chat, decontam, line_dedup, minhash, mixing, pii, prefix_trie, quality, simhash, substring, token_counts, toxicity, whitening
 from marlpit.llm.common import materialize, table
 
 #: Tokenizer versions that are counted, with their files; None counts words.
@@ -77,6 +77,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.component_rows(whitening.whitened(table(spark, sf_dir, "embeddings")))
 
 
+def op12_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_whitening": op11_whitening,
+    "op12_minhash_groups": op12_minhash_groups,
     "op13_prefix_trie": op13_prefix_trie,
 }
 

@@ -8,7 +8,7 @@ each get a row; an empty table gives an empty result; other columns of the input
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -228,33 +228,49 @@ def size_cell(n: str, similarity: float) -> F.Column:
     return F.floor(F.log(F.greatest(F.col(n), F.lit(1))) / F.log(F.lit(1 / similarity))).cast("long")
 
 
-def verified_forest(a: np.ndarray, b: np.ndarray, sets_a: list[np.ndarray], sets_b: list[np.ndarray], same: bool, similarity: float) -> list[tuple[int, int]]:
-    """Indexes (i, j) of pairs whose shingle sets have the similarity, as many as keep connected what all such pairs connect: a pair is passed over only
-    if pairs that were checked connect it already."""
+def likely_prints(similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which rows of fingerprints (their last number the size of the set) may belong to sets as similar as that to one row's."""
+
+    def likely(row: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        far = np.bitwise_count(row[:-1] ^ rows[:, :-1]).sum(axis=1)
+        return may_be_similar(row[-1].astype(np.int64), rows[:, -1].astype(np.int64), far, similarity)
+
+    return likely
+
+
+def apart_pairs(a: np.ndarray, b: np.ndarray, same: bool, likely, check: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Indexes (i, j) of rows of a and of b (of a itself if same) that are likely and pass the check, as many as keep connected what all such pairs connect:
+    a pair is passed over only if pairs that passed connect it already, so a group of copies costs a look at each."""
     shift, out = 0 if same else len(a), []
     parent = np.arange(len(a) if same else len(a) + len(b))
-    na, nb = a[:, -1].astype(np.int64), b[:, -1].astype(np.int64)
     for i in range(len(a)):
         at = i + 1 if same else 0
-        far = np.bitwise_count(a[i, :-1] ^ b[at:, :-1]).sum(axis=1)
-        for j in (at + np.flatnonzero(may_be_similar(na[i], nb[at:], far, similarity))).tolist():
+        others = at + np.flatnonzero(parent[at + shift :] != parent[i])
+        for j in others[likely(a[i], b[others])].tolist() if len(others) else ():
             p, q = parent[i], parent[j + shift]
-            if p == q:
-                continue
-            common = len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
-            if common / (na[i] + nb[j] - common) >= similarity:
+            if p != q and check(i, j):
                 parent[parent == max(p, q)] = min(p, q)
                 out.append((i, j))
     return out
 
 
-def verified_links(docs: DataFrame, fps: DataFrame, families: DataFrame, similarity: float, tile_shingles: int | None = None) -> DataFrame:
+def verified_forest(a: np.ndarray, b: np.ndarray, sets_a: list[np.ndarray], sets_b: list[np.ndarray], same: bool, similarity: float, likely=None) -> list[tuple[int, int]]:
+    """apart_pairs of rows whose shingle sets have the similarity."""
+
+    def check(i: int, j: int) -> bool:
+        common = len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
+        return common / (len(sets_a[i]) + len(sets_b[j]) - common) >= similarity
+
+    return apart_pairs(a, b, same, likely or likely_prints(similarity), check)
+
+
+def verified_links(docs: DataFrame, fps: DataFrame, families: DataFrame, similarity: float, tile_shingles: int | None = None, k: int | None = None, likely=None) -> DataFrame:
     """Links (a, b) between fingerprints of one family (node, component) whose texts' distinct shingles have the similarity.
-    fps: distinct fp with n_shingles and first, a row (no_id, doc_id, text_hash) that has it.
+    fps: distinct fp (whole 64-bit numbers, of which likely tells which pairs are worth a check) with n_shingles and first, a row (no_id, doc_id, text_hash) that has it.
 
     The shingle sets of a family meet in one row. A family of more than tile_shingles is split by size and hash into tiles, and each two tiles that can
     hold a link meet in a row. Links are thinned to a forest of each row only after the exact check."""
-    most = tile_shingles or TILE_SHINGLES
+    most, words = tile_shingles or TILE_SHINGLES, k or STAGE_SHINGLE
     n = fps.count()
     members = fps.join(families.select(F.col("node").alias("fp"), F.col("component").alias("family")), "fp")
     members = materialize(members.withColumn("size", size_cell("n_shingles", similarity)), "members", n)
@@ -283,7 +299,7 @@ def verified_links(docs: DataFrame, fps: DataFrame, families: DataFrame, similar
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([shingle_set(t.as_py(), STAGE_SHINGLE).tobytes() for t in batch.column(3)], pa.binary())
+            found = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], ["family", "meets", "fp", "shingles"])
 
     found = map_arrow(texts, sets, "family binary, meets array<struct<key:string,side:int>>, fp binary, shingles binary")
@@ -301,8 +317,10 @@ def verified_links(docs: DataFrame, fps: DataFrame, families: DataFrame, similar
                 c1, t1, c2, t2 = key.as_py().split(" ") if key.as_py() else "0000"
                 same = (c1, t1) == (c2, t2)
                 a, b = list(sides[0]), list(sides[0 if same else 1])
+                if not a or not b:  # a tile that no set fell into
+                    continue
                 one, two = (np.frombuffer(b"".join(x), dtype=">u8").astype(np.uint64).reshape(len(x), -1) for x in (a, b))
-                for i, j in verified_forest(one, two, list(sides[0].values()), list(sides[0 if same else 1].values()), same, similarity):
+                for i, j in verified_forest(one, two, list(sides[0].values()), list(sides[0 if same else 1].values()), same, similarity, likely):
                     left.append(a[i])
                     right.append(b[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
