@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a range partition on average, and partitions at most (unless more are set for shuffles): the bounds are drawn from a sample of a bounded number of rows.
+RANGE_ROWS, MOST_RANGES = 250_000, 10_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context. Where neither is set, a temporary one on a single machine; on a cluster that is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,16 +26,34 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().get().rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder for something of this application, which drop_scratch deletes."""
+    return f"{shared_folder(spark)}/marlpit-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, which also reaches stores that only Spark can open."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table and saved model of this application; call when its results have been read."""
+    fs, where = hadoop_path(spark, f"{shared_folder(spark)}/marlpit-{spark.sparkContext.applicationId}")
+    fs.delete(where, True)
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df, computed once and kept as a table in the shared folder."""
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def range_parts(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """df in range partitions of the keys, whose numbers are in a column. Sampled bounds differ from one evaluation to the next, so the outcome is pinned."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return pinned(df.repartitionByRange(n, *keys).withColumn(name, F.spark_partition_id()))
+    """df in range partitions of the keys, whose numbers are in a column: about RANGE_ROWS rows each. Sampled bounds differ from one evaluation to the next, so the outcome is pinned;
+    df is pinned before, as sampling would compute it twice."""
+    spark, df = df.sparkSession, pinned(df)
+    most = max(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    n = min(-(-df.count() // RANGE_ROWS), most)
+    return pinned(df.repartitionByRange(max(n, 1), *keys).withColumn(name, F.spark_partition_id()))

@@ -1,14 +1,19 @@
-"""Training, search and batch scoring with Spark ML."""
+"""Training, search and batch scoring with Spark ML.
+
+Classes are the distinct values of the target in order, as text. Learners that tell only two classes apart (boosting, linear SVC) learn one class against the rest, once for each class, where
+there are more. Class weights come from the counts of all training rows. Every candidate of a search or comparison is judged by one metric over its scored rows.
+"""
 
 from __future__ import annotations
 
+import math
 import random
-import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import product
 from typing import Any
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -18,9 +23,8 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
@@ -28,100 +32,220 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.functions.lineage import shared_folder
+from marlpit.functions.lineage import scratch_path
 from marlpit.functions.ranks import with_quantiles
 from marlpit.functions.semantics import portable_hash
+from marlpit.operators import evaluation as ev
+from marlpit.operators.splits import unit_hash
 from marlpit.operators.transforms import assert_unique_key, hash_sample
 
-FEATURES, LABEL = "_features", "_label"
+FEATURES, LABEL, WEIGHT, KEY = "_features", "_label", "_weight", "_key"
 CLASSIFIERS = {
     "logistic": LogisticRegression, "linear_svc": LinearSVC, "decision_tree": DecisionTreeClassifier, "random_forest": RandomForestClassifier,
     "gradient_boosting": GBTClassifier, "naive_bayes": NaiveBayes, "mlp": MultilayerPerceptronClassifier,
 }
 REGRESSORS = {"linear": LinearRegression, "glm": GeneralizedLinearRegression, "decision_tree": DecisionTreeRegressor, "random_forest": RandomForestRegressor, "gradient_boosting": GBTRegressor}
+TWO_CLASSES = {"linear_svc", "gradient_boosting"}
+#: Classes of a target at most; a target with more is taken for a mistake.
+MAX_CLASSES = 1000
+CALIBRATION_SEED = 11
+#: Column of evaluation's summaries for each metric.
+CLASS_METRICS = {"accuracy": "accuracy", "balanced_accuracy": "balanced_accuracy", "f1_macro": "macro_f1", "f1_weighted": "weighted_f1"}
+NUMBER_METRICS = {"rmse": "rmse", "mae": "mae", "r2": "r2"}
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What is learned from what: task is classification or regression."""
+    """What is learned from what: task is classification or regression.
+
+    class_weight: "balanced" (rows / (classes * rows of the class)) or a weight for each class. weight: a column of row weights.
+    calibrate: share of the training rows, chosen by a hash of key, on whose margins the probabilities of a learner that gives only margins (linear_svc) are fitted; without it such a model has none.
+    """
 
     task: str
     target: str
     features: tuple[str, ...]
     algorithm: str
     params: Mapping[str, Any] = field(default_factory=dict)
+    class_weight: str | Mapping[str, float] | None = None
+    weight: str | None = None
+    calibrate: float = 0.0
+    key: str | None = None
+
 
+@dataclass(frozen=True)
+class Fitted:
+    """A model with its score contract: classes in the order of the probabilities, what each weighed, and one learned model, or one for each class against the rest.
+    calibration: slope and intercept of the log odds over the margin of each model."""
 
-def estimator(spec: Spec) -> Estimator:
+    spec: Spec
+    models: tuple[Model, ...]
+    classes: tuple[str, ...] = ()
+    class_weights: Mapping[str, float] = field(default_factory=dict)
+    calibration: tuple[tuple[float, float], ...] = ()
+
+    @property
+    def one_against_rest(self) -> bool:
+        return len(self.models) > 1
+
+    @property
+    def has_probabilities(self) -> bool:
+        return bool(self.calibration) or (self.spec.task == "classification" and self.models[0].hasParam("probabilityCol"))
+
+
+def class_counts(df: DataFrame, target: str) -> dict[str, int]:
+    """Rows of each class in order of the classes; the counts are those of all rows, and only they reach the driver."""
+    counted = df.filter(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("c")).agg(F.count("*").alias("n"))
+    found = counted.orderBy("c").limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    return {r["c"]: r["n"] for r in found}
+
+
+def resolved_weights(spec: Spec, counts: Mapping[str, int]) -> dict[str, float]:
+    if spec.class_weight is None:
+        return {}
+    if spec.class_weight == "balanced":
+        if len(counts) < 2:
+            raise ValueError("balanced class weights need at least two classes")
+        total = sum(counts.values())
+        return {c: total / (len(counts) * n) for c, n in counts.items()}
+    missing = [c for c in counts if c not in spec.class_weight]
+    if missing:
+        raise ValueError(f"no weight for the classes {missing}")
+    return {c: float(spec.class_weight[c]) for c in counts}
+
+
+def learner(spec: Spec, place: int = 0) -> Estimator:
     kind = (CLASSIFIERS if spec.task == "classification" else REGRESSORS)[spec.algorithm]
     given = dict(spec.params)
     names = {p.name for p in kind().params}
     if "seed" in names:
         given.setdefault("seed", 42)
-    return kind(featuresCol=FEATURES, labelCol=LABEL, **given)
+    if spec.weight or spec.class_weight:
+        if "weightCol" not in names:
+            raise ValueError(f"{spec.algorithm} takes no weights")
+        given["weightCol"] = WEIGHT
+    out = kind(featuresCol=FEATURES, labelCol=LABEL, **given)
+    for c in names & {"predictionCol", "rawPredictionCol", "probabilityCol"}:
+        out.set(out.getParam(c), f"_{c}_{place}")  # boosting doesn't take all of them as arguments
+    return out
 
 
-def pipeline(spec: Spec) -> Pipeline:
-    stages: list[Estimator] = [VectorAssembler(inputCols=list(spec.features), outputCol=FEATURES, handleInvalid="error")]
-    if spec.task == "classification":
-        stages.append(StringIndexer(inputCol="_target", outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="skip"))
-    return Pipeline(stages=[*stages, estimator(spec)])
+def class_place(target: str, classes: Sequence[str]) -> Column:
+    """The place of a row's class, from 0; -1 for others."""
+    return (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target).cast("string")) - 1).cast("double")
 
 
-def labelled(df: DataFrame, spec: Spec) -> DataFrame:
-    df = df.filter(F.col(spec.target).isNotNull())
+def training_rows(df: DataFrame, spec: Spec) -> tuple[DataFrame, tuple[str, ...], dict[str, float]]:
+    """(features, label, weight and, to calibrate, key of the rows with a target; classes; class weights)."""
+    df, classes, weights = df.filter(F.col(spec.target).isNotNull()), (), {}
+    weight = F.col(spec.weight).cast("double") if spec.weight else F.lit(1.0)
     if spec.task == "classification":
-        return df.withColumn("_target", F.col(spec.target).cast("string"))
-    return df.withColumn(LABEL, F.col(spec.target).cast("double"))
+        counts = class_counts(df, spec.target)
+        classes, weights = tuple(counts), resolved_weights(spec, counts)
+        label = class_place(spec.target, classes)
+        if weights:
+            weight = weight * F.get(F.array(*[F.lit(weights[c]) for c in classes]), label.cast("int"))
+    else:
+        label = F.col(spec.target).cast("double")
+    keyed = [F.col(spec.key).alias(KEY)] if spec.calibrate else []
+    rows = with_features(df, spec).select(FEATURES, label.alias(LABEL), weight.alias(WEIGHT), *keyed)
+    return rows, classes, weights
 
 
-@dataclass(frozen=True)
-class Fitted:
-    """A model with its score contract: classes in the order of the probabilities."""
+def with_features(df: DataFrame, spec: Spec) -> DataFrame:
+    return VectorAssembler(inputCols=list(spec.features), outputCol=FEATURES, handleInvalid="error").transform(df)
 
-    spec: Spec
-    model: Model
-    classes: tuple[str, ...] = ()
 
-
-def without_summary(model: PipelineModel, df: DataFrame) -> PipelineModel:
+def without_summary(model: Model, df: DataFrame) -> Model:
     """The model as it comes back from a saved file: without the summary of its training, which holds the session and the training rows and would go to every task that scores."""
-    learner = model.stages[-1]
-    if not getattr(learner, "hasSummary", False):
+    if not getattr(model, "hasSummary", False):
         return model
-    path = f"{shared_folder(df.sparkSession)}/model-{uuid.uuid4().hex[:12]}"
-    learner.save(path)
-    return PipelineModel([*model.stages[:-1], type(learner).load(path)])
+    path = scratch_path(df.sparkSession, "model")
+    model.save(path)
+    return type(model).load(path)
+
+
+def margin(spec: Spec, place: int) -> Column:
+    """What speaks for the second class of a model of two."""
+    return F.get(vector_to_array(f"_rawPredictionCol_{place}"), F.lit(1))
+
+
+def calibrated(rows: DataFrame, spec: Spec, models: Sequence[Model], classes: Sequence[str]) -> tuple[tuple[float, float], ...]:
+    """Slope and intercept of the log odds over the margins of rows that the models haven't seen."""
+    out = []
+    for i, model in enumerate(models):
+        hit = (F.col(LABEL) == (i if len(models) > 1 else 1)).cast("double")
+        pairs = model.transform(rows).select(array_to_vector(F.array(margin(spec, i))).alias("m"), hit.alias("y"))
+        odds = LogisticRegression(featuresCol="m", labelCol="y", tol=1e-9).fit(pairs)
+        out.append((float(odds.coefficients[0]), float(odds.intercept)))
+    return tuple(out)
 
 
 def fit(df: DataFrame, spec: Spec) -> Fitted:
-    rows = labelled(df, spec).select(*spec.features, "_target" if spec.task == "classification" else LABEL).persist()  # read once for each iteration
+    if spec.calibrate and (spec.algorithm != "linear_svc" or not spec.key):
+        raise ValueError("calibrate is for linear_svc and needs a key")
+    rows, classes, weights = training_rows(df, spec)
+    rows = rows.persist()  # read once for each iteration
     try:
-        model = without_summary(pipeline(spec).fit(rows), rows)
+        later = unit_hash(F.col(KEY), CALIBRATION_SEED) < spec.calibrate
+        seen = rows.filter(~later) if spec.calibrate else rows
+        if spec.task == "classification" and spec.algorithm in TWO_CLASSES and len(classes) > 2:
+            each = [learner(spec, i).fit(seen.withColumn(LABEL, (F.col(LABEL) == i).cast("double"))) for i in range(len(classes))]
+        else:
+            each = [learner(spec).fit(seen)]
+        models = tuple(without_summary(m, rows) for m in each)
+        calibration = calibrated(rows.filter(later), spec, models, classes) if spec.calibrate else ()
     finally:
         rows.unpersist()
-    return Fitted(spec, model, tuple(model.stages[1].labels) if spec.task == "classification" else ())
+    return Fitted(spec, models, classes, weights, calibration)
 
 
-def score(df: DataFrame, fitted: Fitted, row_id: str, keep: Sequence[str] = ()) -> DataFrame:
-    """row_id, prediction, prediction_score, probability_<class> ... and the columns to keep. The row id must be given and unique."""
-    assert_unique_key(df, [row_id])
-    model, spec = fitted.model, fitted.spec
-    out = model.stages[0].transform(df)
-    out = model.stages[-1].transform(out)
+def by_class(fitted: Fitted) -> Column:
+    """An array with what each class scores: probabilities that sum to 1, or margins of a learner that gives only these."""
+    spec, places = fitted.spec, range(len(fitted.models))
+    if fitted.calibration:
+        shares = [1 / (1 + F.exp(-(margin(spec, i) * a + b))) for i, (a, b) in zip(places, fitted.calibration, strict=True)]
+        each = F.array(*shares) if fitted.one_against_rest else F.array(1 - shares[0], shares[0])
+    elif fitted.one_against_rest:
+        each = F.array(*[F.get(vector_to_array(f"_probabilityCol_{i}"), F.lit(1)) if fitted.has_probabilities else margin(spec, i) for i in places])
+    else:
+        return vector_to_array("_probabilityCol_0" if fitted.has_probabilities else "_rawPredictionCol_0")
+    if not (fitted.one_against_rest and fitted.has_probabilities):
+        return each
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(each, lambda x: x / total)).otherwise(F.array_repeat(F.lit(1.0 / len(fitted.classes)), len(fitted.classes)))
+
+
+def predicted(df: DataFrame, fitted: Fitted) -> DataFrame:
+    """df with prediction, prediction_score and, of models that give probabilities, _shares (an array by class)."""
+    out, spec = with_features(df, fitted.spec), fitted.spec
+    for model in fitted.models:
+        out = model.transform(out)
+    made = [FEATURES, *[f"_{c}_{i}" for i in range(len(fitted.models)) for c in ("predictionCol", "rawPredictionCol", "probabilityCol")]]
     if spec.task == "regression":
-        return out.select(row_id, F.col("prediction").alias("prediction"), F.col("prediction").alias("prediction_score"), *keep)
+        return out.withColumn("prediction", F.col("_predictionCol_0")).withColumn("prediction_score", F.col("prediction")).drop(*made)
+    out = out.withColumn("_shares", by_class(fitted))
+    place = F.array_position("_shares", F.array_max("_shares")) - 1
     names = F.array(*[F.lit(c) for c in fitted.classes])
-    predicted = F.get(names, F.col("prediction").cast("int"))
-    source = "probability" if "probability" in out.columns else "rawPrediction"
-    p = vector_to_array(source)
-    each = [F.get(p, F.lit(i)).alias(f"probability_{c}") for i, c in enumerate(fitted.classes)]
-    best = F.get(p, F.lit(1)) if len(fitted.classes) == 2 else F.array_max(p)
-    return out.select(row_id, predicted.alias("_p"), best.alias("prediction_score"), *each, *keep).withColumnRenamed("_p", "prediction")
+    score = F.get("_shares", F.lit(1)) if len(fitted.classes) == 2 else F.array_max("_shares")
+    out = out.withColumn("prediction", F.get(names, place.cast("int"))).withColumn("prediction_score", score)
+    return out.drop(*made, *([] if fitted.has_probabilities else ["_shares"]))
+
+
+def score(df: DataFrame, fitted: Fitted, row_id: str, keep: Sequence[str] = ()) -> DataFrame:
+    """row_id, prediction, prediction_score, probability_<class> ... and the columns to keep. The row id must be given and unique.
+
+    prediction_score is that of the second of two classes, or else of the predicted one. A model that gives only margins has no probability columns, and its score is a margin."""
+    assert_unique_key(df, [row_id])
+    names = [*fitted.spec.features, row_id, *keep]
+    out = predicted(df.select(*dict.fromkeys(names)), fitted)
+    each = [F.get("_shares", F.lit(i)).alias(f"probability_{c}") for i, c in enumerate(fitted.classes)] if fitted.has_probabilities else []
+    return out.select(row_id, "prediction", "prediction_score", *each, *keep)
 
 
 def baseline(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -142,61 +266,83 @@ def in_flight(df: DataFrame, actual: str, prediction: str, task: str) -> DataFra
     return df.agg(F.count("*").alias("n"), F.avg(F.abs(r)).alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"), (1 - F.try_divide(F.sum(r * r), F.var_pop(a) * F.count(a))).alias("r2"))
 
 
-def evaluator(spec: Spec, classes: int = 2) -> Evaluator:
-    """ROC AUC for two classes, F1 for more, RMSE for numbers."""
-    if spec.task == "regression":
-        return RegressionEvaluator(labelCol=LABEL, metricName="rmse")
-    if classes == 2 and spec.algorithm != "mlp":
-        return BinaryClassificationEvaluator(labelCol=LABEL)
-    return MulticlassClassificationEvaluator(labelCol=LABEL, metricName="f1")
+def default_metric(task: str, classes: int) -> str:
+    """ROC AUC for two classes, macro F1 for more, RMSE for numbers."""
+    return "rmse" if task == "regression" else "roc_auc" if classes == 2 else "f1_macro"
 
 
-def parameter_maps(spec: Spec, space: Mapping[str, Sequence[Any]], n: int | None = None, seed: int = 42) -> tuple[Pipeline, list]:
-    """All combinations of the space, or n of them drawn with a seed."""
-    pipe = pipeline(spec)
-    learner = pipe.getStages()[-1]
-    grid = ParamGridBuilder()
-    for name, values in space.items():
-        grid = grid.addGrid(learner.getParam(name), list(values))
-    maps = grid.build()
-    if n is not None and n < len(maps):
-        maps = random.Random(seed).sample(maps, n)
-    return pipe, maps
-
-
-def search(df: DataFrame, spec: Spec, space: Mapping[str, Sequence[Any]], folds: int | str | None = None, n: int | None = None, seed: int = 42) -> tuple[Fitted, DataFrame]:
-    """(best model fitted on all rows, params and score of each candidate). folds: a number, a fold column (0, 1 ...), or None for one holdout."""
-    rows = labelled(df, spec).persist()
-    pipe, maps = parameter_maps(spec, space, n, seed)
-    classes = rows.select("_target").distinct().limit(3).count() if spec.task == "classification" else 0
-    judge = evaluator(spec, classes)
-    if folds is None:
-        tuner = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=judge, trainRatio=0.8, seed=seed)
-    elif isinstance(folds, str):
-        k = rows.agg(F.max(folds)).first()[0] + 1
-        tuner = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=judge, numFolds=k, foldCol=folds, parallelism=2)
+def is_better(metric: str, one: float, other: float) -> bool:
+    return one < other if metric in ("rmse", "mae") else one > other
+
+
+def measured(scored: DataFrame, fitted: Fitted, metric: str) -> float:
+    """The metric over rows with a target and a prediction; sums and counts only."""
+    target = fitted.spec.target
+    if metric in CLASS_METRICS:
+        found = ev.classification_summary(scored, target, "prediction").first()[CLASS_METRICS[metric]]
+    elif metric in NUMBER_METRICS:
+        found = ev.regression_summary(scored, target, "prediction").first()[NUMBER_METRICS[metric]]
+    elif metric == "roc_auc" and len(fitted.classes) == 2:
+        found = ev.ranking(scored, target, "prediction_score", fitted.classes[1]).first()["roc_auc"]
     else:
-        tuner = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, seed=seed, parallelism=2)
+        raise ValueError(f"{metric} can't judge {fitted.spec.algorithm} of {len(fitted.classes)} classes")
+    return math.nan if found is None else float(found)
+
+
+def combinations(space: Mapping[str, Sequence[Any]], n: int | None = None, seed: int = 42) -> list[dict[str, Any]]:
+    """All combinations of the space, or n of them drawn with a seed."""
+    every = [dict(zip(space, values, strict=True)) for values in product(*space.values())]
+    return random.Random(seed).sample(every, n) if n is not None and n < len(every) else every
+
+
+def fold_scores(df: DataFrame, spec: Spec, space: Mapping[str, Sequence[Any]], fold: str, metric: str | None = None, n: int | None = None, seed: int = 42, only: Sequence[int] | None = None) -> DataFrame:
+    """params, cv_fold, evaluated, score of each combination on each fold (or only some), learned from the rows of the others; the metric is the same for all."""
+    rows, out = df.filter(F.col(spec.target).isNotNull()).persist(), []
     try:
-        found = tuner.fit(rows)
-        best = without_summary(found.bestModel, rows)
+        sizes = {r[fold]: r["n"] for r in rows.groupBy(fold).agg(F.count("*").alias("n")).collect()}  # a row for each fold
+        metric = metric or default_metric(spec.task, len(class_counts(rows, spec.target)) if spec.task == "classification" else 0)
+        for params in combinations(space, n, seed):
+            shown = ", ".join(f"{k}={v}" for k, v in sorted(params.items()))
+            for f in sorted(sizes if only is None else only):
+                fitted = fit(rows.filter(F.col(fold) != f), replace(spec, params={**spec.params, **params}))
+                out.append((shown, f, sizes[f], measured(predicted(rows.filter(F.col(fold) == f), fitted), fitted, metric)))
     finally:
         rows.unpersist()
-    scores = found.validationMetrics if folds is None else found.avgMetrics
-    shown = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(s)) for m, s in zip(maps, scores, strict=True)]
-    classes_of = tuple(best.stages[1].labels) if spec.task == "classification" else ()
-    return Fitted(spec, best, classes_of), df.sparkSession.createDataFrame(shown, "params string, score double")
-
-
-def compare(train: DataFrame, holdout: DataFrame, specs: Sequence[Spec]) -> tuple[Fitted, DataFrame]:
-    """(the best of several algorithms, fitted again on all rows; algorithm and score of each on the holdout)."""
-    scores = []
-    for spec in specs:
-        judge = evaluator(spec)
-        scores.append((spec.algorithm, float(judge.evaluate(fit(train, spec).model.transform(labelled(holdout, spec))))))
-    sign = 1 if evaluator(specs[0]).isLargerBetter() else -1
-    best = max(range(len(specs)), key=lambda i: sign * scores[i][1])
-    return fit(train.unionByName(holdout), specs[best]), train.sparkSession.createDataFrame(scores, "algorithm string, score double")
+    return df.sparkSession.createDataFrame(out, "params string, cv_fold int, evaluated long, score double")
+
+
+def search(
+    df: DataFrame, spec: Spec, space: Mapping[str, Sequence[Any]], folds: int | str | None = None, n: int | None = None, seed: int = 42, metric: str | None = None
+) -> tuple[Fitted, DataFrame]:
+    """(best model fitted on all rows; params, score (mean over folds), sd and folds of each candidate). folds: a number, a fold column (0, 1 ...), or None for one holdout of a fifth.
+    Without a column rows are dealt by a hash of features and target, so equal rows share a fold."""
+    dealt, only = folds, None
+    if not isinstance(folds, str):
+        dealt, only = "_fold", None if folds else [0]
+        df = df.withColumn(dealt, F.pmod(F.xxhash64(F.lit(seed), *spec.features, spec.target), F.lit(folds or 5)).cast("int"))
+    metric = metric or default_metric(spec.task, len(class_counts(df, spec.target)) if spec.task == "classification" else 0)
+    scores = fold_scores(df, spec, space, dealt, metric, n, seed, only)
+    table = scores.groupBy("params").agg(F.avg("score").alias("score"), F.stddev("score").alias("sd"), F.count("*").alias("folds"))
+    means = {r["params"]: r["score"] for r in table.collect()}  # a row for each candidate
+    best = None
+    for params in combinations(space, n, seed):
+        mean = means[", ".join(f"{k}={v}" for k, v in sorted(params.items()))]
+        if best is None or is_better(metric, mean, best[0]):
+            best = (mean, params)
+    return fit(df, replace(spec, params={**spec.params, **best[1]})), table
+
+
+def compare(train: DataFrame, holdout: DataFrame, specs: Sequence[Spec], metric: str | None = None) -> tuple[Fitted, DataFrame]:
+    """(the best of several algorithms, fitted again on all rows; algorithm, metric and score of each on the holdout). One metric judges all."""
+    scores, best = [], None
+    for i, spec in enumerate(specs):
+        fitted = fit(train, spec)
+        metric = metric or default_metric(spec.task, len(fitted.classes))
+        found = measured(predicted(holdout.filter(F.col(spec.target).isNotNull()), fitted), fitted, metric)
+        scores.append((spec.algorithm, metric, found))
+        if best is None or is_better(metric, found, scores[best][2]):
+            best = i
+    return fit(train.unionByName(holdout), specs[best]), train.sparkSession.createDataFrame(scores, "algorithm string, metric string, score double")
 
 
 def shuffled(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
@@ -208,15 +354,15 @@ def shuffled(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
     return a.join(b, F.col("_n") == F.col("_m")).drop("_n", "_m")
 
 
-def permutation_importance(df: DataFrame, fitted: Fitted, key: str, sample: int | None = 256, repeats: int = 3, seed: int = 7) -> DataFrame:
+def permutation_importance(df: DataFrame, fitted: Fitted, key: str, sample: int | None = 256, repeats: int = 3, seed: int = 7, metric: str | None = None) -> DataFrame:
     """feature, importance: how much the score falls when the feature is shuffled. sample=None takes all rows."""
-    rows = labelled(hash_sample(df, key, seed, sample) if sample else df, fitted.spec)
-    judge = evaluator(fitted.spec, len(fitted.classes))
-    sign = 1 if judge.isLargerBetter() else -1
-    whole = judge.evaluate(fitted.model.transform(rows))
+    rows = (hash_sample(df, key, seed, sample) if sample else df).filter(F.col(fitted.spec.target).isNotNull())
+    metric = metric or default_metric(fitted.spec.task, len(fitted.classes))
+    sign = -1 if metric in ("rmse", "mae") else 1
+    whole = measured(predicted(rows, fitted), fitted, metric)
     out = []
     for c in fitted.spec.features:
-        drops = [sign * (whole - judge.evaluate(fitted.model.transform(shuffled(rows, c, key, seed + 10 * r)))) for r in range(repeats)]
+        drops = [sign * (whole - measured(predicted(shuffled(rows, c, key, seed + 10 * r), fitted), fitted, metric)) for r in range(repeats)]
         out.append((c, float(sum(drops) / repeats)))
     return df.sparkSession.createDataFrame(out, "feature string, importance double")
 

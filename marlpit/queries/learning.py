@@ -180,19 +180,25 @@ def r4_inferred_positive(spark: SparkSession, d: str) -> DataFrame:
 
 _SPLIT = f"s AS (SELECT *, {h('o_orderkey', 42)} % 1000000 / 1000000.0 AS u FROM o)"
 _FLAGS = f"""o AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'other' END AS label, CAST(o_totalprice > 150000 AS DOUBLE) AS dear, CAST(o_orderdate < TIMESTAMP '1995-06-01' AS DOUBLE) AS old,
-CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS DOUBLE) AS urgent, CASE WHEN (o_orderdate < TIMESTAMP '1995-06-01') = ({h('o_orderkey', 9)} % 10 < 8) THEN 'yes' ELSE 'no' END AS noisy, o_totalprice / 1000 AS price, CAST(datediff('day', o_orderdate, TIMESTAMP '1999-01-01') AS DOUBLE) AS age FROM orders), {_SPLIT},
+CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS DOUBLE) AS urgent, CASE WHEN (o_orderdate < TIMESTAMP '1995-06-01') = ({h('o_orderkey', 9)} % 10 < 8) THEN 'yes' ELSE 'no' END AS noisy,
+CASE WHEN {h('o_orderkey', 12)} % 10 < 2 THEN substr('abc', CAST({h('o_orderkey', 13)} % 3 AS INT) + 1, 1) WHEN o_orderdate < TIMESTAMP '1995-06-01' THEN 'a' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'b' ELSE 'c' END AS trio,
+CASE WHEN {h('o_orderkey', 14)} % 10 < CASE WHEN o_orderdate < TIMESTAMP '1995-06-01' THEN 3 ELSE 1 END THEN 'yes' ELSE 'no' END AS scarce, o_totalprice / 1000 AS price, CAST(datediff('day', o_orderdate, TIMESTAMP '1999-01-01') AS DOUBLE) AS age FROM orders), {_SPLIT},
 tr AS (SELECT * FROM s WHERE u >= 0.3), te AS (SELECT * FROM s WHERE u < 0.2)"""
 
 
 def flags(spark: SparkSession, d: str) -> DataFrame:
-    """orders with a class, three flags and two numbers, split by a hash."""
+    """orders with classes, three flags and two numbers, split by a hash. noisy follows the age in four of five rows, trio a cell of two flags; scarce has few rows of one class."""
     df = read(spark, d, "orders")
     is_true = {"dear": F.col("o_totalprice") > 150000, "old": F.col("o_orderdate") < "1995-06-01", "urgent": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")}
     df = df.withColumns({c: x.cast("double") for c, x in is_true.items()} | {"price": F.col("o_totalprice") / 1000, "age": F.datediff(F.lit("1999-01-01"), "o_orderdate").cast("double")})
     df = df.withColumn("label", F.when(F.col("o_orderstatus") == "F", "F").otherwise("other"))
     mostly = F.pmod(portable_hash(F.col("o_orderkey"), F.lit(9)), F.lit(10)) < 8
     df = df.withColumn("noisy", F.when((F.col("old") == 1) == mostly, "yes").otherwise("no"))
-    return pinned(sp.random_split(df.select("o_orderkey", "o_totalprice", "label", "noisy", "dear", "old", "urgent", "price", "age"), "o_orderkey"))
+    drawn = lambda seed, m: F.pmod(portable_hash(F.col("o_orderkey"), F.lit(seed)), F.lit(m))
+    cell = F.when(F.col("old") == 1, "a").when(F.col("urgent") == 1, "b").otherwise("c")
+    df = df.withColumn("trio", F.when(drawn(12, 10) < 2, F.get(F.array(*map(F.lit, "abc")), drawn(13, 3).cast("int"))).otherwise(cell))
+    df = df.withColumn("scarce", F.when(drawn(14, 10) < F.when(F.col("old") == 1, 3).otherwise(1), "yes").otherwise("no"))
+    return pinned(sp.random_split(df.select("o_orderkey", "o_totalprice", "label", "noisy", "trio", "scarce", "dear", "old", "urgent", "price", "age"), "o_orderkey"))
 
 
 def scored(spark: SparkSession, d: str, spec: mo.Spec) -> DataFrame:
@@ -240,6 +246,82 @@ def m6_tree_rates(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", "prediction", F.round("prediction_score", 6).alias("prediction_score"))
 
 
+_CELLS = "old, urgent"
+_TRIO = f"r AS (SELECT {_CELLS}, " + ", ".join(f"1 / (1 + exp(-2 * (2 * avg((trio = '{c}')::INT) - 1))) AS p{c}" for c in "abc") + " FROM tr GROUP BY ALL)"
+
+
+@register(f"""WITH {_FLAGS}, {_TRIO}, q AS (SELECT {_CELLS}, pa / (pa + pb + pc) AS a, pb / (pa + pb + pc) AS b, pc / (pa + pb + pc) AS c FROM r)
+SELECT o_orderkey, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS prediction, round(greatest(a, b, c), 6) AS prediction_score,
+round(a, 6) AS probability_a, round(b, 6) AS probability_b, round(c, 6) AS probability_c FROM te JOIN q USING ({_CELLS})""")
+def m6_boosting_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Three classes by boosting, one against the rest each. The one tree of a single round has the mean of -1 and 1 of each cell in its leaf."""
+    return rounded(scored(spark, d, mo.Spec("classification", "trio", ("old", "urgent"), "gradient_boosting", {"maxIter": 1, "maxDepth": 2})).drop("dear"))
+
+
+_MAJORITY = f"m AS (SELECT {_CELLS}, max_by(trio, n) AS prediction FROM (SELECT {_CELLS}, trio, count(*) AS n FROM tr GROUP BY ALL) GROUP BY ALL)"
+
+
+@register(f"WITH {_FLAGS}, {_MAJORITY} SELECT o_orderkey, prediction, 1.0::DOUBLE AS total, true AS inside FROM te JOIN m USING ({_CELLS})")
+def m3_svc_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Three classes by linear SVC with calibrated probabilities: the prediction is each cell's usual class, probabilities lie between 0 and 1 and sum to 1."""
+    out = scored(spark, d, mo.Spec("classification", "trio", ("old", "urgent"), "linear_svc", {"maxIter": 15}, calibrate=0.3, key="o_orderkey"))
+    shares = [F.col(f"probability_{c}") for c in "abc"]
+    return out.select("o_orderkey", "prediction", F.round(sum(shares[1:], shares[0]), 6).alias("total"), F.forall(F.array(*shares), lambda x: x.between(0, 1)).alias("inside"))
+
+
+@register(f"""WITH {_FLAGS}, r AS (SELECT old, avg((noisy = 'yes')::INT) AS p FROM tr WHERE {h('o_orderkey', 11)} % 1000000 / 1000000.0 < 0.3 GROUP BY 1)
+SELECT o_orderkey, CASE WHEN p > 0.5 THEN 'yes' ELSE 'no' END AS prediction, round(p, 3) AS prediction_score, round(1 - p, 3) AS probability_no, round(p, 3) AS probability_yes FROM te JOIN r ON r.old = te.old""")
+def m13_calibrated_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Of two margins the calibration learns the rates of the rows that were held out for it."""
+    return rounded(scored(spark, d, mo.Spec("classification", "noisy", ("old",), "linear_svc", {"maxIter": 15}, calibrate=0.3, key="o_orderkey")).drop("dear"), 3)
+
+
+_BALANCED = f"""WITH {_FLAGS}, n AS (SELECT count(*) AS n, count_if(scarce = 'yes') AS y FROM tr), w AS (SELECT n / (2.0 * y) AS wy, n / (2.0 * (n - y)) AS wn FROM n),
+r AS (SELECT old, sum(CASE WHEN scarce = 'yes' THEN wy ELSE 0 END) / sum(CASE WHEN scarce = 'yes' THEN wy ELSE wn END) AS p FROM tr, w GROUP BY 1)
+SELECT o_orderkey, CASE WHEN p > 0.5 THEN 'yes' ELSE 'no' END AS prediction, round(p, DIGITS) AS prediction_score FROM te JOIN r ON r.old = te.old"""
+
+
+@register(_BALANCED.replace("DIGITS", "6"))
+def a7_weighted_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Balanced class weights in a tree: the leaves of a flag have weighted rates."""
+    out = scored(spark, d, mo.Spec("classification", "scarce", ("old",), "decision_tree", {"maxDepth": 2}, class_weight="balanced"))
+    return rounded(out.select("o_orderkey", "prediction", "prediction_score"))
+
+
+@register(_BALANCED.replace("DIGITS", "3"))
+def a7_weighted_logistic(spark: SparkSession, d: str) -> DataFrame:
+    out = scored(spark, d, mo.Spec("classification", "scarce", ("old",), "logistic", {"tol": 1e-9}, class_weight="balanced"))
+    return rounded(out.select("o_orderkey", "prediction", "prediction_score"), 3)
+
+
+def _macro_f1(rows: str, by: str) -> str:
+    """SQL: macro F1 of (actual, p) by some keys; labels that are only predicted count as 0."""
+    sides = f"SELECT {by}, actual AS label, 1 AS s, 0 AS q, (actual = p)::INT AS h FROM {rows} UNION ALL SELECT {by}, p, 0, 1, 0 FROM {rows}"
+    return f"SELECT {by}, avg(f1) AS score FROM (SELECT {by}, label, 2.0 * sum(h) / (sum(s) + sum(q)) AS f1 FROM ({sides}) GROUP BY {by}, label) GROUP BY {by}"
+
+
+@register(f"""WITH {_FLAGS}, f AS (SELECT *, CAST({h('o_orderkey', 42)} % 3 AS INT) AS cv_fold FROM o), g AS (SELECT cv_fold, old, noisy, count(*) AS n FROM f GROUP BY ALL),
+t AS (SELECT k.cv_fold, old, noisy, sum(n) AS n FROM g JOIN (SELECT DISTINCT cv_fold FROM g) k ON k.cv_fold <> g.cv_fold GROUP BY ALL),
+one AS (SELECT cv_fold, old, max_by(noisy, n) AS p FROM t GROUP BY ALL), none AS (SELECT cv_fold, max_by(noisy, n) AS p FROM (SELECT cv_fold, noisy, sum(n) AS n FROM t GROUP BY ALL) GROUP BY ALL),
+x AS (SELECT 'maxDepth=0' AS params, cv_fold, noisy AS actual, p FROM f JOIN none USING (cv_fold) UNION ALL SELECT 'maxDepth=1', cv_fold, noisy, p FROM f JOIN one USING (cv_fold, old)),
+n AS (SELECT params, cv_fold, count(*) AS evaluated FROM x GROUP BY ALL)
+SELECT params, cv_fold, evaluated, round(score, 6) AS score FROM ({_macro_f1('x', 'params, cv_fold')}) JOIN n USING (params, cv_fold)""")
+def m9_fold_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A search over the depth of a tree of one flag: macro F1 of every fold, learned from the other folds."""
+    df = sp.folds(flags(spark, d), "o_orderkey", 3)
+    return rounded(mo.fold_scores(df, mo.Spec("classification", "noisy", ("old",), "decision_tree"), {"maxDepth": [0, 1]}, sp.FOLD, "f1_macro"))
+
+
+@register(f"""WITH {_FLAGS}, {_MAJORITY}, x AS (SELECT algorithm, trio AS actual, prediction AS p FROM s JOIN m USING ({_CELLS}), (SELECT unnest(['logistic', 'decision_tree', 'gradient_boosting', 'mlp']) AS algorithm) WHERE u >= 0.2 AND u < 0.3)
+SELECT algorithm, 'f1_macro' AS metric, round(score, 6) AS score FROM ({_macro_f1('x', 'algorithm')})""")
+def m10_compare_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Four algorithms of three classes, one of them a network, under one metric. All learn each cell's usual class."""
+    df = flags(spark, d)
+    params = {"logistic": {}, "decision_tree": {"maxDepth": 2}, "gradient_boosting": {"maxIter": 2, "maxDepth": 2}, "mlp": {"layers": [2, 5, 3], "maxIter": 60}}
+    specs = [mo.Spec("classification", "trio", ("old", "urgent"), a, p) for a, p in params.items()]
+    return rounded(mo.compare(df.filter("split_role = 'training'"), df.filter("split_role = 'validation'"), specs)[1])
+
+
 @register(f"""WITH {_FLAGS}, e AS (SELECT 1e-9 * greatest(var_pop(price), var_pop(age)) AS e FROM tr), c AS (SELECT label, ln(count(*) / (SELECT count(*) FROM tr)) AS prior, avg(price) AS mp, var_pop(price) + any_value(e) AS vp, avg(age) AS ma, var_pop(age) + any_value(e) AS va FROM tr, e GROUP BY 1),
 l AS (SELECT o_orderkey, label, prior - 0.5 * (ln(vp) + (price - mp) ** 2 / vp + ln(va) + (age - ma) ** 2 / va) AS l FROM (SELECT o_orderkey, price, age FROM te), c)
 SELECT o_orderkey, max_by(label, l) AS prediction FROM l GROUP BY 1""")
