@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.functions.lineage import shared_folder
+from marlpit.functions.lineage import drop_scratch, hadoop_path, scratch_path
 from marlpit.shipping import ship_package
 
+__all__ = ["drop_scratch", "hadoop_path", "scratch_path"]  # used here, and by those who come for them here
 #: Words are maximal runs of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is heavy if it holds more than one in HEAVY_SHARE of all rows, so there are at most HEAVY_SHARE heavy keys.
@@ -29,10 +28,6 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/marlpit-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: later steps don't recompute it and outlive lost executors.
     rows, where the caller has an idea of their number, keeps a small table of narrow rows from becoming hundreds of tiny files."""
@@ -63,18 +58,6 @@ def free_prefix(df: DataFrame) -> str:
     return prefix
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop, which also reaches stores that only Spark can open."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this application; call when its results have been read."""
-    fs, where = hadoop_path(spark, f"{shared_folder(spark)}/marlpit-{spark.sparkContext.applicationId}")
-    fs.delete(where, True)
-
-
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

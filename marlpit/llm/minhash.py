@@ -87,11 +87,11 @@ def likely_signatures(similarity: float):
     return likely
 
 
-def shared_buckets(sets: DataFrame, n: int, rows: int) -> DataFrame:
-    """key, sid, n (members) of tables' buckets that at least two sets share, one of each that have the same members. sets: sid, halves (rows of them); n: how many."""
+def shared_buckets(sets: DataFrame, n: int) -> DataFrame:
+    """key, sid, n (members) of tables' buckets that at least two sets share, one of each that have the same members. sets: sid, halves; n: how many."""
     each = sets.select("sid", F.posexplode("halves").alias("at", "half"))
     counted = each.groupBy("half").agg(F.count("*").alias("_n")).filter("_n > 1")
-    counted = materialize(counted, "halves-shared", rows)
+    counted = materialize(counted, "halves-shared")
     mine = heavy_safe_join(each, counted, "half", 2 * GROUPS * n, "_n")
     sides = [F.collect_list(F.when(side, F.col("half"))) for side in (F.col("at") < GROUPS, F.col("at") >= GROUPS)]
     tables = mine.groupBy("sid").agg(sides[0].alias("one"), sides[1].alias("two"))  # GROUPS of each at most
@@ -99,7 +99,7 @@ def shared_buckets(sets: DataFrame, n: int, rows: int) -> DataFrame:
     filled = materialize(tables.select(F.xxhash64("one", "two").alias("key"), "sid"), "tables")
     members = [F.bit_xor(F.xxhash64("sid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("x2")]
     chosen = filled.groupBy("key").agg(F.count("*").alias("n"), *members).filter("n > 1").groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
-    chosen = materialize(chosen.select("key", "n", F.col("n").alias("_n")), "buckets", rows)
+    chosen = materialize(chosen.select("key", "n", F.col("n").alias("_n")), "buckets")
     most, total = chosen.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return heavy_safe_join(filled, chosen, "key", total, "_n") if most > heavy_bound(total) else filled.join(chosen.drop("_n"), "key")
 
@@ -108,7 +108,7 @@ def candidate_links(sets: DataFrame, similarity: float, tile: int = TILE) -> Dat
     """Links (a, b) between fp of sets (fp, halves) that share a bucket and agree, thinned to a forest in each bucket (or pair of a large one's tiles)."""
     sets = materialize(sets.withColumn("sid", F.xxhash64("fp")), "sets")  # two sets with one sid would both take its places
     n = sets.count()
-    found = shared_buckets(sets, n, n)
+    found = shared_buckets(sets, n)
     tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("sid", F.lit(3)), F.col("tiles")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct(F.least("tile", u).alias("t"), F.greatest("tile", u).alias("u"), (F.col("tile") > u).alias("second")))
