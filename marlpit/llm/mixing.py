@@ -133,11 +133,11 @@ def mix_sources(
 
 
 def mixed_documents(pieces: DataFrame) -> DataFrame:
-    """What the mix takes of each document: row, doc_id, source, size, source_size, target, taken."""
+    """What the mix takes of each document: row, doc_id, size, source_size, target, taken, source."""
     rows = pieces.groupBy("sidx", "bucket", "nth").agg(
         *[F.first(c).alias(c) for c in ("row", "doc_id", "source", "size", "source_size", "target")], F.sum("words").alias("taken")
     )
-    return rows.drop("sidx", "bucket", "nth")
+    return rows.select("row", "doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def with_mix(docs: DataFrame, **options) -> DataFrame:
@@ -165,8 +165,8 @@ s6 AS (SELECT *, CAST(round(target) AS BIGINT) AS words FROM s5),
 o AS (SELECT d.doc_id, d.source, d.size, s6.source_size, s6.target, s6.words,
              SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.pos, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS off
       FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source)
-SELECT doc_id, source, size, source_size, target,
+SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0
-            ELSE size * (words // source_size) + greatest(0, least(off + size, words % source_size) - off) END AS BIGINT) AS taken
+            ELSE size * (words // source_size) + greatest(0, least(off + size, words % source_size) - off) END AS BIGINT) AS taken, source
 FROM o
 """

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import heavy_bound, heavy_safe_join, map_arrow, materialize
+from marlpit.llm.common import free_names, heavy_bound, heavy_safe_join, map_arrow, materialize
 
 #: Fingerprints in a tile, on average.
 TILE = 4096
@@ -369,5 +369,6 @@ def near_duplicates(docs: DataFrame, similarity: float = STAGE_SIMILARITY, tile:
 
 def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of docs but those whose id isn't its group's smallest. Rows with one id are one document; rows without an id stay."""
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = free_names(docs, "_gone")
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

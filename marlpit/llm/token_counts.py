@@ -5,7 +5,7 @@ buckets of the document id) and ``totals`` (their sums by source, language and t
 delete adds the document's rows with the sign turned, a revision does both; equal rows of opposite sign cancel. Totals are sums
 of sums, so reading them never touches documents, and a batch reads only the buckets that its ids fall in. A batch is written
 beside the ledger and renamed into place, which makes it take effect as a whole; committing an id that is there already does
-nothing, so a batch can be replayed after a failure. Many batches are compacted into a snapshot in the same way. One writer at a time.
+nothing, so a batch can be replayed after a failure. The rename takes effect at once on file systems that rename folders so (HDFS, local disks), not on object stores. Many batches are compacted into a snapshot in the same way. One writer at a time.
 
 Defined results: null and empty texts count as documents of 0 tokens; null sources and languages are groups of their own; a
 batch deletes before it inserts, so an id in both is a revision; rows with equal ids in one batch each count, and a later delete
@@ -182,8 +182,13 @@ def later_copies(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """The documents whose texts have numbers, each run of digits turned into one zero: revisions for a ledger that counted them as they were."""
-    return docs.filter(F.col("text").rlike("[0-9]")).withColumn("text", F.regexp_replace("text", "[0-9]+", "0"))
+    """Revisions for a ledger that counted the documents as they were: of each id with numbers in a text all its rows, each run of digits turned into one zero.
+    Rows without an id can't be revised and are left out."""
+    per = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"), F.coalesce(F.bool_or(F.col("text").rlike("[0-9]")), F.lit(False)).alias("_some"))
+    some = materialize(per.filter("_some").drop("_some"), "numbered")
+    total = some.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    rows = heavy_safe_join(docs.select("doc_id", "source", "lang", "text"), some, "doc_id", total, "_n")
+    return rows.withColumn("text", F.regexp_replace("text", "[0-9]+", "0"))
 
 
 def new_ledger(spark: SparkSession) -> TokenLedger:

@@ -160,6 +160,9 @@ def test_near_duplicate_stage(spark):
     groups = simhash.near_duplicates(df)
     assert {r.doc_id: r.component_id for r in groups.collect()} == {3: 3, 4: 3, 5: 5, 6: 3, 7: 7}
     assert sorted(r.doc_id for r in simhash.first_of_groups(df, groups).collect()) == [3, 5, 7]
+    clashing = df.withColumn("_gone", F.lit("x")).withColumn("component_id", F.lit(3))
+    kept = simhash.first_of_groups(clashing, groups)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == [3, 5, 7]
 
 
 def near_pairs():
@@ -359,6 +362,19 @@ def test_ledger_is_brute_force(spark):
         assert {r.source: [r.n_docs, r.n_tokens] for r in ledger.totals().collect()} == dict(sums)
 
 
+def test_revisions_keep_repeated_and_missing_ids_whole(spark):
+    rows = [(None, "a 1 b"), (1, "x 1"), (1, "y z"), (2, "q"), (2, "q"), (3, None)]
+    docs = spark.createDataFrame([(*r, "s", "en") for r in rows], "doc_id long, text string, source string, lang string").withColumn("_n", F.lit(1)).withColumn("n_tokens", F.lit(2))
+    ledger = token_counts.new_ledger(spark)
+    ledger.commit("load", upserts=token_counts.token_rows(docs, {"words_1": None}))
+    assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(6, 9)]
+    revised = token_counts.masked(docs)
+    assert sorted((r.doc_id, r.text) for r in revised.collect()) == [(1, "x 0"), (1, "y z")]
+    ledger.commit("masked", upserts=token_counts.token_rows(revised, {"words_1": None}))
+    assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(6, 9)]
+    assert token_counts.masked(empty(spark)).count() == 0
+
+
 def test_tokens_are_those_of_the_whole_text():
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     text = LONG * 10 + "\n\n  tabs\tand   runs of   blanks " * 50
