@@ -163,36 +163,63 @@ def apply_encode(df: DataFrame, state: State, handle_unknown: str = "ignore") ->
     return _looked_up(df, c, [(v, n / state["rows"]) for v, n in state["categories"]], f"{c}__frequency", "double", 0.0)
 
 
-def target_mean_tables(train: DataFrame, column: str, target: str, fold: str) -> tuple[DataFrame, float]:
-    """(v, f, n, s: rows and sum of the target by value and fold; the mean of the target)."""
-    rows = train.select(F.coalesce(F.col(column).cast("string"), F.lit("__null__")).alias("v"), F.col(fold).alias("f"), F.col(target).cast("double").alias("y"))
-    prior = rows.agg(F.avg("y")).first()[0]
-    return rows.groupBy("v", "f").agg(F.count("y").alias("n"), F.sum("y").alias("s")), prior
+#: Classes that a target encoding makes columns for at most.
+MAX_TARGET_CLASSES = 100
+
+
+def target_series(train: DataFrame, target: str, task: str) -> dict[str, Column]:
+    """What is averaged, by the ending of the column's name: the target as a number, or for classes whether a row has the class, one series each; of two classes the last one, without an ending."""
+    if task == "regression":
+        return {"": F.col(target).cast("double")}
+    found = train.filter(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("c")).distinct().orderBy("c").limit(MAX_TARGET_CLASSES + 1).collect()
+    if len(found) > MAX_TARGET_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_TARGET_CLASSES} classes")
+    hits = {f"_{r['c']}": (F.col(target).cast("string") == r["c"]).cast("double") for r in found}
+    return {"": list(hits.values())[-1]} if len(hits) == 2 else hits
+
+
+def target_mean_tables(train: DataFrame, column: str, series: Sequence[Column], fold: str) -> tuple[DataFrame, list[float]]:
+    """(v, f, n, s_0, s_1 ...: rows and sum of each series by value and fold; the mean of each series), each in one aggregate."""
+    y = [c.alias(f"y_{i}") for i, c in enumerate(series)]
+    rows = train.select(F.coalesce(F.col(column).cast("string"), F.lit("__null__")).alias("v"), F.col(fold).alias("f"), *y)
+    prior = rows.agg(*[F.avg(f"y_{i}") for i in range(len(y))]).first()
+    return rows.groupBy("v", "f").agg(F.count("y_0").alias("n"), *[F.sum(f"y_{i}").alias(f"s_{i}") for i in range(len(y))]), list(prior)
+
+
+def encode_target_mean(train: DataFrame, others: DataFrame, column: str, target: str, fold: str, smoothing: float = 10.0, task: str = "regression") -> tuple[DataFrame, DataFrame]:
+    """(training rows, others) with column__target, or for more than two classes column__target_<class> each: (sum + smoothing * prior) / (n + smoothing) of the value;
+    of training rows without those of their own fold. All series come from the same sums by value and fold."""
+    series = target_series(train, target, task)
+    per, prior = target_mean_tables(train, column, list(series.values()), fold)
+    sums = ["n", *[f"s_{i}" for i in range(len(series))]]
+    whole = Window.partitionBy("v")  # a row per fold
+    per = per.withColumns({f"rest_{c}": F.sum(c).over(whole) - F.col(c) for c in sums})
+    value = F.coalesce(F.col(column).cast("string"), F.lit("__null__"))
 
+    def smoothed(rows: DataFrame, before: str) -> DataFrame:
+        n = F.coalesce(F.col(f"{before}n"), F.lit(0))
+        rows = rows.withColumns({f"{column}__target{end}": (F.coalesce(F.col(f"{before}s_{i}"), F.lit(0.0)) + smoothing * prior[i]) / (n + smoothing) for i, end in enumerate(series)})
+        return rows.drop("_v", "_v2", "_f2", *[f"{before}{c}" for c in sums])
 
-def encode_target_mean(train: DataFrame, others: DataFrame, column: str, target: str, fold: str, smoothing: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    """(training rows, others) with column__target: (sum + smoothing * prior) / (n + smoothing) of the value; of training rows without those of their own fold."""
-    per, prior = target_mean_tables(train, column, target, fold)
-    whole = Window.partitionBy("v")  # a row per fold
-    per = per.withColumn("rest_n", F.sum("n").over(whole) - F.col("n")).withColumn("rest_s", F.sum("s").over(whole) - F.col("s"))
-    smooth = lambda s, n: (F.coalesce(s, F.lit(0.0)) + smoothing * prior) / (F.coalesce(n, F.lit(0)) + smoothing)
-    name, value = f"{column}__target", F.coalesce(F.col(column).cast("string"), F.lit("__null__"))
-    side = per.select(F.col("v").alias("_v2"), F.col("f").alias("_f2"), "rest_n", "rest_s")
+    side = per.select(F.col("v").alias("_v2"), F.col("f").alias("_f2"), *[F.col(f"rest_{c}").alias(f"_rest_{c}") for c in sums])
     inside = train.withColumn("_v", value).join(side, (F.col("_v") == F.col("_v2")) & (F.col(fold) == F.col("_f2")), "left")
-    inside = inside.withColumn(name, smooth(F.col("rest_s"), F.col("rest_n"))).drop("_v", "_v2", "_f2", "rest_n", "rest_s")
-    total = per.groupBy(F.col("v").alias("_v2")).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
-    outside = others.withColumn("_v", value).join(total, F.col("_v") == F.col("_v2"), "left").withColumn(name, smooth(F.col("_s"), F.col("_n"))).drop("_v", "_v2", "_n", "_s")
-    return inside, outside
+    total = per.groupBy(F.col("v").alias("_v2")).agg(*[F.sum(c).alias(f"_all_{c}") for c in sums])
+    outside = others.withColumn("_v", value).join(total, F.col("_v") == F.col("_v2"), "left")
+    return smoothed(inside, "_rest_"), smoothed(outside, "_all_")
 
 
-def encode_ordered_target(train: DataFrame, column: str, target: str, key: str, seed: int = 0, smoothing: float = 1.0) -> DataFrame:
-    """column__ordered: the smoothed mean over the rows of the same value that come before in a hashed order of key."""
-    prior = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
+def encode_ordered_target(train: DataFrame, column: str, target: str, key: str, seed: int = 0, smoothing: float = 1.0, task: str = "regression") -> DataFrame:
+    """column__ordered, or for more than two classes column__ordered_<class> each: the smoothed mean over the rows of the same value that come before in a hashed order of key.
+    The order is made once for all series."""
+    series = target_series(train, target, task)
+    ys = list(series.values())
+    prior = train.agg(*[F.avg(y) for y in ys]).first()
     h = portable_hash(F.col(key), F.lit(seed))
-    y = F.col(target).cast("double")
-    rows = train.withColumns({"_v": F.coalesce(F.col(column).cast("string"), F.lit("__null__")), "_y": F.coalesce(y, F.lit(0.0)), "_k": y.isNotNull().cast("int")})
-    rows = placed(rows, ["_v"], [h, F.col(key)], ["_y", "_k"])
-    return rows.withColumn(f"{column}__ordered", (F.col("_y_before") + smoothing * prior) / (F.col("_k_before") + smoothing)).drop("_v", "_y", "_k", "_y_before", "_k_before", "_y_all", "_k_all")
+    names = [f"_y_{i}" for i in range(len(ys))]
+    rows = train.withColumns({"_v": F.coalesce(F.col(column).cast("string"), F.lit("__null__")), "_k": ys[0].isNotNull().cast("int")} | {c: F.coalesce(y, F.lit(0.0)) for c, y in zip(names, ys, strict=True)})
+    rows = placed(rows, ["_v"], [h, F.col(key)], [*names, "_k"])
+    rows = rows.withColumns({f"{column}__ordered{end}": (F.col(f"_y_{i}_before") + smoothing * prior[i]) / (F.col("_k_before") + smoothing) for i, end in enumerate(series)})
+    return rows.drop("_v", "_k", *names, *[f"{c}_{x}" for c in [*names, "_k"] for x in ("before", "all")])
 
 
 # --- selection ---------------------------------------------------------------------------------------------------

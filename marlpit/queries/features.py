@@ -114,6 +114,31 @@ def e11_ordered_target(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fe.encode_ordered_target(df, "v", "y", "o_orderkey", 3).select("o_orderkey", "v__ordered"))
 
 
+_CLASSES = ("F", "O", "P")
+
+
+@register(f"""WITH t AS (SELECT o_orderkey, o_orderpriority AS v, o_orderstatus AS y, {_FOLD} AS f, {_S} >= 0.3 AS tr FROM orders), c AS (SELECT unnest(['F', 'O', 'P']) AS c),
+p AS (SELECT c, avg((y = c)::INT) AS p FROM t, c WHERE tr GROUP BY 1), g AS (SELECT v, f, c, count(*) AS n, sum((y = c)::INT) AS s FROM t, c WHERE tr GROUP BY ALL), a AS (SELECT v, c, sum(n) AS n, sum(s) AS s FROM g GROUP BY ALL),
+e AS (SELECT o_orderkey, tr, p.c, round(CASE WHEN tr THEN (a.s - g.s + 10 * p) / (a.n - g.n + 10) ELSE (coalesce(a.s, 0) + 10 * p) / (coalesce(a.n, 0) + 10) END, 6) AS e
+  FROM t CROSS JOIN p LEFT JOIN a ON a.v = t.v AND a.c = p.c LEFT JOIN g ON g.v = t.v AND g.f = t.f AND g.c = p.c)
+SELECT o_orderkey, CASE WHEN any_value(tr) THEN 'training' ELSE 'other' END AS side, max(e) FILTER (WHERE c = 'F') AS v__target_F, max(e) FILTER (WHERE c = 'O') AS v__target_O, max(e) FILTER (WHERE c = 'P') AS v__target_P FROM e GROUP BY 1""")
+def e10_target_classes(spark: SparkSession, d: str) -> DataFrame:
+    """A target of three classes: the share of each, smoothed towards its share of all training rows."""
+    df = sp.folds(sp.random_split(read(spark, d, "orders"), "o_orderkey"), "o_orderkey", 3)
+    df = df.select("o_orderkey", F.col("o_orderpriority").alias("v"), F.col("o_orderstatus").alias("y"), sp.FOLD, sp.SPLIT)
+    a, b = fe.encode_target_mean(df.filter("split_role = 'training'"), df.filter("split_role <> 'training'"), "v", "y", sp.FOLD, task="classification")
+    out = a.withColumn("side", F.lit("training")).unionByName(b.withColumn("side", F.lit("other")))
+    return rounded(out.select("o_orderkey", "side", *[f"v__target_{c}" for c in _CLASSES]))
+
+
+@register(f"""WITH t AS (SELECT o_orderkey, o_orderpriority AS v, o_orderstatus AS y, {h('o_orderkey', 3)} AS k FROM orders), p AS (SELECT avg((y = 'F')::INT) AS pf, avg((y = 'O')::INT) AS po, avg((y = 'P')::INT) AS pp FROM t)
+SELECT o_orderkey, round((coalesce(sum((y = 'F')::INT) OVER w, 0) + pf) / (count(y) OVER w + 1), 6) AS v__ordered_F, round((coalesce(sum((y = 'O')::INT) OVER w, 0) + po) / (count(y) OVER w + 1), 6) AS v__ordered_O,
+round((coalesce(sum((y = 'P')::INT) OVER w, 0) + pp) / (count(y) OVER w + 1), 6) AS v__ordered_P FROM t, p WINDOW w AS (PARTITION BY v ORDER BY k, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def e11_ordered_classes(spark: SparkSession, d: str) -> DataFrame:
+    df = read(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("v"), F.col("o_orderstatus").alias("y"))
+    return rounded(fe.encode_ordered_target(df, "v", "y", "o_orderkey", 3, task="classification").select("o_orderkey", *[f"v__ordered_{c}" for c in _CLASSES]))
+
+
 @register("SELECT true AS refused, CAST(count(*) AS BIGINT) AS unknown FROM orders WHERE o_orderpriority = '1-URGENT'")
 def e12_unknown_refused(spark: SparkSession, d: str) -> DataFrame:
     """Whether values that training rows lack are refused."""

@@ -37,6 +37,18 @@ def s2_inspect_csv(spark: SparkSession, d: str) -> DataFrame:
     return tables.inspect_csv(spark, path, header=True).select("column_name", "kind").crossJoin(F.broadcast(e.agg(F.count("*").alias("rows"))))  # one row
 
 
+@register("""SELECT * FROM (VALUES (';'), ('tab'), ('|')) s(sep), (VALUES ('c_custkey', 'number'), ('note', 'text'), ('c_acctbal', 'number')) v(column_name, kind), (SELECT CAST(count(*) AS BIGINT) AS given FROM customer)""")
+def s2_inspect_dialects(spark: SparkSession, d: str) -> DataFrame:
+    """Files with other separators, which also stand in quoted texts, inspected without a word on either."""
+    df, out = read(spark, d, "customer"), None
+    for sep in (";", "\t", "|"):
+        path = work_folder(spark)
+        df.select("c_custkey", F.concat("c_name", F.lit(f"{sep} of "), "c_mktsegment").alias("note"), "c_acctbal").write.options(header=True, sep=sep, quoteAll=True).csv(path)
+        found = tables.inspect_csv(spark, path).select(F.lit("tab" if sep == "\t" else sep).alias("sep"), "column_name", "kind", "given")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @register("SELECT n_nationkey AS column_1, n_name AS name, n_regionkey AS name_2 FROM nation")
 def s3_normalize_names(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "nation").toDF(*tables.normalize_column_names(["", "name", "name"]))
@@ -80,6 +92,37 @@ def s8_materialize_view(spark: SparkSession, d: str) -> DataFrame:
     return tables.materialize_view(spark, root, definition, build)
 
 
+@register("SELECT o_custkey, round(sum(o_totalprice), 2) AS spent, CAST(1 AS BIGINT) AS revisions FROM orders GROUP BY 1")
+def s8_view_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """A view whose definition changes: only the newest revision's folder is left."""
+    from marlpit.functions.lineage import hadoop_path
+
+    root = work_folder(spark)
+    df = read(spark, d, "orders").groupBy("o_custkey")
+    tables.materialize_view(spark, root, {"source": d, "measure": "rows"}, lambda: df.agg(F.count("*").alias("orders")), view="by_customer")
+    out = tables.materialize_view(spark, root, {"source": d, "measure": "spent"}, lambda: df.agg(F.round(F.sum("o_totalprice"), 2).alias("spent")), view="by_customer")
+    fs, where = hadoop_path(spark, f"{root}/by_customer")
+    return out.withColumn("revisions", F.lit(len(fs.listStatus(where))).cast("bigint"))
+
+
+@register("""WITH k AS (SELECT * FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1995-01-15') AND NOT (o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-06-01'))
+SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total, (SELECT count(*) FROM orders) - (SELECT count(*) FROM k) AS deleted, CAST(1 AS BIGINT) AS rewritten, true AS untouched FROM k GROUP BY 1""")
+def l7_retention_on_disk(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in folders by status and month, pruned on disk: whole months go, the month of a cutoff is rewritten, other files stay."""
+    from datetime import datetime
+
+    path = work_folder(spark)
+    tables.write_periods(read(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"), path, "o_orderdate", "o_orderstatus", "month")
+    before = {r.path: r.at for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).selectExpr("path", "modificationTime AS at").collect()}  # a row for each file
+    deleted, rewritten = tables.prune_expired(spark, path, "o_orderdate", "o_orderstatus", {"F": datetime(1995, 1, 15), "O": datetime(1996, 6, 1)}, "month")
+    after = {r.path: r.at for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).selectExpr("path", "modificationTime AS at").collect()}
+    new = [p for p in after if p not in before]
+    untouched = all(before[p] == after[p] for p in after if p in before) and all("1995-01-01" in p for p in new)
+    df = spark.read.parquet(path)
+    out = df.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return out.withColumns({"deleted": F.lit(deleted).cast("bigint"), "rewritten": F.lit(rewritten).cast("bigint"), "untouched": F.lit(untouched)})
+
+
 @register("SELECT o_orderkey, o_custkey, CAST((SELECT count(*) FROM orders) AS BIGINT) AS total_rows, true AS has_next, true AS has_previous FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def s9_preview(spark: SparkSession, d: str) -> DataFrame:
     return tables.preview(read(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 50, 100)
