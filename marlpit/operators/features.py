@@ -37,8 +37,11 @@ def _one_row(df: DataFrame, named: Mapping[str, Column]) -> dict[str, Any]:
 
 def fit_impute(train: DataFrame, rules: Sequence[Mapping[str, Any]]) -> State:
     """Values to fill in: rules {column, method: constant|mean|median|mode, value?, add_indicator?}."""
-    wanted = {r["column"]: F.avg(r["column"]) if r["method"] == "mean" else F.median(r["column"]) for r in rules if r["method"] in ("mean", "median")}
+    wanted = {r["column"]: F.avg(r["column"]) for r in rules if r["method"] == "mean"}
     found = _one_row(train, wanted) if wanted else {}
+    medians = [r["column"] for r in rules if r["method"] == "median"]
+    if medians:
+        found |= {c: q[0] if q else None for c, q in column_quantiles(train, medians, (0.5,)).items()}
     for r in rules:
         if r["method"] == "mode":
             found[r["column"]] = most_frequent(train, r["column"])

@@ -23,6 +23,8 @@ MAX_CLASSES, MAX_LEVELS = 50, 50
 HISTOGRAM_BINS, DENSITY_BINS, DENSITY_POINTS, MARGIN, TOP = 12, 80, 80, 0.08, 10
 #: Roles of columns that are described but not compared.
 SET_ASIDE = ("identifier", "timestamp", "period_id", "ignored")
+#: Roles that make a category of a column of numbers, and distinct values that a measure has more of.
+CATEGORICAL_ROLES, MEASURE_VALUES = ("feature_categorical", "feature_ordinal", "boolean", "text"), 12
 SEGMENT_LEVELS = (2, 12)
 
 
@@ -92,14 +94,11 @@ def middle(row: Mapping, name: str, total: float | None) -> float | None:
 
 
 def chosen(df: DataFrame, columns: Mapping[str, dict], roles: Mapping[str, str], target: str | None, classes: list[str], max_features: int, max_segment_features: int) -> Plan:
-    """Features by role; without one a column of numbers is a number unless its values are few."""
+    """Features by role: a column of numbers is a measure if it has more than MEASURE_VALUES distinct values and no role that makes a category of it; all others are categories."""
     free = [c for c in df.columns if c != target and roles.get(c) not in SET_ASIDE]
 
     def is_number(c: str) -> bool:
-        if family(df.schema[c].dataType) != "number" or roles.get(c) in ("feature_categorical", "text"):
-            return False
-        few = max(2, min(20.0, max(5.0, 0.05 * columns[c]["count"])))
-        return roles.get(c) == "feature_continuous" or columns[c]["distinct_values"] > few
+        return family(df.schema[c].dataType) == "number" and roles.get(c) not in CATEGORICAL_ROLES and columns[c]["distinct_values"] > MEASURE_VALUES
 
     features = free[:max_features]
     numbers = [c for c in features if is_number(c)]
@@ -211,7 +210,7 @@ def full_profile(
 
     target_type (categorical or continuous) is inferred if it isn't given; focus is the class whose rate segments and trends look at, the most frequent one if it isn't given.
     A categorical target is compared by class: groups and densities of numbers, contingencies and trends of categories. A continuous one gives relations with numbers (relations) and
-    the target's groups by categories (groups_<category>). What reaches the driver is a row for each column with some numbers for each class."""
+    the target's groups by categories (groups), all features together. What reaches the driver is a row for each column with some numbers for each class."""
     spark, roles = df.sparkSession, dict(roles or {})
     columns = {r["column_name"]: r for r in moments(df)}
     rows = next(iter(columns.values()))["count"] + next(iter(columns.values()))["missing"]
@@ -249,8 +248,10 @@ def full_profile(
         if len(plan.segments) >= 2:
             out["segments"] = pr.segment_scan_categorical(df, plan.segments, target, classes[at])
     elif target and family(df.schema[target].dataType) == "number":
-        out |= {f"relation_{c}": pr.numeric_relation(df, c, target) for c in plan.numbers}
-        out |= {f"groups_{c}": pr.grouped_relation(df, c, target) for c in plan.categories}
+        if plan.numbers:
+            out["relations"] = pr.numeric_relations(df, plan.numbers, target)
+        if plan.categories:
+            out["groups"] = pr.grouped_relations(df, plan.categories, target)
         if len(plan.segments) >= 2:
             out["segments"] = pr.segment_scan_continuous(df, plan.segments, target)
     return out

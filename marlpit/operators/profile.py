@@ -8,10 +8,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlpit.functions.lineage import pinned
 from marlpit.functions.ranks import picked, placed, with_quantiles
 from marlpit.functions.semantics import family, safe_corr, safe_div
 
 
+#: Groups that a chart tells apart and values on either side of a contingency table at most; more are refused.
+MAX_GROUPS, MAX_VALUES = 100, 1000
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column_name, distinct_values: one pass over (column, value) pairs, each counted once."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns]))
@@ -93,8 +98,16 @@ def dataset_notes(profile: DataFrame, n_rows: int) -> DataFrame:
     )
 
 
+def small(groups: DataFrame, most: int, what: str) -> DataFrame:
+    """Distinct values, pinned, unless there are more than a table or chart can show."""
+    groups = pinned(groups.limit(most + 1))
+    if groups.count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return groups
+
+
 def histogram(df: DataFrame, column: str, bins: int = 12, groups: Sequence[str] = ()) -> DataFrame:
-    """bin, lower, upper, n over equal widths; the last bin is closed and empty bins are there; a constant column has one bin."""
+    """bin, lower, upper, n over equal widths; the last bin is closed and empty bins are there; a constant column has one bin. More than MAX_GROUPS groups are refused."""
     x = F.col(column).cast("double")
     given = df.filter(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"), *groups)
     bounds = given.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -104,7 +117,7 @@ def histogram(df: DataFrame, column: str, bins: int = 12, groups: Sequence[str]
     grid = bounds.withColumn("bin", F.explode(F.when(F.col("hi") > F.col("lo"), F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))))
     edge = lambda k: F.col("lo") + width * k
     if groups:
-        grid = grid.crossJoin(counted.select(*groups).distinct())  # bins x groups of the chart
+        grid = grid.crossJoin(F.broadcast(small(counted.select(*groups).distinct(), MAX_GROUPS, "groups")))
     out = grid.join(counted, ["bin", *groups], "left")
     return out.select("bin", *groups, edge(F.col("bin")).alias("lower"), F.when(F.col("bin") == bins - 1, F.col("hi")).otherwise(edge(F.col("bin") + 1)).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -115,46 +128,73 @@ def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     return ranked.select(F.col(column), (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
 
 
-def numeric_relation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n, pearson, spearman, covariance, slope, intercept, r2, score; none for fewer than three pairs."""
-    pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    cx, cy = F.col("x"), F.col("y")
-    main = pairs.agg(F.count("*").alias("n"), safe_corr(cx, cy).alias("pearson"), F.covar_samp("x", "y").alias("covariance"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
-    # ranks of both are found together, and joined to counts of distinct pairs, not to rows
-    both = F.explode(F.array(F.struct(F.lit("x").alias("side"), cx.alias("v")), F.struct(F.lit("y").alias("side"), cy.alias("v"))))
-    ranks = placed(pairs.select(both.alias("b")).select("b.*").groupBy("side", "v").agg(F.count("*").alias("k")), ["side"], [F.col("v")], ["k"])
-    ranks = ranks.select("side", "v", (F.col("k_before") + (F.col("k") + 1) / 2).alias("r"))
-    rx, ry = (ranks.filter(F.col("side") == s).select(F.col("v").alias(s), F.col("r").alias(f"r{s}")) for s in "xy")
-    cells = pairs.groupBy("x", "y").agg(F.count("*").alias("w")).join(rx, "x").join(ry, "y")
+def _pairs_with(df: DataFrame, features: Sequence[str], target: str, kind: str) -> DataFrame:
+    """feature, x, y for each feature of a row, where both are given."""
+    given = lambda c: c.isNotNull() & ~F.isnan(c) if kind == "double" else c.isNotNull()
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast(kind).alias("x")) for c in features]))
+    rows = df.select(F.col(target).cast("double").alias("y"), cells.alias("c")).select("c.feature", "c.x", "y")
+    return rows.filter(given(F.col("x")) & F.col("y").isNotNull() & ~F.isnan("y"))
+
+
+def numeric_relations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """feature, n, pearson, spearman, covariance, slope, intercept, r2, score for each feature with three pairs or more.
+
+    All features share one pass over the rows for their counted pairs, one table of ranks by feature, side and value, and one join of it back to the counts; moments come from another
+    aggregate of the rows, so the number of jobs doesn't grow with the features."""
+    pairs = _pairs_with(df, features, target, "double")
+    main = pairs.groupBy("feature").agg(
+        F.count("*").alias("n"), safe_corr(F.col("x"), F.col("y")).alias("pearson"), F.covar_samp("x", "y").alias("covariance"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept")
+    )
+    counted = pinned(pairs.groupBy("feature", "x", "y").agg(F.count("*").alias("w")))
+    sides = F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v"))))
+    values = counted.select("feature", "w", sides.alias("b")).groupBy("feature", "b.side", "b.v").agg(F.sum("w").alias("k"))
+    ranks = placed(values, ["feature", "side"], [F.col("v")], ["k"]).select("feature", "side", "v", (F.col("k_before") + (F.col("k") + 1) / 2).alias("r"))
+    rx, ry = (ranks.filter(F.col("side") == s).select("feature", F.col("v").alias(s), F.col("r").alias(f"r{s}")) for s in "xy")
+    cells = counted.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
     n, mx, my = F.sum("w"), F.sum(F.col("w") * F.col("rx")), F.sum(F.col("w") * F.col("ry"))
     sxy, sxx, syy = F.sum(F.col("w") * F.col("rx") * F.col("ry")), F.sum(F.col("w") * F.col("rx") ** 2), F.sum(F.col("w") * F.col("ry") ** 2)
-    rank = cells.agg(safe_div(sxy - mx * my / n, F.sqrt(sxx - mx * mx / n) * F.sqrt(syy - my * my / n)).alias("spearman"))
-    both = main.crossJoin(F.broadcast(rank)).filter("n >= 3")  # one row each
+    rank = cells.groupBy("feature").agg(safe_div(sxy - mx * my / n, F.sqrt(sxx - mx * mx / n) * F.sqrt(syy - my * my / n)).alias("spearman"))
+    both = main.join(rank, "feature").filter("n >= 3")
     return both.withColumn("r2", F.col("pearson") ** 2).withColumn("score", F.abs("pearson"))
 
 
-def grouped_relation(df: DataFrame, group: str, number: str) -> DataFrame:
-    """Groups with max(3, 3 %) rows or more: n, minimum, maximum, median, mean, sd, and the score of the relation, |range of means| / (4 sd). Nothing unless there are 2 to 50 groups."""
-    given = df.select(F.col(group).cast("string").alias("grp"), F.col(number).cast("double").alias("v")).filter("grp IS NOT NULL AND v IS NOT NULL")
-    total = given.agg(F.count("*").alias("rows"), F.stddev_samp("v").alias("sd_all"))
-    per = given.groupBy("grp").agg(F.count("*").alias("n"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
-    per = with_quantiles(per, given, ["grp"], "v", {"median": 0.5})
-    kept = per.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(3.0), 0.03 * F.col("rows")))  # one row
-    whole = Window.partitionBy()
+def numeric_relation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n, pearson, spearman, covariance, slope, intercept, r2, score; none for fewer than three pairs."""
+    return numeric_relations(df, [x], y).drop("feature")
+
+
+def grouped_relations(df: DataFrame, groups: Sequence[str], number: str) -> DataFrame:
+    """feature, grp and, for groups with max(3, 3 %) of a feature's rows or more: n, minimum, maximum, median, mean, sd, and the score of the relation, |range of means| / (4 sd).
+    Features without 2 to 50 such groups are left out. All features share each pass."""
+    given = _pairs_with(df, groups, number, "string").withColumnsRenamed({"x": "grp", "y": "v"})
+    per = given.groupBy("feature", "grp").agg(
+        F.count("*").alias("n"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd")
+    )
+    total = given.groupBy("feature").agg(F.count("*").alias("rows"), F.stddev_samp("v").alias("sd_all"))
+    kept = per.join(F.broadcast(total), "feature").filter(F.col("n") >= F.greatest(F.lit(3.0), 0.03 * F.col("rows")))  # a row for each feature
+    kept = pinned(kept)  # 33 groups of a feature at most
+    few = given.join(F.broadcast(kept.select("feature", "grp")), ["feature", "grp"])
+    kept = with_quantiles(kept, few, ["feature", "grp"], "v", {"median": 0.5})
+    whole = Window.partitionBy("feature")
     kept = kept.withColumn("score", safe_div(F.max("mean").over(whole) - F.min("mean").over(whole), 4 * F.col("sd_all"))).withColumn("groups", F.count("*").over(whole))
-    return kept.filter(F.col("groups").between(2, 50)).select("grp", "n", "minimum", "maximum", "median", "mean", "sd", "score")
+    return kept.filter(F.col("groups").between(2, 50)).select("feature", "grp", "n", "minimum", "maximum", "median", "mean", "sd", "score")
+
+
+def grouped_relation(df: DataFrame, group: str, number: str) -> DataFrame:
+    """grouped_relations of one feature."""
+    return grouped_relations(df, [group], number).drop("feature")
 
 
 def density(df: DataFrame, number: str, group: str | None = None, bins: int = 80, points: int = 80, margin: float = 0.08, floor_share: float | None = 1 / 18) -> DataFrame:
     """grp, x, density: a Gaussian kernel estimate from counts in bins. The bandwidth is 1.06 sd n^-0.2 of the group, and a share of the range at least.
-    Rows meet only as counts: groups x bins of them against the grid of points."""
+    Rows meet only as counts: groups x bins of them against the grid of points. More than MAX_GROUPS groups are refused."""
     v = F.col(number).cast("double")
     given = df.select((F.col(group).cast("string") if group else F.lit("all")).alias("grp"), v.alias("v")).filter("grp IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
     bounds = given.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0)))).cast("int")
     binned = given.crossJoin(F.broadcast(bounds)).filter("hi > lo").groupBy("grp", at.alias("bin")).agg(F.count("*").alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))  # one row of bounds
-    stats = given.groupBy("grp").agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd")).filter("n > 1 AND sd > 0")
+    stats = small(given.groupBy("grp").agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd")), MAX_GROUPS, "groups").filter("n > 1 AND sd > 0")
     span = F.col("hi") - F.col("lo")
     silverman = 1.06 * F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
     h = F.greatest(silverman, span * floor_share) if floor_share else silverman
@@ -167,19 +207,20 @@ def density(df: DataFrame, number: str, group: str | None = None, bins: int = 80
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """A row per pair of values, pairs that never occur among them: n, row_share, expected, lift, residual; and of the table chi2, dof, cramers_v, sparse_share."""
+    """A row per pair of values, pairs that never occur among them: n, row_share, expected, lift, residual; and of the table chi2, dof, cramers_v, sparse_share.
+    Sides with more than MAX_VALUES values are refused."""
     given = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    cells = given.groupBy("a", "b").agg(F.count("*").alias("n"))
-    rows, cols = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
-    grid = rows.crossJoin(cols).join(cells, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))  # the table that is shown
-    whole = Window.partitionBy()
-    total = F.sum("n").over(whole)
-    grid = grid.withColumn("expected", F.col("na") * F.col("nb") / total).withColumn("total", total)
+    cells = pinned(given.groupBy("a", "b").agg(F.count("*").alias("n")))
+    rows = small(cells.groupBy("a").agg(F.sum("n").alias("na")), MAX_VALUES, f"values of {a}")
+    cols = small(cells.groupBy("b").agg(F.sum("n").alias("nb")), MAX_VALUES, f"values of {b}")
+    total, ra, rb = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], rows.count(), cols.count()
+    grid = rows.crossJoin(F.broadcast(cols)).join(cells, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))  # MAX_VALUES on either side
+    grid = grid.withColumn("expected", F.col("na") * F.col("nb") / F.lit(total))
     grid = grid.withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt("expected")).withColumn("lift", F.col("n") / F.col("expected")).withColumn("row_share", F.col("n") / F.col("na"))
-    ra, rb = F.size(F.collect_set("a").over(whole)), F.size(F.collect_set("b").over(whole))
-    grid = grid.withColumn("chi2", F.sum(F.col("residual") ** 2).over(whole)).withColumn("dof", (ra - 1) * (rb - 1)).withColumn("m", F.least(ra, rb) - 1)
-    grid = grid.withColumn("cramers_v", F.sqrt(safe_div(F.col("chi2"), F.col("total") * F.col("m")))).withColumn("sparse_share", F.avg(F.when(F.col("expected") < 5, 1.0).otherwise(0.0)).over(whole))
-    return grid.select("a", "b", "n", "row_share", "expected", "lift", "residual", "chi2", "dof", "cramers_v", "sparse_share")
+    table = grid.agg(F.sum(F.col("residual") ** 2).alias("chi2"), F.avg(F.when(F.col("expected") < 5, 1.0).otherwise(0.0)).alias("sparse_share"))
+    grid = grid.crossJoin(F.broadcast(table))  # one row
+    cramers = F.sqrt(safe_div(F.col("chi2"), F.lit(total) * F.lit(min(ra, rb) - 1)))
+    return grid.select("a", "b", "n", "row_share", "expected", "lift", "residual", "chi2", F.lit((ra - 1) * (rb - 1)).alias("dof"), cramers.alias("cramers_v"), "sparse_share")
 
 
 def ordinal_trend(df: DataFrame, column: str, focus: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.lineage import range_parts
-from marlpit.functions.ranks import column_quantiles, placed
+from marlpit.functions.ranks import column_quantiles, placed, with_quantiles
 from marlpit.functions.semantics import INTEGER_TYPES, order, orders, strict_cast
 
 #: Mappings with more keys are joined rather than written out as cases.
@@ -293,19 +293,21 @@ def aggregate(df: DataFrame, group_by: Sequence[str], aggregations: Sequence[Map
 
 
 def browse_group(df: DataFrame, group_by: Sequence[str], measures: Sequence[tuple[str, str, str]], order_key: str | None = None) -> DataFrame:
-    """records and the measures (function, column, alias) of each group; first, last follow order_key; the mode is the smallest of the most frequent values."""
-    modes = [m for m in measures if m[0] == "most_frequent"]
+    """records and the measures (function, column, alias) of each group; first, last follow order_key; the mode is the smallest of the most frequent values; medians are exact, found in range partitions. Medians and modes follow the other measures."""
+    modes, medians = ([m for m in measures if m[0] == how] for how in ("most_frequent", "median"))
     plain = [F.count("*").alias("records")]
     for how, c, alias in measures:
-        if how == "most_frequent":
+        if how in ("most_frequent", "median"):
             continue
         made = {
             "count_values": lambda c=c: F.count(c), "unique_count": lambda c=c: F.count_distinct(c), "sum": lambda c=c: F.sum(c),
-            "average": lambda c=c: F.avg(c), "minimum": lambda c=c: F.min(c), "maximum": lambda c=c: F.max(c), "median": lambda c=c: F.median(c),
+            "average": lambda c=c: F.avg(c), "minimum": lambda c=c: F.min(c), "maximum": lambda c=c: F.max(c),
             "first": lambda c=c: F.min_by(c, order_key), "last": lambda c=c: F.max_by(c, order_key),
         }[how]()
         plain.append(made.alias(alias))
     out = df.groupBy(*group_by).agg(*plain)
+    for _, c, alias in medians:  # no group's values are held together
+        out = with_quantiles(out, df, group_by, c, {alias: 0.5})
     for _, c, alias in modes:
         counted = df.filter(F.col(c).isNotNull()).groupBy(*group_by, c).count()
         best = counted.groupBy(*group_by).agg(F.min_by(c, F.struct(-F.col("count"), F.col(c))).alias(alias))

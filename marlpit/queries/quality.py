@@ -177,6 +177,32 @@ def full_contingency(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, k) for c, k in (("row_share", 6), ("expected", 4), ("lift", 6), ("residual", 4), ("chi2", 4), ("cramers_v", 6), ("sparse_share", 6))})
 
 
+_RELATED = {"l_quantity": "l_quantity", "l_partkey": "l_partkey", "odd_supplier": "CASE WHEN l_suppkey % 2 = 1 THEN l_suppkey END"}
+_RELATION = """SELECT '{c}' AS feature, CAST(count(*) AS BIGINT) AS n, round(corr(x, y), 6) AS pearson, round(covar_samp(x, y), 1) AS covariance, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 2) AS intercept,
+round(corr(rx, ry), 6) AS spearman, round(corr(x, y) ** 2, 6) AS r2, round(abs(corr(x, y)), 6) AS score FROM (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry
+FROM (SELECT CAST({x} AS DOUBLE) AS x, l_extendedprice AS y FROM lineitem) WHERE x IS NOT NULL)"""
+
+
+def related(spark: SparkSession, d: str) -> DataFrame:
+    df = read(spark, d, "lineitem").withColumn("odd_supplier", F.when(F.col("l_suppkey") % 2 == 1, F.col("l_suppkey")))
+    return df.select("l_quantity", "l_partkey", "odd_supplier", "l_tax", "l_returnflag", "l_extendedprice")
+
+
+@register(" UNION ALL ".join(_RELATION.format(c=c, x=x) for c, x in _RELATED.items()))
+def full_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of the full profile with a continuous target: all measures at once, one of them with missing values."""
+    out = full_profile(related(spark, d), "l_extendedprice", "continuous")["relations"]
+    return out.withColumns({c: F.round(c, k) for c, k in (("pearson", 6), ("covariance", 1), ("slope", 4), ("intercept", 2), ("spearman", 6), ("r2", 6), ("score", 6))})
+
+
+@register(" UNION ALL ".join(f"""SELECT '{c}' AS feature, grp, CAST(n AS BIGINT) AS n, minimum, maximum, round(median, 3) AS median, round(mean, 3) AS mean, round(sd, 3) AS sd, round((max(mean) OVER () - min(mean) OVER ()) / (4 * sd_all), 6) AS score FROM (
+SELECT CAST({c} AS VARCHAR) AS grp, count(*) AS n, min(l_extendedprice) AS minimum, max(l_extendedprice) AS maximum, median(l_extendedprice) AS median, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY 1),
+(SELECT count(*) AS rows, stddev_samp(l_extendedprice) AS sd_all FROM lineitem) WHERE n >= greatest(3, 0.03 * rows)""" for c in ("l_tax", "l_returnflag")))
+def full_target_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of a continuous target by all categories at once; a number of few values is one of them."""
+    return rounded(rounded(full_profile(related(spark, d), "l_extendedprice", "continuous")["groups"], 6).withColumns({c: F.round(c, 3) for c in ("median", "mean", "sd")}))
+
+
 @register("""WITH v AS (SELECT dense_rank() OVER (ORDER BY l_quantity) AS r, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS k FROM lineitem)
 SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT r) AS BIGINT) AS levels, round(corr(r, k), 6) AS trend FROM v""")
 def d9_ordinal_trend(spark: SparkSession, d: str) -> DataFrame:
@@ -212,6 +238,13 @@ def d11_segments_continuous(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, k) for c, k in (("mean", 2), ("baseline", 2), ("effect", 4), ("low", 2), ("high", 2), ("score", 4))})
 
 
+@register(ORACLE_SQL["d11_segments_continuous"])
+def full_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of the full profile with a continuous target."""
+    out = full_profile(segment_source(spark, d).drop("o_orderstatus"), "o_totalprice", "continuous")["segments"]
+    return out.withColumns({c: F.round(c, k) for c, k in (("mean", 2), ("baseline", 2), ("effect", 4), ("low", 2), ("high", 2), ("score", 4))})
+
+
 @register("""SELECT CAST(5 AS BIGINT) AS columns, CAST(1 AS BIGINT) AS columns_with_missing, CAST(0 AS BIGINT) AS constant_columns, round(count(*) FILTER (WHERE l_discount = 0) / (5.0 * count(*)), 6) AS missing_share, false AS small_sample FROM lineitem""")
 def d12_dataset_notes(spark: SparkSession, d: str) -> DataFrame:
     df = profiled(spark, d)

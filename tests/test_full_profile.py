@@ -46,9 +46,34 @@ def test_categorical_target(table):
 
 def test_continuous_target(table):
     out = full_profile(table, "l_extendedprice", "continuous", roles=ROLES)
-    same(out["relation_l_quantity"], pr.numeric_relation(table, "l_quantity", "l_extendedprice"))
-    same(out["groups_flag"], pr.grouped_relation(table, "flag", "l_extendedprice"))
-    assert "segments" in out and "groups" not in out
+    same(out["relations"].filter("feature = 'l_quantity'"), pr.numeric_relation(table, "l_quantity", "l_extendedprice"))
+    same(out["groups"].filter("feature = 'flag'"), pr.grouped_relation(table, "flag", "l_extendedprice"))
+    assert {r.feature for r in out["relations"].collect()} == {"l_quantity"}  # l_discount has 11 values and so is a category
+    assert "segments" in out and {r.feature for r in out["groups"].select("feature").distinct().collect()} == {"flag", "discount", "l_linestatus", "l_linenumber"}
+
+
+def test_a_measure_has_more_than_twelve_values_and_no_categorical_role(spark):
+    df = spark.range(200).select(*[(F.col("id") % n).cast("double").alias(f"v{n}") for n in (12, 13, 20, 60)], F.col("id").cast("double").alias("y"))
+    out = full_profile(df, "y", "continuous", roles={"v60": "feature_ordinal"})
+    assert {r.feature for r in out["relations"].collect()} == {"v13", "v20"}
+    jobs = lambda n: len(spark.sparkContext.statusTracker().getJobIdsForGroup(n))
+    counts = []
+    for n, columns in (("one", ["v13"]), ("three", ["v13", "v20", "v60"])):
+        spark.sparkContext.setJobGroup(n, n)
+        pr.numeric_relations(df, columns, "y").collect()
+        counts.append(jobs(n))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1] > 0
+
+
+def test_too_many_groups_are_refused(spark):
+    df = spark.range(1500).select(F.col("id").cast("double").alias("x"), F.col("id").cast("string").alias("g"))
+    with pytest.raises(ValueError, match="more than 100 groups"):
+        pr.histogram(df, "x", groups=["g"])
+    with pytest.raises(ValueError, match="more than 100 groups"):
+        pr.density(df, "x", "g")
+    with pytest.raises(ValueError, match="more than 1000 values of x"):
+        pr.contingency(df, "x", "g")
 
 
 def test_without_target_and_without_rows(spark, table):
