@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of a range partition on average, and partitions at most (unless more are set for shuffles): the bounds are drawn from a sample of a bounded number of rows.
-RANGE_ROWS, MOST_RANGES = 250_000, 10_000
+#: Rows of a range partition on average: few as long as there are no more partitions than are set for shuffles, then many. And partitions at most (unless more are set): the bounds are drawn
+#: from a sample of a bounded number of rows.
+FEW_ROWS, RANGE_ROWS, MOST_RANGES = 25_000, 250_000, 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,9 +52,9 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def range_parts(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """df in range partitions of the keys, whose numbers are in a column: about RANGE_ROWS rows each. Sampled bounds differ from one evaluation to the next, so the outcome is pinned;
+    """df in range partitions of the keys, whose numbers are in a column: RANGE_ROWS rows each, or fewer. Sampled bounds differ from one evaluation to the next, so the outcome is pinned;
     df is pinned before, as sampling would compute it twice."""
     spark, df = df.sparkSession, pinned(df)
-    most = max(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    n = min(-(-df.count() // RANGE_ROWS), most)
-    return pinned(df.repartitionByRange(max(n, 1), *keys).withColumn(name, F.spark_partition_id()))
+    usual, rows = int(spark.conf.get("spark.sql.shuffle.partitions", "200")), df.count()
+    n = max(1, min(usual, rows // FEW_ROWS), min(MOST_RANGES, -(-rows // RANGE_ROWS)))
+    return pinned(df.repartitionByRange(n, *keys).withColumn(name, F.spark_partition_id()))

@@ -263,9 +263,10 @@ def chi2_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame
 
 
 def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins: int = 10) -> DataFrame:
-    """feature, score in nats between the target and the feature cut at its quantiles."""
-    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [i / bins for i in range(1, bins)], 10_000).alias(c) for c in columns]).first()
-    cells = [F.struct(F.lit(c).alias("feature"), sum(F.when(F.col(c) > v, 1).otherwise(0) for v in sorted(set(cuts[c]))).alias("b")) for c in columns]
+    """feature, score in nats between the target and the feature cut at its exact quantiles; a missing value is a bin of its own."""
+    cuts = column_quantiles(df, columns, [i / bins for i in range(1, bins)])
+    above = lambda c: sum((F.when(F.col(c) > v, 1).otherwise(0) for v in sorted(set(cuts[c] or []))), F.lit(0))
+    cells = [F.struct(F.lit(c).alias("feature"), F.when(F.col(c).isNotNull(), above(c)).alias("b")) for c in columns]
     joint = df.filter(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(F.array(*cells)).alias("p")).groupBy("p.feature", "p.b", "y").agg(F.count("*").alias("n"))
     f, b, y = Window.partitionBy("feature"), Window.partitionBy("feature", "b"), Window.partitionBy("feature", "y")
     joint = joint.withColumn("t", F.sum("n").over(f)).withColumn("nb", F.sum("n").over(b)).withColumn("ny", F.sum("n").over(y))

@@ -8,19 +8,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.lineage import range_parts
-from marlpit.functions.ranks import around, shifted
+from marlpit.functions.ranks import around
 from marlpit.functions.semantics import family, safe_div
 from marlpit.operators import profile as pr
 
 #: More classes than these make a target that is not compared by class; categories with more values are not tabulated against it.
 MAX_CLASSES, MAX_LEVELS = 50, 50
 HISTOGRAM_BINS, DENSITY_BINS, DENSITY_POINTS, MARGIN, TOP = 12, 80, 80, 0.08, 10
+WHOLE = ("byte", "short", "integer", "long")
 #: Roles of columns that are described but not compared.
 SET_ASIDE = ("identifier", "timestamp", "period_id", "ignored")
 #: Roles that make a category of a column of numbers, and distinct values that a measure has more of.
@@ -55,34 +59,60 @@ def target_classes(df: DataFrame, target: str) -> list[str]:
 
 
 def counted_values(df: DataFrame, target: str | None, classes: Sequence[str]) -> DataFrame:
-    """column_name, value, number, n, one, c0, c1 ... (rows of each class) in range partitions."""
-    number = lambda c: F.col(c).cast("double") if family(df.schema[c].dataType) == "number" else F.lit(None).cast("double")
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), number(c).alias("number")) for c in df.columns]))
+    """column_name, value, number, n, one, c0, c1 ... (rows of each class) in range partitions.
+
+    Rows meet by their own kind of value: whole numbers and doubles aren't written as text before they are counted."""
+
+    def cell(c: str) -> Column:
+        kind = df.schema[c].dataType
+        number = F.col(c).cast("double") if family(kind) == "number" else F.lit(None).cast("double")
+        whole = F.col(c).cast("long") if kind.typeName() in WHOLE else F.lit(None).cast("long")
+        text = F.lit(None).cast("string") if kind.typeName() in (*WHOLE, "double") else F.col(c).cast("string")
+        return F.struct(F.lit(c).alias("column_name"), number.alias("number"), whole.alias("whole"), text.alias("text"), F.col(c).isNotNull().alias("given"))
+
     place = F.array_position(F.array(*map(F.lit, classes)), F.col(target).cast("string")) if classes else F.lit(0)
-    pairs = df.select(place.alias("t"), cells.alias("p")).select("t", "p.*").filter("value IS NOT NULL")
-    counted = pairs.groupBy("column_name", "value", "number").agg(F.count("*").alias("n"), F.lit(1).alias("one"), *[F.count_if(F.col("t") == i + 1).alias(f"c{i}") for i in range(len(classes))])
+    pairs = df.select(place.alias("t"), F.explode(F.array(*map(cell, df.columns))).alias("p")).select("t", "p.*").filter("given")
+    counts = [F.count("*").alias("n"), F.lit(1).alias("one"), *[F.count_if(F.col("t") == i + 1).alias(f"c{i}") for i in range(len(classes))]]
+    counted = pairs.groupBy("column_name", "number", "whole", "text").agg(*counts)
+    value = F.coalesce("text", F.col("whole").cast("string"), F.col("number").cast("string"))
+    counted = counted.select("column_name", value.alias("value"), "number", *[c for c in counted.columns if c not in ("column_name", "number", "whole", "text")])
     return range_parts(counted, [F.col("column_name"), F.col("number"), F.col("value")], "_part")
 
 
 def class_stats(i: int, mean: Column) -> list[Column]:
-    """Of the numbers of class i: n, extremes, the median's neighbours, sums of deviations from the column's mean and of their squares."""
+    """Of the numbers of class i: n, extremes, sums of deviations from the column's mean and of their squares."""
     c, x = F.col(f"c{i}"), F.col("number")
     d = x - mean
-    return [F.sum(F.when(x.isNotNull(), c)).alias(f"n{i}"), F.min(F.when(c > 0, x)).alias(f"min{i}"), F.max(F.when(c > 0, x)).alias(f"max{i}"), F.sum(c * d).alias(f"s{i}"), F.sum(c * d * d).alias(f"q{i}"), *around("number", f"c{i}", 0.5, f"m{i}")]
+    return [F.sum(F.when(x.isNotNull(), c)).alias(f"n{i}"), F.min(F.when(c > 0, x)).alias(f"min{i}"), F.max(F.when(c > 0, x)).alias(f"max{i}"), F.sum(c * d).alias(f"s{i}"), F.sum(c * d * d).alias(f"q{i}")]
+
+
+def ordered_cells(cells: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """The counted values whose order matters, with what stands before them (<column>_before) and in all (<column>_all): those of range partitions that hold a median of all rows or of a class,
+    and all values of columns with few. Only these are sorted; a sum for each column and partition tells which they are."""
+    per = cells.groupBy("column_name", "_part").agg(*[F.sum(c).alias(c) for c in sums])
+    column = Window.partitionBy("column_name")  # a row for each range partition that a column reaches into
+    earlier = column.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({f"_b_{c}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in sums} | {f"{c}_all": F.sum(c).over(column) for c in sums})
+    place = lambda c: 0.5 * (F.col(f"{c}_all") - 1)
+    holds = [(F.col(f"_b_{c}") <= F.ceil(place(c))) & (F.floor(place(c)) < F.col(f"_b_{c}") + F.col(c)) for c in sums if c != "one"]
+    wanted = per.filter(reduce(or_, holds, F.col("one_all") <= MAX_LEVELS)).drop(*sums)
+    own = Window.partitionBy("column_name", "_part").orderBy("number", "value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = cells.join(F.broadcast(wanted), ["column_name", "_part"])  # some for each column and class
+    return inside.withColumns({f"{c}_before": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in sums}).drop(*[f"_b_{c}" for c in sums])
 
 
 def value_summaries(cells: DataFrame, means: Mapping[str, float | None], n_classes: int, focus: int | None) -> list[dict]:
-    """A row for each column, in one pass over its counted values: distinct values, the median's neighbours, class_stats, and what the trend of the values' ranks with the focus class needs."""
+    """A row for each column: distinct values, the median's neighbours, class_stats, and what the trend of the values' ranks with the focus class needs (of columns with few values)."""
     mean = F.coalesce(*[F.when(F.col("column_name") == c, F.lit(m)) for c, m in means.items() if m is not None], F.lit(0.0))
-    placed = shifted(cells, ["column_name"], [F.col("number"), F.col("value")], ["n", "one", *[f"c{i}" for i in range(n_classes)]], few_keys=True)
-    parts = [F.sum("one").alias("distinct_values"), F.max("n_all").alias("total"), *around("number", "n", 0.5, "m")]
-    for i in range(n_classes):
-        parts += class_stats(i, mean)
+    each = [f"c{i}" for i in range(n_classes)]
+    whole = cells.groupBy("column_name").agg(F.sum("one").alias("distinct_values"), *[x for i in range(n_classes) for x in class_stats(i, mean)])
+    parts = [F.max("n_all").alias("total"), *around("number", "n", 0.5, "m"), *[x for i, c in enumerate(each) for x in around("number", c, 0.5, f"m{i}")]]
     if focus is not None:
-        known = [F.col(f"c{i}") for i in range(n_classes)]
+        known = [F.col(c) for c in each]
         w, k, r = sum(known[1:], known[0]).cast("double"), F.col(f"c{focus}").cast("double"), (F.col("one_before") + 1).cast("double")
         parts += [F.sum(x).alias(name) for name, x in (("w", w), ("wr", w * r), ("wrr", w * r * r), ("k", k), ("kr", k * r))]
-    return [r.asDict() for r in placed.groupBy("column_name").agg(*parts).collect()]
+    placed = ordered_cells(cells, ["n", "one", *each]).groupBy("column_name").agg(*parts)
+    return [r.asDict() for r in whole.join(placed, "column_name").collect()]  # a row for each column
 
 
 def middle(row: Mapping, name: str, total: float | None) -> float | None:
@@ -212,14 +242,16 @@ def full_profile(
     A categorical target is compared by class: groups and densities of numbers, contingencies and trends of categories. A continuous one gives relations with numbers (relations) and
     the target's groups by categories (groups), all features together. What reaches the driver is a row for each column with some numbers for each class."""
     spark, roles = df.sparkSession, dict(roles or {})
-    columns = {r["column_name"]: r for r in moments(df)}
+    with ThreadPoolExecutor(1) as other:  # the moments and the counted values don't need each other
+        found = other.submit(moments, df)
+        classes = target_classes(df, target) if target and target_type != "continuous" else []
+        if classes and target_type is None and family(df.schema[target].dataType) == "number":
+            given = next(r["count"] for r in found.result() if r["column_name"] == target)
+            classes = classes if len(classes) <= max(2, min(20.0, max(5.0, 0.05 * given))) else []
+        at = classes.index(focus) if focus in classes else (0 if classes else None)
+        cells = counted_values(df, target, classes)
+        columns = {r["column_name"]: r for r in found.result()}
     rows = next(iter(columns.values()))["count"] + next(iter(columns.values()))["missing"]
-    classes = target_classes(df, target) if target and target_type != "continuous" else []
-    if classes and target_type is None and family(df.schema[target].dataType) == "number":
-        few = max(2, min(20.0, max(5.0, 0.05 * columns[target]["count"])))
-        classes = classes if len(classes) <= few else []
-    at = classes.index(focus) if focus in classes else (0 if classes else None)
-    cells = counted_values(df, target, classes)
     summaries = {r["column_name"]: r for r in value_summaries(cells, {c: r["mean"] for c, r in columns.items()}, len(classes), at)}
     for c, r in columns.items():
         s = summaries.get(c, {})

@@ -120,6 +120,26 @@ def v11_spline_nodes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(charts.spline_nodes(lineitem(spark, d), "l_quantity", "l_extendedprice", "l_returnflag"), 4).withColumn("y", F.round("y", 3))
 
 
+_NODES = """b AS (SELECT l_returnflag AS grp, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1),
+n AS (SELECT grp, least(23, floor((l_quantity - lo) / ((hi - lo) / 24))) AS bin, avg(l_quantity) AS x, avg(l_extendedprice) AS y FROM lineitem JOIN b ON grp = l_returnflag GROUP BY ALL)"""
+
+
+@register(f"""WITH {_NODES}, e AS (SELECT grp, min(x) AS x0, max(x) AS x1 FROM n GROUP BY 1)
+SELECT grp, CAST(k AS INTEGER) AS k, round(x0 + (x1 - x0) * k / 79, 4) AS x, round(3 * (x0 + (x1 - x0) * k / 79) + 1, 4) AS y FROM e, (SELECT unnest(range(80)) AS k)""")
+def v11_spline_of_a_line(spark: SparkSession, d: str) -> DataFrame:
+    """All points of the spline through nodes on a line lie on it."""
+    df = lineitem(spark, d).withColumn("line", F.col("l_quantity") * 3 + 1)
+    return rounded(charts.trend_spline(df, "l_quantity", "line", "l_returnflag"), 4)
+
+
+@register(f"""WITH {_NODES}, e AS (SELECT grp, 0 AS k, min(x) AS x, min_by(y, x) AS y FROM n GROUP BY 1 UNION ALL SELECT grp, 79, max(x), max_by(y, x) FROM n GROUP BY 1)
+SELECT grp, CAST(k AS INTEGER) AS k, round(x, 4) AS x, round(y, 2) AS y FROM e""")
+def v11_spline_ends(spark: SparkSession, d: str) -> DataFrame:
+    """The spline begins and ends in its outer nodes."""
+    out = charts.trend_spline(lineitem(spark, d), "l_quantity", "l_extendedprice", "l_returnflag").filter("k IN (0, 79)")
+    return out.select("grp", "k", F.round("x", 4).alias("x"), F.round("y", 2).alias("y"))
+
+
 @register(None)
 def v11_trend_spline(spark: SparkSession, d: str) -> DataFrame:
     return charts.trend_spline(lineitem(spark, d), "l_quantity", "l_extendedprice", "l_returnflag")

@@ -213,9 +213,22 @@ def e18_select(spark: SparkSession, d: str) -> DataFrame:
     return df.select(*kept)
 
 
-@register(None)
+@register(f"""WITH {_LONG}, z AS (SELECT feature, x, CASE WHEN y = 'R' THEN 1 ELSE 0 END AS y FROM l), g AS (SELECT feature, y, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS w FROM z GROUP BY ALL), a AS (SELECT feature, avg(x) AS m, count(*) AS t FROM z GROUP BY 1),
+s AS (SELECT g.feature, sum(n * (g.m - a.m) ** 2) / (sum(w) / (any_value(t) - count(*))) AS score FROM g JOIN a ON a.feature = g.feature GROUP BY 1)
+SELECT feature, CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS rows FROM s ORDER BY score DESC LIMIT 2""")
+def e18_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The names of the two features that Spark ML's test ranks first, against F statistics of two classes."""
+    df = read(spark, d, "lineitem").withColumn("y", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    names = spark.createDataFrame([(c,) for c in fe.select_by_f(df, _NUMBERS, "y", 2)], "feature string")
+    return names.crossJoin(F.broadcast(df.agg(F.count("*").alias("rows"))))  # one row
+
+
+@register(f"""WITH {_LONG}, q AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS cuts FROM l GROUP BY 1),
+c AS (SELECT l.feature, len(list_filter(cuts, lambda v: x > v)) AS b, y, count(*) AS n FROM l JOIN q ON q.feature = l.feature GROUP BY ALL),
+j AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, b) AS nb, sum(n) OVER (PARTITION BY feature, y) AS ny FROM c)
+SELECT feature, round(sum(n / t * ln(n * t / (nb * ny))), 8) AS score FROM j GROUP BY 1""")
 def e20_mutual_information(spark: SparkSession, d: str) -> DataFrame:
-    return fe.mutual_information(read(spark, d, "lineitem"), _NUMBERS, "l_returnflag")
+    return rounded(fe.mutual_information(read(spark, d, "lineitem"), _NUMBERS, "l_returnflag"), 8)
 
 
 @register(None)
@@ -223,6 +236,21 @@ def e21_l1_scores(spark: SparkSession, d: str) -> DataFrame:
     return fe.l1_scores(read(spark, d, "lineitem"), ["l_quantity", "l_tax", "l_discount"], "l_extendedprice")
 
 
+@register("""WITH m AS (SELECT count(*) AS n, stddev_samp(l_quantity) AS sx, stddev_samp(l_extendedprice) AS sy, stddev_pop(l_quantity) AS px, covar_pop(l_quantity, l_extendedprice) AS c FROM lineitem)
+SELECT 'l_quantity' AS feature, round(greatest(abs(c) / (sx * sy) - 100.0 / sy, 0) / ((n - 1) / n) * sy / sx * px, 2) AS score FROM m""")
+def e21_soft_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """A lasso of one feature: its correlation, drawn towards zero by the penalty."""
+    return rounded(fe.l1_scores(read(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", 100.0), 2)
+
+
+@register("SELECT 'l_quantity' AS feature, 1.0::DOUBLE AS score, (SELECT count(*) FROM lineitem) AS rows UNION ALL SELECT 'same', 0.0, count(*) FROM lineitem")
+def e22_only_feature(spark: SparkSession, d: str) -> DataFrame:
+    """A forest gives all importance to the one feature that tells anything."""
+    df = read(spark, d, "lineitem").withColumn("same", F.lit(1.0)).withColumn("y", F.col("l_quantity") * 2)
+    out = rounded(fe.importance_scores(df, ["l_quantity", "same"], "y"))
+    return out.crossJoin(F.broadcast(df.agg(F.count("*").alias("rows"))))  # one row
+
+
 @register(None)
 def e22_importance(spark: SparkSession, d: str) -> DataFrame:
     return fe.importance_scores(read(spark, d, "lineitem"), ["l_quantity", "l_tax", "l_discount"], "l_extendedprice")

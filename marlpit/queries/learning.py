@@ -450,6 +450,36 @@ def m15_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     return mo.permutation_importance(df, fitted, "row_id", sample=None, repeats=3)
 
 
+@register(f"""WITH {_FLAGS}, m AS (SELECT old, max_by(noisy, n) AS p FROM (SELECT old, noisy, count(*) AS n FROM tr GROUP BY ALL) GROUP BY 1),
+a AS (SELECT old, noisy, row_number() OVER (ORDER BY {h('o_orderkey', 7)}, o_orderkey) AS i FROM o), b AS (SELECT old AS dealt, row_number() OVER (ORDER BY {h('o_orderkey', 8)}, o_orderkey) AS i FROM o),
+w AS (SELECT avg((noisy = p)::INT) AS whole FROM o JOIN m USING (old)), sh AS (SELECT avg((noisy = p)::INT) AS shuffled FROM a JOIN b USING (i) JOIN m ON m.old = dealt)
+SELECT 'old' AS feature, round(whole - shuffled, 6) AS importance FROM w, sh UNION ALL SELECT 'urgent', 0.0""")
+def m15_importance_of_a_flag(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy that is lost when the flag that a tree of one split uses is shuffled, and none for the other."""
+    df = flags(spark, d)
+    fitted = mo.fit(df.filter("split_role = 'training'"), mo.Spec("classification", "noisy", ("old", "urgent"), "decision_tree", {"maxDepth": 1}))
+    return rounded(mo.permutation_importance(df, fitted, "o_orderkey", sample=None, repeats=1, metric="accuracy"))
+
+
+def _replayed() -> str:
+    from marlpit.queries.monitoring import _L
+
+    return f"""WITH {_L}, c AS (SELECT *, user_id % 4 = 0 AS quarter FROM log WHERE role = 'champion'), r AS (SELECT quarter, avg((prediction_value = '1')::INT) AS p FROM c GROUP BY 1)
+SELECT request_id, record_id, CASE WHEN p > 0.5 THEN '1' ELSE '0' END AS prediction, round(p, 6) AS prediction_score FROM c JOIN r ON r.quarter = c.quarter WHERE ts < (SELECT max(ts) FROM events)"""
+
+
+@register(_replayed())
+def m16_replayed_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Requests whose payload holds one flag, scored again by a tree that learned what was predicted for either value."""
+    from marlpit.queries.monitoring import log
+
+    e = log(spark, d).withColumn("input_json", F.to_json(F.struct((F.col("user_id") % 4 == 0).cast("double").alias("quarter"))))
+    rows = e.filter("role = 'champion'").withColumn("_p", F.from_json("input_json", "quarter double")).select("_p.*", "prediction_value")
+    fitted = mo.fit(rows, mo.Spec("classification", "prediction_value", ("quarter",), "decision_tree", {"maxDepth": 1}))
+    since, until = e.agg(F.min("scored_at").cast("string"), F.max("scored_at").cast("string")).first()
+    return rounded(mo.replay(e, "input_json", "quarter double", fitted, since, until).select("request_id", "record_id", "prediction", "prediction_score"))
+
+
 @register(None)
 def m16_replay(spark: SparkSession, d: str) -> DataFrame:
     """Logged requests scored by a challenger that learned from actual values."""
