@@ -67,6 +67,10 @@ def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Struc
             yield batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].as_py()
 
 
+#: Batches after which an index sums up its tables.
+COMPACT_AFTER = 32
+
+
 class LineIndex:
     """The state, as tables in the shared folder that are never rewritten, but for the shards of filters whose keys changed: counts (key, shard, n, min_doc) and holders (doc_id, key, since),
     one of each for a batch; gone (doc_id, until) for deletions; filters (shard, cells). Summed counts are what counts: n documents hold a key, min_doc is the smallest of them that was inserted.
@@ -93,11 +97,12 @@ class LineIndex:
             every = every.join(last, (F.col("doc_id") == F.col("_gone")) & (F.col("since") < F.col("until")), "left_anti")
         return every.select("doc_id", "key")
 
-    def refs(self) -> DataFrame:
-        """key, shard, n, min_doc of all keys that documents hold."""
+    def refs(self, only: DataFrame | None = None) -> DataFrame:
+        """key, shard, n, min_doc of all keys that documents hold, or of some (key, each once), whose counts alone are then summed."""
         if not self.counts:
             return self.spark.createDataFrame([], "key binary, shard int, n long, min_doc long")
-        sums = reduce(DataFrame.unionByName, self.counts).groupBy("key").agg(F.first("shard").alias("shard"), F.sum("n").alias("n"), F.min("min_doc").alias("min_doc"), F.count_if(F.col("n") < 0).alias("taken"))
+        counts = reduce(DataFrame.unionByName, self.counts)
+        sums = (counts if only is None else counts.join(only, "key", "left_semi")).groupBy("key").agg(F.first("shard").alias("shard"), F.sum("n").alias("n"), F.min("min_doc").alias("min_doc"), F.count_if(F.col("n") < 0).alias("taken"))
         sums = sums.filter("n > 0")
         if self.gone:  # where documents were taken out the smallest may be another
             found = self.holders().join(sums.filter("taken > 0").select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("lowest"))
@@ -120,10 +125,12 @@ class LineIndex:
         asked = materialize(map_arrow(grouped, probe, "key binary, shard int, n long, min_doc long, maybe boolean"), "asked", self.rows)
         fresh = asked.filter("NOT maybe").select("key", "shard")
         if self.counts:  # false positives of the filters are new keys too
-            fresh = fresh.unionByName(asked.filter("maybe").select("key", "shard").join(self.refs().select("key"), "key", "left_anti"))
+            unsure = asked.filter("maybe").select("key", "shard")
+            fresh = fresh.unionByName(unsure.join(self.refs(unsure.select("key")).select("key"), "key", "left_anti"))
         counts, held = asked.drop("maybe"), materialize(holders.distinct().withColumn("since", F.lit(batch)), "holders", self.rows)
         self._changed(fresh, [*self.counts, counts], lambda f, keys: f.insert(keys))
         self.held, self.batch = [*self.held, held], batch
+        self._compact()
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take documents (doc_id) out again."""
@@ -135,6 +142,14 @@ class LineIndex:
         emptied = emptied.groupBy("key", "shard").agg(F.sum("n").alias("left")).filter("left = 0").select("key", "shard")
         self.gone, self.batch = [*self.gone, ids], batch
         self._changed(emptied, [*self.counts, lost], lambda f, keys: f.delete(keys))
+        self._compact()
+
+    def _compact(self) -> None:
+        """After COMPACT_AFTER batches: one table of the counts and one of the holders as they are now, in place of one of each for a batch."""
+        if len(self.counts) <= COMPACT_AFTER:
+            return
+        counts, held = materialize(self.refs(), "counts"), materialize(self.holders().withColumn("since", F.lit(self.batch)), "holders")
+        self.counts, self.held, self.gone = [counts], [held], []
 
     def _changed(self, keys: DataFrame, counts: list[DataFrame], change) -> None:
         """Take up counts and the filters after change(filter, keys) in each shard with changed keys; a full one is rebuilt from the counts, with room to double."""
