@@ -177,15 +177,15 @@ def full_contingency(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, k) for c, k in (("row_share", 6), ("expected", 4), ("lift", 6), ("residual", 4), ("chi2", 4), ("cramers_v", 6), ("sparse_share", 6))})
 
 
-_RELATED = {"l_quantity": "l_quantity", "l_partkey": "l_partkey", "odd_supplier": "CASE WHEN l_suppkey % 2 = 1 THEN l_suppkey END"}
+_RELATED = {"l_quantity": "l_quantity", "l_partkey": "l_partkey", "odd_order": "CASE WHEN l_orderkey % 2 = 1 THEN l_orderkey % 1000 END"}
 _RELATION = """SELECT '{c}' AS feature, CAST(count(*) AS BIGINT) AS n, round(corr(x, y), 6) AS pearson, round(covar_samp(x, y), 1) AS covariance, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 2) AS intercept,
 round(corr(rx, ry), 6) AS spearman, round(corr(x, y) ** 2, 6) AS r2, round(abs(corr(x, y)), 6) AS score FROM (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry
 FROM (SELECT CAST({x} AS DOUBLE) AS x, l_extendedprice AS y FROM lineitem) WHERE x IS NOT NULL)"""
 
 
 def related(spark: SparkSession, d: str) -> DataFrame:
-    df = read(spark, d, "lineitem").withColumn("odd_supplier", F.when(F.col("l_suppkey") % 2 == 1, F.col("l_suppkey")))
-    return df.select("l_quantity", "l_partkey", "odd_supplier", "l_tax", "l_returnflag", "l_extendedprice")
+    df = read(spark, d, "lineitem").withColumn("odd_order", F.when(F.col("l_orderkey") % 2 == 1, F.col("l_orderkey") % 1000))
+    return df.select("l_quantity", "l_partkey", "odd_order", "l_tax", "l_returnflag", "l_extendedprice")
 
 
 @register(" UNION ALL ".join(_RELATION.format(c=c, x=x) for c, x in _RELATED.items()))
