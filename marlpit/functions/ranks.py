@@ -23,8 +23,8 @@ def placed(rows: DataFrame, keys: Sequence[str], by: Sequence[Column], sums: Seq
     return shifted(range_parts(rows, [*map(F.col, keys), *by], "_part"), keys, by, sums).drop("_part")
 
 
-def shifted(ranged: DataFrame, keys: Sequence[str], by: Sequence[Column], sums: Sequence[str], few_keys: bool = False) -> DataFrame:
-    """placed, for rows that are in range partitions (_part) of keys and by already. few_keys: keys are names of columns or the like, so the shifts (a row for each key and partition that it reaches) are broadcast."""
+def shifted(ranged: DataFrame, keys: Sequence[str], by: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+    """placed, for rows that are in range partitions (_part) of keys and by already."""
     per = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
     mine = Window.partitionBy(*keys)  # a row for each range partition that a key reaches into
     earlier = mine.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,7 +33,7 @@ def shifted(ranged: DataFrame, keys: Sequence[str], by: Sequence[Column], sums:
     own = Window.partitionBy(*keys, "_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in sums})
     on = same_keys([*map(F.col, keys), F.col("_part")], [*[F.col(f"_k_{k}") for k in keys], F.col("_p")])
-    joined = inside.join(side if keys and not few_keys else F.broadcast(side), on)  # without keys one row for each partition
+    joined = inside.join(side if keys else F.broadcast(side), on)  # without keys one row for each partition
     joined = joined.withColumns({f"{c}_before": F.col(f"_b_{c}") + F.col(f"_i_{c}") for c in sums})
     return joined.drop("_p", *[f"_k_{k}" for k in keys], *[f"{x}{c}" for x in ("_b_", "_i_") for c in sums])
 
