@@ -5,7 +5,6 @@ import random
 import re
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
