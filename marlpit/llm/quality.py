@@ -1,14 +1,14 @@
 """Quality rules: text statistics and an n-gram perplexity band per language.
 
 The language model is a modified Kneser-Ney model over hashed character 4-grams, one per language. Spark counts the 4-grams of
-every document, derives the lower orders (how many different characters stand before a gram) and what the discounts need; the
-probabilities are kept in sorted arrays of gram hashes. A gram is hashed by packing 16 bits of each character, which is exact for all
+every document, derives the lower orders (how many different characters stand before a gram), what the discounts need and the
+probabilities, a table for each order. A gram is hashed by packing 16 bits of each character, which is exact for all
 of the first Unicode plane. A document's score is its bits a word, the logarithm of its perplexity per word; the language's
 middle score and spread, again over all documents, set the lower and upper bound.
 
-What is held in arrays is bounded, however large the corpus: of each order the MAX_GRAMS most frequent grams over all languages
-(all grams with the count of the last one or none); the mass of the others goes to the lower order after their context. The MAX_LANGUAGES
-languages with most characters have models of their own; all others share one model and one band.
+No gram and no language is left out, however large the corpus. The most frequent 4-grams, IN_ARRAYS of them over all languages at most, are sent to the tasks in
+sorted arrays of hashes; what these don't hold of a text goes with its row as gram and count, and meets the tables in a join. Such grams are rare by their choice, so no key
+of that join is large, and where a corpus has no more grams than the arrays take there is nothing to join.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages form one language; repeated
 rows count each; an empty table gives an empty result; of other columns none is read. The outputs' names begin with a prefix; columns of the
@@ -23,12 +23,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from marlpit.llm.common import map_arrow, materialize
+from marlpit.functions.ranks import placed
+from marlpit.llm.common import free_names, map_arrow, materialize
 from marlpit.llm.substring import BASES, rolling, word_hashes
 
 ORDER = 4
@@ -38,11 +39,10 @@ SYMBOLS = "#*$%&|<>"
 SLICE = 1 << 20
 #: Codes or table entries that a task gathers before it passes their counts on.
 HELD = 1 << 21
-MAX_GRAMS, MAX_LANGUAGES = 1 << 20, 32
-#: Counts from this on are not told apart when it is decided which grams are kept.
-MOST_COUNTED = 1 << 14
-#: Histogram bins for one bit of a score, and scores from which on they fall in the last bin.
-BINS, MOST_BITS = 256, 256
+#: 4-grams that tasks get in arrays, at most; steps of a doubling by which counts are told apart when these are chosen.
+IN_ARRAYS, STEPS = 1 << 20, 8
+#: Histogram bins for one bit of a score.
+BINS = 256
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 #: Bounds are so many spreads from the middle; SHORT widens them for short texts, as bits over the root of the number of words.
 BAND, SHORT = 5.0, 10.0
@@ -77,12 +77,17 @@ def grams(text: str) -> Iterator[np.ndarray]:
         yield reduce(lambda code, i: (code << np.uint64(BITS)) | c[i : n + i], range(1, ORDER), c[:n])
 
 
+def model_name() -> Column:
+    """A language's model; that of null is apart from all strings."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("model")
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all texts. docs: lang, text. A task merges what it counts in sorted arrays and passes them on when they are large."""
+    """model, gram, n over all texts. docs: lang, text. A task merges what it counts in sorted arrays and passes them on when they are large."""
 
-    def rows(tables: dict[str | None, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for lang, (codes, n) in tables.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+    def rows(tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for model, (codes, n) in tables.items():
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["model", "gram", "n"])
 
     def merged(table: tuple[np.ndarray, np.ndarray] | None, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         new, n = np.unique(np.concatenate(codes), return_counts=True)
@@ -94,13 +99,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         return every[order][starts], np.add.reduceat(np.concatenate([table[1], n])[order], starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
-        waiting: dict[str | None, list[np.ndarray]] = {}
+        tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
         size = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for model, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for code in grams(text.as_py() or ""):
-                    waiting.setdefault(lang, []).append(code)
+                    waiting.setdefault(model, []).append(code)
                     size += len(code)
                     if size > HELD:
                         tables |= {x: merged(tables.get(x), codes) for x, codes in waiting.items()}
@@ -110,33 +115,74 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                             tables = {}
         yield from rows(tables | {x: merged(tables.get(x), codes) for x, codes in waiting.items()})
 
-    return map_arrow(docs.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(model_name(), "text"), run, "model string, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Grams:
-    """One order of a model: sorted gram hashes, their log2 probabilities; sorted hashes of contexts, the log2 weight of the next lower order after them."""
+def discounts() -> Column:
+    """Aggregate of n: what modified Kneser-Ney takes from counts of 1, 2, 3 and more, by how many grams were met once to four times."""
+    n1, n2, n3, n4 = (F.greatest(F.count_if(F.col("n") == i), F.lit(1)) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return F.array(*[F.least(F.greatest(d, F.lit(0.05)), F.lit(most)) for d, most in zip(found, (0.95, 1.9, 2.9), strict=True)])
 
-    codes: np.ndarray
-    logs: np.ndarray
-    contexts: np.ndarray
-    backoff: np.ndarray
 
+def context() -> Column:
+    """All characters of a gram but the last."""
+    return F.shiftrightunsigned("gram", BITS)
 
-def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """What modified Kneser-Ney takes from counts of 0, 1, 2, 3 and more, by how many grams were met once to four times."""
-    n1, n2, n3, n4 = (max(1, n) for n in (n1, n2, n3, n4))
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
 
+def shorter(order: int) -> Column:
+    """All characters of a gram of that order but the first."""
+    return F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
 
-def next_order(model: list[Grams], codes: np.ndarray, counts: np.ndarray, totals: np.ndarray, discount: np.ndarray) -> Grams:
-    """The order above model, from the kept grams (sorted), their counts, the counts of all grams after their contexts, and the discounts."""
-    p = (counts - discount[np.minimum(counts, 3)]) / totals
-    contexts, of = np.unique(codes >> np.uint64(BITS), return_inverse=True)
-    freed = np.maximum(1 - np.bincount(of, weights=p, minlength=len(contexts)), 1e-12)
-    lower = 2.0 ** log_probabilities(model, codes & np.uint64((1 << BITS * len(model)) - 1)) if model else 2.0**-BITS
-    return Grams(codes, np.log2(p + freed[of] * lower), contexts, np.log2(freed))
+
+@dataclass
+class LanguageModels:
+    """orders: tables from order 1 on, a row for each model and gram that was met: n, log (log2 of the probability of the last character after the others), weight (log2 of
+    the lower order's weight after the gram's context). arrays: by model, sorted hashes of the most frequent grams of the highest order, and their logs."""
+
+    orders: list[DataFrame]
+    arrays: dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def train(docs: DataFrame, in_arrays: int = IN_ARRAYS) -> LanguageModels:
+    """Models of all texts, of which at most in_arrays grams reach the driver."""
+    counts = [materialize(gram_counts(docs), "grams")]
+    for order in range(ORDER, 1, -1):
+        counts.append(materialize(counts[-1].groupBy("model", shorter(order).alias("gram")).agg(F.count("*").alias("n")), f"order-{order - 1}"))
+    orders: list[DataFrame] = []
+    for order, level in enumerate(reversed(counts), 1):
+        after = Window.partitionBy("model", context())  # as many rows as there are characters, 2 ** BITS
+        taken = F.get("_takes", F.least("n", F.lit(3)).cast("int") - 1)
+        known = level.join(level.groupBy("model").agg(discounts().alias("_takes")), "model")
+        known = known.withColumns({"_taken": taken, "_total": F.sum("n").over(after)}).withColumn("_freed", F.sum("_taken").over(after) / F.col("_total"))
+        lower: Column = F.lit(2.0**-BITS)
+        if orders:
+            below = orders[-1].select("model", F.col("gram").alias("_shorter"), F.col("log").alias("_lower"))
+            known, lower = known.withColumn("_shorter", shorter(order)).join(below, ["model", "_shorter"]), F.pow(F.lit(2.0), F.col("_lower"))
+        p = (F.col("n") - F.col("_taken")) / F.col("_total") + F.col("_freed") * lower
+        orders.append(materialize(known.select("model", "gram", "n", F.log2(p).alias("log"), F.log2("_freed").alias("weight")), f"model-{order}"))
+    return LanguageModels(orders, sorted_arrays(orders[-1], in_arrays))
+
+
+def sorted_arrays(level: DataFrame, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes and logs by model, of the most frequent grams: at most so many, and all or none of those whose counts are in one step."""
+    step = F.floor(F.log2("n") * STEPS)
+    found = level.groupBy(step.alias("step")).count().collect()  # STEPS rows for each doubling of a count
+    least, left = None, most
+    for r in sorted(found, reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.step
+    if least is None:
+        return {}
+    rows = level.filter(step >= least).select("model", "gram", "log").toArrow()
+    names, of = np.unique(rows.column("model").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    codes, logs = rows.column("gram").to_numpy().view(np.uint64), rows.column("log").to_numpy()
+    by = np.lexsort((codes, of))
+    ends = np.searchsorted(of[by], np.arange(len(names) + 1))
+    return {str(name): (codes[by[a:b]], logs[by[a:b]]) for name, a, b in zip(names, ends, ends[1:], strict=False)}
 
 
 def find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,75 +192,25 @@ def find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, codes[at] == wanted
 
 
-def log_probabilities(model: list[Grams], wanted: np.ndarray) -> np.ndarray:
-    """log2 P(last | others) for hashes of grams of the order len(model)."""
-    if not model:
-        return np.full(len(wanted), -float(BITS))
-    top = model[-1]
-    at, there = find(top.codes, wanted)
-    if there.all():
-        return top.logs[at]
-    out = np.empty(len(wanted))
-    out[there] = top.logs[at[there]]
-    rest = wanted[~there]
-    known, seen = find(top.contexts, rest >> np.uint64(BITS))
-    after = np.zeros(len(rest))
-    after[seen] = top.backoff[known[seen]]
-    out[~there] = after + log_probabilities(model[:-1], rest & np.uint64((1 << BITS * (len(model) - 1)) - 1))
-    return out
-
-
-@dataclass
-class LanguageModels:
-    """A model for each number; numbers of languages, the last number for all others."""
-
-    numbers: dict[str | None, int]
-    models: list[list[Grams]]
-
-    def number(self, lang: str | None) -> int:
-        return self.numbers.get(lang, len(self.numbers))
-
-
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> LanguageModels:
-    """Models of all texts. Spark counts, derives the orders and prunes; what reaches the driver is bounded by max_grams rows an order."""
-    counted = materialize(gram_counts(docs), "grams")
-    largest = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("lang").asc_nulls_last()).limit(max_languages).collect()
-    numbers = {r.lang: i for i, r in enumerate(largest)}
-    named = docs.sparkSession.createDataFrame(list(numbers.items()), "_lang string, model int")
-    level = counted.join(F.broadcast(named), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("model", F.coalesce("model", F.lit(len(numbers))))
-    level = level.groupBy("model", "gram").agg(F.sum("n").alias("n"))
-    orders = []
+def gram_logs(wanted: DataFrame, models: LanguageModels) -> DataFrame:
+    """model, gram, log for distinct grams of the highest order; those that were never met back off, down to equally likely characters."""
+    top = models.orders[-1].select("model", "gram", "log")
+    unseen = wanted.select("model", "gram").join(top, ["model", "gram"], "left_anti")
+    backed: list[Column] = []
+    logs: list[Column] = []
     for order in range(ORDER, 0, -1):
-        level = materialize(level, f"order-{order}")
-        # at most MOST_COUNTED rows for each model
-        often = level.groupBy("model", F.least("n", F.lit(MOST_COUNTED)).alias("n")).count().collect()
-        met = {m: discounts(*[sum(r["count"] for r in often if (r.model, r.n) == (m, i)) for i in (1, 2, 3, 4)]) for m in {r.model for r in often}}
-        context = F.shiftrightunsigned("gram", BITS)
-        totals = level.groupBy("model", context.alias("context")).agg(F.sum("n").alias("total"))
-        kept = level.filter(F.col("n") >= least_count(often, max_grams)).withColumn("context", context).join(totals, ["model", "context"])
-        orders.append((kept.select("model", "gram", "n", "total").toArrow(), met))
-        level = level.groupBy("model", F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-    models: list[list[Grams]] = []
-    for number in range(len(numbers) + 1):
-        model: list[Grams] = []
-        for rows, met in reversed(orders):
-            mine = rows.filter(pc.equal(rows.column("model"), number))
-            codes = mine.column("gram").to_numpy().view(np.uint64)
-            by_code = np.argsort(codes)
-            counts, total = (mine.column(c).to_numpy()[by_code] for c in ("n", "total"))
-            model.append(next_order(model, codes[by_code], counts, total, met.get(number, np.zeros(4))))
-        models.append(model)
-    return LanguageModels(numbers, models)
-
-
-def least_count(often: list, most: int) -> int:
-    """The least count that no more than ``most`` grams have or exceed; often: rows with n and how many grams of a model have that count."""
-    left = most
-    for r in sorted(often, key=lambda r: -r.n):
-        left -= r["count"]
-        if left < 0:
-            return r.n + 1
-    return 1
+        level, low = models.orders[order - 1], F.col("gram").bitwiseAND(F.lit(-1 if order == ORDER else (1 << BITS * order) - 1))
+        weights = level.groupBy("model", context().alias(f"_c{order}")).agg(F.max("weight").alias(f"_w{order}"))
+        unseen = unseen.withColumn(f"_c{order}", F.shiftrightunsigned(low, BITS)).join(weights, ["model", f"_c{order}"], "left")
+        if order < ORDER:
+            mine = level.select("model", F.col("gram").alias(f"_g{order}"), F.col("log").alias(f"_l{order}"))
+            unseen = unseen.withColumn(f"_g{order}", low).join(mine, ["model", f"_g{order}"], "left")
+        backed.append(F.coalesce(f"_w{order}", F.lit(0.0)))
+        logs.append(F.col(f"_l{order}") if order < ORDER else F.lit(None).cast("double"))
+    log: Column = F.lit(-float(BITS))
+    for weight, own in zip(reversed(backed), reversed(logs), strict=True):
+        log = F.coalesce(own, weight + log)
+    return wanted.select("model", "gram").join(top, ["model", "gram"]).unionByName(unseen.select("model", "gram", log.alias("log")))
 
 
 def text_statistics(text: str) -> tuple[int, int, int, int, int]:
@@ -242,40 +238,65 @@ def text_statistics(text: str) -> tuple[int, int, int, int, int]:
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def scored(docs: DataFrame, models: LanguageModels, prefix: str = "_") -> DataFrame:
-    """docs, every column kept, plus FEATURES, model (its number) and bits: bits a word (log2 of the perplexity of words) under its language's model."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    added = [*(f"{prefix}{c}" for c in FEATURES), f"{prefix}model", f"{prefix}bits"]
-    docs = docs.drop(*added)
+def scored(docs: DataFrame, models: LanguageModels, prefix: str = "_", drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs, every column kept but those to drop, plus FEATURES, model and bits: bits a word (log2 of the perplexity of words) under its language's model. It stands in a written table."""
+    shared = docs.sparkSession.sparkContext.broadcast(models.arrays)
+    model, bits = f"{prefix}model", f"{prefix}bits"
+    counted = [f"{prefix}{c}" for c in FEATURES]
+    docs = docs.drop(*counted, bits).withColumn(model, model_name())
+    row, met, times = free_names(docs, "_row", "_grams", "_times")
     schema = StructType(list(docs.schema.fields))
-    for c in added:
-        schema = schema.add(c, "double" if c.endswith("bits") else "long")
+    for c in [*counted, bits, row, met, times]:
+        schema = schema.add(c, {bits: "double", met: ArrayType(LongType()), times: ArrayType(LongType())}.get(c, "long"))
+    none = np.empty(0, dtype=np.uint64), np.empty(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        arrays = shared.value
+        at = TaskContext.get().partitionId() << 40  # numbers of rows, apart in what is written once
         for batch in batches:
-            found, numbers, bits = [], [], []
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            for lang, cell in zip(langs, batch.column(batch.schema.get_field_index("text")), strict=True):
+            found, totals, rare, counts = [], [], [], []
+            names = batch.column(batch.schema.get_field_index(model)).to_pylist()
+            for name, cell in zip(names, batch.column(batch.schema.get_field_index("text")), strict=True):
                 text = cell.as_py() or ""
                 found.append(text_statistics(text))
-                numbers.append(models.number(lang))
-                total = sum(float(log_probabilities(models.models[numbers[-1]], code).sum()) for code in grams(text)) if text else 0.0
-                bits.append(-total / max(1, found[-1][0]))
+                codes, logs = arrays.get(name, none)
+                total, others = 0.0, []
+                for code in grams(text) if text else ():
+                    place, there = find(codes, code)
+                    if there.all():
+                        total += float(logs[place].sum())
+                    else:
+                        total += float(logs[place[there]].sum())
+                        others.append(code[~there])
+                met_here, n = np.unique(np.concatenate(others), return_counts=True) if others else (none[0], none[0])
+                totals.append(total)
+                rare.append(met_here.view(np.int64))
+                counts.append(n.astype(np.int64))
             extra = [pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra, pa.array(numbers, pa.int64()), pa.array(bits, pa.float64())], [*batch.schema.names, *added])
-
-    return map_arrow(docs, run, schema)
+            ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, dtype=np.int64), *parts]))) for parts in (rare, counts)]
+            numbers = pa.array(np.arange(at, at + len(found)))
+            at += len(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra, pa.array(totals, pa.float64()), numbers, *lists], schema.fieldNames())
+
+    first = materialize(map_arrow(docs, run, schema).drop(*drop), "logs")
+    total = F.col(bits)
+    if first.agg(F.max(F.size(met)).alias("n")).first()["n"]:
+        rest = first.select(F.col(model).alias("model"), row, F.col(met).alias("gram"), F.col(times).alias("n"))
+        rest = materialize(rest.select("model", row, F.explode(F.arrays_zip("gram", "n")).alias("g")).select("model", row, "g.gram", "g.n"), "rare")
+        logs = gram_logs(rest.select("model", "gram").distinct(), models)
+        sums = rest.join(logs, ["model", "gram"]).groupBy(row).agg(F.sum(F.col("n") * F.col("log")).alias(met))
+        first, total = materialize(first.drop(met).join(sums, row, "left"), "scores"), total + F.coalesce(met, F.lit(0.0))
+    return first.withColumn(bits, -total / F.greatest(F.col(f"{prefix}n_words"), F.lit(1))).drop(row, met, times)
 
 
 def perplexity_bands(scores: DataFrame, band: float = BAND) -> DataFrame:
     """model, low, high: bounds in bits a word, a row for each model. scores: model, bits of all rows that pass the base rules.
     The middle and the quartiles are those of a histogram; a bound is band times the wider half of the middle spread from the middle."""
-    bins = scores.groupBy("model", F.least(F.floor(F.col("bits") * BINS), F.lit(BINS * MOST_BITS)).alias("bin")).agg(F.count("*").alias("n"))
-    mine = Window.partitionBy("model")  # bins of a model
-    share = F.sum("n").over(mine.orderBy("bin")) / F.sum("n").over(mine)
+    bins = scores.groupBy("model", F.floor(F.col("bits") * BINS).alias("bin")).agg(F.count("*").alias("n"))
     at = [F.min(F.when(F.col("share") >= q, (F.col("bin") + 0.5) / BINS)).alias(name) for q, name in ((0.25, "q1"), (0.5, "middle"), (0.75, "q3"))]
-    found = bins.withColumn("share", share).groupBy("model").agg(*at)
+    share = (F.col("n_before") + F.col("n")) / F.col("n_all")
+    found = placed(bins, ["model"], [F.col("bin")], ["n"]).withColumn("share", share).groupBy("model").agg(*at)
     reach = F.greatest(F.col("middle") - F.col("q1"), F.col("q3") - F.col("middle"), F.lit(1 / BINS)) / 0.6745 * band
     return found.select("model", (F.col("middle") - reach).alias("low"), (F.col("middle") + reach).alias("high"))
 
@@ -286,10 +307,10 @@ def quality_verdicts(docs: DataFrame, band: float = BAND, short: float = SHORT,
     name = {c: f"{prefix}{c}" for c in ("base_failed", "kept", "low", "high", "number", "model")}
     docs = docs.drop(*name.values())
     rules = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
-    scores = materialize(scored(docs, train(docs), prefix).withColumn(name["base_failed"], rules).drop(*drop), "scores")
-    bands = perplexity_bands(scores.filter(~failed).select(model.alias("model"), bits.alias("bits")), band)
+    scores = scored(docs, train(docs), prefix, drop).withColumn(name["base_failed"], rules)
+    bands = materialize(perplexity_bands(scores.filter(~failed).select(model.alias("model"), bits.alias("bits")), band), "bands")
     limits = bands.select(F.col("model").alias(name["number"]), F.col("low").alias(name["low"]), F.col("high").alias(name["high"]))
-    out = scores.join(F.broadcast(limits), model == F.col(name["number"]), "left")  # MAX_LANGUAGES + 1 rows
+    out = scores.join(limits, model == F.col(name["number"]), "left")  # a row for each language, broadcast if Spark finds the table small
     slack = F.lit(short) / F.sqrt(F.greatest(n_words, F.lit(1)))
     inside = bits.between(low - slack, high + slack)
     return out.withColumn(name["kept"], ~failed & F.coalesce(inside, F.lit(False))).drop(name["number"], name["low"], name["high"], name["model"])

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on the smallest tables and on made-up edge cases."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -810,19 +811,43 @@ def test_bits_and_verdicts_are_brute_force(spark):
     assert not got[13]._kept and sum(r._kept for r in got.values()) >= 8
 
 
-def test_pruned_models_sum_to_one(spark):
+@pytest.mark.parametrize("in_arrays", [0, 1, 60, 1 << 20])
+def test_bits_do_not_depend_on_what_is_in_arrays(spark, in_arrays):
+    """Grams that tasks don't hold meet their rows in a join: all, most or none of them, with repeated and missing ids and columns that clash."""
+    rows = [(i % 7 or None, *r, i, i) for i, r in enumerate(QUALITY_TEXTS * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, _row int, gram int").repartition(3)
+    models = quality.train(df, in_arrays)
+    assert sum(len(codes) for codes, _ in models.arrays.values()) <= in_arrays and all((np.diff(c.astype(object)) > 0).all() for c, _ in models.arrays.values())
+    got = {r._row: r for r in quality.scored(df, models).collect()}
+    assert len(got) == len(rows) and all(got[i].gram == i and got[i].doc_id == rows[i][0] for i in got)
+    assert [got[i]._bits for i in range(len(rows))] == pytest.approx(brute_bits([r[1:3] for r in rows]), abs=1e-6)
+
+
+def test_every_language_has_its_own_model(spark):
+    rows = [(f"l{i:02}", "".join(chr(97 + (i * k) % 26) for k in range(40)) + " and so on") for i in range(50)] + [("", "a b"), (None, "a c")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    models = quality.train(df)
+    assert len(models.arrays) == 52
+    got = sorted((r.text, r._bits) for r in quality.scored(df, models).collect())
+    assert [b for _, b in got] == pytest.approx([b for _, b in sorted(zip([t for _, t in rows], brute_bits(rows), strict=True))], abs=1e-6)
+
+
+def test_models_sum_to_one(spark):
     df = spark.createDataFrame([(x, t) for x, t in QUALITY_TEXTS], "lang string, text string")
-    for most, languages in ((1 << 20, 32), (60, 32), (60, 1)):
-        found = quality.train(df, most, languages)
-        assert len(found.numbers) == min(languages, 4) and found.number("unheard of") == len(found.numbers)
-        assert all(sum(len(m[o].codes) for m in found.models) <= most for o in range(4))
-        model = found.models[0]
-        for context in ("the", "qui", " zz"):
-            at = np.uint64(0)
-            for c in context:
-                at = (at << np.uint64(16)) | np.uint64(ord(c))
-            everything = (at << np.uint64(16)) | np.arange(1 << 16, dtype=np.uint64)
-            assert (2.0 ** quality.log_probabilities(model, everything)).sum() == pytest.approx(1.0, abs=1e-6)
+    models = quality.train(df)
+    starts = {c: functools.reduce(lambda at, x: at << 16 | ord(x), c, 0) for c in ("the", "qui", " zz", "\u4f60\u4f60\u4f60")}
+    every = [spark.range(1 << 16).select(F.lit("=en").alias("model"), (F.col("id") + F.lit(at << 16)).alias("gram")) for at in starts.values()]
+    found = quality.gram_logs(functools.reduce(lambda a, b: a.unionByName(b), every), models)
+    sums = {r.c: r.p for r in found.groupBy(quality.context().alias("c")).agg(F.sum(F.pow(F.lit(2.0), F.col("log"))).alias("p")).collect()}
+    assert sums == {at: pytest.approx(1.0, abs=1e-6) for at in starts.values()}
+
+
+def test_bands_of_long_words(spark):
+    """Scores of texts without blanks, thousands of bits a word, are told apart as well as others."""
+    scores = [("a", 3000.0 + i) for i in range(101)] + [("b", 5.0)] * 3
+    got = {r.model: (r.low, r.high) for r in quality.perplexity_bands(spark.createDataFrame(scores, "model string, bits double"), 1.0).collect()}
+    half = 1 / quality.BINS / 2
+    assert got["a"] == (pytest.approx(3050 + half - 25 / 0.6745), pytest.approx(3050 + half + 25 / 0.6745)) and got["b"][0] < 5 < got["b"][1]
 
 
 def test_quality_verdicts(spark):
