@@ -74,8 +74,8 @@ def quality(df: DataFrame, ts: str, value: str) -> DataFrame:
 
 
 def deltas(rows: DataFrame) -> DataFrame:
-    """delta: seconds between neighbours, where they differ."""
-    return with_lags(rows, "ts", [1]).select((epoch_seconds(F.col("ts")) - epoch_seconds(F.col("lag_1"))).alias("delta")).filter("delta > 0")
+    """delta: seconds between neighbours, where they differ. Whole microseconds are subtracted: seconds since 1970 as doubles are only good to a quarter of one."""
+    return with_lags(rows, "ts", [1]).select(((F.unix_micros("ts") - F.unix_micros("lag_1")) / F.lit(1e6)).alias("delta")).filter("delta > 0")
 
 
 def cadence(df: DataFrame, ts: str, value: str) -> DataFrame:

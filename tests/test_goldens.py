@@ -102,6 +102,14 @@ def test_box_and_line(spark):
     assert rows(charts.boxplot(df, "value", "species").select("n", "q1", "median", "q3", "low", "high", "outliers")) == [(5000, 10.0, 20.0, 30.0, 10.0, 30.0, 0)] * 2
 
 
+def test_gaps_of_microseconds(spark):
+    """Neighbours a microsecond apart are as regular as any: seconds since 1970 would round each distance to a multiple of 0.24 microseconds."""
+    at = [datetime(2024, 1, 1) + timedelta(microseconds=i + (2 if i > 10 else 0)) for i in range(21)]
+    df = spark.createDataFrame([(t, 1.0) for t in at], "ts timestamp, value double")
+    assert rows(timeseries.gaps(df, "ts", "value")) == [(1, 0.95)]
+    assert timeseries.cadence(df, "ts", "value").first().median == 1e-6
+
+
 def test_series(spark):
     import math
 
