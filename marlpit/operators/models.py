@@ -32,12 +32,12 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.functions.lineage import scratch_path
+from marlpit.functions.lineage import kept, part_count, pinned, scratch_path
 from marlpit.functions.ranks import with_quantiles
-from marlpit.functions.semantics import portable_hash
+from marlpit.functions.semantics import orders, portable_hash
 from marlpit.operators import evaluation as ev
 from marlpit.operators.splits import unit_hash
 from marlpit.operators.transforms import assert_unique_key, hash_sample
@@ -52,6 +52,8 @@ TWO_CLASSES = {"linear_svc", "gradient_boosting"}
 #: Classes of a target at most; a target with more is taken for a mistake.
 MAX_CLASSES = 1000
 CALIBRATION_SEED = 11
+#: First bits of a hash by which rows are counted to deal them to blocks, and blocks for each partition, so that hashed blocks fill partitions evenly.
+HASH_BITS, BLOCKS_A_PART = 16, 4
 #: Column of evaluation's summaries for each metric.
 CLASS_METRICS = {"accuracy": "accuracy", "balanced_accuracy": "balanced_accuracy", "f1_macro": "macro_f1", "f1_weighted": "weighted_f1"}
 NUMBER_METRICS = {"rmse": "rmse", "mae": "mae", "r2": "r2"}
@@ -345,25 +347,55 @@ def compare(train: DataFrame, holdout: DataFrame, specs: Sequence[Spec], metric:
     return fit(train.unionByName(holdout), specs[best]), train.sparkSession.createDataFrame(scores, "algorithm string, metric string, score double")
 
 
-def shuffled(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
-    """df with the column's values dealt to other rows, by pairing the order of one hash of key with that of another. Meant for a sample."""
-    from marlpit.operators.transforms import sequence_identifier
-
-    a = sequence_identifier(df.withColumn("_h", portable_hash(F.col(key), F.lit(seed))), "_n", ["_h", key]).drop("_h", column)
-    b = sequence_identifier(df.select(key, column).withColumn("_h", portable_hash(F.col(key), F.lit(seed + 1))), "_m", ["_h", key]).select("_m", column)
-    return a.join(b, F.col("_n") == F.col("_m")).drop("_n", "_m")
+def in_blocks(rows: DataFrame, key: str, seed: int, columns: Sequence[str]) -> DataFrame:
+    """The rows twice, in the order of one hash of key (_side 0) and of another (_side 1), with their place in it (_n), dealt to blocks so that a place is in the same block on both sides.
+
+    Hashes are even, so counts of rows by their first HASH_BITS bits tell where a block ends. A cell of the second order that lies across the end of a block goes to both."""
+    spark, sides = rows.sparkSession, []
+    cell = F.shiftright("_h", 60 - HASH_BITS).cast("int").alias("_cell")
+    for i in (0, 1):
+        sides.append(rows.select(F.lit(i).alias("_side"), portable_hash(F.col(key), F.lit(seed + i)).alias("_h"), F.col(key).alias(KEY), *columns).withColumn("_cell", cell))
+    before = Window.partitionBy("_side").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # counts of 2^HASH_BITS cells at most
+    counts = sides[0].select("_side", "_cell").unionByName(sides[1].select("_side", "_cell")).groupBy("_side", "_cell").agg(F.count("*").alias("_count"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+    with kept(starts) as starts:
+        total = starts.filter("_side = 0").agg(F.coalesce(F.sum("_count"), F.lit(0))).first()[0]
+        n = part_count(spark, total)
+        size = max(1, -(-total // (n * BLOCKS_A_PART)))
+        first = starts.filter("_side = 0").withColumn("_block", F.floor(F.col("_start") / size).cast("int"))
+        spans = first.groupBy("_block").agg(F.min("_start").alias("_lo"), F.max(F.col("_start") + F.col("_count")).alias("_hi"))
+        second = starts.filter("_side = 1").join(F.broadcast(spans), (F.col("_start") < F.col("_hi")) & (F.col("_start") + F.col("_count") > F.col("_lo")))  # a row for each block
+        dealt = first.select("_side", "_cell", "_block", "_start").unionByName(second.select("_side", "_cell", "_block", "_start"))
+        dealt = pinned(dealt.withColumn("_base", F.min("_start").over(Window.partitionBy("_side", "_block"))).drop("_start"))
+    both = sides[0].unionByName(sides[1]).join(F.broadcast(dealt), ["_side", "_cell"]).drop("_cell")  # a row for each cell, and for each block more
+    inside = Window.partitionBy("_block", "_side").orderBy(*orders(["_h", KEY]))
+    return both.repartition(n, "_block").withColumn("_n", F.col("_base") + F.row_number().over(inside)).drop("_h", KEY, "_base")
+
+
+def dealt(rows: DataFrame, columns: Sequence[str], key: str, seed: int, keep: Sequence[str] = ()) -> DataFrame:
+    """columns and keep of each row, and as _dealt_<column> the columns of the row that it is dealt, by pairing the order of one hash of key with that of another. Rows are moved once."""
+    both = in_blocks(rows, key, seed, list(dict.fromkeys([*columns, *keep])))
+    pair = Window.partitionBy("_block").orderBy("_n", "_side")  # the row of the second order comes right after that of the first
+    both = both.withColumns({f"_dealt_{c}": F.lead(c).over(pair) for c in columns})
+    return both.filter("_side = 0").drop("_block", "_side", "_n")
 
 
 def permutation_importance(df: DataFrame, fitted: Fitted, key: str, sample: int | None = 256, repeats: int = 3, seed: int = 7, metric: str | None = None) -> DataFrame:
-    """feature, importance: how much the score falls when the feature is shuffled. sample=None takes all rows."""
+    """feature, importance: how much the score falls when the feature is shuffled. sample=None takes all rows.
+
+    All features are dealt alike in a repeat, so rows are ordered once for each repeat; they are kept only while its features are judged."""
     rows = (hash_sample(df, key, seed, sample) if sample else df).filter(F.col(fitted.spec.target).isNotNull())
+    features, target = fitted.spec.features, fitted.spec.target
     metric = metric or default_metric(fitted.spec.task, len(fitted.classes))
     sign = -1 if metric in ("rmse", "mae") else 1
     whole = measured(predicted(rows, fitted), fitted, metric)
-    out = []
-    for c in fitted.spec.features:
-        drops = [sign * (whole - measured(predicted(shuffled(rows, c, key, seed + 10 * r), fitted), fitted, metric)) for r in range(repeats)]
-        out.append((c, float(sum(drops) / repeats)))
+    drops: dict[str, list[float]] = {c: [] for c in features}
+    for r in range(repeats):
+        with kept(dealt(rows, features, key, seed + 10 * r, [target])) as pairs:
+            for c in features:
+                other = pairs.withColumn(c, F.col(f"_dealt_{c}")).select(*features, target)
+                drops[c].append(sign * (whole - measured(predicted(other, fitted), fitted, metric)))
+    out = [(c, float(sum(d) / repeats)) for c, d in drops.items()]
     return df.sparkSession.createDataFrame(out, "feature string, importance double")
 
 

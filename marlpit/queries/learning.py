@@ -344,19 +344,19 @@ _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "age")
 _BIG = ("l_quantity", "l_discount", "l_tax")
 
 
-def learnable(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem with a unique row id, its age and a class to learn."""
+def learnable(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Some columns of lineitem with a unique row id, its age and a class to learn. Equal keys have equal ids, so rows meet by the keys, before what follows from them is computed."""
     from marlpit.operators.transforms import hash_identifier
 
-    df = read(spark, d, "lineitem").withColumn("age", F.datediff(F.lit("1999-01-01"), "l_shipdate").cast("double"))
-    df = df.withColumn("label", F.when(F.col("l_quantity") * 1000 + F.col("age") * 5 > 33000, "high").otherwise("low"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-    return hash_identifier(df, "row_id", keys).dropDuplicates(["row_id"])
+    df = read(spark, d, "lineitem").dropDuplicates(keys).withColumn("age", F.datediff(F.lit("1999-01-01"), "l_shipdate").cast("double"))
+    df = df.withColumn("label", F.when(F.col("l_quantity") * 1000 + F.col("age") * 5 > 33000, "high").otherwise("low"))
+    return hash_identifier(df, "row_id", keys).select("row_id", *columns)
 
 
 def _trained(spark: SparkSession, d: str, task: str, algorithm: str, params: dict | None = None) -> DataFrame:
     spec = mo.Spec(task, "label" if task == "classification" else "l_extendedprice", _NUMERIC if task == "classification" else _BIG, algorithm, params or {})
-    df = pinned(sp.random_split(learnable(spark, d), "row_id"))
+    df = pinned(sp.random_split(learnable(spark, d, *spec.features, spec.target), "row_id"))
     fitted = mo.fit(df.filter("split_role = 'training'"), spec)
     scored = mo.score(df.filter("split_role = 'test'"), fitted, "row_id", [spec.target])
     return ev.classification_summary(scored, "label", "prediction") if task == "classification" else ev.regression_summary(scored, "l_extendedprice", "prediction")
@@ -425,27 +425,27 @@ def m8_mlp(spark: SparkSession, d: str) -> DataFrame:
 
 @register(None)
 def m9_search(spark: SparkSession, d: str) -> DataFrame:
-    df = pinned(sp.folds(learnable(spark, d), "row_id", 3))
+    df = pinned(sp.folds(learnable(spark, d, *_NUMERIC, "label"), "row_id", 3))
     spec = mo.Spec("classification", "label", _NUMERIC, "logistic", {"maxIter": 10})
     return mo.search(df, spec, {"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 1.0]}, folds=sp.FOLD, n=3)[1]
 
 
 @register(None)
 def m10_compare(spark: SparkSession, d: str) -> DataFrame:
-    df = pinned(sp.random_split(learnable(spark, d), "row_id"))
+    df = pinned(sp.random_split(learnable(spark, d, *_NUMERIC, "label"), "row_id"))
     specs = [mo.Spec("classification", "label", _NUMERIC, a, p) for a, p in (("logistic", {"maxIter": 10}), ("decision_tree", {"maxDepth": 4}))]
     return mo.compare(df.filter("split_role = 'training'"), df.filter("split_role = 'validation'"), specs)[1]
 
 
 @register(None)
 def m13_batch_scoring(spark: SparkSession, d: str) -> DataFrame:
-    df = pinned(learnable(spark, d))
+    df = pinned(learnable(spark, d, *_NUMERIC, "label"))
     return mo.score(df, mo.fit(df, mo.Spec("classification", "label", _NUMERIC, "logistic", {"maxIter": 10})), "row_id", ["label"])
 
 
 @register(None)
 def m15_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    df = pinned(learnable(spark, d))
+    df = pinned(learnable(spark, d, "l_quantity", "age", "l_tax", "label"))
     fitted = mo.fit(df, mo.Spec("classification", "label", ("l_quantity", "age", "l_tax"), "decision_tree", {"maxDepth": 4}))
     return mo.permutation_importance(df, fitted, "row_id", sample=None, repeats=3)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from marlpit.functions.lineage import hadoop_path, pinned, shared_folder, drop_scratch
+from marlpit.functions.semantics import portable_hash
 from marlpit.operators import models as mo
 
 
@@ -92,3 +93,25 @@ def test_nothing_is_left_behind(spark, thirds):
     assert not fs.exists(where)
     after = {s.getPath().getName() for s in hadoop_path(spark, shared_folder(spark))[0].listStatus(hadoop_path(spark, shared_folder(spark))[1])}
     assert before - after == {where.getName()}
+
+
+def test_features_are_dealt_in_the_order_of_two_hashes(spark):
+    """Places of both orders meet across blocks and cells, and a repeat keeps its rows once, however many features there are."""
+    rows = spark.range(300_000).select("id", F.col("id").cast("double").alias("x"), (F.col("id") % 7).alias("t"))
+    out = mo.dealt(rows, ["x"], "id", 5, ["t"]).toPandas().set_index("x")
+    hashes = rows.select("id", portable_hash(F.col("id"), F.lit(5)).alias("a"), portable_hash(F.col("id"), F.lit(6)).alias("b")).toPandas()
+    first, second = (hashes.sort_values([c, "id"])["id"].to_numpy() for c in "ab")
+    assert len(out) == 300_000 and (out["t"] == out.index % 7).all()
+    assert (out.loc[first.astype(float), "_dealt_x"].to_numpy() == second).all()
+    few = spark.range(3).select("id", F.col("id").cast("double").alias("x"))
+    assert sorted(r["_dealt_x"] for r in mo.dealt(few, ["x"], "id", 5).collect()) == [0.0, 1.0, 2.0]
+
+
+def test_importance_leaves_no_rows_behind(spark, thirds):
+    fitted = mo.fit(thirds.withColumn("z", F.lit(1.0)), mo.Spec("classification", "target", ("x", "z"), "decision_tree"))
+    drop_scratch(spark)
+    found = {r.feature: r.importance for r in mo.permutation_importance(thirds.withColumn("z", F.lit(1.0)), fitted, "row_id", sample=None, repeats=2).collect()}
+    assert found["x"] > 0.2 and found["z"] == 0
+    fs, where = hadoop_path(spark, f"{shared_folder(spark)}/marlpit-{spark.sparkContext.applicationId}")
+    left = [s.getPath().getName() for s in fs.listStatus(where)]
+    assert not any(n.startswith("kept") for n in left) and len(left) == 2  # how the cells of a repeat are dealt
