@@ -7,7 +7,7 @@ partitions of (column, value), so places, medians (over all rows and by class),
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -234,13 +234,15 @@ def trend_rows(summaries: Mapping[str, dict], names: Sequence[str]) -> list[tupl
 
 
 def full_profile(
-    df: DataFrame, target: str | None = None, target_type: str | None = None, focus: str | None = None, roles: Mapping[str, str] | None = None, max_features: int = 30, max_segment_features: int = 4
+    df: DataFrame, target: str | None = None, target_type: str | None = None, focus: str | None = None, roles: Mapping[str, str] | None = None, max_features: int = 30, max_segment_features: int = 4,
+    parts: Collection[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Every part of the profile: columns, notes, dataset_notes, target_types, top_values, histograms; with a target the relations of up to max_features features with it and segments.
 
     target_type (categorical or continuous) is inferred if it isn't given; focus is the class whose rate segments and trends look at, the most frequent one if it isn't given.
     A categorical target is compared by class: groups and densities of numbers, contingencies and trends of categories. A continuous one gives relations with numbers (relations) and
-    the target's groups by categories (groups), all features together. What reaches the driver is a row for each column with some numbers for each class."""
+    the target's groups by categories (groups), all features together. What reaches the driver is a row for each column with some numbers for each class.
+    parts: those of a continuous target to compute (relations, groups, segments), each of which reads all rows again; all unless they are named."""
     spark, roles = df.sparkSession, dict(roles or {})
     with ThreadPoolExecutor(1) as other:  # the moments and the counted values don't need each other
         found = other.submit(moments, df)
@@ -280,10 +282,10 @@ def full_profile(
         if len(plan.segments) >= 2:
             out["segments"] = pr.segment_scan_categorical(df, plan.segments, target, classes[at])
     elif target and family(df.schema[target].dataType) == "number":
-        if plan.numbers:
+        if plan.numbers and (parts is None or "relations" in parts):
             out["relations"] = pr.numeric_relations(df, plan.numbers, target)
-        if plan.categories:
+        if plan.categories and (parts is None or "groups" in parts):
             out["groups"] = pr.grouped_relations(df, plan.categories, target)
-        if len(plan.segments) >= 2:
+        if len(plan.segments) >= 2 and (parts is None or "segments" in parts):
             out["segments"] = pr.segment_scan_continuous(df, plan.segments, target)
     return out

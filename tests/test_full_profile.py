@@ -84,3 +84,15 @@ def test_without_target_and_without_rows(spark, table):
     assert empty["top_values"].count() == 0 and empty["histograms"].count() == 0
     one = full_profile(spark.createDataFrame([(1.0, "a"), (1.0, "b"), (None, "a")], "x double, y string"), "y")
     assert [(r.bin, r.n) for r in one["histograms"].collect()] == [(0, 2)]
+
+
+def test_only_the_parts_that_are_named_are_computed(spark, monkeypatch):
+    """Relations and groups of a continuous target each read all rows; one is not computed for the other."""
+    from marlpit.operators import profile
+
+    df = spark.range(200).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3).alias("g"), (F.col("id") * 2.0).alias("y"))
+    made = []
+    for name in ("numeric_relations", "grouped_relations"):
+        monkeypatch.setattr(profile, name, lambda *a, _name=name, _real=getattr(profile, name): made.append(_name) or _real(*a))
+    assert full_profile(df, "y", "continuous", parts=["groups"])["groups"].count() == 3 and made == ["grouped_relations"]
+    assert full_profile(df, "y", "continuous", parts=["relations"])["relations"].count() == 1 and made == ["grouped_relations", "numeric_relations"]
