@@ -12,6 +12,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlpit.functions.lineage import in_small_parts
 from marlpit.functions.ranks import column_quantiles, placed
 from marlpit.functions.semantics import portable_hash, safe_corr, safe_div
 from marlpit.operators.charts import principal_axes, projected
@@ -286,8 +287,9 @@ def l1_scores(df: DataFrame, columns: Sequence[str], target: str, penalty: float
 
 
 def importance_scores(df: DataFrame, columns: Sequence[str], target: str, seed: int = 0) -> DataFrame:
-    """feature, score: importances of a random forest."""
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="skip").transform(df.withColumn("_y", F.col(target).cast("double")))
+    """feature, score: importances of a random forest. The forest keeps every row in memory with its draws for all trees, and a task reads a whole partition of them, so partitions of many rows are split first."""
+    rows = in_small_parts(df.select(*dict.fromkeys([*columns, target])))
+    rows = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="skip").transform(rows.withColumn("_y", F.col(target).cast("double")))
     return _scores_frame(df, columns, RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=20, seed=seed).fit(rows).featureImportances.toArray())
 
 

@@ -115,3 +115,16 @@ def test_importance_leaves_no_rows_behind(spark, thirds):
     fs, where = hadoop_path(spark, f"{shared_folder(spark)}/marlpit-{spark.sparkContext.applicationId}")
     left = [s.getPath().getName() for s in fs.listStatus(where)]
     assert not any(n.startswith("kept") for n in left) and len(left) == 2  # how the cells of a repeat are dealt
+
+
+def test_a_forest_for_importances_reads_small_partitions(spark, monkeypatch):
+    from marlpit.functions import lineage
+    from marlpit.operators import features as fe
+
+    seen, real = [], fe.RandomForestRegressor.fit
+    monkeypatch.setattr(lineage, "RANGE_ROWS", 50)
+    monkeypatch.setattr(fe.RandomForestRegressor, "fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.count())) or real(self, rows))
+    df = spark.range(0, 400, 1, 2).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("same"), (F.col("id") * 2).alias("y"))
+    found = {r.feature: r.score for r in fe.importance_scores(df, ["x", "same"], "y").collect()}
+    assert seen == [(8, 400)] and found["x"] == pytest.approx(1) and found["same"] == 0
+    assert lineage.in_small_parts(df.limit(0)).count() == 0 and lineage.in_small_parts(spark.range(0, 40, 1, 3)).rdd.getNumPartitions() == 3
