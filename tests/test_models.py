@@ -128,3 +128,17 @@ def test_a_forest_for_importances_reads_small_partitions(spark, monkeypatch):
     found = {r.feature: r.score for r in fe.importance_scores(df, ["x", "same"], "y").collect()}
     assert seen == [(8, 400)] and found["x"] == pytest.approx(1) and found["same"] == 0
     assert lineage.in_small_parts(df.limit(0)).count() == 0 and lineage.in_small_parts(spark.range(0, 40, 1, 3)).rdd.getNumPartitions() == 3
+
+
+def test_training_tables_hold_what_is_learned(spark):
+    """Batch scoring keeps ids, features and target only, of the rows whose keys differ."""
+    from conftest import SMALL
+    from marlpit.operators.transforms import hash_identifier
+    from marlpit.queries.learning import learnable
+    from marlpit.queries.registry import read
+
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    every = hash_identifier(read(spark, SMALL, "lineitem"), "row_id", keys)
+    found = learnable(spark, SMALL, "l_tax", "label")
+    assert found.columns == ["row_id", "l_tax", "label"]
+    assert sorted(r.row_id for r in found.select("row_id").collect()) == sorted(r.row_id for r in every.select("row_id").distinct().collect())
