@@ -83,6 +83,33 @@ def ranking(df: DataFrame, actual: str, score: str, positive: str | None = None,
     )
 
 
+def roc_auc(df: DataFrame, actual: str, score: str, positive: str | None = None, count: str | None = None) -> DataFrame:
+    """The roc_auc of ranking alone; count: a column with the number of rows that a row stands for. Each range of scores is summed up by itself, as one row, so ranges are neither kept nor ordered again."""
+
+    def areas(batches):  # goes to tasks by value
+        import numpy as np
+        import pyarrow as pa
+
+        top, before, negatives, area = None, 0, 0, 0.0
+        for b in batches:
+            if b.num_rows:
+                top = b.column(0)[0].as_py() if top is None else top
+                pos, neg = b.column(1).to_numpy(), b.column(2).to_numpy()
+                area += float(np.dot(neg.astype(float), before + np.cumsum(pos) - pos / 2))
+                before, negatives = before + int(pos.sum()), negatives + int(neg.sum())
+        if top is not None:
+            yield pa.RecordBatch.from_pydict({"top": pa.array([top], pa.float64()), "pos": pa.array([before], pa.int64()), "neg": pa.array([negatives], pa.int64()), "area": pa.array([area], pa.float64())})
+
+    hit, n = F.col(actual).cast("string") == F.lit(positive_class(df, actual, positive)), F.col(count).cast("long") if count else F.lit(1).cast("long")
+    given = F.col(score).isNotNull()  # no filter: it would compute the score twice
+    sums = [F.coalesce(F.sum(F.when(given & side, n)), F.lit(0).cast("long")).alias(c) for c, side in (("pos", hit), ("neg", ~hit))]
+    g = df.groupBy(F.col(score).cast("double").alias("score")).agg(*sums).select("score", "pos", "neg").repartitionByRange(F.desc("score")).sortWithinPartitions(F.desc("score"))
+    parts = g.mapInArrow(areas, "top double, pos long, neg long, area double")
+    earlier = F.coalesce(F.sum("pos").over(Window.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    parts = parts.withColumn("area", F.col("area") + F.col("neg") * earlier.cast("double"))
+    return parts.agg(safe_div(F.sum("area"), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+
+
 def curves(df: DataFrame, actual: str, score: str, positive: str | None = None) -> DataFrame:
     """Up to CURVE_BINS points of the ROC and precision-recall curves: bin, threshold, tpr, fpr, precision."""
     g = score_groups(df, actual, score, positive)

@@ -76,7 +76,8 @@ def map_categories(df: DataFrame, column: str, mapping: Mapping[str, str], outpu
 
 def hash_identifier(df: DataFrame, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A sha256 of the columns (all by default), told apart by length so that no two rows of different values share one by chance of concatenation."""
-    parts = [F.when(F.col(c).isNull(), "N;").otherwise(F.concat(F.lit("V"), F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"), F.lit(";"))) for c in columns or df.columns]
+    texts = [F.col(c).cast("string") for c in columns or df.columns]
+    parts = [F.coalesce(F.concat(F.lit("V"), F.length(x).cast("string"), F.lit(":"), x, F.lit(";")), F.lit("N;")) for x in texts]  # the text of a value is made once
     return df.withColumn(name, F.sha2(F.concat(*parts), 256))
 
 

@@ -142,3 +142,24 @@ def test_training_tables_hold_what_is_learned(spark):
     found = learnable(spark, SMALL, "l_tax", "label")
     assert found.columns == ["row_id", "l_tax", "label"]
     assert sorted(r.row_id for r in found.select("row_id").collect()) == sorted(r.row_id for r in every.select("row_id").distinct().collect())
+
+
+def test_rows_that_are_alike_are_learned_as_one(spark, monkeypatch):
+    """A learner of margins and its calibration see kinds of rows, not rows, and tell the classes apart as before."""
+    seen, real = [], mo.LinearSVC.fit
+    monkeypatch.setattr(mo.LinearSVC, "fit", lambda self, rows: seen.append(rows.count()) or real(self, rows))
+    df = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("x"), F.when(F.col("id") % 10 < 2, F.col("id") % 3 % 2).otherwise(F.col("id") % 2).alias("t"))
+    fitted = mo.fit(df, mo.Spec("classification", "t", ("x",), "linear_svc", {"maxIter": 10}, calibrate=0.3, key="id"))
+    assert seen == [4]
+    assert mo.predicted(df, fitted).filter("prediction <> cast(cast(x AS int) AS string)").count() == 0
+
+
+def test_area_under_ranges_of_scores(spark):
+    """The area equals that of the ranking, with ties and missing scores, of rows and of rows that stand for several."""
+    from marlpit.operators import evaluation as ev
+
+    df = spark.range(500).select(F.when(F.col("id") % 50 != 0, F.col("id") * 7 % 30 / 30.0).alias("s"), F.when(F.col("id") * 13 % 40 < 17, "b").otherwise("a").alias("t"))
+    want = ev.ranking(df, "t", "s", "b").first().roc_auc
+    assert ev.roc_auc(df, "t", "s", "b").first().roc_auc == pytest.approx(want, abs=1e-12)
+    assert ev.roc_auc(df.groupBy("s", "t").agg(F.count("*").alias("n")), "t", "s", "b", "n").first().roc_auc == pytest.approx(want, abs=1e-12)
+    assert ev.roc_auc(df.limit(0), "t", "s", "b").first().roc_auc is None
