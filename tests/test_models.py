@@ -163,3 +163,18 @@ def test_area_under_ranges_of_scores(spark):
     assert ev.roc_auc(df, "t", "s", "b").first().roc_auc == pytest.approx(want, abs=1e-12)
     assert ev.roc_auc(df.groupBy("s", "t").agg(F.count("*").alias("n")), "t", "s", "b", "n").first().roc_auc == pytest.approx(want, abs=1e-12)
     assert ev.roc_auc(df.limit(0), "t", "s", "b").first().roc_auc is None
+
+
+def test_unique_keys_are_told_by_their_hashes(spark, monkeypatch):
+    """Keys themselves are counted only where a hash is met twice or a key is null."""
+    from marlpit.operators import transforms as tr
+
+    calls, real = [], tr.key_check
+    monkeypatch.setattr(tr, "key_check", lambda df, keys: calls.append(1) or real(df, keys))
+    df = spark.range(50).select(F.col("id").cast("string").alias("k"))
+    tr.assert_unique_key(df, ["k"])
+    assert not calls
+    with pytest.raises(ValueError, match="0 null, 1 repeated"):
+        tr.assert_unique_key(df.union(df.limit(1)), ["k"])
+    with pytest.raises(ValueError, match="1 null, 0 repeated"):
+        tr.assert_unique_key(df.union(spark.sql("SELECT string(null)")), ["k"])
